@@ -8,7 +8,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from telespark.functions import keywords as kw
-from telespark.functions.ordered import row_position, running_total
+from telespark.functions.ordered import running_total
 from telespark.functions.timeaxis import HOUR, LOG_BUCKETS, Bucket, TimeRange, dense, instant, millis
 from telespark.sources.schema import LOG_COLUMNS, check_dimension, column_kind
 
@@ -88,15 +88,13 @@ class LogFilter:
         return df
 
 
-def _tie() -> list[Column]:
-    return [F.xxhash64("host", "file", "thread", "logger", "span_id", "message")]
-
-
 def log_order(order: str = "desc") -> list[Column]:
-    """(timestamp, level, trace_id), then a content hash so that pages are stable."""
+    """(timestamp, level, trace_id); the rest only decides between equal rows, so that
+    pages are stable."""
     if order not in ("asc", "desc"):
         raise ValueError(f"order must be asc or desc, not {order!r}")
-    cols = [F.col("timestamp"), F.col("level"), F.col("trace_id"), *_tie()]
+    cols = [F.col("timestamp"), F.col("level"), F.col("trace_id"),
+            *map(F.col, ("host", "file", "thread", "logger", "span_id", "message"))]
     return [c.desc() if order == "desc" else c.asc() for c in cols]
 
 

@@ -188,8 +188,8 @@ def logs_for_trace(spark, sf_dir):
 
 @query("log_shape_rows", f"""
 select ts_ms, strftime(make_timestamp(ts_us), '%Y-%m-%d %H:%M:%S') as second, length(message) as message_len,
-  case when length(message) > 80 then substr(message, 1, 80) || '… [' || cast(length(message) as varchar) || ' characters, cut]' else message end as message,
-  trace_id, (case when cluster = '' then 0 else 1 end) + (case when span_id = '' then 0 else 1 end) + 8 as n_fields
+  case when length(message) > 80 then substr(message, 1, 80) || '… [' || cast(least(length(message), 16384) as varchar) || ' characters, cut]' else message end as message,
+  trace_id, (case when cluster = '' then 0 else 1 end) + (case when span_id = '' then 0 else 1 end) + 9 as n_fields
 from app_log where {RANGE} and service_name = 'svc-7'""")
 def log_shape_rows(spark, sf_dir):
     f = L.LogFilter(MONTH, dims={"service_name": ("svc-7",)})

@@ -2,8 +2,6 @@
 
 from __future__ import annotations
 
-import tempfile
-
 from pyspark.sql import SparkSession
 
 
@@ -23,12 +21,3 @@ def build_session(cores: str = "*", partitions: int = 8, app: str = "telespark",
     spark.sparkContext.setLogLevel("ERROR")
     return spark
 
-
-def use_checkpoints(spark: SparkSession) -> None:
-    """Iterative operators cut lineage with ``checkpoint()``.  The cluster names the
-    shared folder in ``spark.checkpoint.dir``; only where none is set (tests) a
-    temporary one is used."""
-    sc = spark.sparkContext
-    if sc.getCheckpointDir() is None:
-        named = spark.conf.get("spark.checkpoint.dir", None)
-        sc.setCheckpointDir(named or tempfile.mkdtemp(prefix="telespark-checkpoint-"))

@@ -11,11 +11,13 @@ select $BASE + (l_orderkey * 7919) % 86400000 + l_linenumber * 5 as ts_ms,
   lpad(cast(l_orderkey as varchar), 32, '0') as trace_id,
   lpad(cast(l_orderkey * 8 + l_linenumber as varchar), 16, '0') as span_id,
   case when l_linenumber = 1 then '' else lpad(cast(l_orderkey * 8 + l_linenumber // 2 as varchar), 16, '0') end as parent_span_id,
-  'op-' || cast(l_partkey % 40 as varchar) as span_name,
+  case when l_partkey % 20 = 10 and (l_orderkey * 7919) % 86400000 >= 43200000 then 'op-new'
+       else 'op-' || cast(l_partkey % 20 as varchar) end as span_name,
   case when l_linenumber = 1 then 'Server' when l_partkey % 5 = 0 then 'Consumer' when l_partkey % 5 = 1 then 'Internal'
        when l_partkey % 5 = 2 then 'Producer' else 'Client' end as span_kind,
   'svc-' || cast(l_suppkey % 10 as varchar) as service_name,
-  cast(round(l_extendedprice * 100) as bigint) * 1000 as duration_ns,
+  cast(round(l_extendedprice * 100) as bigint) * 1000
+    * case when l_partkey % 20 = 5 and (l_orderkey * 7919) % 86400000 >= 43200000 then 3 else 1 end as duration_ns,
   case when l_returnflag = 'R' and l_partkey % 4 = 0 then 'Error' else 'Unset' end as status_code,
   'zone-' || cast(l_suppkey % 3 as varchar) as cluster,
   case when l_partkey % 5 >= 3 then case when l_suppkey % 2 = 0 then 'mysql' else 'redis' end else '' end as db_system,
@@ -78,7 +80,6 @@ from (
 """
 
 VIEWS = {"spans": SPANS, "app_log": APP_LOG, "metric": METRIC}
-REQUIRES: dict[str, tuple[str, ...]] = {}
 
 
 def fill(sql: str, consts: dict) -> str:
@@ -91,15 +92,14 @@ def fill(sql: str, consts: dict) -> str:
 def with_views(sql: str) -> str:
     """Prefix the views a statement mentions."""
     chosen: list[str] = []
+    seen: set[str] = set()
 
     def need(text: str) -> None:
         for name, body in VIEWS.items():
-            if name not in chosen and re.search(rf"\b{name}\b", text):
+            if name not in seen and re.search(rf"\b{name}\b", text):
+                seen.add(name)
                 need(body)
-                for extra in REQUIRES.get(name, ()):
-                    need(extra)
-                if name not in chosen:
-                    chosen.append(name)
+                chosen.append(name)
 
     need(sql)
     if not chosen:

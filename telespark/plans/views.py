@@ -24,11 +24,14 @@ def spans(spark: SparkSession, sf_dir: str) -> DataFrame:
         "lpad(cast(l_orderkey * 8 + l_linenumber as string), 16, '0') as span_id",
         "case when l_linenumber = 1 then '' else lpad(cast(l_orderkey * 8 + l_linenumber div 2 as string), 16, '0') end as parent_span_id",
         "'' as trace_state",
-        "concat('op-', cast(l_partkey % 40 as string)) as span_name",
+        # half the day: one operation is renamed, another gets three times as slow
+        """case when l_partkey % 20 = 10 and (l_orderkey * 7919) % 86400000 >= 43200000 then 'op-new'
+           else concat('op-', cast(l_partkey % 20 as string)) end as span_name""",
         """case when l_linenumber = 1 then 'Server' when l_partkey % 5 = 0 then 'Consumer' when l_partkey % 5 = 1 then 'Internal'
            when l_partkey % 5 = 2 then 'Producer' else 'Client' end as span_kind""",
         "concat('svc-', cast(l_suppkey % 10 as string)) as service_name",
-        "cast(round(l_extendedprice * 100) as bigint) * 1000 as duration_ns",
+        """cast(round(l_extendedprice * 100) as bigint) * 1000
+           * if(l_partkey % 20 = 5 and (l_orderkey * 7919) % 86400000 >= 43200000, 3, 1) as duration_ns""",
         "case when l_returnflag = 'R' and l_partkey % 4 = 0 then 'Error' else 'Unset' end as status_code",
         "'' as status_message", "'lib' as scope_name", "'1' as scope_version",
         "concat('zone-', cast(l_suppkey % 3 as string)) as cluster",
