@@ -1,6 +1,6 @@
 """All registered queries."""
 
-from telespark.plans import log_queries, service_queries, trace_queries  # noqa: F401
+from telespark.plans import log_queries, metric_queries, service_queries, trace_queries  # noqa: F401
 from telespark.plans.registry import ORACLES, QUERIES  # noqa: F401
 
 FLAGSHIP = "service_stats"

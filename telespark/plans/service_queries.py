@@ -140,7 +140,7 @@ select *, case when error_rate >= 0.05 or r >= 3 then 'bad' when error_rate >= 0
   concat_ws(',', case when error_rate >= 0.01 then 'error_rate' end, case when r >= 1.5 then 'p95_ratio' end,
     case when started then 'started_erroring' end) as reasons
 from (select *, case when requests >= 300 and prev_requests >= 300 and prev_p95_ms > 0 and p95_ms >= 200 then p95_ms / prev_p95_ms end as r,
-  coalesce(prev_errors = 0 and errors > 0 and error_rate >= 0.002, false) as started from svc)"""
+  coalesce(prev_errors = 0 and errors > 0 and error_rate >= 0.002, false) as started from svcstats)"""
 
 
 def _health(spark, sf_dir):
