@@ -65,21 +65,36 @@ from (select epoch_us(ts) as ts_us, epoch_us(ts) // 1000 as ts_ms, user_id % 4 a
         cast(round(value * 100) as bigint) as cents, ((epoch_us(ts) // 1000) % 43200000) // 1000 as up from events)"""
 
 BILL = """
-select provider, period, day, product, item, region, instance_id, subscription, unit, units, original_c, paid_c, payable_e4, line_id, sync_s
+select provider, strftime(d, '%Y-%m') as period, strftime(d, '%Y-%m-%d') as day, product, item, instance_id, region, zone, account, project, subscription,
+  usage, ip, months, n, c.s as sync_s, payable_e4 * c.k + c.plus as payable_e4, original_e4 * c.k as original_e4,
+  case when provider = 'volcengine' and n % 97 = 0 then 0 else paid_e4 * c.k end as paid_e4
 from (
   select case when l_suppkey % 2 = 0 then 'alicloud' else 'volcengine' end as provider,
-    strftime(l_shipdate, '%Y-%m') as period, strftime(l_shipdate, '%Y-%m-%d') as day, p_type as product, p_brand as item,
-    n_name as region, cast(l_suppkey as varchar) as instance_id,
-    case when l_linestatus = 'F' then 'Subscription' else 'PayAsYouGo' end as subscription,
-    case l_partkey % 3 when 0 then '年' when 1 then '月' else '天' end as unit,
-    case l_partkey % 3 when 0 then 1 when 1 then 1 + l_partkey % 6 else 90 end as units,
-    cast(round(l_extendedprice * 100) as bigint) as original_c, cast(round(l_extendedprice * 100) as bigint) // 2 as paid_c,
-    cast(round(l_extendedprice * 100) as bigint) * (100 - cast(round(l_discount * 100) as bigint)) as payable_e4,
-    cast(l_orderkey * 8 + l_linenumber as varchar) as line_id, (l_orderkey * 8 + l_linenumber) as n, 0 as sync_s
-  from lineitem join part on p_partkey = l_partkey join supplier on s_suppkey = l_suppkey join nation on n_nationkey = s_nationkey)
-"""
-
-VIEWS = {"spans": SPANS, "app_log": APP_LOG, "metric": METRIC}
+    date '2024-01-01' + cast(date_diff('day', date '1995-01-01', cast(l_shipdate as date)) % 900 as int) as d,
+    case when l_partkey % 7 = 0 then 'c-' || p_type else p_type end as product, p_brand as item, 'i-' || cast(l_suppkey as varchar) as instance_id,
+    case when l_suppkey % 10 = 8 then '' when l_suppkey % 10 = 9 then 'r-' || n_name else n_name end as region, 'z' || cast(l_suppkey % 3 as varchar) as zone,
+    'acct-' || cast(l_suppkey % 4 as varchar) as account, 'proj-' || cast(l_partkey % 5 as varchar) as project,
+    case when l_linestatus = 'F' then 'Subscription' else 'PayAsYouGo' end as subscription, cast(cast(l_quantity as int) as varchar) as usage,
+    '10.0.1.' || cast(l_suppkey % 50 as varchar) as ip, case l_partkey % 3 when 0 then 12 when 1 then 1 + l_partkey % 6 else 3 end as months,
+    l_orderkey * 8 + l_linenumber as n, cast(round(l_extendedprice * 100) as bigint) * 100 as original_e4,
+    cast(round(l_extendedprice * 100) as bigint) * 50 as paid_e4,
+    cast(round(l_extendedprice * 100) as bigint) * (100 - cast(round(l_discount * 100) as bigint)) as payable_e4
+  from lineitem join part on p_partkey = l_partkey join supplier on s_suppkey = l_suppkey join nation on n_nationkey = s_nationkey) b
+join (values (0, 1, 1, 0), (86400, 5, 1, 0), (172800, 10, 1, 100), (172801, 20, 0, -50)) c(s, every, k, plus) on b.n % c.every = 0"""
+
+
+def _deduped(key: str) -> str:
+    carried = "provider period product item instance_id region zone account project subscription usage ip months".split()
+    keys = f"provider, {key}, n"
+    carried = [c for c in carried if c not in keys.split(", ")]
+    day = "any_value(day) as day" if key == "period" else "any_value(period) as period"
+    return f"""
+select * exclude (newest) from (select *, max(v) over (partition by {keys}) as newest from (
+  select {keys}, payable_e4, paid_e4, original_e4, max(sync_s) as v, {day}, {', '.join(f'any_value({c}) as {c}' for c in carried if c != 'period')}
+  from bill group by {keys}, payable_e4, paid_e4, original_e4)) where v >= newest - 60"""
+
+
+VIEWS = {"spans": SPANS, "app_log": APP_LOG, "metric": METRIC, "bill": BILL, "bill_d": _deduped("day"), "bill_m": _deduped("period")}
 
 
 def fill(sql: str, consts: dict) -> str:

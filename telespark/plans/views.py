@@ -118,3 +118,55 @@ def otel_metric(spark: SparkSession, sf_dir: str) -> DataFrame:
               'trace_id', lpad(cast(event_id as string), 32, '0'), 'span_id', lpad(cast(event_id as string), 16, '0'))),
               cast(array() as array<struct<timestamp:timestamp,value:double,trace_id:string,span_id:string>>)) as exemplars""",
         "cast(0 as bigint) as flags")
+
+
+def _billed(spark: SparkSession, sf_dir: str, parity: int) -> DataFrame:
+    """Bill lines of one provider with repeated syncs, corrected amounts and parallel lines.
+    One scan of the order lines; each becomes one to four synced rows."""
+    lines = table(spark, sf_dir, "lineitem").where(f"l_suppkey % 2 = {parity}")
+    part, supplier, nation = (table(spark, sf_dir, t) for t in ("part", "supplier", "nation"))
+    joined = (lines.join(part, lines.l_partkey == part.p_partkey).join(supplier, lines.l_suppkey == supplier.s_suppkey)
+              .join(nation, supplier.s_nationkey == nation.n_nationkey))
+    base = joined.selectExpr(
+        "date_add(date'2024-01-01', datediff(cast(l_shipdate as date), date'1995-01-01') % 900) as d",
+        "p_type", "p_brand", "n_name", "l_suppkey", "l_partkey", "l_orderkey * 8 + l_linenumber as n",
+        "if(l_linestatus = 'F', 'Subscription', 'PayAsYouGo') as subscription", "cast(cast(l_quantity as int) as string) as usage",
+        "cast(round(l_extendedprice * 100) as bigint) as cents", "cast(round(l_discount * 100) as bigint) as off")
+    synced = base.selectExpr("*", """inline(filter(array(
+        named_struct('s', 0, 'every', 1, 'k', 1, 'plus', 0), named_struct('s', 86400, 'every', 5, 'k', 1, 'plus', 0),
+        named_struct('s', 172800, 'every', 10, 'k', 1, 'plus', 100), named_struct('s', 172801, 'every', 20, 'k', 0, 'plus', -50)),
+        c -> n % c.every = 0))""")
+    return synced.selectExpr(
+        "*", "cents * (100 - off) * k + plus as payable_e4", "cents * 100 * k as original_e4", "cents * 50 * k as paid_e4",
+        "timestamp'2026-07-01 00:00:00' + make_dt_interval(0, 0, 0, s) as updated_at")
+
+
+def alicloud_bill(spark: SparkSession, sf_dir: str, daily: bool = True) -> DataFrame:
+    return _billed(spark, sf_dir, 0).selectExpr(
+        "date_format(d, 'yyyy-MM') as billing_cycle", *(["d as billing_date"] if daily else ["cast(null as date) as billing_date"]),
+        "concat('c-', p_type) as product_code", "if(l_partkey % 7 = 0, '', p_type) as product_name", "'' as product_type",
+        "p_brand as product_detail", "concat('i-', cast(l_suppkey as string)) as instance_id", "'' as instance_name",
+        "concat('acct-', cast(l_suppkey % 4 as string)) as bill_account_id", "'' as bill_account_name",
+        "subscription as subscription_type", "if(l_suppkey % 10 = 8, '', n_name) as region", "concat('z', cast(l_suppkey % 3 as string)) as zone",
+        "concat('proj-', cast(l_partkey % 5 as string)) as resource_group", "'' as cost_unit", "'CNY' as currency", "usage", "'h' as usage_unit",
+        "payable_e4 / 10000D as pretax_amount", "paid_e4 / 10000D as payment_amount", "original_e4 / 10000D as pretax_gross_amount",
+        "case l_partkey % 3 when 0 then '1' when 1 then cast(1 + l_partkey % 6 as string) else '90' end as service_period",
+        "case l_partkey % 3 when 0 then '年' when 1 then '月' else '天' end as service_period_unit",
+        "concat('10.0.1.', cast(l_suppkey % 50 as string)) as intranet_ip", "n as line_id", "updated_at")
+
+
+def volcengine_bill(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The older layout: money as text, now and then not a number."""
+    def money(e4):
+        return f"cast(cast(cast({e4} as decimal(20,8)) * 0.0001BD as decimal(20,8)) as string)"
+
+    return _billed(spark, sf_dir, 1).selectExpr(
+        "date_format(d, 'yyyy-MM') as BillPeriod", "date_format(d, 'yyyy-MM-dd') as ExpenseDate", "'' as ExpenseBeginTime",
+        "concat('i-', cast(l_suppkey as string)) as InstanceNo", "'' as InstanceName", "concat('c-', p_type) as Product",
+        "if(l_partkey % 7 = 0, '', p_type) as ProductZh", "p_brand as Element", "'' as ElementCode",
+        "if(l_suppkey % 10 = 9, '', n_name) as Region", "concat('r-', n_name) as RegionCode",
+        "concat('z', cast(l_suppkey % 3 as string)) as Zone", "'' as ZoneCode", "concat('acct-', cast(l_suppkey % 4 as string)) as OwnerID",
+        "'' as OwnerUserName", "'' as OwnerCustomerName", "concat('proj-', cast(l_partkey % 5 as string)) as Project",
+        "'' as ProjectDisplayName", "subscription as BillingMode", "'CNY' as Currency", "usage as Count", "'h' as Unit",
+        f"{money('payable_e4')} as PayableAmount", f"if(n % 97 = 0, 'n/a', {money('paid_e4')}) as PaidAmount",
+        f"{money('original_e4')} as OriginalBillAmount", "n as line_id", "updated_at")
