@@ -7,7 +7,7 @@ import tomllib
 from dataclasses import dataclass, field, replace
 from datetime import date, timedelta
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from telespark.functions.maths import change_pct, money_round
@@ -273,17 +273,16 @@ def spread(rows: DataFrame, alloc: Alloc, measures=("amount",)) -> DataFrame:
 def provider_days(detail: DataFrame) -> DataFrame:
     """Billed days per provider (0 for tables without days)."""
     return detail.groupBy("provider").agg(
-        F.count_distinct(F.when(F.col("has_days") & (F.col("bucket") != ""), F.col("bucket"))).alias("days"))
+        F.count_distinct(F.when(F.col("has_days") & (F.col("bucket") != ""), F.col("bucket"))).alias("days"),
+        F.min("has_days").alias("has_days"))
 
 
 def with_daily(detail: DataFrame) -> DataFrame:
     """Add ``daily``: each amount over its own provider's billed days; NULL everywhere
     as soon as one source has no days.  The day counts are one row per provider."""
-    days = provider_days(detail)
-    complete = detail.agg(F.min("has_days")).scalar()
-    return (detail.join(F.broadcast(days), "provider")
-            .withColumn("daily", F.when(complete, F.when(F.col("days") > 0, F.col("amount").cast("double") / F.col("days")).otherwise(0.0)))
-            .drop("days"))
+    days = provider_days(detail).select("provider", "days", F.min("has_days").over(Window.partitionBy()).alias("complete"))
+    per_day = F.when(F.col("days") > 0, F.col("amount").cast("double") / F.col("days")).otherwise(0.0)
+    return (detail.join(F.broadcast(days), "provider").withColumn("daily", F.when(F.col("complete"), per_day)).drop("days", "complete"))
 
 
 def window_scale(f: BillFilter, window_days: int | None) -> float:
@@ -454,45 +453,66 @@ def monthly_only(everything: list[BillSource]) -> list[str]:
     return sorted({s.provider for s in everything} - daily)
 
 
-def default_end(pd: DataFrame, today: date, mode: str) -> Column:
+def _billed_days(pd: DataFrame) -> DataFrame:
+    """All (day, provider) totals as one row: at most 92 days times the providers."""
+    cells = pd.groupBy("day", "provider").agg(F.sum("amount").alias("t"))
+    return cells.agg(F.collect_list(F.struct("day", "provider", "t")).alias("cells"))
+
+
+def _end_of(cells: Column, today: date, mode: str) -> Column:
     """Last day that every cloud has billed, today excluded; where that lies too far back
     for the comparison, the last day any cloud has."""
     width, back = COMPARE_MODES[mode]
-    lasts = last_billed_day(pd)
+    providers = F.array_distinct(F.transform(cells, lambda c: c["provider"]))
+    lasts = F.transform(providers, lambda p: F.array_max(F.transform(F.filter(cells, lambda c: c["provider"] == p), lambda c: c["day"])))
     yesterday = F.lit((today - timedelta(days=1)).isoformat())
-    aligned = F.least(lasts.agg(F.min("last_day")).scalar(), yesterday)
-    newest = F.least(lasts.agg(F.max("last_day")).scalar(), yesterday)
+    aligned, newest = F.least(F.array_min(lasts), yesterday), F.least(F.array_max(lasts), yesterday)
     reach = F.date_diff(F.lit(today), F.to_date(aligned)) + back + width
     return F.when(reach <= MAX_PRODUCT_DAYS, aligned).otherwise(newest)
 
 
+def default_end(pd: DataFrame, today: date, mode: str) -> DataFrame:
+    """The end day ``cost_compare`` uses when none is given, as one row ``end``."""
+    return _billed_days(pd).select(_end_of(F.col("cells"), today, mode).alias("end"))
+
+
 def cost_compare(pd: DataFrame, today: date, mode: str = "day", end: str | None = None) -> DataFrame:
     """Two equally long spans of days by product.  When the spans have different numbers
     of billed days the figures become per-day; ``pending`` marks clouds not billed up to
-    the end.  Largest change first."""
+    the end.  Largest change first.
+
+    What the spans look like is one small struct, computed once and used as a scalar."""
     if mode not in COMPARE_MODES:
         raise ValueError(f"mode must be one of {', '.join(COMPARE_MODES)}, not {mode!r}")
     width, back = COMPARE_MODES[mode]
-    # the end day is one value; computing it per row keeps the plan lazy
-    at = F.to_date(F.lit(end)) if end is not None else F.to_date(default_end(pd, today, mode))
-    ago = F.date_diff(at, F.to_date("day"))
-    placed = pd.withColumn("ago", ago).withColumn("end", F.date_format(at, "yyyy-MM-dd"))
-    cur, prev = F.col("ago").between(0, width - 1), F.col("ago").between(back, back + width - 1)
-    per_day = placed.where(cur | prev).groupBy("day", "ago").agg(F.sum("amount").alias("t")).where("t <> 0")
-    days = per_day.agg(F.count_if(cur).alias("c"), F.count_if(prev).alias("p"))
-    c, p = days.select("c").scalar(), days.select("p").scalar()
+    cells = F.col("cells")
+    at = F.lit(end) if end is not None else _end_of(cells, today, mode)
+
+    def billed(first: int) -> Column:
+        days = F.array_distinct(F.transform(cells, lambda c: c["day"]))
+        inside = F.filter(days, lambda d: F.date_diff(F.to_date("end"), F.to_date(d)).between(first, first + width - 1))
+        total = lambda d: F.aggregate(F.filter(cells, lambda c: c["day"] == d), F.lit(0.0), lambda a, c: a + c["t"])
+        return F.size(F.filter(inside, lambda d: total(d) != 0))
+
+    shape = (_billed_days(pd).withColumn("end", at)
+             .select(F.struct("end", billed(0).alias("c"), billed(back).alias("p")).alias("s")))
+    placed = pd.withColumn("s", shape.scalar())
+    ago = F.date_diff(F.to_date("s.end"), F.to_date("day"))
+    # the spans are the same for every row, so they are part of the grouping key
+    per = placed.withColumn("ago", ago).groupBy("provider", "product", "s").agg(
+        F.coalesce(F.sum(F.when(F.col("ago").between(0, width - 1), F.col("amount"))), F.lit(0.0)).alias("cur"),
+        F.coalesce(F.sum(F.when(F.col("ago").between(back, back + width - 1), F.col("amount"))), F.lit(0.0)).alias("prev"),
+        F.max("day").alias("last"))
+    last = F.max("last").over(Window.partitionBy("provider"))       # over one row per product
+    c, p = F.col("s.c"), F.col("s.p")
     daily = F.lit(width > 1) & (c > 0) & (p > 0) & (c != p)
-    per = placed.groupBy("provider", "product", "end").agg(
-        F.coalesce(F.sum(F.when(cur, F.col("amount"))), F.lit(0.0)).alias("cur"),
-        F.coalesce(F.sum(F.when(prev, F.col("amount"))), F.lit(0.0)).alias("prev"), )
-    last = last_billed_day(pd)
-    sums = per.withColumns({"basis": F.when(daily, "daily").otherwise("total"), "cd": c, "pd": p})
-    scaled = sums.withColumns({"cur": F.when(F.col("basis") == "daily", F.col("cur") / F.col("cd")).otherwise(F.col("cur")),
-                               "prev": F.when(F.col("basis") == "daily", F.col("prev") / F.col("pd")).otherwise(F.col("prev"))})
-    out = scaled.where("cur <> 0 or prev <> 0").join(F.broadcast(last), "provider")
-    return out.select("provider", "product", F.round("cur", 2).alias("current"), F.round("prev", 2).alias("previous"),
-                      F.round(F.col("cur") - F.col("prev"), 2).alias("delta"), change_pct(F.col("cur"), F.col("prev")).alias("change_pct"),
-                      "basis", "end", (F.col("last_day") < F.col("end")).alias("pending")).orderBy(F.desc(F.abs("delta")), "provider", "product")
+    sums = per.withColumns({"basis": F.when(daily, "daily").otherwise("total"), "pending": last < F.col("s.end")})
+    sums = sums.withColumns({"cur": F.when(F.col("basis") == "daily", F.col("cur") / c).otherwise(F.col("cur")),
+                             "prev": F.when(F.col("basis") == "daily", F.col("prev") / p).otherwise(F.col("prev"))})
+    return sums.where("cur <> 0 or prev <> 0").select(
+        "provider", "product", F.round("cur", 2).alias("current"), F.round("prev", 2).alias("previous"),
+        F.round(F.col("cur") - F.col("prev"), 2).alias("delta"), change_pct(F.col("cur"), F.col("prev")).alias("change_pct"),
+        "basis", F.col("s.end").alias("end"), "pending").orderBy(F.desc(F.abs("delta")), "provider", "product")
 
 
 def product_trend(pd: DataFrame, mode: str, end: str) -> DataFrame:

@@ -173,8 +173,9 @@ def dedupe_bills(src: BillSource, rows: DataFrame, cols: dict[str, Column]) -> D
 
     ``group``: copies equal in key and all amounts become one; then per key only lines
     within a minute of its newest sync stay, so parallel lines of one sync survive and
-    corrected ones replace their predecessors.  Copies collapse before the shuffle, and
-    the newest time per key is joined back, so a key of any size can be split.
+    corrected ones replace their predecessors.  Copies collapse before the shuffle.  The
+    newest time per key comes from a second scan that reads the key and the time only;
+    joining it (rather than a window per key) lets a key of any size be split.
     ``final``: the newest line per key.  ``off``: everything."""
     named = [c.alias(n) for n, c in cols.items()]
     if src.mode == "off":
@@ -199,7 +200,8 @@ def dedupe_bills(src: BillSource, rows: DataFrame, cols: dict[str, Column]) -> D
         *carried, *([F.max("__v").alias("__v")] if versioned else []))
     if not versioned:
         return grouped.select(*cols)
-    newest = grouped.groupBy(*[F.col(k).alias("n" + k) for k in keys]).agg(F.max("__v").alias("__newest"))
+    newest = (rows.select(*key_cols, *version).groupBy(*[F.col(k).alias("n" + k) for k in keys])
+              .agg(F.max("__v").alias("__newest")))
     same = None
     for k in keys:
         c = F.col(k).eqNullSafe(F.col("n" + k))

@@ -17,27 +17,28 @@ ALL = B.BillFilter(FIRST, LAST)
 TODAY = date(2026, 6, 20)
 
 
-def _tables(spark, sf_dir):
-    return BillTables({
-        "volcengine": BillTable(views.volcengine_bill(spark, sf_dir), ["ExpenseDate", "line_id"]),
-        "alicloud_monthly": BillTable(views.alicloud_bill(spark, sf_dir, daily=False), ["billing_cycle", "line_id"]),
-        "alicloud_daily": BillTable(views.alicloud_bill(spark, sf_dir), ["billing_date", "line_id"])})
+def _tables(spark, sf_dir, *kinds):
+    make = {
+        "volcengine": lambda: BillTable(views.volcengine_bill(spark, sf_dir), ["ExpenseDate", "line_id"]),
+        "alicloud_monthly": lambda: BillTable(views.alicloud_bill(spark, sf_dir, daily=False), ["billing_cycle", "line_id"]),
+        "alicloud_daily": lambda: BillTable(views.alicloud_bill(spark, sf_dir), ["billing_date", "line_id"])}
+    return BillTables({k: make[k]() for k in kinds or make})
 
 
 def _monthly(spark, sf_dir, **kw):
-    return B.pick_sources(_tables(spark, sf_dir), **kw)
+    return B.pick_sources(_tables(spark, sf_dir, "volcengine", "alicloud_monthly"), **kw)
 
 
 def _daily(spark, sf_dir, **kw):
-    return B.pick_sources(_tables(spark, sf_dir), by_day=True, **kw)
+    return B.pick_sources(_tables(spark, sf_dir, "volcengine", "alicloud_daily"), by_day=True, **kw)
 
 
 def _ali(spark, sf_dir):
-    return _daily(spark, sf_dir, providers=("alicloud",))[0]
+    return B.pick_sources(_tables(spark, sf_dir, "alicloud_daily"), by_day=True)[0]
 
 
 def _volc(spark, sf_dir, **kw):
-    return _daily(spark, sf_dir, providers=("volcengine",), **kw)[0]
+    return B.pick_sources(_tables(spark, sf_dir, "volcengine"), by_day=True, **kw)[0]
 
 
 # volcengine lines have days in either reading
@@ -187,8 +188,8 @@ def bill_facets(spark, sf_dir):
 with d as (select sum(payable_e4) as v from bill_d where provider = 'alicloud'), m as (select sum(payable_e4) as v from bill_m where provider = 'alicloud')
 select d.v / 10000.0::double as daily, m.v / 10000.0::double as monthly, d.v < m.v * 0.95 as incomplete from d, m""")
 def bill_coverage(spark, sf_dir):
-    t = _tables(spark, sf_dir)
-    return B.coverage_check(B.pick_sources(t, ("alicloud",), True)[0], B.pick_sources(t, ("alicloud",))[0], ALL)
+    t = _tables(spark, sf_dir, "alicloud_monthly", "alicloud_daily")
+    return B.coverage_check(B.pick_sources(t, by_day=True)[0], B.pick_sources(t)[0], ALL)
 
 
 @query("bill_coverage_gap", """
@@ -196,9 +197,9 @@ with d as (select sum(payable_e4) as v from bill_d where provider = 'alicloud' a
  m as (select sum(payable_e4) as v from bill_m where provider = 'alicloud')
 select d.v / 10000.0::double as daily, m.v / 10000.0::double as monthly, d.v < m.v * 0.95 as incomplete from d, m""")
 def bill_coverage_gap(spark, sf_dir):
-    t = _tables(spark, sf_dir)
+    t = _tables(spark, sf_dir, "alicloud_monthly", "alicloud_daily")
     f = B.BillFilter(FIRST, LAST, days=("2024-01-01", "2025-06-30"))       # days do not narrow the monthly table
-    return B.coverage_check(B.pick_sources(t, ("alicloud",), True)[0], B.pick_sources(t, ("alicloud",))[0], f)
+    return B.coverage_check(B.pick_sources(t, by_day=True)[0], B.pick_sources(t)[0], f)
 
 
 # --- allocation -------------------------------------------------------------------------------
@@ -245,8 +246,9 @@ select provider, {RULE} as rule, product, day as bucket, period, sum(payable_e4)
 where not (provider = 'alicloud' and subscription = 'Subscription') group by all"""
 sqlviews.VIEWS["apre"] = f"""
 select provider, rule, product, strftime(cast(period || '-01' as date) + to_months(cast(k as int)), '%Y-%m') as period, sum(amount / months) as amount
-from (select provider, {RULE} as rule, product, period, months, sum(payable_e4) / 10000.0::double as amount, unnest(range(months)) as k
-      from bill_m where provider = 'alicloud' and subscription = 'Subscription' group by all)
+from (select *, unnest(range(months)) as k from (
+      select provider, {RULE} as rule, product, period, months, sum(payable_e4) / 10000.0::double as amount
+      from bill_m where provider = 'alicloud' and subscription = 'Subscription' group by all))
 where strftime(cast(period || '-01' as date) + to_months(cast(k as int)), '%Y-%m') between '{FIRST}' and '2027-06' group by all"""
 sqlviews.VIEWS["aday"] = "select provider, count(distinct bucket) as days from adetail group by 1"
 sqlviews.VIEWS["amoney"] = f"""
@@ -254,13 +256,13 @@ select provider, rule, product, amount, amount / days as daily, false as prepaid
 union all select provider, rule, product, amount, null, true from apre where period <= '{LAST}'"""
 
 
-def _cents(name: str) -> str:
-    return f"floor(round({name}, 4) * 100 + 0.123456)"
+def _units(name: str) -> str:
+    return f"floor(round({name}, 4) + 0.123456)"
 
 
-def _in_cents(df, *cols):
-    """Whole cents with an off-grid threshold, so that sums in another order agree."""
-    return df.withColumns({c: F.floor(F.round(c, 4) * 100 + 0.123456) for c in cols})
+def _in_units(df, *cols):
+    """Whole units with an off-grid threshold, so that sums in another order agree."""
+    return df.withColumns({c: F.floor(F.round(c, 4) + 0.123456) for c in cols})
 
 
 def _detail(spark, sf_dir, alloc=ALLOC, **kw):
@@ -292,49 +294,49 @@ def alloc_by_period(spark, sf_dir):
     return A.alloc_by_period(_detail(spark, sf_dir))
 
 
-@query("alloc_prepaid", f"select provider, rule, product, period, {_cents('amount')} as amount from apre")
+@query("alloc_prepaid", f"select provider, rule, product, period, {_units('amount')} as amount from apre")
 def alloc_prepaid(spark, sf_dir):
-    return _in_cents(_prepaid(spark, sf_dir), "amount")
+    return _in_units(_prepaid(spark, sf_dir), "amount")
 
 
 @query("alloc_lines", f"""
-select line, {_cents('sum(amount * part)')} as amount, {_cents('sum(amount * part) filter (not prepaid)')} as postpaid,
-  {_cents('coalesce(sum(amount * part) filter (prepaid), 0)')} as amortized, {_cents('sum(daily * part)')} as daily,
+select line, {_units('sum(amount * part)')} as amount, {_units('sum(amount * part) filter (not prepaid)')} as postpaid,
+  {_units('coalesce(sum(amount * part) filter (prepaid), 0)')} as amortized, {_units('sum(daily * part)')} as daily,
   round(sum(amount * part) / (select sum(amount) from amoney), 9) as share from amoney join shares using (rule) group by 1""")
 def alloc_lines(spark, sf_dir):
     out = A.allocate_costs(_detail(spark, sf_dir), _prepaid(spark, sf_dir), ALL, ALLOC)
-    return _in_cents(out, "amount", "postpaid", "amortized", "daily").withColumn("share", F.round("share", 9))
+    return _in_units(out, "amount", "postpaid", "amortized", "daily").withColumn("share", F.round("share", 9))
 
 
 @query("alloc_items", f"""
-select line, product, rule_name, prepaid, {_cents('sum(amount * part)')} as amount, {_cents('sum(daily * part)')} as daily
+select line, product, rule_name, prepaid, {_units('sum(amount * part)')} as amount, {_units('sum(daily * part)')} as daily
 from amoney join shares using (rule) group by 1, 2, 3, 4""")
 def alloc_items(spark, sf_dir):
     out = A.alloc_items(_detail(spark, sf_dir), _prepaid(spark, sf_dir), ALL, ALLOC)
-    return _in_cents(out, "amount", "daily").drop("share")
+    return _in_units(out, "amount", "daily").drop("share")
 
 
 @query("alloc_products", f"""
-select product, prepaid, {_cents('sum(amount)')} as amount, {_cents('sum(daily)')} as daily, {_cents('coalesce(sum(amount) filter (rule = -1), 0)')} as unmatched
+select product, prepaid, {_units('sum(amount)')} as amount, {_units('sum(daily)')} as daily, {_units('coalesce(sum(amount) filter (rule = -1), 0)')} as unmatched
 from amoney group by 1, 2""")
 def alloc_products(spark, sf_dir):
-    return _in_cents(A.alloc_products(_detail(spark, sf_dir), _prepaid(spark, sf_dir), ALL), "amount", "daily", "unmatched")
+    return _in_units(A.alloc_products(_detail(spark, sf_dir), _prepaid(spark, sf_dir), ALL), "amount", "daily", "unmatched")
 
 
-@query("alloc_points", f"select bucket, line, {_cents('sum(amount * part)')} as amount from adetail join shares using (rule) group by 1, 2")
+@query("alloc_points", f"select bucket, line, {_units('sum(amount * part)')} as amount from adetail join shares using (rule) group by 1, 2")
 def alloc_points(spark, sf_dir):
-    return _in_cents(A.alloc_points(_detail(spark, sf_dir), ALLOC), "amount")
+    return _in_units(A.alloc_points(_detail(spark, sf_dir), ALLOC), "amount")
 
 
-@query("alloc_unmatched_loose", f"select case when line = 'shared' then null else line end as line, {_cents('sum(amount * part)')} as amount from adetail join shares using (rule) group by 1")
+@query("alloc_unmatched_loose", f"select case when line = 'shared' then null else line end as line, {_units('sum(amount * part)')} as amount from adetail join shares using (rule) group by 1")
 def alloc_unmatched_loose(spark, sf_dir):
     rows = A.spread(_detail(spark, sf_dir, LOOSE), LOOSE).groupBy("line").agg(F.sum("amount").alias("amount"))
-    return _in_cents(rows, "amount")
+    return _in_units(rows, "amount")
 
 
-@query("alloc_daily_average", f"select {_cents('sum(amount / days)')} as daily from adetail join aday using (provider)")
+@query("alloc_daily_average", f"select {_units('sum(amount / days)')} as daily from adetail join aday using (provider)")
 def alloc_daily_average(spark, sf_dir):
-    return _in_cents(A.daily_average(_detail(spark, sf_dir)), "daily")
+    return _in_units(A.daily_average(_detail(spark, sf_dir)), "daily")
 
 
 WINDOWED = f"""
@@ -347,10 +349,10 @@ m as (select provider, rule, product, amount, amount / days as daily, false as p
 
 @query("alloc_lines_last_days", WINDOWED.replace("b.provider, case when provider", "b.provider, case when b.provider").replace(
     "when provider", "when b.provider").replace("case when provider", "case when b.provider") + f"""
-select line, {_cents('sum(amount * part)')} as amount, {_cents('sum(daily * part)')} as daily from m join shares using (rule) group by 1""")
+select line, {_units('sum(amount * part)')} as amount, {_units('sum(daily * part)')} as daily from m join shares using (rule) group by 1""")
 def alloc_lines_last_days(spark, sf_dir):
     out = A.allocate_costs(_detail(spark, sf_dir, window_days=30), _prepaid(spark, sf_dir), ALL, ALLOC, 30)
-    return _in_cents(out, "amount", "daily").select("line", "amount", "daily")
+    return _in_units(out, "amount", "daily").select("line", "amount", "daily")
 
 
 @query("alloc_monthly_estimate", f"""
@@ -372,39 +374,39 @@ def _months(spark, sf_dir):
     return A.alloc_monthly(_detail(spark, sf_dir), _prepaid(spark, sf_dir), ALL, ALLOC)
 
 
-@query("alloc_monthly", f"select provider, kind, line, period, {_cents('amount')} as amount from amonth")
+@query("alloc_monthly", f"select provider, kind, line, period, {_units('amount')} as amount from amonth")
 def alloc_monthly(spark, sf_dir):
-    return _in_cents(_months(spark, sf_dir), "amount")
+    return _in_units(_months(spark, sf_dir), "amount")
 
 
 @query("alloc_section", f"""
-select line, {', '.join(f"{_cents(f'''coalesce(sum(amount) filter (period = '{p}'), 0)''')} as \"{p}\"" for p in ('2024-01', '2025-06', '2026-06'))},
+select line, {', '.join(f"{_units(f'''coalesce(sum(amount) filter (period = '{p}'), 0)''')} as \"{p}\"" for p in ('2024-01', '2025-06', '2026-06'))},
   floor(sum(amount) / 10) as subtotal, round(sum(amount) / (select sum(amount) from amonth where provider = 'alicloud' and kind = 'prepaid'), 9) as share
 from amonth where provider = 'alicloud' and kind = 'prepaid' group by 1""")
 def alloc_section(spark, sf_dir):
     out = A.alloc_section(_months(spark, sf_dir), ALL, "alicloud", "prepaid")
     shown = ("2024-01", "2025-06", "2026-06")
-    return out.select("line", *[F.floor(F.round(F.col(f"`{p}`"), 4) * 100 + 0.123456).alias(p) for p in shown],
+    return out.select("line", *[F.floor(F.round(F.col(f"`{p}`"), 4) + 0.123456).alias(p) for p in shown],
                       F.floor(F.col("subtotal") / 10).alias("subtotal"), F.round("share", 9).alias("share"))
 
 
 @query("alloc_summary", f"""
-select period, provider, kind, 'plain' as tone, {_cents('sum(amount)')} as amount from amonth group by 1, 2, 3
-union all select period, provider, null, 'sub', {_cents('sum(amount)')} from amonth group by 1, 2
-union all select period, null, null, 'total', {_cents('sum(amount)')} from amonth group by 1""")
+select period, provider, kind, 'plain' as tone, {_units('sum(amount)')} as amount from amonth group by 1, 2, 3
+union all select period, provider, null, 'sub', {_units('sum(amount)')} from amonth group by 1, 2
+union all select period, null, null, 'total', {_units('sum(amount)')} from amonth group by 1""")
 def alloc_summary(spark, sf_dir):
-    return _in_cents(A.alloc_summary(_months(spark, sf_dir)), "amount")
+    return _in_units(A.alloc_summary(_months(spark, sf_dir)), "amount")
 
 
 DAY = "2025-03-01"
 
 
 @query("alloc_day", f"""
-select * from (select line, provider, product, rule_name, {_cents(f"coalesce(sum(amount * part) filter (bucket = '{DAY}'), 0)")} as current,
-  {_cents("coalesce(sum(amount * part) filter (bucket = '2025-02-28'), 0)")} as previous
+select * from (select line, provider, product, rule_name, {_units(f"coalesce(sum(amount * part) filter (bucket = '{DAY}'), 0)")} as current,
+  {_units("coalesce(sum(amount * part) filter (bucket = '2025-02-28'), 0)")} as previous
 from adetail join shares using (rule) where bucket in ('{DAY}', '2025-02-28') group by 1, 2, 3, 4)""")
 def alloc_day(spark, sf_dir):
-    return _in_cents(A.allocation_day(_daily(spark, sf_dir), DAY, ALLOC), "current", "previous")
+    return _in_units(A.allocation_day(_daily(spark, sf_dir), DAY, ALLOC), "current", "previous")
 
 
 # --- day matrices and comparisons -------------------------------------------------------------------
@@ -450,7 +452,7 @@ s as (select x.provider, product, ed, coalesce(sum(amount) filter (ago between 0
   coalesce(sum(amount) filter (ago between {back} and {back + width - 1}), 0) as p0 from x group by all),
 z as (select s.*, case when {width} > 1 and d.c > 0 and d.p > 0 and d.c <> d.p then 'daily' else 'total' end as basis, d.c as dc, d.p as dp from s, d),
 y as (select *, case basis when 'daily' then c0 / dc else c0 end as cur, case basis when 'daily' then p0 / dp else p0 end as prev from z)
-select provider, product, {_cents('cur')} as current, {_cents('prev')} as previous, basis, ed as "end",
+select provider, product, {_units('cur')} as current, {_units('prev')} as previous, basis, ed as "end",
   (select max(day) from pdays q where q.provider = y.provider) < ed as pending from y where cur <> 0 or prev <> 0"""
 
 
@@ -459,17 +461,17 @@ def _shown(df):
     return df.drop("delta", "change_pct")
 
 
-@query("cost_compare_day", _compare(1, 1).replace(_cents('cur'), "round(cur, 2)").replace(_cents('prev'), "round(prev, 2)"))
+@query("cost_compare_day", _compare(1, 1).replace(_units('cur'), "round(cur, 2)").replace(_units('prev'), "round(prev, 2)"))
 def cost_compare_day(spark, sf_dir):
     return _shown(A.cost_compare(_pdays(spark, sf_dir), TODAY, "day"))
 
 
-@query("cost_compare_week", _compare(1, 7).replace(_cents('cur'), "round(cur, 2)").replace(_cents('prev'), "round(prev, 2)"))
+@query("cost_compare_week", _compare(1, 7).replace(_units('cur'), "round(cur, 2)").replace(_units('prev'), "round(prev, 2)"))
 def cost_compare_week(spark, sf_dir):
     return _shown(A.cost_compare(_pdays(spark, sf_dir), TODAY, "week"))
 
 
-@query("cost_compare_30d", _compare(30, 30).replace(_cents('cur'), "floor(cur + 0.123)").replace(_cents('prev'), "floor(prev + 0.123)"))
+@query("cost_compare_30d", _compare(30, 30).replace(_units('cur'), "floor(cur + 0.123)").replace(_units('prev'), "floor(prev + 0.123)"))
 def cost_compare_30d(spark, sf_dir):
     out = _shown(A.cost_compare(_pdays(spark, sf_dir), TODAY, "30d"))
     return out.withColumns({c: F.floor(F.col(c) + 0.123) for c in ("current", "previous")})

@@ -8,6 +8,7 @@ from telespark.functions.timeaxis import TimeRange
 from telespark.operators import logs as L
 from telespark.plans import views
 from telespark.plans.registry import query
+from telespark.streaming.tail import prime, tail_logs
 
 MONTH = TimeRange(views.BASE, views.BASE + 31 * 86_400_000)
 PARIS_ORIGIN = views.BASE - 3_600_000      # local midnight of the range start, Europe/Paris
@@ -153,9 +154,9 @@ select * from (select 'before' as side, ts_ms, trace_id, level from app_log wher
    and ts_ms <= $AT and ts_ms >= $AT - 3600000 order by ts_us desc, level desc, trace_id desc limit 5)
 union all
 select * from (select 'after', ts_ms, trace_id, level from app_log where host = 'host-3' and file = '/var/log/app-1.log'
-   and ts_ms > $AT and ts_ms < $AT + 3600000 order by ts_us, level, trace_id limit 5)""", AT=views.BASE + 864_000_000)
+   and ts_ms > $AT and ts_ms < $AT + 3600000 order by ts_us, level, trace_id limit 5)""", AT=1_706_338_560_771)
 def log_context(spark, sf_dir):
-    rows = L.log_context(_logs(spark, sf_dir), "host-3", "/var/log/app-1.log", views.BASE + 864_000_000, n=5)
+    rows = L.log_context(_logs(spark, sf_dir), "host-3", "/var/log/app-1.log", 1_706_338_560_771, n=5)
     return rows.select("side", "ts_ms", "trace_id", "level")
 
 
@@ -215,3 +216,20 @@ def export_formula_guard(spark, sf_dir):
     from telespark.sources.export import guard_formula_cells
     docs = views.table(spark, sf_dir, "documents")
     return guard_formula_cells(docs.select("doc_id", "text", F.expr("substr(text, 2)").alias("rest"), (-F.col("doc_id")).alias("negative")))
+
+
+@query("log_tail_once_each", f"""
+select count(*) as lines, count(distinct trace_id) as traces, min(ts_ms) as first_ms, max(ts_ms) as last_ms from (
+  select distinct ts_us, ts_ms, host, file, thread, logger, message, trace_id from app_log where ts_ms >= $FROM - 60000 and level in ('ERROR', 'WARN'))""",
+       FROM=views.BASE + 432_000_000)
+def log_tail_once_each(spark, sf_dir):
+    logs = _logs(spark, sf_dir)
+    twice = logs.unionByName(logs.where("level = 'ERROR'"))            # lines delivered again
+    rows = tail_logs(twice, L.LogFilter(MONTH, levels=("ERROR", "WARN")), cursor_ms=views.BASE + 432_000_000)
+    ms = F.unix_millis("timestamp")
+    return rows.agg(F.count("*").alias("lines"), F.count_distinct("trace_id").alias("traces"), F.min(ms).alias("first_ms"), F.max(ms).alias("last_ms"))
+
+
+@query("log_tail_first_screen", f"select ts_ms, trace_id, level from app_log where {RANGE} order by ts_us desc, level desc, trace_id desc limit 200")
+def log_tail_first_screen(spark, sf_dir):
+    return prime(_logs(spark, sf_dir), L.LogFilter(MONTH)).select("ts_ms", "trace_id", "level")

@@ -14,7 +14,8 @@ def build_session(cores: str = "*", partitions: int = 8, app: str = "telespark",
          .config("spark.sql.adaptive.enabled", "true")
          .config("spark.ui.enabled", "false")
          .config("spark.driver.memory", "12g")
-         .config("spark.sql.execution.arrow.pyspark.enabled", "true"))
+         .config("spark.sql.execution.arrow.pyspark.enabled", "true")
+         .config("spark.python.sql.dataFrameDebugging.enabled", "false"))
     for k, v in conf.items():
         b = b.config(k, v)
     spark = b.getOrCreate()

@@ -7,12 +7,21 @@ scales with its input and needs no window over hot keys.
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql.types import StructType
 
 BASE = 1_704_067_200_000        # 2024-01-01T00:00:00Z
 
 
+_SCHEMAS: dict[str, StructType] = {}
+
+
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
-    return spark.read.parquet(f"{sf_dir}/{name}.parquet")
+    """One input table.  Its schema is read from the files once per process, so queries
+    that use a table several times start no schema job each time."""
+    path = f"{sf_dir}/{name}.parquet"
+    if path not in _SCHEMAS:
+        _SCHEMAS[path] = spark.read.parquet(path).schema
+    return spark.read.schema(_SCHEMAS[path]).parquet(path)
 
 
 def spans(spark: SparkSession, sf_dir: str) -> DataFrame:
