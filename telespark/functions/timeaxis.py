@@ -11,7 +11,7 @@ from dataclasses import dataclass
 from datetime import datetime, timedelta, timezone
 from zoneinfo import ZoneInfo
 
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 SECOND, MINUTE, HOUR, DAY = 1_000, 60_000, 3_600_000, 86_400_000
@@ -133,18 +133,18 @@ class Bucket:
     def shifted(self, ms: int) -> "Bucket":
         return Bucket(self.width_ms, self.origin_ms + ms)
 
-    def axis(self, spark: SparkSession, rng: TimeRange) -> DataFrame:
-        """One row ``bucket`` per bucket of the range (bounded by the ladder)."""
-        return spark.range(self.first(rng), self.last(rng) + 1).withColumnRenamed("id", "bucket")
+    def every(self, rng: TimeRange) -> Column:
+        """Array of all bucket numbers of the range (bounded by the ladder)."""
+        return F.sequence(F.lit(self.first(rng)).cast("bigint"), F.lit(self.last(rng)).cast("bigint"))
 
 
-def dense(axis: DataFrame, keys: DataFrame | None, values: DataFrame, key_cols: list[str],
-          zero: list[str] = ()) -> DataFrame:
-    """Every (bucket, key) cell: ``zero`` columns become 0 where nothing was seen,
-    others stay NULL.  ``axis`` is bounded by the bucket limit, ``keys`` by the
-    result, so the grid is a small broadcast times the key set."""
-    grid = axis if keys is None else keys.join(F.broadcast(axis))
-    out = grid.join(values, ["bucket", *key_cols], "left")
+def dense(bucket: Bucket, rng: TimeRange, values: DataFrame, keys: DataFrame | None = None, zero=()) -> DataFrame:
+    """Every (bucket, key) cell: ``zero`` columns become 0 where nothing was seen, others
+    stay NULL.  Each key row is unfolded into its buckets, so there is no cross join."""
+    if keys is None:
+        keys = values.sparkSession.range(1).select()
+    grid = keys.select("*", F.explode(bucket.every(rng)).alias("bucket"))
+    out = grid.join(values, ["bucket", *keys.columns], "left")
     return out.withColumns({c: F.coalesce(F.col(c), F.lit(0)) for c in zero}) if zero else out
 
 

@@ -270,8 +270,7 @@ def cost_summary(lines: DataFrame, f: BillFilter) -> DataFrame:
     """``period, volcengine, alicloud, total`` for every period of the range."""
     per = lines.groupBy("period").agg(*[F.sum(F.when(F.col("provider") == p, F.col("amount"))).alias(p) for p in AMOUNTS],
                                       F.sum("amount").alias("total"))
-    axis = F.broadcast(_periods_frame(lines.sparkSession, f))
-    out = per.join(axis, "period", "right")
+    out = _periods_frame(lines.sparkSession, f).join(per, "period", "left")
     return out.select("period", *[_money(F.coalesce(F.col(c), F.lit(0).cast(MONEY))).alias(c) for c in (*AMOUNTS, "total")])
 
 

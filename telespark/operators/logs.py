@@ -133,7 +133,7 @@ def log_histogram(df: DataFrame, f: LogFilter, tz: str = "UTC", max_buckets: int
     b = Bucket.choose(f.range, tz, max_buckets)
     counts = f.apply(df).groupBy(b.index().alias("bucket"), "level").agg(F.count("*").alias("count"))
     levels = counts.select("level").distinct()
-    return (dense(b.axis(df.sparkSession, f.range), levels, counts, ["level"], zero=["count"])
+    return (dense(b, f.range, counts, levels, zero=["count"])
             .select(b.start(F.col("bucket")).alias("t_ms"), "level", level_rank(F.col("level")).alias("level_rank"), "count"))
 
 

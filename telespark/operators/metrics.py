@@ -358,6 +358,6 @@ def exemplars(df: DataFrame, f: MetricFilter, limit: int = 100) -> DataFrame:
             .orderBy(F.desc("value"), F.desc("t_ms"), "trace_id").limit(limit))
 
 
-def counter_points(points: DataFrame, rng: TimeRange, bucket: Bucket, keys: DataFrame) -> DataFrame:
+def chart_cells(points: DataFrame, rng: TimeRange, bucket: Bucket) -> DataFrame:
     """Long form of a chart: every (bucket, key set) cell, NULL where nothing was seen."""
-    return dense(bucket.axis(points.sparkSession, rng), keys, points, ["keys"])
+    return dense(bucket, rng, points, points.select("keys").distinct())

@@ -211,7 +211,7 @@ def service_timeseries(df: DataFrame, rng: TimeRange, service: str, span_name: s
     points = g.groupBy((F.col("slot") + first).alias("bucket")).agg(
         *[_side(0, F.col(c)).alias(c) for c in ("requests", "errors", "q")],
         *[_side(1, F.col(c)).alias(f"prev_{c}") for c in ("requests", "errors", "q")])
-    grid = dense(bucket.axis(df.sparkSession, rng), None, points, [], zero=["requests", "errors"])
+    grid = dense(bucket, rng, points, zero=["requests", "errors"])
     return grid.select(
         bucket.start(F.col("bucket")).alias("t_ms"), "requests", "errors",
         *[F.coalesce(ms(F.col("q")[i]), F.lit(0.0)).alias(f"p{p}_ms") for i, p in enumerate((50, 95, 99))],

@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from telespark.functions.attrs import AttrFilter, attr, attr_names, first_attr, flatten_attributes, value_in
 from telespark.functions.keywords import contains_ci
+from telespark.functions.ordered import row_position
 from telespark.functions.timeaxis import DAY, HOUR, MINUTE, SPAN_BUCKETS, Bucket, TimeRange, millis
 from telespark.sources.schema import SPAN_COLUMNS, check_dimension
 
@@ -325,8 +326,11 @@ def clip_traces(df: DataFrame, windows: DataFrame, cap: int = MAX_TRACE_SPANS) -
     inside = (df.select(*cols).join(windows, "trace_id")
                 .where((F.col("before_ms") == EVER) | ((off >= -F.col("before_ms")) & (off < F.col("after_ms")))))
     one = dedupe_spans(inside)
-    w = Window.partitionBy("trace_id").orderBy("timestamp", "span_id")
-    return one.withColumn("rk", F.row_number().over(w)).where(F.col("rk") <= cap).drop("rk")
+    overflow = F.col("truncated") & ~F.col("narrowed")
+    # only overflowing traces are counted off, in one-second chunks: they are the big ones
+    cut = row_position(one.where(overflow).withColumn("chunk", F.floor(millis() / 1000)), ["trace_id"],
+                       ["timestamp", "span_id"], "chunk", "place").where(F.col("place") <= cap).drop("chunk", "place")
+    return one.where(~overflow).unionByName(cut)
 
 
 def pin_spans(shown: DataFrame, df: DataFrame, pins: DataFrame) -> DataFrame:

@@ -28,11 +28,11 @@ def _parents(spans: DataFrame) -> DataFrame:
 
 
 def resolve_roots(edges: DataFrame) -> DataFrame:
-    """``trace_id, span_id, top, depth, cyclic`` from ``trace_id, span_id, parent``.
+    """``trace_id, span_id, parent, top, depth, cyclic`` from ``trace_id, span_id, parent``.
 
     Spans on or under a cycle never reach a root: they keep ``depth`` 0 and no top."""
     use_checkpoints(edges.sparkSession)
-    state = edges.select("trace_id", "span_id", F.coalesce("parent", "span_id").alias("top"),
+    state = edges.select("trace_id", "span_id", "parent", F.coalesce("parent", "span_id").alias("top"),
                          F.when(F.col("parent").isNull(), 0).otherwise(1).alias("depth"),
                          F.col("parent").isNotNull().alias("pending")).checkpoint()
     left = state.where("pending").count()
@@ -40,34 +40,36 @@ def resolve_roots(edges: DataFrame) -> DataFrame:
         there = state.select("trace_id", F.col("span_id").alias("top"), F.col("top").alias("up"),
                              F.col("depth").alias("more"), F.col("pending").alias("far"))
         moved = (state.where("pending").join(there, ["trace_id", "top"])
-                 .select("trace_id", "span_id", F.col("up").alias("top"), (F.col("depth") + F.col("more")).alias("depth"),
-                         F.col("far").alias("pending")))
+                 .select("trace_id", "span_id", "parent", F.col("up").alias("top"),
+                         (F.col("depth") + F.col("more")).alias("depth"), F.col("far").alias("pending")))
         state = state.where("not pending").unionByName(moved).checkpoint()
         now = state.where("pending").count()
         if now == left:          # no progress: only cycles are left
             break
         left = now
-    return state.select("trace_id", "span_id", F.when(~F.col("pending"), F.col("top")).alias("top"),
+    return state.select("trace_id", "span_id", "parent", F.when(~F.col("pending"), F.col("top")).alias("top"),
                         F.when(F.col("pending"), 0).otherwise(F.col("depth")).alias("depth"), F.col("pending").alias("cyclic"))
 
 
 def span_tree(spans: DataFrame) -> DataFrame:
     """Add ``depth, is_root, orphan, root_missing, pos_in_set, set_size`` to unique spans.
 
-    Siblings are ordered by start; positions are computed over one-second chunks, so
-    a parent with most of the spans below it is not one task."""
-    edges = _parents(spans)
-    placed = resolve_roots(edges)
-    flat = (spans.join(edges, ["trace_id", "span_id"]).join(placed, ["trace_id", "span_id"])
+    The shape is worked out on ids and start times alone, written once, and joined back
+    to the spans at the end.  Siblings are ordered by start; positions are computed over
+    one-second chunks, so a parent with most of the spans below it is not one task."""
+    use_checkpoints(spans.sparkSession)
+    slim = spans.select("trace_id", "span_id", "parent_span_id", "timestamp").checkpoint()
+    placed = resolve_roots(_parents(slim)).drop("top")
+    flat = (slim.join(placed, ["trace_id", "span_id"])
             .withColumn("is_root", F.col("parent").isNull())
             .withColumn("orphan", F.col("parent").isNull() & (F.col("parent_span_id") != ""))
             .withColumn("sib", F.coalesce("parent", F.lit("")))
             .withColumn("chunk", F.floor(F.unix_millis("timestamp") / SIBLING_CHUNK_MS)))
     pos = row_position(flat, ["trace_id", "sib"], ["timestamp", "span_id"], "chunk", "pos_in_set")
-    sizes = flat.groupBy("trace_id", "sib").agg(F.count("*").alias("set_size"))
-    no_root = flat.groupBy("trace_id").agg((F.count_if(F.col("parent_span_id") == "") == 0).alias("root_missing"))
-    return (pos.join(sizes, ["trace_id", "sib"]).join(no_root, "trace_id")
-            .drop("chunk", "sib", "top"))
+    sizes = placed.groupBy("trace_id", F.coalesce("parent", F.lit("")).alias("sib")).agg(F.count("*").alias("set_size"))
+    no_root = slim.groupBy("trace_id").agg((F.count_if(F.col("parent_span_id") == "") == 0).alias("root_missing"))
+    shape = pos.join(sizes, ["trace_id", "sib"]).join(no_root, "trace_id").drop("chunk", "sib", "parent_span_id", "timestamp")
+    return spans.join(shape, ["trace_id", "span_id"])
 
 
 def keep_errors_and_slowest(spans: DataFrame, n: int) -> DataFrame:
@@ -93,16 +95,16 @@ def root_cause_span(tree: DataFrame) -> DataFrame:
 def root_window(spans: DataFrame) -> DataFrame:
     """``trace_id, start_us, end_us`` of the root request: the first root and the spans
     below it that start, through such spans all the way, before the root ends."""
-    us = F.unix_micros("timestamp")
-    edges = _parents(spans)
-    flat = spans.select("trace_id", "span_id", us.alias("us"), "duration_ns").join(edges, ["trace_id", "span_id"])
+    use_checkpoints(spans.sparkSession)
+    slim = spans.select("trace_id", "span_id", "parent_span_id", F.unix_micros("timestamp").alias("us"), "duration_ns").checkpoint()
+    flat = slim.drop("parent_span_id").join(_parents(slim), ["trace_id", "span_id"])
     main = (flat.where("parent is null").groupBy("trace_id")
             .agg(F.min(F.struct("us", "span_id", "duration_ns")).alias("r"))
             .select("trace_id", F.col("r.span_id").alias("root_id"), F.col("r.us").alias("root_us"),
                     (F.col("r.us") + F.col("r.duration_ns") / 1000).alias("root_end")))
-    early = flat.join(main, "trace_id").where(F.col("us") <= F.col("root_end"))
+    early = flat.join(main, "trace_id").where(F.col("us") <= F.col("root_end")).checkpoint()
     # cut late spans out of the forest; what still hangs on the root belongs to it
-    kept = early.select("trace_id", "span_id", F.col("parent"))
+    kept = early.select("trace_id", "span_id", "parent")
     ids = kept.select("trace_id", F.col("span_id").alias("parent"), F.lit(True).alias("found"))
     linked = kept.join(ids, ["trace_id", "parent"], "left").select(
         "trace_id", "span_id", F.when(F.col("found"), F.col("parent")).alias("parent"))

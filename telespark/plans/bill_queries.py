@@ -493,3 +493,16 @@ from (select distinct provider, product from pdays) p cross join (select date '2
 left join pdays a on a.provider = p.provider and a.product = p.product and a.day = strftime(e - cast(k as int), '%Y-%m-%d')""")
 def product_trend_day(spark, sf_dir):
     return A.product_trend(_pdays(spark, sf_dir), "week", "2026-06-15")
+
+
+@query("service_months", """
+select unit, amount, case unit when '年' then amount * 12 when 'month' then amount when 'days' then greatest(1, round(amount / 30.0)) when '小时' then 1
+  when 'seconds' then greatest(1, cast(round(amount * 1000000 / 86400.0 / 30) as int)) else 1 end as months, count(*) as lines
+from (select case l_partkey % 6 when 0 then '年' when 1 then 'month' when 2 then 'days' when 3 then '小时' when 4 then 'seconds' else 'moon' end as unit,
+        cast(l_quantity as int) as amount from lineitem) group by all""")
+def service_months(spark, sf_dir):
+    li = views.table(spark, sf_dir, "lineitem").selectExpr(
+        "case l_partkey % 6 when 0 then '年' when 1 then 'month' when 2 then 'days' when 3 then '小时' when 4 then 'seconds' else 'moon' end as unit",
+        "cast(l_quantity as int) as amount")
+    text = F.when(F.col("unit") == "seconds", F.concat(F.col("amount").cast("string"), F.lit("000000"))).otherwise(F.col("amount").cast("string"))
+    return (li.withColumn("months", B.service_months(text, F.col("unit"))).groupBy("unit", "amount", "months").agg(F.count("*").alias("lines")))

@@ -313,3 +313,12 @@ select spike_id, s.span_name, s.http_status, count(*) as count from ({SPIKES}) k
 def drill_to_errors(spark, sf_dir):
     spans, spikes = _spikes(spark, sf_dir)
     return P.drill_to_errors(spans, spikes, HALF_HOUR)
+
+
+@query("metric_chart_cells", f"""
+with c as (select bucket, service_name as keys, sum({GROWTH}) as v from steps where metric_name = 'bytes' group by all)
+select a.bucket, k.keys, c.v from (select unnest(range({SIX.count(MONTH)})) as bucket) a cross join (select distinct keys from c) k
+left join c on c.bucket = a.bucket and c.keys = k.keys""")
+def metric_chart_cells(spark, sf_dir):
+    pts = M.series(_points(spark, sf_dir), _f("bytes"), "increase", by=("service_name",), bucket=SIX)
+    return _flat(M.chart_cells(pts, MONTH, SIX))

@@ -4,12 +4,12 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from telespark.functions.attrs import AttrFilter
+from telespark.functions.attrs import AttrFilter, flatten_attributes
 from telespark.functions.timeaxis import TimeRange
 from telespark.operators import dbcalls as D
 from telespark.operators import traces as T
 from telespark.operators import tree as R
-from telespark.plans import views
+from telespark.plans import sqlviews, views
 from telespark.plans.registry import query
 
 DAY = TimeRange(views.BASE, views.BASE + 86_460_000)
@@ -17,8 +17,6 @@ IN_DAY = "ts_ms >= $BASE and ts_ms < $DAY_END"
 # the unscoped guard is lifted so that every query covers the whole table
 OPEN = dict(range=DAY, unscoped_ms=None)
 
-from telespark.plans import sqlviews  # noqa: E402
-
 sqlviews.VIEWS["uniq"] = """
 select * exclude (rn) from (select *, row_number() over (partition by trace_id, span_id
   order by ts_ms, duration_ns, service_name, span_name, status_code) as rn from spans) where rn = 1"""
@@ -404,3 +402,38 @@ def statement_digest(spark, sf_dir):
                        (F.col("status_code") == "Error").alias("error"), F.expr("cast(substr(span_id, 10) as bigint) % 8").alias("rows"),
                        F.expr("start_us div 1000").alias("ts_ms"))
     return D.statement_digest(log)
+
+
+@query("attributes_flattened", """
+select event_id, '/' || event_type as route, cast(user_id % 5 as varchar) as status, cast(user_id as varchar) as user_id, '[1,2]' as tags, 4 as keys from events""")
+def attributes_flattened(spark, sf_dir):
+    events = views.table(spark, sf_dir, "events").selectExpr("event_id", """parse_json(concat('{"http": {"route": "/', event_type,
+        '", "response": {"status_code": ', cast(user_id % 5 as string), '}}, "tags": [1, 2], "user": ', cast(user_id as string), '}')) as attrs""")
+    flat = events.select("event_id", flatten_attributes(events, "attrs").alias("a"))
+    a = F.col("a")
+    return flat.select("event_id", a["http.route"].alias("route"), a["http.response.status_code"].alias("status"), a["user"].alias("user_id"),
+                       a["tags"].alias("tags"), F.size("a").alias("keys"))
+
+
+@query("attribute_filters_variant", "select event_type, count(*) as count from events where user_id % 5 = 3 and event_type <> 'view' group by 1")
+def attribute_filters_variant(spark, sf_dir):
+    events = views.table(spark, sf_dir, "events").selectExpr("event_type", """parse_json(concat('{"http": {"status": ',
+        cast(user_id % 5 as string), '}', if(event_type = 'view', '', ', "kind": "x"'), '}')) as attrs""")
+    both = AttrFilter.parse("http.status=3").holds(events, "attrs") & AttrFilter.parse("kind").holds(events, "attrs")
+    return events.where(both).groupBy("event_type").agg(F.count("*").alias("count"))
+
+
+@query("events_and_links_zipped", """
+select trace_id, span_id, 2 as n_events, 'exception' as second_name, coalesce(exc_type, '') as second_type, '' as third_name, parent_span_id as link_span,
+  '' as link_state from uniq where span_kind = 'Server'""")
+def events_and_links_zipped(spark, sf_dir):
+    one = T.dedupe_spans(_spans(spark, sf_dir)).where("span_kind = 'Server'")
+    # parallel arrays of unequal length, as a column store keeps them
+    flat = one.select("trace_id", "span_id", F.transform("events", lambda e: e["timestamp"]).alias("ts"), F.col("events.name").alias("names"),
+                      F.col("events.attributes").alias("attrs"), F.col("links.span_id").alias("link_ids"))
+    e = T.zip_events(F.col("ts"), F.col("names"), F.col("attrs"))
+    longer = T.zip_events(F.concat("ts", F.array(F.get("ts", F.lit(0)))), F.col("names"), F.col("attrs"))
+    links = T.zip_links(F.array().cast("array<string>"), F.col("link_ids"), F.array().cast("array<string>"), F.array().cast("array<string>"))
+    return flat.select("trace_id", "span_id", F.size(e).cast("int").alias("n_events"), e[1]["name"].alias("second_name"),
+                       e[1]["attributes"]["exception.type"].alias("second_type"), longer[2]["name"].alias("third_name"),
+                       links[0]["span_id"].alias("link_span"), links[0]["trace_state"].alias("link_state"))
