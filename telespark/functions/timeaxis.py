@@ -83,11 +83,7 @@ def local_midnight(ms: int, tz: str) -> int:
     midnight, the first instant of that day."""
     zone = ZoneInfo(tz)
     day = datetime.fromtimestamp(ms / 1000, zone).date()
-    start = datetime(day.year, day.month, day.day, tzinfo=zone)
-    utc = start.astimezone(timezone.utc)
-    if utc.astimezone(zone).date() != day or utc.astimezone(zone).hour:
-        utc = start.replace(fold=1).astimezone(timezone.utc)
-    return int(utc.timestamp() * 1000)
+    return int(datetime(day.year, day.month, day.day, tzinfo=zone).timestamp() * 1000)
 
 
 @dataclass(frozen=True)
