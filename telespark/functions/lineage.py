@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import tempfile
 
-from pyspark.sql import SparkSession
+from pyspark.sql import DataFrame, SparkSession
 
 
 def use_checkpoints(spark: SparkSession) -> None:
@@ -14,3 +14,10 @@ def use_checkpoints(spark: SparkSession) -> None:
     if sc.getCheckpointDir() is None:
         named = spark.conf.get("spark.checkpoint.dir", None)
         sc.setCheckpointDir(named or tempfile.mkdtemp(prefix="telespark-checkpoint-"))
+
+
+def materialize(df: DataFrame) -> DataFrame:
+    """Compute once and read back from shared storage: for small aggregates that
+    several results are regrouped from."""
+    use_checkpoints(df.sparkSession)
+    return df.checkpoint()

@@ -203,7 +203,8 @@ def alloc_rows(src: BillSource, f: BillFilter, alloc: Alloc, window_days: int |
 def alloc_detail(sources: list[BillSource], f: BillFilter, alloc: Alloc, amount: str = "payable",
                  window_days: int | None = None) -> DataFrame:
     """Postpaid money by ``provider, rule, product, bucket, period``; ``bucket`` is the
-    day, the period for monthly tables, or empty.  Everything else is regrouped from it."""
+    day, the period for monthly tables, or empty.  Everything else is regrouped from it,
+    so ``materialize`` it when more than one table is wanted."""
     out = None
     for src in sources:
         part = alloc_rows(src, f, alloc, window_days)
@@ -312,12 +313,12 @@ def _share(total: Column) -> Column:
 def allocate_costs(detail: DataFrame, amortised: DataFrame | None, f: BillFilter, alloc: Alloc, window_days: int | None = None) -> DataFrame:
     """One row per business line: amount, its postpaid and amortised parts, daily, share."""
     money = _both(detail, amortised, f, window_scale(f, window_days))
-    total = money.agg(F.sum("amount")).scalar()
+    total = F.sum("amount").over(Window.partitionBy())          # over one row per line
     per = spread(money, alloc, ("amount", "daily")).groupBy("line").agg(
         F.sum("amount").alias("amount"), F.coalesce(F.sum(F.when(~F.col("prepaid"), F.col("amount"))), F.lit(0.0)).alias("postpaid"),
         F.coalesce(F.sum(F.when(F.col("prepaid"), F.col("amount"))), F.lit(0.0)).alias("amortized"), F.sum("daily").alias("daily"))
-    return per.select("line", *[money_round(F.col(c)).alias(c) for c in ("amount", "postpaid", "amortized", "daily")],
-                      _share(total).alias("share"))
+    out = per.withColumn("share", _share(total))
+    return out.select("line", *[money_round(F.col(c)).alias(c) for c in ("amount", "postpaid", "amortized", "daily")], "share")
 
 
 def alloc_items(detail: DataFrame, amortised: DataFrame | None, f: BillFilter, alloc: Alloc, window_days: int | None = None) -> DataFrame:

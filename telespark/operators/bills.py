@@ -290,15 +290,22 @@ def cost_daily(lines: DataFrame) -> DataFrame:
 def cost_breakdown(lines: DataFrame, dim: str = "product", k: int = 20) -> DataFrame:
     """Top ``k`` values across clouds with share, and what is left over in ``other``."""
     key = F.when(F.col(dim) == "", EMPTY_KEY).otherwise(F.col(dim))
-    per = lines.groupBy(key.alias("key")).agg(
-        F.sum("amount").alias("a"), *[F.sum(F.when(F.col("provider") == p, F.col("amount"))).alias(p) for p in AMOUNTS])
-    total = per.agg(F.sum("a").cast("double")).scalar()
-    top = per.orderBy(F.desc("a"), "key").limit(k)
-    listed = top.agg(F.sum(_money("a"))).scalar()
-    return top.select("key", _money("a").alias("amount"),
+    rows = lines.select(key.alias("key"), "provider", "amount")
+    # one pass: every key, and the grand total as one more row
+    sums = rows.groupingSets([[F.col("key")], []], F.col("key")).agg(
+        F.grouping("key").alias("whole"), F.sum("amount").alias("a"),
+        *[F.sum(F.when(F.col("provider") == p, F.col("amount"))).alias(p) for p in AMOUNTS])
+    top = sums.orderBy(F.desc("whole"), F.desc("a"), "key").limit(k + 1)
+    few = Window.partitionBy()                      # over k + 1 rows
+    is_whole = F.col("whole") == 1
+    total = F.sum(F.when(is_whole, F.col("a").cast("double"))).over(few)
+    listed = F.coalesce(F.sum(F.when(~is_whole, _money("a"))).over(few), F.lit(0.0))
+    out = top.withColumns({"total": total, "listed": listed}).where(~is_whole)
+    total = F.col("total")
+    return out.select("key", _money("a").alias("amount"),
                       F.when(total > 0, F.col("a").cast("double") / total).otherwise(0.0).alias("share"),
                       *[_money(p).alias(p) for p in AMOUNTS],
-                      money_round(F.greatest(F.lit(0.0), total - listed)).alias("other"), money_round(total).alias("total"))
+                      money_round(F.greatest(F.lit(0.0), total - F.col("listed"))).alias("other"), money_round(total).alias("total"))
 
 
 def _raw(df: DataFrame, names) -> dict[str, Column]:

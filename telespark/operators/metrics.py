@@ -300,9 +300,9 @@ def metric_headline(rate_lines: DataFrame, latency_lines: DataFrame) -> DataFram
     erring = F.exists("keys", is_error_label)
     rates = rate_lines.agg(F.sum("avg").alias("rate"), F.sum(F.when(erring, F.col("avg"))).alias("errors"))
     quantile = lambda p: F.max(F.when(F.array_contains("keys", p), F.col("avg")))
-    tail = latency_lines.agg(quantile("p95").alias("p95"), quantile("p99").alias("p99"))
-    return rates.select("rate", F.when(F.col("rate") > 0, F.coalesce("errors", F.lit(0.0)) / F.col("rate")).alias("error_rate"),
-                        tail.select("p95").scalar().alias("p95"), tail.select("p99").scalar().alias("p99"))
+    tail = latency_lines.agg(F.struct(quantile("p95").alias("p95"), quantile("p99").alias("p99")).alias("q")).scalar()
+    return (rates.withColumn("q", tail).select(
+        "rate", F.when(F.col("rate") > 0, F.coalesce("errors", F.lit(0.0)) / F.col("rate")).alias("error_rate"), "q.p95", "q.p99"))
 
 
 def top_table(lines: DataFrame) -> DataFrame:

@@ -6,6 +6,7 @@ from datetime import date
 
 from pyspark.sql import functions as F
 
+from telespark.functions.lineage import materialize
 from telespark.operators import allocation as A
 from telespark.operators import bills as B
 from telespark.plans import sqlviews, views
@@ -265,8 +266,9 @@ def _in_units(df, *cols):
     return df.withColumns({c: F.floor(F.round(c, 4) + 0.123456) for c in cols})
 
 
-def _detail(spark, sf_dir, alloc=ALLOC, **kw):
-    return A.alloc_detail(_daily(spark, sf_dir), ALL, alloc, **kw)
+def _detail(spark, sf_dir, alloc=ALLOC, once=False, **kw):
+    detail = A.alloc_detail(_daily(spark, sf_dir), ALL, alloc, **kw)
+    return materialize(detail) if once else detail
 
 
 def _prepaid(spark, sf_dir, alloc=ALLOC):
@@ -304,7 +306,7 @@ select line, {_units('sum(amount * part)')} as amount, {_units('sum(amount * par
   {_units('coalesce(sum(amount * part) filter (prepaid), 0)')} as amortized, {_units('sum(daily * part)')} as daily,
   round(sum(amount * part) / (select sum(amount) from amoney), 9) as share from amoney join shares using (rule) group by 1""")
 def alloc_lines(spark, sf_dir):
-    out = A.allocate_costs(_detail(spark, sf_dir), _prepaid(spark, sf_dir), ALL, ALLOC)
+    out = A.allocate_costs(_detail(spark, sf_dir, once=True), _prepaid(spark, sf_dir), ALL, ALLOC)
     return _in_units(out, "amount", "postpaid", "amortized", "daily").withColumn("share", F.round("share", 9))
 
 
@@ -312,7 +314,7 @@ def alloc_lines(spark, sf_dir):
 select line, product, rule_name, prepaid, {_units('sum(amount * part)')} as amount, {_units('sum(daily * part)')} as daily
 from amoney join shares using (rule) group by 1, 2, 3, 4""")
 def alloc_items(spark, sf_dir):
-    out = A.alloc_items(_detail(spark, sf_dir), _prepaid(spark, sf_dir), ALL, ALLOC)
+    out = A.alloc_items(_detail(spark, sf_dir, once=True), _prepaid(spark, sf_dir), ALL, ALLOC)
     return _in_units(out, "amount", "daily").drop("share")
 
 
@@ -320,7 +322,7 @@ def alloc_items(spark, sf_dir):
 select product, prepaid, {_units('sum(amount)')} as amount, {_units('sum(daily)')} as daily, {_units('coalesce(sum(amount) filter (rule = -1), 0)')} as unmatched
 from amoney group by 1, 2""")
 def alloc_products(spark, sf_dir):
-    return _in_units(A.alloc_products(_detail(spark, sf_dir), _prepaid(spark, sf_dir), ALL), "amount", "daily", "unmatched")
+    return _in_units(A.alloc_products(_detail(spark, sf_dir, once=True), _prepaid(spark, sf_dir), ALL), "amount", "daily", "unmatched")
 
 
 @query("alloc_points", f"select bucket, line, {_units('sum(amount * part)')} as amount from adetail join shares using (rule) group by 1, 2")
@@ -336,7 +338,7 @@ def alloc_unmatched_loose(spark, sf_dir):
 
 @query("alloc_daily_average", f"select {_units('sum(amount / days)')} as daily from adetail join aday using (provider)")
 def alloc_daily_average(spark, sf_dir):
-    return _in_units(A.daily_average(_detail(spark, sf_dir)), "daily")
+    return _in_units(A.daily_average(_detail(spark, sf_dir, once=True)), "daily")
 
 
 WINDOWED = f"""
@@ -351,7 +353,7 @@ m as (select provider, rule, product, amount, amount / days as daily, false as p
     "when provider", "when b.provider").replace("case when provider", "case when b.provider") + f"""
 select line, {_units('sum(amount * part)')} as amount, {_units('sum(daily * part)')} as daily from m join shares using (rule) group by 1""")
 def alloc_lines_last_days(spark, sf_dir):
-    out = A.allocate_costs(_detail(spark, sf_dir, window_days=30), _prepaid(spark, sf_dir), ALL, ALLOC, 30)
+    out = A.allocate_costs(_detail(spark, sf_dir, once=True, window_days=30), _prepaid(spark, sf_dir), ALL, ALLOC, 30)
     return _in_units(out, "amount", "daily").select("line", "amount", "daily")
 
 
@@ -359,7 +361,7 @@ def alloc_lines_last_days(spark, sf_dir):
 select line, floor((sum(daily * part) * 31 + coalesce((select sum(a.amount * s.part) from apre a join shares s using (rule) where a.period = '2026-07' and s.line = shares.line), 0)) / 10) as estimate
 from amoney join shares using (rule) group by 1""")
 def alloc_monthly_estimate(spark, sf_dir):
-    detail, pre = _detail(spark, sf_dir), _prepaid(spark, sf_dir)
+    detail, pre = _detail(spark, sf_dir, once=True), materialize(_prepaid(spark, sf_dir))
     out = A.monthly_estimate(A.allocate_costs(detail, pre, ALL, ALLOC), pre, ALLOC, "2026-07")
     return out.select("line", F.floor(F.col("estimate") / 10).alias("estimate"))
 
@@ -371,7 +373,7 @@ select provider, kind, line, period, sum(amount * part) as amount from (
 
 
 def _months(spark, sf_dir):
-    return A.alloc_monthly(_detail(spark, sf_dir), _prepaid(spark, sf_dir), ALL, ALLOC)
+    return materialize(A.alloc_monthly(_detail(spark, sf_dir), _prepaid(spark, sf_dir), ALL, ALLOC))
 
 
 @query("alloc_monthly", f"select provider, kind, line, period, {_units('amount')} as amount from amonth")

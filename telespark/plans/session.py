@@ -15,6 +15,8 @@ def build_session(cores: str = "*", partitions: int = 8, app: str = "telespark",
          .config("spark.ui.enabled", "false")
          .config("spark.driver.memory", "12g")
          .config("spark.sql.execution.arrow.pyspark.enabled", "true")
+         # quantile sketches: keep hashing for a few thousand groups before sorting
+         .config("spark.sql.objectHashAggregate.sortBased.fallbackThreshold", "4096")
          .config("spark.python.sql.dataFrameDebugging.enabled", "false"))
     for k, v in conf.items():
         b = b.config(k, v)

@@ -13,15 +13,23 @@ BASE = 1_704_067_200_000        # 2024-01-01T00:00:00Z
 
 
 _SCHEMAS: dict[str, StructType] = {}
+SPREAD_FROM, SPREAD_UP_TO = 2 << 20, 128 << 20
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     """One input table.  Its schema is read from the files once per process, so queries
-    that use a table several times start no schema job each time."""
+    that use a table several times start no schema job each time.
+
+    A file of a few megabytes is one row group and would be one task; it is spread over
+    the cores.  From one full split per core on, the scan itself is parallel enough and
+    nothing is shuffled."""
     path = f"{sf_dir}/{name}.parquet"
     if path not in _SCHEMAS:
         _SCHEMAS[path] = spark.read.parquet(path).schema
-    return spark.read.schema(_SCHEMAS[path]).parquet(path)
+    df = spark.read.schema(_SCHEMAS[path]).parquet(path)
+    size = int(str(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()))
+    cores = spark.sparkContext.defaultParallelism
+    return df.repartition(cores) if SPREAD_FROM <= size < SPREAD_UP_TO * cores else df
 
 
 def spans(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -61,7 +69,7 @@ def spans(spark: SparkSession, sf_dir: str) -> DataFrame:
         """map('db.system', db_system, 'db.statement', if(db_system = '', '', db_statement), 'db.name', if(db_system = '', '', 'shop'),
                'http.response.status_code', http_status, 'http.request.method', if(span_kind = 'Server', 'GET', ''),
                'http.route', if(span_kind = 'Server', concat('/', span_name), ''), 'server.address', peer,
-               'db.query.parameter', if(db_system = '', '', to_json(map('0', p0, '1', p1)))) as span_attributes""",
+               'db.query.parameter', if(db_system = '', '', concat('{"0":"', p0, '","1":"', p1, '"}'))) as span_attributes""",
         """array(named_struct('timestamp', timestamp, 'name', 'start', 'attributes', map('exception.type', '', 'exception.message', '')),
                  named_struct('timestamp', timestamp, 'name', 'exception', 'attributes',
                               map('exception.type', exc_type, 'exception.message', exc_msg))) as events""",
