@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import functools
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
@@ -14,13 +15,20 @@ ORACLES: dict[str, str] = {}
 
 
 def query(name: str, sql: str | None = None, **consts):
-    """Register a query; ``{{views}}`` used in ``sql`` are found by name and put in
-    front as common table expressions, ``$NAME`` is replaced from ``consts``."""
+    """Register a query.  Views that ``sql`` mentions are put in front of it as common
+    table expressions; ``$NAME`` is replaced from ``consts``."""
 
     def add(fn: Runner) -> Runner:
         if name in QUERIES:
             raise KeyError(name)
-        QUERIES[name] = fn
+
+        @functools.wraps(fn)
+        def run(spark: SparkSession, sf_dir: str) -> DataFrame:
+            # the derived tables read zone-less timestamps as UTC instants
+            spark.conf.set("spark.sql.session.timeZone", "UTC")
+            return fn(spark, sf_dir)
+
+        QUERIES[name] = run
         if sql is not None:
             ORACLES[name] = sqlviews.with_views(sqlviews.fill(sql, consts))
         return fn
