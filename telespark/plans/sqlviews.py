@@ -7,17 +7,17 @@ import re
 from telespark.plans.views import BASE
 
 SPANS = """
-select $BASE + (l_orderkey * 7919) % 86400000 + l_linenumber * 5 as ts_ms,
+select $BASE + (l_orderkey * 1299709) % 86400000 + l_linenumber * 5 as ts_ms,
   lpad(cast(l_orderkey as varchar), 32, '0') as trace_id,
   lpad(cast(l_orderkey * 8 + l_linenumber as varchar), 16, '0') as span_id,
   case when l_linenumber = 1 then '' else lpad(cast(l_orderkey * 8 + l_linenumber // 2 as varchar), 16, '0') end as parent_span_id,
-  case when l_partkey % 20 = 10 and (l_orderkey * 7919) % 86400000 >= 43200000 then 'op-new'
+  case when l_partkey % 20 = 10 and (l_orderkey * 1299709) % 86400000 >= 43200000 then 'op-new'
        else 'op-' || cast(l_partkey % 20 as varchar) end as span_name,
   case when l_linenumber = 1 then 'Server' when l_partkey % 5 = 0 then 'Consumer' when l_partkey % 5 = 1 then 'Internal'
        when l_partkey % 5 = 2 then 'Producer' else 'Client' end as span_kind,
   'svc-' || cast(l_suppkey % 10 as varchar) as service_name,
   cast(round(l_extendedprice * 100) as bigint) * 1000
-    * case when l_partkey % 20 = 5 and (l_orderkey * 7919) % 86400000 >= 43200000 then 3 else 1 end as duration_ns,
+    * case when l_partkey % 20 = 5 and (l_orderkey * 1299709) % 86400000 >= 43200000 then 3 else 1 end as duration_ns,
   case when l_returnflag = 'R' and l_partkey % 4 = 0 then 'Error' else 'Unset' end as status_code,
   'zone-' || cast(l_suppkey % 3 as varchar) as cluster,
   case when l_partkey % 5 >= 3 then case when l_suppkey % 2 = 0 then 'mysql' else 'redis' end else '' end as db_system,
@@ -44,7 +44,7 @@ select epoch_us(ts) as ts_us, epoch_us(ts) // 1000 as ts_ms, 'svc-' || cast(user
     || ' order=' || cast(20240000 + event_id as varchar) || ' props=' || props as message
 from events
 union all
-select ($BASE + (doc_id * 7919) % 86400000 + 20) * 1000, $BASE + (doc_id * 7919) % 86400000 + 20, 'svc-' || cast(doc_id % 10 as varchar),
+select ($BASE + (doc_id * 1299709) % 86400000 + 20) * 1000, $BASE + (doc_id * 1299709) % 86400000 + 20, 'svc-' || cast(doc_id % 10 as varchar),
   case lang when 'fr' then 'WARN' when 'de' then 'ERROR' else 'INFO' end, 'doc.' || lang, 'main',
   lpad(cast(doc_id as varchar), 32, '0'), '', 'docs', 'pod-' || cast(doc_id % 20 as varchar), '',
   'host-' || cast(doc_id % 7 as varchar), '/var/log/' || source || '.log', text

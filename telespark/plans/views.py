@@ -36,19 +36,19 @@ def spans(spark: SparkSession, sf_dir: str) -> DataFrame:
     """One span per order line; lines 1..7 of an order form a binary tree, repeated
     line numbers become retried copies of a span."""
     flat = table(spark, sf_dir, "lineitem").selectExpr(
-        f"timestamp_millis({BASE} + (l_orderkey * 7919) % 86400000 + l_linenumber * 5) as timestamp",
+        f"timestamp_millis({BASE} + (l_orderkey * 1299709) % 86400000 + l_linenumber * 5) as timestamp",
         "lpad(cast(l_orderkey as string), 32, '0') as trace_id",
         "lpad(cast(l_orderkey * 8 + l_linenumber as string), 16, '0') as span_id",
         "case when l_linenumber = 1 then '' else lpad(cast(l_orderkey * 8 + l_linenumber div 2 as string), 16, '0') end as parent_span_id",
         "'' as trace_state",
         # half the day: one operation is renamed, another gets three times as slow
-        """case when l_partkey % 20 = 10 and (l_orderkey * 7919) % 86400000 >= 43200000 then 'op-new'
+        """case when l_partkey % 20 = 10 and (l_orderkey * 1299709) % 86400000 >= 43200000 then 'op-new'
            else concat('op-', cast(l_partkey % 20 as string)) end as span_name""",
         """case when l_linenumber = 1 then 'Server' when l_partkey % 5 = 0 then 'Consumer' when l_partkey % 5 = 1 then 'Internal'
            when l_partkey % 5 = 2 then 'Producer' else 'Client' end as span_kind""",
         "concat('svc-', cast(l_suppkey % 10 as string)) as service_name",
         """cast(round(l_extendedprice * 100) as bigint) * 1000
-           * if(l_partkey % 20 = 5 and (l_orderkey * 7919) % 86400000 >= 43200000, 3, 1) as duration_ns""",
+           * if(l_partkey % 20 = 5 and (l_orderkey * 1299709) % 86400000 >= 43200000, 3, 1) as duration_ns""",
         "case when l_returnflag = 'R' and l_partkey % 4 = 0 then 'Error' else 'Unset' end as status_code",
         "'' as status_message", "'lib' as scope_name", "'1' as scope_version",
         "concat('zone-', cast(l_suppkey % 3 as string)) as cluster",
@@ -92,7 +92,7 @@ def app_log(spark: SparkSession, sf_dir: str) -> DataFrame:
         """concat(event_type, ' user=', cast(user_id as string), ' req=rq', lpad(cast(event_id as string), 16, '0'),
                   ' order=', cast(20240000 + event_id as string), ' props=', props) as message""")
     long = table(spark, sf_dir, "documents").selectExpr(
-        f"timestamp_millis({BASE} + (doc_id * 7919) % 86400000 + 20) as timestamp",
+        f"timestamp_millis({BASE} + (doc_id * 1299709) % 86400000 + 20) as timestamp",
         "concat('svc-', cast(doc_id % 10 as string)) as service_name",
         "case lang when 'fr' then 'WARN' when 'de' then 'ERROR' else 'INFO' end as level",
         "concat('doc.', lang) as logger", "'main' as thread",
