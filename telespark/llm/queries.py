@@ -6,8 +6,9 @@ from collections.abc import Callable
 
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-from telespark.llm import shared, token_files, word_bpe
+from telespark.llm import shared, substring_dedup, token_files, word_bpe
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
@@ -36,3 +37,16 @@ def op1(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query("op2_bpe_round_trip")
 def op2(spark: SparkSession, sf_dir: str) -> DataFrame:
     return word_bpe.round_trip(table(spark, sf_dir, "documents"), public_tokenizers.path("word_bpe_49k.json"))
+
+
+@query("op3_substring_dedup", """
+with d as (select row_number() over () as r, doc_id, list_filter(string_split_regex(coalesce(text, ''), '[\\t-\\r ]+'), lambda x: x <> '') as w from documents),
+g as (select r, doc_id, i, array_to_string(w[i:i + 12], ' ') as g from d, unnest(range(1, len(w) - 11)) as t(i) where len(w) >= 13),
+m as (select g, min(doc_id) as least from g group by g),
+x as (select distinct r, i + k as p from g join m using (g), unnest(range(0, 13)) as u(k) where least < doc_id),
+y as (select r, list(p) as gone from x group by r),
+z as (select doc_id, w, list_transform(list_filter(range(1, len(w) + 1), lambda i: not list_contains(coalesce(gone, []), i)), lambda i: w[i]) as kept from d left join y using (r))
+select doc_id, len(w) as n_words, len(w) - len(kept) as n_removed, sha256(array_to_string(kept, ' ')) as kept_sha256 from z""")
+def op3(spark: SparkSession, sf_dir: str) -> DataFrame:
+    done = substring_dedup.remove_repeats(table(spark, sf_dir, "documents"))
+    return done.select("row.doc_id", "n_words", "n_removed", F.sha2(F.encode("kept", "utf-8"), 256).alias("kept_sha256"))
