@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from telespark.llm import shared, substring_dedup, token_files, word_bpe
+from telespark.llm import order_minhash, shared, substring_dedup, token_files, word_bpe
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
@@ -50,3 +50,8 @@ select doc_id, len(w) as n_words, len(w) - len(kept) as n_removed, sha256(array_
 def op3(spark: SparkSession, sf_dir: str) -> DataFrame:
     done = substring_dedup.remove_repeats(table(spark, sf_dir, "documents"))
     return done.select("row.doc_id", "n_words", "n_removed", F.sha2(F.encode("kept", "utf-8"), 256).alias("kept_sha256"))
+
+
+@query("op5_order_minhash")
+def op5(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return order_minhash.compare_edits(table(spark, sf_dir, "documents"))
