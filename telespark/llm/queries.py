@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from telespark.llm import order_minhash, shared, substring_dedup, token_files, word_bpe
+from telespark.llm import language_id, order_minhash, shared, substring_dedup, token_files, word_bpe
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
@@ -55,3 +55,11 @@ def op3(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query("op5_order_minhash")
 def op5(spark: SparkSession, sf_dir: str) -> DataFrame:
     return order_minhash.compare_edits(table(spark, sf_dir, "documents"))
+
+
+@query("op9_language_id")
+def op9(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents")
+    held = language_id.held_out(F.col("doc_id"))
+    model = language_id.fit(docs.where(~held).select("doc_id", "text", "lang"))
+    return language_id.predict(docs.select("doc_id", "text", held.alias("held_out")), model).select("doc_id", "held_out", "language.lang_pred", "language.score")
