@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from telespark.llm import language_id, order_minhash, shared, substring_dedup, token_files, word_bpe
+from telespark.llm import language_id, near_dedup, order_minhash, shared, substring_dedup, token_files, word_bpe
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
@@ -63,3 +63,9 @@ def op9(spark: SparkSession, sf_dir: str) -> DataFrame:
     held = language_id.held_out(F.col("doc_id"))
     model = language_id.fit(docs.where(~held).select("doc_id", "text", "lang"))
     return language_id.predict(docs.select("doc_id", "text", held.alias("held_out")), model).select("doc_id", "held_out", "language.lang_pred", "language.score")
+
+
+@query("op8_near_dedup")
+def op8(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = near_dedup.classes(table(spark, sf_dir, "documents"))
+    return found.select("row.doc_id", "class_id")

@@ -30,67 +30,13 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from telespark.llm import shared
+from telespark.llm.hashing import Bytes, joined_words, mixed, sliding_min
 
 WINDOW = 13             # words
 MER = 3                 # words of the sequences that minimisers are taken from
 SLICE = 1 << 22         # characters that a task looks at together
 HELD = 1 << 24          # bytes of packed strings read before a bucket is gone through
 
-_BASE = np.uint64(0x9E3779B97F4A7C15)       # odd, so powers can be undone modulo 2**64
-_UNDO = np.uint64(pow(0x9E3779B97F4A7C15, -1, 1 << 64))
-
-
-def mixed(x: np.ndarray) -> np.ndarray:
-    """Spreads the bits of 64-bit values."""
-    x = x ^ (x >> np.uint64(31))
-    x = x * np.uint64(0x7FB5D329728EA185)
-    x = x ^ (x >> np.uint64(27))
-    x = x * np.uint64(0x81DADEF4BC2DD44D)
-    return x ^ (x >> np.uint64(33))
-
-
-_POWERS: dict[int, tuple[np.ndarray, np.ndarray]] = {}
-
-
-def _powers(n: int) -> tuple[np.ndarray, np.ndarray]:
-    size = 1 << max(16, int(n).bit_length())
-    if size not in _POWERS:
-        _POWERS.clear()
-        _POWERS[size] = tuple(np.cumprod(np.concatenate([np.ones(1, np.uint64), np.full(size - 1, b, np.uint64)]), dtype=np.uint64) for b in (_BASE, _UNDO))
-    return _POWERS[size]
-
-
-class Bytes:
-    """Hashes of any substring of a buffer, from sums over its prefixes; equal substrings have equal hashes wherever they stand."""
-
-    def __init__(self, data: bytes):
-        self.data = data
-        self.letters = np.frombuffer(data, dtype=np.uint8)
-        up, self.down = _powers(len(data) + 1)
-        self.sums = np.zeros(len(data) + 1, dtype=np.uint64)
-        np.cumsum((self.letters.astype(np.uint64) + np.uint64(1)) * up[: len(data)], out=self.sums[1:])
-
-    def hashes(self, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
-        return mixed((self.sums[ends] - self.sums[starts]) * self.down[starts])
-
-    def words(self) -> tuple[np.ndarray, np.ndarray]:
-        """Starts and ends of the words, which are parted by single blanks."""
-        gaps = np.flatnonzero((self.letters == 32) | (self.letters == 10))
-        if not len(self.data):
-            return gaps, gaps
-        return np.concatenate([[0], gaps + 1]), np.concatenate([gaps, [len(self.data)]])
-
-
-def sliding_min(x: np.ndarray, width: int) -> np.ndarray:
-    """Minimum of each ``width`` consecutive values."""
-    have = 1
-    while have < width:
-        step = min(have, width - have)
-        x = np.minimum(x[:-step], x[step:])
-        have += step
-    return x
-
-
 def beaten(text: Bytes, starts: np.ndarray, ends: np.ndarray, docs: np.ndarray) -> np.ndarray:
     """Which of the windows (byte ranges) also stand in a document with a smaller id."""
     out = np.zeros(len(starts), dtype=bool)
@@ -137,14 +83,7 @@ def _cut(ids: list[int], keys: list[int], texts: list[str], window: int, buckets
     """Rows to send for one slice of documents; ``packed`` is empty in rows that carry marks made here."""
     if window < MER:
         raise ValueError(f"a window has at least {MER} words")
-    counts, joined = [], []
-    for t in texts:
-        words = t.encode("utf-8", "surrogatepass").split()      # bytes split at ASCII white space only
-        counts.append(len(words))
-        if words:
-            joined.append(b" ".join(words))
-    counts = np.array(counts)
-    text = Bytes(b" ".join(joined))
+    text, counts = joined_words(texts)
     starts, ends = text.words()
     n = len(starts) - window + 1
     if n < 1:
