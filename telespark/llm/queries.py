@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from telespark.llm import language_id, near_dedup, order_minhash, shared, substring_dedup, token_files, word_bpe
+from telespark.llm import language_id, mixing, near_dedup, order_minhash, shared, substring_dedup, token_files, word_bpe
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
@@ -69,3 +69,30 @@ def op9(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op8(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = near_dedup.classes(table(spark, sf_dir, "documents"))
     return found.select("row.doc_id", "class_id")
+
+
+@query("op7_source_mixing", """
+with recursive d as (select doc_id, source, len(list_filter(string_split_regex(coalesce(text, ''), '[\\t-\\r ]+'), lambda x: x <> '')) as words from documents),
+s as (select source, sum(words)::bigint as words from d group by source),
+n as (select sum(words)::double as total, count(*) filter (words > 0) as n from s),
+p as (select source, words, words / total as p from s, n where words > 0),
+bisect as (
+  select 0 as i, 0.0::double as low, 1.0::double as high
+  union all
+  select i + 1, case when h >= 0.95 * ln(n.n) then m else low end, case when h >= 0.95 * ln(n.n) then high else m end
+  from (select i, low, high, (low + high) / 2 as m, (select ln(sum(p ** ((low + high) / 2))) - (low + high) / 2 * sum(p ** ((low + high) / 2) * ln(p)) / sum(p ** ((low + high) / 2)) from p) as h from bisect where i < 40), n),
+a as (select round(max(low), 6) as a from bisect),
+w as (select source, words, words / total * 1.0 as share, p ** a as weight from p, a, n),
+t as (select source, words as of_words, weight / (select sum(weight) from w) * (select total from n) as target from w),
+k as (select *, ceil(round(target / of_words, 6))::int as epochs from t),
+deal as (select doc_id, d.source, d.words, ('0x' || substr(md5(concat_ws('|', coalesce(d.source, ''), doc_id)), 1, 15))::bigint % greatest(ceil(s.words / 8192)::bigint, 1) as block from d join s on s.source is not distinct from d.source),
+b as (select source, block, sum(words)::bigint as words from deal group by all),
+e as (select b.*, of_words, target, unnest(range(0, epochs)) as epoch from b join k on b.source is not distinct from k.source),
+o as (select *, ('0x' || substr(md5(concat_ws('|', coalesce(source, ''), block, epoch)), 1, 15))::bigint as ord from e),
+c as (select *, epoch * of_words + sum(words) over (partition by source, epoch order by ord, block) - words as start from o),
+x as (select source, block, epoch, start / target as position from c where start + words / 2 <= round(target, 3) or epoch + 1 <= target / of_words + 1e-9)
+select doc_id, deal.source, words, deal.block, epoch::int as epoch, round(position, 6) as position
+from deal join x on x.source is not distinct from deal.source and x.block = deal.block""")
+def op7(spark: SparkSession, sf_dir: str) -> DataFrame:
+    mixed = mixing.mix(table(spark, sf_dir, "documents"), entropy=0.95, repetition=4.0, budget=1.0)
+    return mixed.select("row.doc_id", "source", "words", "block", "epoch", F.round("position", 6).alias("position"))
