@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from telespark.llm import language_id, mixing, near_dedup, order_minhash, shared, substring_dedup, token_files, word_bpe
+from telespark.llm import language_id, mixing, near_dedup, nearest, order_minhash, shared, substring_dedup, token_files, word_bpe
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
@@ -96,3 +96,8 @@ from deal join x on x.source is not distinct from deal.source and x.block = deal
 def op7(spark: SparkSession, sf_dir: str) -> DataFrame:
     mixed = mixing.mix(table(spark, sf_dir, "documents"), entropy=0.95, repetition=4.0, budget=1.0)
     return mixed.select("row.doc_id", "source", "words", "block", "epoch", F.round("position", 6).alias("position"))
+
+
+@query("op6_nearest_vectors")
+def op6(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return nearest.nearest(table(spark, sf_dir, "embeddings"), lambda vec_id: vec_id % 20 == 0, k=20)
