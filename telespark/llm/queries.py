@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from telespark.llm import language_id, mixing, near_dedup, nearest, order_minhash, shared, substring_dedup, token_files, word_bpe
+from telespark.llm import html_text, language_id, mixing, near_dedup, nearest, order_minhash, preference, shared, substring_dedup, token_files, word_bpe
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
@@ -101,3 +101,30 @@ def op7(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query("op6_nearest_vectors")
 def op6(spark: SparkSession, sf_dir: str) -> DataFrame:
     return nearest.nearest(table(spark, sf_dir, "embeddings"), lambda vec_id: vec_id % 20 == 0, k=20)
+
+
+@query("op4_html_text")
+def op4(spark: SparkSession, sf_dir: str) -> DataFrame:
+    pages = table(spark, sf_dir, "pages")
+    found = html_text.extract(pages, html_text.fit(pages.select("page_id", "html")))
+    return found.select("page_id", "url", F.col("main_text").alias("text"), F.length("main_text").cast("long").alias("n_chars"))
+
+
+@query("op10_preference_pairs", """
+with t as (select distinct conv_id, turn, coalesce(role, '') as role, coalesce(text, '') as text from conversations where conv_id is not null),
+w as (select conv_id, list({'role': role, 'text': text} order by turn nulls first, role, text) as turns from t group by conv_id),
+c as (select conv_id as pair_id, turns[1:len(turns) - list_position(list_transform(list_reverse(turns), lambda t: t.role), 'assistant') + 1] as chosen from w where list_contains(list_transform(turns, lambda t: t.role), 'assistant')),
+n as (select pair_id, chosen, coalesce(lead(chosen) over (order by pair_id), first_value(chosen) over (order by pair_id)) as other from c),
+p as (select pair_id, chosen, list_concat(chosen[1:len(chosen) - 1], other[len(other):len(other)]) as rejected from n),
+k as (select *, coalesce(list_min(list_filter(range(1, len(chosen) + 1), lambda i: chosen[i] <> rejected[i])) - 1, len(chosen)) as n from p),
+r as (select pair_id, n::int as prompt_turns, chosen[1:n] as prompt, chosen[n + 1:len(chosen)] as chosen, rejected[n + 1:len(rejected)] as rejected from k),
+s as (select *, list_transform(chosen, lambda t: length('<|' || t.role || '|>\n' || t.text || '<|end|>\n')) as a, list_transform(rejected, lambda t: length('<|' || t.role || '|>\n' || t.text || '<|end|>\n')) as b from r)
+select pair_id, prompt_turns,
+  array_to_string(list_transform(prompt, lambda t: '<|' || t.role || '|>\n' || t.text || '<|end|>\n'), '') as prompt,
+  array_to_string(list_transform(chosen, lambda t: '<|' || t.role || '|>\n' || t.text || '<|end|>\n'), '') as chosen,
+  array_to_string(list_transform(list_filter(range(1, len(chosen) + 1), lambda i: chosen[i].role = 'assistant'), lambda i: (coalesce(list_sum(a[1:i - 1]), 0) + length(chosen[i].role) + 5)::bigint::varchar || '-' || list_sum(a[1:i])::bigint::varchar), ',') as chosen_spans,
+  array_to_string(list_transform(rejected, lambda t: '<|' || t.role || '|>\n' || t.text || '<|end|>\n'), '') as rejected,
+  array_to_string(list_transform(list_filter(range(1, len(rejected) + 1), lambda i: rejected[i].role = 'assistant'), lambda i: (coalesce(list_sum(b[1:i - 1]), 0) + length(rejected[i].role) + 5)::bigint::varchar || '-' || list_sum(b[1:i])::bigint::varchar), ',') as rejected_spans
+from s""")
+def op10(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return preference.format_pairs(preference.swapped_answers(table(spark, sf_dir, "conversations")))
