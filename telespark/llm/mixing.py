@@ -31,6 +31,7 @@ BLOCK_WORDS = 8192
 POINTS = 33             # exponents tried at once
 STEPS = 6               # the bracket shrinks by 32 in each: 2**-30
 SLOT_BITS = 10
+BLOCKS = "source string, block long, epoch int, position double"
 
 
 def n_words(text: Column) -> Column:
@@ -42,8 +43,8 @@ def _hash(*parts: Column) -> Column:
     return F.conv(F.substring(F.md5(F.concat_ws("|", *[p.cast("string") for p in parts])), 1, 15), 16, 10).cast("long")
 
 
-def exponent(sources: DataFrame, entropy: float | None, repetition: float | None, budget: float) -> float:
-    """The exponent for (source, words) rows, rounded to 6 places; ``budget`` is in units of all words."""
+def exponent(sources: DataFrame, entropy: float | None, repetition: float | None, budget: float | None) -> float:
+    """The exponent for (source, words) rows, rounded to 6 places; ``budget`` as for ``plan``."""
     shares = shared.written(sources.where("words > 0").groupBy("words").agg(F.count("*").alias("n")), "shares")       # equal sources together
     totals = shares.agg(F.sum(F.col("words") * F.col("n")).alias("all"), F.sum("n").alias("n")).first()
     if not totals.n:
@@ -56,8 +57,8 @@ def exponent(sources: DataFrame, entropy: float | None, repetition: float | None
         for _ in range(STEPS):
             tried = [low + (high - low) * i / (POINTS - 1) for i in range(POINTS)]
             row = shares.agg(*[F.sum(F.col("n") * F.pow(p, F.lit(a))).alias(f"z{i}") for i, a in enumerate(tried)],
-                             *[F.sum(F.col("n") * F.pow(p, F.lit(a)) * F.log(p)).alias(f"l{i}") for i, a in enumerate(tried)], F.min(p).alias("least")).first()
-            holds = [good(a, row[f"z{i}"], row[f"l{i}"], row["least"]) for i, a in enumerate(tried)]
+                             *[F.sum(F.col("n") * F.pow(p, F.lit(a)) * F.log(p)).alias(f"l{i}") for i, a in enumerate(tried)], F.min(p).alias("least"), F.max(p).alias("most")).first()
+            holds = [good(a, row[f"z{i}"], row[f"l{i}"], row) for i, a in enumerate(tried)]
             if all(holds):
                 return tried[-1]
             first = holds.index(False)
@@ -69,11 +70,14 @@ def exponent(sources: DataFrame, entropy: float | None, repetition: float | None
     found = 1.0
     if entropy is not None:
         wanted = entropy * math.log(totals.n)
-        found = search(lambda a, z, l, least: math.log(z) - a * l / z >= wanted)
+        found = search(lambda a, z, l, row: math.log(z) - a * l / z >= wanted)
     if repetition is not None:
-        least = search(lambda a, z, l, p_min: budget * p_min ** (a - 1) / z > repetition)       # up to here some source repeats too often
-        if least > 0 or entropy is None:
-            found = max(found, least) if entropy is not None else least
+        # up to which exponent some source is repeated too often; it is the smallest one
+        if budget is None:
+            least = search(lambda a, z, l, row: (row.most / row.least) ** (1 - a) > repetition)
+        else:
+            least = search(lambda a, z, l, row: budget * row.least ** (a - 1) / z > repetition)
+        found = least if entropy is None else max(found, least)
     return round(found, 6)
 
 
@@ -94,13 +98,13 @@ def plan(docs: DataFrame, entropy: float | None = 0.95, repetition: float | None
         return df.join(side, F.col("source").eqNullSafe(F.col("s"))).withColumn("block", F.pmod(_hash(F.coalesce("source", F.lit("")), F.coalesce("id", F.lit(""))), F.col("blocks"))).drop("s", "blocks")
 
     if not total:
-        return spark_empty(docs), dealt(rows)
-    a = exponent(counted, entropy, repetition, budget or 1.0)
+        return docs.sparkSession.createDataFrame([], BLOCKS), dealt(rows)
+    a = exponent(counted, entropy, repetition, budget)
     weight = F.pow(F.col("words") / F.lit(float(total)), F.lit(a))
     positive = counted.where("words > 0").withColumn("weight", weight)
     sums = positive.agg(F.sum("weight").alias("z"), F.max(F.col("words") / F.col("weight")).alias("most")).first()
     all_words = budget * total if budget is not None else sums.most * sums.z
-    if repetition is not None:
+    if repetition is not None and budget is not None:
         all_words = min(all_words, repetition * total)
     targets = positive.select("source", F.col("words").alias("of"), (F.col("weight") / F.lit(float(sums.z)) * F.lit(float(all_words))).alias("target"))
     targets = targets.withColumn("epochs", F.ceil(F.round(F.col("target") / F.col("of"), 6)).cast("int"))
@@ -120,10 +124,6 @@ def plan(docs: DataFrame, entropy: float | None = 0.95, repetition: float | None
     return taken.select("source", "block", "epoch", (F.col("start") / F.col("target")).alias("position")), dealt(rows)
 
 
-def spark_empty(docs: DataFrame) -> DataFrame:
-    return docs.sparkSession.createDataFrame([], "source string, block long, epoch int, position double")
-
-
 def mix(docs: DataFrame, entropy: float | None = 0.95, repetition: float | None = 4.0, budget: float | None = 1.0, block_words: int = BLOCK_WORDS) -> DataFrame:
     """(row, source, words, block, epoch, position): one row for each time a document is in the mixture."""
     blocks, rows = plan(docs, entropy, repetition, budget, block_words)

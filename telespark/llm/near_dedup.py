@@ -196,3 +196,11 @@ def classes(docs: DataFrame, least: float = LEAST) -> DataFrame:
     heads = by_node.groupBy("class_node").agg(F.min(F.struct(F.col("doc_id").isNull().alias("late"), "doc_id", "node")).alias("head"))
     heads = by_node.join(heads, "class_node").select("node", F.col("head.node").alias("class_node"), F.col("head.doc_id").alias("class_id"))
     return rows.select("row", "node").join(heads, "node").select("row", "node", "class_node", "class_id")
+
+
+def keep_first(docs: DataFrame, least: float = LEAST) -> DataFrame:
+    """The rows of ``docs`` without those that are near copies of another: the smallest doc_id of each class stays, one row of it."""
+    found = classes(docs, least).where("node = class_node and row.doc_id <=> class_id")
+    # equal rows of one doc_id: any one of them
+    first = found.groupBy("class_node").agg(F.min_by("row", F.xxhash64("row")).alias("row"))
+    return first.select("row.*")
