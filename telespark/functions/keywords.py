@@ -20,7 +20,6 @@ MAX_DEPTH = 32
 LONG_TOKEN = 16          # an identifier this long matches as a whole token
 TOKENS_PER_TERM = 4
 DIGITS_TOKEN = 8         # all-digit words this long, when nothing else narrows the search
-ANY_OF_LIMIT = 256
 PLAIN_WORD = 4           # ASCII words this long count as indexable in an OR
 CJK_WORD = 4
 TOKEN_EDGE = r"[a-z0-9\x{80}-\x{10FFFF}]"
@@ -176,7 +175,7 @@ def _whole(term: str, unscoped: bool) -> bool:
 
 def _any_of(group: Group, unscoped: bool) -> bool:
     """An OR of plain words that is answered as substrings only."""
-    plain = all(isinstance(p, Term) for p in group.parts) and len(group.parts) <= ANY_OF_LIMIT
+    plain = all(isinstance(p, Term) for p in group.parts)
     return plain and not (unscoped and all(_indexable(p.text) for p in group.parts))
 
 

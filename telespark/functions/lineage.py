@@ -9,10 +9,13 @@ from pyspark.sql import DataFrame, SparkSession
 
 def use_checkpoints(spark: SparkSession) -> None:
     """Make ``DataFrame.checkpoint()`` usable.  The cluster names its shared folder in
-    ``spark.checkpoint.dir``; only where none is set (tests) a temporary one is used."""
+    ``spark.checkpoint.dir``; a folder of its own is used on a single local machine only,
+    as executors elsewhere could not read it."""
     sc = spark.sparkContext
     if sc.getCheckpointDir() is None:
         named = spark.conf.get("spark.checkpoint.dir", None)
+        if not named and not sc.master.startswith("local["):
+            raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
         sc.setCheckpointDir(named or tempfile.mkdtemp(prefix="telespark-checkpoint-"))
 
 

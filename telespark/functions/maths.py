@@ -42,3 +42,8 @@ def ms(ns: Column) -> Column:
 def money_round(x: Column) -> Column:
     """Four decimals, never −0."""
     return F.round(x, 4) + F.lit(0.0)
+
+
+def head(text: Column, chars: int | None) -> Column:
+    """The first characters of a text; all of it without a number."""
+    return text if chars is None else F.substring(text, 1, chars)

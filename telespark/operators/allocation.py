@@ -12,7 +12,7 @@ from pyspark.sql import functions as F
 
 from telespark.functions.maths import change_pct, money_round
 from telespark.functions.timeaxis import days_in_period, period_plus, periods_between, shift_period
-from telespark.operators.bills import DIMENSIONS, MAX_SERVICE_MONTHS, BillFilter, BillSource, normalize_bill, service_months
+from telespark.operators.bills import DIMENSIONS, BillFilter, BillSource, normalize_bill, service_months
 from telespark.sources.schema import column_kind, missing_columns
 
 MAX_RULES, MAX_LOOKBACK, DEFAULT_LOOKBACK = 200, 120, 36
@@ -169,14 +169,11 @@ def allocation_config(source: str | dict) -> Alloc:
 # --- rules on lines ------------------------------------------------------------------------
 
 def classify_rules(src: BillSource, alloc: Alloc) -> Column:
-    """Index of the first matching rule, −1 for none.
-
-    Written as the first non-NULL of an array, one element per rule: the expression
-    stays flat, so two hundred rules do not nest two hundred branches."""
+    """Index of the first matching rule, −1 for none; rules after it are not evaluated."""
     if not alloc.rules:
         return F.lit(UNMATCHED)
     hits = [F.when(r.matcher.predicate(src), i) for i, r in enumerate(alloc.rules)]
-    return F.coalesce(F.array_min(F.array(*hits)), F.lit(UNMATCHED))
+    return F.coalesce(*hits, F.lit(UNMATCHED))
 
 
 def alloc_rows(src: BillSource, f: BillFilter, alloc: Alloc, window_days: int | None = None) -> BillSource:
@@ -240,11 +237,14 @@ def prepaid_amortise(sources: list[BillSource], f: BillFilter, alloc: Alloc, amo
         out = one if out is None else out.unionByName(one)
     if out is None:
         return None
-    months = F.least(F.col("months"), F.lit(MAX_SERVICE_MONTHS))
-    parts = out.select("provider", "rule", "product", "period", (F.col("amount") / months).alias("part"),
-                       F.explode(F.sequence(F.lit(0), months - 1)).alias("k"))
+    # only months that can be shown are made: a part's size follows the real period
+    last = shift_period(f.last, AMORTIZE_FORWARD)
+    reach = F.months_between(F.to_date(F.lit(last), "yyyy-MM"), F.to_date("period", "yyyy-MM")).cast("int")
+    parts = out.withColumn("until", F.least(F.col("months") - 1, reach)).where("until >= 0").select(
+        "provider", "rule", "product", "period", (F.col("amount") / F.col("months")).alias("part"),
+        F.explode(F.sequence(F.lit(0), F.col("until"))).alias("k"))
     shifted = parts.withColumn("period", period_plus(F.col("period"), F.col("k")))
-    return (shifted.where(F.col("period").between(f.first, shift_period(f.last, AMORTIZE_FORWARD)))
+    return (shifted.where(F.col("period").between(f.first, last))
                    .groupBy("provider", "rule", "product", "period").agg(F.sum("part").alias("amount")))
 
 

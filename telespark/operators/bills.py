@@ -10,15 +10,14 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from telespark.functions.keywords import contains_ci
+from telespark.functions.limits import at_most, at_most_per
 from telespark.functions.maths import money_round
 from telespark.functions.timeaxis import check_period, periods_between, shift_period
 from telespark.sources.schema import BillTables, column_kind, missing_columns
 
 MAX_PERIODS, DEFAULT_PERIODS = 36, 6
 SYNC_WINDOW_S = 60
-MAX_SERVICE_MONTHS = 120
 MAX_RAW_COLUMNS = 120
-FACET_VALUES = 200
 EMPTY_KEY = "(empty)"
 VERSION = "updated_at"
 MONEY = T.DecimalType(20, 8)
@@ -171,15 +170,17 @@ class BillFilter:
 def dedupe_bills(src: BillSource, rows: DataFrame, cols: dict[str, Column]) -> DataFrame:
     """Bill lines without repeated syncs, carrying ``cols``.
 
-    ``group``: copies equal in key and all amounts become one; then per key only lines
-    within a minute of its newest sync stay, so parallel lines of one sync survive and
-    corrected ones replace their predecessors.  Copies collapse before the shuffle.  The
-    newest time per key comes from a second scan that reads the key and the time only;
-    joining it (rather than a window per key) lets a key of any size be split.
+    ``group``: copies equal in key and all amounts become one (the newest of them); then
+    per key only lines within a minute of its newest sync stay, so parallel lines of one
+    sync survive and corrected ones replace their predecessors.  The table is read once
+    and shuffled once, by the key, which is all but unique; both steps are windows over
+    that one partitioning and order.
     ``final``: the newest line per key.  ``off``: everything."""
     named = [c.alias(n) for n, c in cols.items()]
     if src.mode == "off":
         return rows.select(*named)
+    if not src.keys:
+        raise ValueError("this bill table has no key to find repeated lines by; use mode 'off'")
     keys = [f"__k{i}" for i in range(len(src.keys))]
     key_cols = [F.col(c).alias(k) for c, k in zip(src.keys, keys, strict=True)]
     versioned = VERSION in rows.columns
@@ -193,22 +194,15 @@ def dedupe_bills(src: BillSource, rows: DataFrame, cols: dict[str, Column]) -> D
     if src.mode != "group":
         raise ValueError(f"mode must be group, final or off, not {src.mode!r}")
     amounts = [c for c in AMOUNTS[src.provider].values() if c in rows.columns]
-    amount_cols = [F.col(c).alias(f"__a{i}") for i, c in enumerate(amounts)]
-    flat = rows.select(*key_cols, *amount_cols, *version, *named)
-    carried = [F.any_value(n).alias(n) for n in cols]
-    grouped = flat.groupBy(*keys, *[f"__a{i}" for i in range(len(amounts))]).agg(
-        *carried, *([F.max("__v").alias("__v")] if versioned else []))
-    if not versioned:
-        return grouped.select(*cols)
-    newest = (rows.select(*key_cols, *version).groupBy(*[F.col(k).alias("n" + k) for k in keys])
-              .agg(F.max("__v").alias("__newest")))
-    same = None
-    for k in keys:
-        c = F.col(k).eqNullSafe(F.col("n" + k))
-        same = c if same is None else same & c
-    return (grouped.join(newest, same)
-            .where(F.col("__v") >= F.col("__newest") - F.make_dt_interval(F.lit(0), F.lit(0), F.lit(0), F.lit(SYNC_WINDOW_S)))
-            .select(*cols))
+    equal = [f"__a{i}" for i in range(len(amounts))]
+    flat = rows.select(*key_cols, *[F.col(c).alias(a) for c, a in zip(amounts, equal, strict=True)], *version, *named).repartition(*keys)
+    copies = Window.partitionBy(*keys, *equal).orderBy(*([F.desc("__v")] if versioned else equal))
+    one = flat.withColumn("__n", F.row_number().over(copies)).where("__n = 1")
+    if versioned:
+        newest = F.max("__v").over(Window.partitionBy(*keys))
+        window = F.make_dt_interval(F.lit(0), F.lit(0), F.lit(0), F.lit(SYNC_WINDOW_S))
+        one = one.withColumn("__newest", newest).where(F.col("__v") >= F.col("__newest") - window)
+    return one.select(*cols)
 
 
 def service_months(period: Column, unit: Column) -> Column:
@@ -365,15 +359,15 @@ def bill_count(src: BillSource, f: BillFilter) -> DataFrame:
 
 
 def export_bills(src: BillSource, f: BillFilter, amount: str = "payable", sort: str = "amount", desc: bool = True, raw=(),
-                 limit: int = 100_000) -> DataFrame:
+                 limit: int | None = None) -> DataFrame:
     """Detail rows for a file: each raw column under its own name, ``raw.`` in front
     where that name is taken."""
     rows, extra = _detail(src, f, amount, sort, desc, raw)
     named = [F.col(c).alias(f"raw.{n}" if n in DETAIL_COLUMNS else n) for n, c in zip(raw, extra, strict=True)]
-    return _as_money(rows.limit(limit)).select(*DETAIL_COLUMNS, *named)
+    return _as_money(at_most(rows, limit)).select(*DETAIL_COLUMNS, *named)
 
 
-def bill_facets(src: BillSource, f: BillFilter, dims, k: int = FACET_VALUES) -> DataFrame:
+def bill_facets(src: BillSource, f: BillFilter, dims, k: int | None = None) -> DataFrame:
     """Most frequent values per dimension under the filters of all other dimensions."""
     rows = src.df
     for c in f.text_and_days(src):
@@ -388,8 +382,7 @@ def bill_facets(src: BillSource, f: BillFilter, dims, k: int = FACET_VALUES) ->
         cells.append(F.struct(F.lit(d).alias("dim"), src.dimension(d).alias("value"), keep.alias("keep")))
     counts = (rows.select(F.inline(F.array(*cells))).where("keep and value <> ''")
                   .groupBy("dim", "value").agg(F.count("*").alias("count")))
-    w = Window.partitionBy("dim").orderBy(F.desc("count"), "value")
-    return counts.withColumn("rk", F.row_number().over(w)).where(F.col("rk") <= k).drop("rk")
+    return at_most_per(counts, ["dim"], [F.desc("count"), "value"], k)
 
 
 def coverage_check(daily: BillSource, monthly: BillSource, f: BillFilter, amount: str = "payable", least: float = 0.95) -> DataFrame:

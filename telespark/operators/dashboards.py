@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from telespark.functions.attrs import attr
+from telespark.functions.attrs import attr, flatten_attributes
 from telespark.functions.timeaxis import Bucket
 from telespark.operators.traces import is_error
 
@@ -110,7 +110,7 @@ def resolve_dashboard(catalog: DataFrame, panels: dict = PANELS) -> DataFrame:
     """Per panel the first variant whose metric exists; panels without one are left out."""
     table = panel_table(catalog.sparkSession, panels)
     names = catalog.select("metric_name", "metric_type", "metric_unit")
-    found = names.join(F.broadcast(table), "metric_name")
+    found = names.join(table, "metric_name")
     w = Window.partitionBy("section", "panel").orderBy("variant", "metric_type", "metric_unit")
     return (found.withColumn("rk", F.row_number().over(w)).where("rk = 1").drop("rk")
             .orderBy("section_no", "panel_no"))
@@ -119,11 +119,12 @@ def resolve_dashboard(catalog: DataFrame, panels: dict = PANELS) -> DataFrame:
 def uncovered_metrics(catalog: DataFrame, panels: dict = PANELS) -> DataFrame:
     """Metrics no panel knows."""
     known = panel_table(catalog.sparkSession, panels).select("metric_name").distinct()
-    return catalog.join(F.broadcast(known), "metric_name", "left_anti")
+    return catalog.join(known, "metric_name", "left_anti")
 
 
-def spikes_from_series(points: DataFrame, bucket: Bucket, by, unit: str = "", agg: str = "") -> DataFrame:
-    """Turn series cells into drill-down requests: labels become span predicates.
+def spikes_from_series(points: DataFrame, bucket: Bucket, by, unit: str = "", agg: str = "", service: str | None = None) -> DataFrame:
+    """Turn series cells into drill-down requests: labels become span predicates.  ``service``
+    is that of the page, for series that are not grouped by service.
 
     ``spike_id, service_name, bucket, t_ms, v, span_name, error_only, attrs, log_dims, min_ms``"""
     pairs = list(enumerate(by))
@@ -142,7 +143,7 @@ def spikes_from_series(points: DataFrame, bucket: Bucket, by, unit: str = "", ag
     slow = F.when(F.col("v") > 0, F.col("v") * factor) if factor else F.lit(None).cast("double")
     return points.where(F.col("v").isNotNull()).select(
         F.concat_ws("|", F.col("bucket").cast("string"), F.concat_ws("|", "keys")).alias("spike_id"),
-        label("service_name").alias("service_name"), "bucket", bucket.start(F.col("bucket")).alias("t_ms"), "v",
+        F.coalesce(label("service_name"), F.lit(service).cast("string")).alias("service_name"), "bucket", bucket.start(F.col("bucket")).alias("t_ms"), "v",
         label("span.name").alias("span_name"),
         F.coalesce(F.contains(F.upper(label("status.code")), F.lit("ERROR")), F.lit(False)).alias("error_only"),
         pick({k: k for k in TRACE_LABELS}).alias("attrs"), pick(LOG_LABELS).alias("log_dims"), slow.alias("min_ms"))
@@ -153,11 +154,31 @@ def drill_spans(spans: DataFrame, spikes: DataFrame, bucket: Bucket) -> DataFram
 
     Spikes lie on the bucket grid, so the time condition is equality of bucket numbers
     and the join is a plain equi-join that adaptive execution can split."""
-    left = spans.withColumn("bucket", bucket.index())
-    hit = left.join(spikes.withColumnRenamed("span_name", "want_name"), ["service_name", "bucket"])
-    meets = F.forall("attrs", lambda e: F.coalesce(F.element_at(F.col("span_attributes"), e["key"]), F.lit("")) == e["value"])
+    labels = F.map_filter(flatten_attributes(spans, "span_attributes"), lambda k, _: k.isin(list(TRACE_LABELS)))
+    left = spans.withColumns({"bucket": bucket.index(), "__labels": labels})
+    hit = _cells(left, spikes.withColumnRenamed("span_name", "want_name"))
+    meets = F.forall("attrs", lambda e: F.coalesce(F.element_at("__labels", e["key"]), F.lit("")) == e["value"])
     return (hit.where(F.col("want_name").isNull() | (F.col("span_name") == F.col("want_name")))
-               .where(~F.col("error_only") | is_error()).where(meets))
+               .where(~F.col("error_only") | is_error()).where(meets).drop("__labels"))
+
+
+def _cells(rows: DataFrame, spikes: DataFrame) -> DataFrame:
+    """Rows in the bucket and service of each spike; a spike without a service takes all services of its bucket."""
+    named = rows.join(spikes, ["service_name", "bucket"])
+    open_ones = spikes.where("service_name is null").drop("service_name")
+    return named.unionByName(rows.join(open_ones, "bucket").select(*named.columns))
+
+
+def drill_to_logs(logs: DataFrame, spikes: DataFrame, bucket: Bucket) -> DataFrame:
+    """Log lines behind each spike: same bucket, same service and the same pod, namespace, container and host
+    as far as the spike has them.  ``logs`` needs ``service_name``; a dimension it lacks matches nothing."""
+    known = [n for n in LOG_LABELS.values() if n in logs.columns]
+    pairs = [x for n in known for x in (F.lit(n), F.col(n))]
+    dims = F.create_map(*pairs) if pairs else F.create_map().cast("map<string,string>")
+    left = logs.withColumns({"bucket": bucket.index(), "__dims": dims})
+    hit = _cells(left, spikes.select("spike_id", "service_name", "bucket", "log_dims"))
+    meets = F.forall("log_dims", lambda e: F.coalesce(F.element_at("__dims", e["key"]), F.lit("")) == e["value"])
+    return hit.where(meets).drop("__dims", "log_dims")
 
 
 def drill_to_traces(spans: DataFrame, spikes: DataFrame, bucket: Bucket, n: int = 10) -> DataFrame:
@@ -174,6 +195,6 @@ def drill_to_errors(spans: DataFrame, spikes: DataFrame, bucket: Bucket) -> Data
     A spike without rows was slow, not failing."""
     left = spans.where(is_error()).select("service_name", "span_name", attr(spans, "span_attributes", "http.response.status_code").alias("http_status"),
                                           bucket.index().alias("bucket"))
-    hit = left.join(spikes.select("spike_id", "service_name", "bucket", F.col("span_name").alias("want_name")), ["service_name", "bucket"])
+    hit = _cells(left, spikes.select("spike_id", "service_name", "bucket", F.col("span_name").alias("want_name")))
     return (hit.where(F.col("want_name").isNull() | (F.col("span_name") == F.col("want_name")))
                .groupBy("spike_id", "span_name", "http_status").agg(F.count("*").alias("count")))

@@ -7,8 +7,9 @@ from dataclasses import dataclass
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from telespark.functions.attrs import attr, first_attr
-from telespark.functions.maths import quantiles
+from telespark.functions.attrs import MAX_KEY, attr, first_attr, flatten_attributes
+from telespark.functions.limits import at_most, at_most_per
+from telespark.functions.maths import head, quantiles
 from telespark.functions.timeaxis import millis
 from telespark.operators.traces import SpanFilter, dedupe_spans, is_error
 
@@ -22,9 +23,7 @@ DB_ATTRIBUTES = {
     "db_port": ("server.port", "net.peer.port"),
 }
 STATEMENT_ATTRIBUTES = ("db.query.text", "db.statement")
-PARAMS_ATTRIBUTE = "db.query.parameter"
-TRACE_STATEMENT_CHARS = 4_000
-TOP_STATEMENT_CHARS = 1_500
+PARAMS_ATTRIBUTE = "db.query.parameter"          # one attribute with all, or the head of one for each
 SORTS = ("total", "p95", "max", "calls", "errors")
 # Which registered source type serves a db.system value.
 SOURCE_TYPES = {
@@ -33,20 +32,29 @@ SOURCE_TYPES = {
 }
 
 
-def _db_columns(df: DataFrame, chars: int) -> list[Column]:
+def _db_columns(df: DataFrame, chars: int | None) -> list[Column]:
     cols = [first_attr(df, "span_attributes", keys).alias(name) for name, keys in DB_ATTRIBUTES.items()]
-    return [*cols, F.substring(first_attr(df, "span_attributes", STATEMENT_ATTRIBUTES), 1, chars).alias("statement")]
+    return [*cols, head(first_attr(df, "span_attributes", STATEMENT_ATTRIBUTES), chars).alias("statement")]
 
 
-def trace_db_calls(df: DataFrame, chars: int = TRACE_STATEMENT_CHARS, with_params: bool = False) -> DataFrame:
+def trace_db_calls(df: DataFrame, chars: int | None = None, with_params: bool = False) -> DataFrame:
     """Client spans that name a database system, with unified columns."""
-    params = [attr(df, "span_attributes", PARAMS_ATTRIBUTE).alias("params")] if with_params else []
+    params = [_params(df).alias("params")] if with_params else []
     rows = df.where(F.col("span_kind") == "Client").select(
         "trace_id", "span_id", "parent_span_id", "timestamp", "service_name", "span_name", "duration_ns", "status_code",
         "status_message", *_db_columns(df, chars), *params).where("db_system <> ''")
     return dedupe_spans(rows).withColumn("start_us", F.unix_micros("timestamp")).drop("timestamp")
 
 
+def _params(df: DataFrame) -> Column:
+    """Query parameters as JSON text: from ``db.query.parameter.<key>`` attributes, else
+    from one attribute that holds them all."""
+    head_of = PARAMS_ATTRIBUTE + "."
+    family = F.map_filter(flatten_attributes(df, "span_attributes"), lambda k, v: k.startswith(head_of))
+    family = F.transform_keys(family, lambda k, _: F.substring(k, len(head_of) + 1, MAX_KEY))
+    return F.when(F.size(family) > 0, F.to_json(family)).otherwise(attr(df, "span_attributes", PARAMS_ATTRIBUTE))
+
+
 def params_in_order(params: Column) -> Column:
     """JSON object of parameters as an array of texts in index order."""
     entries = F.map_entries(F.from_json(params, "map<string,string>"))
@@ -89,20 +97,18 @@ def fill_statements(calls: DataFrame, display: bool = False) -> DataFrame:
     return calls.withColumn("filled", fill_statement(F.col("statement"), params_in_order(F.col("params")), display))
 
 
-def repeated_statements(calls: DataFrame, least: int = 3, top: int = 10) -> DataFrame:
-    """Statements run at least ``least`` times inside one trace, ten worst per trace by
-    total time, with the trace's whole database time."""
-    from pyspark.sql import Window
+def repeated_statements(calls: DataFrame, least: int = 3, top: int | None = None) -> DataFrame:
+    """Statements run at least ``least`` times inside one trace (the ``top`` worst of each by
+    total time), with the trace's whole database time."""
     per = calls.groupBy("trace_id", "service_name", "statement").agg(
         F.count("*").alias("times"), F.sum("duration_ns").alias("total_ns"))
     whole = per.groupBy("trace_id").agg(F.sum("total_ns").alias("trace_db_ns"))
-    w = Window.partitionBy("trace_id").orderBy(F.desc("total_ns"), "service_name", "statement")
-    return (per.where(F.col("times") >= least).withColumn("rk", F.row_number().over(w)).where(F.col("rk") <= top)
-               .drop("rk").join(whole, "trace_id"))
+    often = at_most_per(per.where(F.col("times") >= least), ["trace_id"], [F.desc("total_ns"), "service_name", "statement"], top)
+    return often.join(whole, "trace_id")
 
 
-def db_calls_top(df: DataFrame, f: SpanFilter, system: str | None = None, sort: str = "total", limit: int = 50,
-                 chars: int = TOP_STATEMENT_CHARS) -> DataFrame:
+def db_calls_top(df: DataFrame, f: SpanFilter, system: str | None = None, sort: str = "total", limit: int | None = None,
+                 chars: int | None = None) -> DataFrame:
     """Calls grouped by statement with the slowest one as a sample."""
     if sort not in SORTS:
         raise ValueError(f"sort must be one of {SORTS}, not {sort!r}")
@@ -120,7 +126,7 @@ def db_calls_top(df: DataFrame, f: SpanFilter, system: str | None = None, sort:
                      F.col("s.trace_id").alias("sample_trace"), F.col("s.span_id").alias("sample_span"),
                      F.col("s.ts_ms").alias("sample_ms"))
     by = {"total": "total_ns", "p95": "p95_ns", "max": "max_ns", "calls": "calls", "errors": "errors"}[sort]
-    return out.orderBy(F.desc(by), *keys).limit(limit)
+    return at_most(out.orderBy(F.desc(by), *keys), limit)
 
 
 @dataclass(frozen=True)
@@ -186,15 +192,15 @@ def normalize_statement(statement: Column) -> Column:
     return F.trim(F.regexp_replace(s, r"\s+", " "))
 
 
-def statement_digest(query_log: DataFrame, sort: str = "total", limit: int = 100, min_ms: float = 0.0) -> DataFrame:
+def statement_digest(query_log: DataFrame, sort: str = "total", limit: int | None = None, min_ms: float = 0.0) -> DataFrame:
     """Slow-statement table from a query log with ``statement, duration_ms, error, rows, ts_ms``."""
     by = {"total": "total_ms", "avg": "avg_ms", "max": "max_ms", "calls": "calls"}
     if sort not in by:
         raise ValueError(f"sort must be one of {sorted(by)}, not {sort!r}")
     out = (query_log.where(F.col("duration_ms") >= min_ms)
            .groupBy(normalize_statement(F.col("statement")).alias("digest")).agg(
-               F.min(F.substring("statement", 1, 2000)).alias("sample"), F.count("*").alias("calls"),
+               F.min("statement").alias("sample"), F.count("*").alias("calls"),
                F.count_if("error").alias("errors"), F.avg("duration_ms").alias("avg_ms"),
                quantiles(F.col("duration_ms"), (0.95,))[0].alias("p95_ms"), F.max("duration_ms").alias("max_ms"),
                F.sum("duration_ms").alias("total_ms"), F.sum("rows").alias("rows"), F.max("ts_ms").alias("last_seen_ms")))
-    return out.orderBy(F.desc(by[sort]), "digest").limit(limit)
+    return at_most(out.orderBy(F.desc(by[sort]), "digest"), limit)

@@ -9,6 +9,8 @@ from pyspark.sql import functions as F
 
 from telespark.functions import keywords as kw
 from telespark.functions.ordered import running_total
+from telespark.functions.limits import at_most, at_most_per
+from telespark.functions.maths import head
 from telespark.functions.timeaxis import HOUR, LOG_BUCKETS, Bucket, TimeRange, dense, instant, millis
 from telespark.sources.schema import LOG_COLUMNS, check_dimension, column_kind
 
@@ -98,19 +100,18 @@ def log_order(order: str = "desc") -> list[Column]:
     return [c.desc() if order == "desc" else c.asc() for c in cols]
 
 
-def log_columns(df: DataFrame, cap: int | None = MESSAGE_CAP) -> DataFrame:
+def log_columns(df: DataFrame, cap: int | None = None) -> DataFrame:
     """Fixed columns plus displayable extras.  ``message`` keeps its first ``cap``
-    characters and ``message_len`` its full length."""
+    characters (all without a cap) and ``message_len`` its full length."""
     extras = [f.name for f in df.schema.fields
               if f.name not in LOG_COLUMNS and column_kind(f.dataType) in ("string", "int", "float", "datetime")]
-    message = [F.col("message")] if cap is None else [
-        F.substring("message", 1, cap).alias("message"), F.char_length("message").cast("bigint").alias("message_len")]
+    message = [head(F.col("message"), cap).alias("message"), F.char_length("message").cast("bigint").alias("message_len")]
     return df.select(millis().alias("ts_ms"), "level", "trace_id", "span_id", "thread", "logger",
                      *message, "file", "host", *extras)
 
 
 def search_logs(df: DataFrame, f: LogFilter, order: str = "desc", limit: int = 100, offset: int = 0,
-                cap: int | None = MESSAGE_CAP) -> DataFrame:
+                cap: int | None = None) -> DataFrame:
     if offset > MAX_OFFSET:
         raise ValueError(f"offset is limited to {MAX_OFFSET}; narrow the time range instead")
     rows = f.apply(df).orderBy(*log_order(order))
@@ -154,7 +155,7 @@ def _explode_values(df: DataFrame, pairs: list[Column]) -> DataFrame:
     return df.select(F.inline(F.array(*pairs)))
 
 
-def log_facets(df: DataFrame, f: LogFilter, fields, k: int = 500, exact: bool = True) -> DataFrame:
+def log_facets(df: DataFrame, f: LogFilter, fields, k: int | None = None, exact: bool = True) -> DataFrame:
     """Top ``k`` values of many columns in one scan: ``field, value, count``.
 
     Exact mode counts (field, value) pairs with map-side partial sums.  The
@@ -166,8 +167,9 @@ def log_facets(df: DataFrame, f: LogFilter, fields, k: int = 500, exact: bool =
     if exact:
         pairs = [F.struct(F.lit(n).alias("field"), F.col(n).alias("value")) for n in fields]
         counts = _explode_values(rows, pairs).groupBy("field", "value").agg(F.count("*").alias("count"))
-        w = Window.partitionBy("field").orderBy(F.desc("count"), F.asc("value"))
-        return counts.withColumn("rk", F.row_number().over(w)).where(F.col("rk") <= k).drop("rk")
+        return at_most_per(counts, ["field"], [F.desc("count"), F.asc("value")], k)
+    if k is None:
+        raise ValueError("the approximate mode needs k")
     tops = rows.agg(*[F.expr(f"approx_top_k(`{n}`, {int(k)}, {max(10_000, 4 * int(k))})").alias(n) for n in fields])
     pairs = [F.struct(F.lit(n).alias("field"), F.col(n).alias("top")) for n in fields]
     return (tops.select(F.inline(F.array(*pairs))).select("field", F.inline("top"))
@@ -195,7 +197,7 @@ def cross_filter_facets(df: DataFrame, selected: dict[str, Column], rank_levels:
     return counts.orderBy("field", F.desc("count"), "value")
 
 
-def log_context(df: DataFrame, host: str, file: str, ts_ms: int, n: int = 50, cap: int | None = MESSAGE_CAP) -> DataFrame:
+def log_context(df: DataFrame, host: str, file: str, ts_ms: int, n: int = 50, cap: int | None = None) -> DataFrame:
     """``n`` lines of one stream at or before a moment and ``n`` after it, within an hour."""
     stream = df.where((F.col("host") == host) & (F.col("file") == file))
     at = instant(ts_ms + 1)      # "at" includes the whole millisecond
@@ -270,8 +272,8 @@ def shape_log_row(rows: DataFrame, tz: str = "UTC", max_chars: int = 1000) -> Da
         F.map_filter(pairs, lambda _, v: v != "").alias("fields"))
 
 
-def export_logs(df: DataFrame, f: LogFilter, order: str = "desc", limit: int = 20_000, tz: str = "UTC") -> DataFrame:
+def export_logs(df: DataFrame, f: LogFilter, order: str = "desc", limit: int | None = None, tz: str = "UTC") -> DataFrame:
     """Rows for a file: full messages, time as text."""
-    rows = log_columns(f.apply(df).orderBy(*log_order(order)).limit(limit), cap=None)
+    rows = log_columns(at_most(f.apply(df).orderBy(*log_order(order)), limit)).drop("message_len")
     when = F.date_format(F.from_utc_timestamp(F.timestamp_millis("ts_ms"), tz), "yyyy-MM-dd HH:mm:ss.SSS")
     return rows.select(when.alias("time"), *[c for c in rows.columns if c != "ts_ms"])

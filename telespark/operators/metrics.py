@@ -10,6 +10,7 @@ from pyspark.sql import types as T
 
 from telespark.functions import histogram as H
 from telespark.functions.attrs import AttrFilter, attr, attr_names
+from telespark.functions.limits import at_most
 from telespark.functions.ordered import previous
 from telespark.functions.timeaxis import HOUR, MINUTE, Bucket, TimeRange, dense, millis
 
@@ -21,12 +22,7 @@ POINT_AGGS = ("avg", "sum", "min", "max", "last", "count")
 SERIES_AGGS = ("rate", "increase", "mean")
 POD = "k8s.pod.name"
 CATALOG_MS = 6 * HOUR
-CATALOG_LIMIT = 2_000
-CATALOG_SERVICES = 100
-MAX_SERIES = 100
 MAX_QUANTILES = 5
-LABEL_SAMPLE = 20_000
-EVENT_LIMIT = 200
 START_MARGIN_MS = 2 * MINUTE
 EXEMPLAR_LIMIT = 500
 FOLD_SERIES = 8
@@ -84,9 +80,10 @@ def series_id(df: DataFrame) -> Column:
 
 # --- catalogue -----------------------------------------------------------------------
 
-def metric_catalog(df: DataFrame, rng: TimeRange, services=None, contains: str = "", limit: int = CATALOG_LIMIT) -> DataFrame:
+def metric_catalog(df: DataFrame, rng: TimeRange, services=None, contains: str = "", limit: int | None = None,
+                   per_metric: int | None = None) -> DataFrame:
     """Metrics seen in the last six hours of the range, with the services that report
-    them (the first hundred by name)."""
+    them (the first ``per_metric`` by name)."""
     recent = TimeRange(max(rng.from_ms, rng.to_ms - CATALOG_MS), rng.to_ms)
     rows = df.where(recent.holds())
     if services:
@@ -96,12 +93,13 @@ def metric_catalog(df: DataFrame, rng: TimeRange, services=None, contains: str =
     keys = ["metric_name", "metric_type", "metric_unit"]
     per_service = rows.groupBy(*keys, "service_name").agg(
         F.min("metric_description").alias("d"), F.min("temporality").alias("t"), F.max("is_monotonic").alias("m"), F.count("*").alias("n"))
-    rank = F.row_number().over(Window.partitionBy(*keys).orderBy("service_name"))
-    return (per_service.withColumn("rk", rank).groupBy(*keys).agg(
+    rank = F.row_number().over(Window.partitionBy(*keys).orderBy("service_name")) if per_metric is not None else F.lit(0)
+    listed = F.col("service_name") if per_metric is None else F.when(F.col("rk") <= per_metric, F.col("service_name"))
+    return at_most(per_service.withColumn("rk", rank).groupBy(*keys).agg(
         F.min("d").alias("description"), F.min("t").alias("temporality"),
-        F.array_sort(F.collect_list(F.when(F.col("rk") <= CATALOG_SERVICES, F.col("service_name")))).alias("services"),
+        F.array_sort(F.collect_list(listed)).alias("services"),
         F.max("m").alias("is_monotonic"), F.sum("n").alias("points"))
-        .orderBy(*keys).limit(limit))
+        .orderBy(*keys), limit)
 
 
 @dataclass(frozen=True)
@@ -145,18 +143,17 @@ def metric_kind(df: DataFrame, f: MetricFilter) -> MetricKind | None:
     return None if row is None else MetricKind(row[0], bool(row[1]), bool(row[2]))
 
 
-def _name_counts(df: DataFrame, name: Column, limit: int) -> DataFrame:
-    return df.groupBy(name.alias("name")).agg(F.count("*").alias("count")).orderBy(F.desc("count"), "name").limit(limit)
+def _name_counts(df: DataFrame, name: Column, limit: int | None) -> DataFrame:
+    return at_most(df.groupBy(name.alias("name")).agg(F.count("*").alias("count")).orderBy(F.desc("count"), "name"), limit)
 
 
-def label_keys(df: DataFrame, f: MetricFilter, column: str = "attributes", limit: int = 200, sample: int = LABEL_SAMPLE) -> DataFrame:
-    rows = f.apply(df).limit(sample).select(F.explode(attr_names(df, column)).alias("k"))
+def label_keys(df: DataFrame, f: MetricFilter, column: str = "attributes", limit: int | None = None) -> DataFrame:
+    rows = f.apply(df).select(F.explode(attr_names(df, column)).alias("k"))
     return _name_counts(rows, F.col("k"), limit)
 
 
-def label_values(df: DataFrame, f: MetricFilter, key: str, column: str = "attributes", limit: int = 200,
-                 sample: int = LABEL_SAMPLE) -> DataFrame:
-    rows = f.apply(df).limit(sample).select(attr(df, column, key).alias("v")).where("v <> ''")
+def label_values(df: DataFrame, f: MetricFilter, key: str, column: str = "attributes", limit: int | None = None) -> DataFrame:
+    rows = f.apply(df).select(attr(df, column, key).alias("v")).where("v <> ''")
     return _name_counts(rows, F.col("v"), limit)
 
 
@@ -237,28 +234,30 @@ def histogram_quantile(hist: DataFrame, qs=(0.95,)) -> DataFrame:
                 .select("bucket", F.concat("keys", F.array("label")).alias("keys"), "v"))
 
 
-def series_lines(points: DataFrame, limit: int = MAX_SERIES) -> DataFrame:
-    """One row per key set, largest Σ|v| first, at most ``limit``: ``keys, weight, line``
-    with ``line`` an array of (bucket, v), and ``truncated``.
+def series_lines(points: DataFrame, limit: int | None = None) -> DataFrame:
+    """One row per key set: ``keys, weight, line, rank, truncated`` with ``line`` an array
+    of (bucket, v).  With a ``limit`` only the largest Σ|v|, ranked; without one all, unranked.
 
     Points of one key set are as many as the chart has buckets, so each line is a
     small array and the ranking is a plain top-n, without a window over everything."""
     lines = points.groupBy("keys").agg(
         F.coalesce(F.sum(F.abs("v")), F.lit(0.0)).alias("weight"),
         F.array_sort(F.collect_list(F.struct("bucket", "v"))).alias("line"))
+    if limit is None:
+        return lines.withColumns({"rank": F.lit(None).cast("int"), "truncated": F.lit(False)})
     top = lines.orderBy(F.desc("weight"), "keys").limit(limit + 1)      # one more tells whether any was cut
     place = Window.orderBy(F.desc("weight"), "keys")                    # over at most limit + 1 rows
     ranked = top.withColumns({"rank": F.row_number().over(place), "truncated": F.count("*").over(Window.partitionBy()) > limit})
     return ranked.where(F.col("rank") <= limit)
 
 
-def top_series(points: DataFrame, limit: int = MAX_SERIES) -> DataFrame:
+def top_series(points: DataFrame, limit: int | None = None) -> DataFrame:
     """Points of the ``limit`` largest key sets."""
     return (series_lines(points, limit).select("keys", "rank", "truncated", F.inline("line"))
             .select("bucket", "keys", "v", "rank", "truncated"))
 
 
-def align_series(points: DataFrame, rng: TimeRange, bucket: Bucket, by=(), metric: str = "", limit: int = 20) -> DataFrame:
+def align_series(points: DataFrame, rng: TimeRange, bucket: Bucket, by=(), metric: str = "", limit: int | None = None) -> DataFrame:
     """Chart rows: one per series, ``values`` on the shared axis with NULL gaps, and
     min, max, avg, last of what is there."""
     first, n = bucket.first(rng), bucket.count(rng)
@@ -284,7 +283,7 @@ def fold_other(points: DataFrame, rng: TimeRange, bucket: Bucket, keep: int = FO
     ``other`` (NULL where all are), without a half-finished last bucket."""
     whole = points.where(F.col("bucket") < bucket.first(rng) + bucket.complete(rng))
     top = series_lines(points, keep).select("keys", "rank")
-    ranked = whole.join(F.broadcast(top), "keys", "left")
+    ranked = whole.join(top, "keys", "left")
     key = F.when(F.col("rank").isNotNull(), F.col("keys"))
     return (ranked.groupBy("bucket", key.alias("keys")).agg(F.sum("v").alias("v"))
             .select(bucket.start(F.col("bucket")).alias("t_ms"), F.col("keys").isNull().alias("other"), "keys", "v"))
@@ -319,7 +318,7 @@ def _pods(df: DataFrame, f: MetricFilter) -> DataFrame:
     return f.apply(df).withColumn("pod", attr(df, "resource_attributes", POD))
 
 
-def counter_restarts(df: DataFrame, f: MetricFilter, field: str = "value", limit: int | None = EVENT_LIMIT,
+def counter_restarts(df: DataFrame, f: MetricFilter, field: str = "value", limit: int | None = None,
                      chunk_ms: int = HOUR) -> DataFrame:
     """Moments where a counter of a (service, pod) fell: the process came back in place.
     The previous sample is found across hourly chunks, so a pod of any size is split."""
@@ -331,14 +330,14 @@ def counter_restarts(df: DataFrame, f: MetricFilter, field: str = "value", limit
     return hits if limit is None else hits.orderBy("t_ms", "service_name", "pod").limit(limit)
 
 
-def pod_starts(df: DataFrame, f: MetricFilter, margin_ms: int = START_MARGIN_MS, limit: int | None = EVENT_LIMIT) -> DataFrame:
+def pod_starts(df: DataFrame, f: MetricFilter, margin_ms: int = START_MARGIN_MS, limit: int | None = None) -> DataFrame:
     """Pods first seen clearly after the window began."""
     first = (_pods(df, f).where("pod <> ''").groupBy("service_name", "pod").agg(F.min(millis()).alias("t_ms"))
              .where(F.col("t_ms") > f.range.from_ms + margin_ms).select("t_ms", "pod", "service_name"))
     return first if limit is None else first.orderBy("t_ms", "service_name", "pod").limit(limit)
 
 
-def metric_events(df: DataFrame, f: MetricFilter, field: str | None = None, limit: int | None = EVENT_LIMIT) -> DataFrame:
+def metric_events(df: DataFrame, f: MetricFilter, field: str | None = None, limit: int | None = None) -> DataFrame:
     """Restarts and starts by time.  Histograms are watched through their count."""
     if field is None:
         kind = metric_kind(df, f)

@@ -6,11 +6,11 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from telespark.functions.maths import change, change_pct, ms, quantiles, ratio, share
+from telespark.functions.limits import at_most_per
 from telespark.functions.timeaxis import SPAN_BUCKETS, SPARK_BUCKETS, Bucket, TimeRange, compare_shift, dense
 from telespark.operators.traces import ENTRY_KINDS, KIND_GROUPS, is_error
 from telespark.sources.schema import SPAN_COLUMNS, check_dimension
 
-OPERATIONS_PER_SERVICE = 200
 # Health thresholds.
 ERROR_RATE_BAD, ERROR_RATE_WARN = 0.05, 0.01
 P95_BAD, P95_WARN, P95_FLOOR_MS = 3.0, 1.5, 200.0
@@ -128,12 +128,11 @@ def service_overview(df: DataFrame, rng: TimeRange, compare: str = "day", tz: st
 
 def _operation_rows(rows: DataFrame, extra: list[str], per_service: int) -> DataFrame:
     g = rows.groupBy(*extra, "service_name", "span_name", "span_kind").agg(*_figures())
-    w = Window.partitionBy(*extra, "service_name").orderBy(F.desc("requests"), "span_name", "span_kind")
-    return g.withColumn("rk", F.row_number().over(w)).where(F.col("rk") <= per_service).drop("rk")
+    return at_most_per(g, [*extra, "service_name"], [F.desc("requests"), "span_name", "span_kind"], per_service)
 
 
 def service_operations(df: DataFrame, rng: TimeRange, kind: str = "entry", services=None,
-                       per_service: int = OPERATIONS_PER_SERVICE) -> DataFrame:
+                       per_service: int | None = None) -> DataFrame:
     """Figures per (service, span name, kind): the busiest ones of each service."""
     rows = _entry(df, KIND_GROUPS[kind]).where(rng.holds())
     if services:
@@ -145,7 +144,7 @@ def service_operations(df: DataFrame, rng: TimeRange, kind: str = "entry", servi
 
 
 def compare_operations(df: DataFrame, rng: TimeRange, compare: str = "day", kind: str = "entry", services=None,
-                       per_service: int = OPERATIONS_PER_SERVICE) -> DataFrame:
+                       per_service: int | None = None) -> DataFrame:
     """Operations of now next to those of the earlier window.
 
     ``status`` is ``new`` without an earlier side, ``gone`` (zero figures) when only the
@@ -161,7 +160,7 @@ def compare_operations(df: DataFrame, rng: TimeRange, compare: str = "day", kind
         *[_side(0, F.col(c)).alias(c) for c in ("requests", "errors", "max_ns", "q")],
         *[_side(1, F.col(c)).alias(f"prev_{c}") for c in ("requests", "errors", "q")])
     size = F.count("requests").over(Window.partitionBy("service_name"))
-    sides = sides.withColumn("truncated", size >= per_service)
+    sides = sides.withColumn("truncated", F.lit(False) if per_service is None else size >= per_service)
     sides = sides.where(F.col("requests").isNotNull() | ~F.col("truncated"))
     prev_secs = _secs(rng.shift(-shift)) if shift is not None else 1.0
     zero = lambda c: F.coalesce(c, F.lit(0))

@@ -10,6 +10,8 @@ from pyspark.sql import functions as F
 from telespark.functions.attrs import AttrFilter, attr, attr_names, first_attr, flatten_attributes, value_in
 from telespark.functions.keywords import contains_ci
 from telespark.functions.ordered import row_position
+from telespark.functions.limits import at_most
+from telespark.functions.maths import head
 from telespark.functions.timeaxis import DAY, HOUR, MINUTE, SPAN_BUCKETS, Bucket, TimeRange, millis
 from telespark.sources.schema import SPAN_COLUMNS, check_dimension
 
@@ -21,10 +23,8 @@ KIND_GROUPS = {"entry": ENTRY_KINDS, "client": CLIENT_KINDS, "all": ()}
 UNSCOPED_MS = 6 * HOUR
 SUMMARY_PAD_MS = 10 * MINUTE
 MAX_TRACE_SPANS = 5_000
-ATTR_SAMPLE = 20_000
 HEATMAP_BINS = 4
 ERROR_MESSAGE_CHARS = 160
-ERROR_GROUP_LIMIT = 200
 ERROR_GROUP_KEYS = ("service_name", "span_kind", "span_name", "exc_type", "exc_msg", "http_status", "peer")
 
 
@@ -251,6 +251,7 @@ def span_detail(df: DataFrame, trace_id: str, span_id: str) -> DataFrame:
 # the ones that reach forward when a wide one holds too many spans.
 WINDOWS = ((MINUTE, MINUTE), (15 * MINUTE, 15 * MINUTE), (HOUR, DAY), None)
 FORWARD = ((MINUTE, 2 * HOUR), (MINUTE, 30 * MINUTE), (MINUTE, 5 * MINUTE))
+NOW_WINDOWS = ((15 * MINUTE, 15 * MINUTE), (2 * HOUR, 2 * HOUR), (26 * HOUR, 26 * HOUR), None)
 EVER = 1 << 62
 
 
@@ -260,8 +261,17 @@ def _window_struct(before_after, truncated: bool, narrowed: bool) -> Column:
                     F.lit(truncated).alias("truncated"), F.lit(narrowed).alias("narrowed"))
 
 
-def trace_windows(df: DataFrame, anchors: DataFrame, cap: int = MAX_TRACE_SPANS) -> DataFrame:
-    """Which part of each trace to show.  ``anchors``: ``trace_id, at_ms``.
+def trace_windows(df: DataFrame, anchors: DataFrame, cap: int = MAX_TRACE_SPANS, now_ms: int | None = None) -> DataFrame:
+    """Which part of each trace to show.  ``anchors``: ``trace_id, at_ms``; a trace without
+    a moment is looked for around ``now_ms`` in wider windows, without the forward ones."""
+    if now_ms is None:
+        return _windows(df, anchors, cap, WINDOWS, FORWARD)
+    known, unknown = anchors.where("at_ms is not null"), anchors.where("at_ms is null").withColumn("at_ms", F.lit(now_ms).cast("bigint"))
+    return _windows(df, known, cap, WINDOWS, FORWARD).unionByName(_windows(df, unknown, cap, NOW_WINDOWS, ()))
+
+
+def _windows(df: DataFrame, anchors: DataFrame, cap: int, wide: tuple, forward: tuple) -> DataFrame:
+    """The windows of ``wide`` (last: all times), and longer ones to the future.
 
     Every candidate window is measured in one aggregation; the choice is then a
     chain of conditions.  A window is enough when its spans keep a tenth of its
@@ -271,7 +281,7 @@ def trace_windows(df: DataFrame, anchors: DataFrame, cap: int = MAX_TRACE_SPANS)
     rows = (df.select("trace_id", "span_id", "timestamp").join(anchors, "trace_id")
               .groupBy("trace_id", "at_ms", "span_id").agg(F.min(offset).alias("off")))
     aggs = []
-    for name, windows in (("w", WINDOWS), ("f", FORWARD)):
+    for name, windows in (("w", wide), ("f", forward)):
         for i, w in enumerate(windows):
             inside = F.lit(True) if w is None else (
                 (F.col("off") >= F.greatest(F.lit(-w[0]), -F.col("at_ms"))) & (F.col("off") < w[1]))
@@ -283,7 +293,7 @@ def trace_windows(df: DataFrame, anchors: DataFrame, cap: int = MAX_TRACE_SPANS)
         return F.col(f"{kind}{i}_n")
 
     def enough(i):
-        before, after = WINDOWS[i]
+        before, after = wide[i]
         margin = max(1, (before + after) // 10)
         start = F.greatest(F.lit(-before), -F.col("at_ms"))
         return (n(i) > 0) & (F.col(f"w{i}_lo") - start >= margin) & (F.lit(after) - F.col(f"w{i}_hi") >= margin)
@@ -291,28 +301,28 @@ def trace_windows(df: DataFrame, anchors: DataFrame, cap: int = MAX_TRACE_SPANS)
     def fallback(i):
         """What to show when window ``i`` holds too many spans."""
         out = None
-        for j, w in enumerate(FORWARD):
-            if WINDOWS[i] is None or w[1] <= WINDOWS[i][1]:
+        for j, w in enumerate(forward):
+            if wide[i] is None or w[1] <= wide[i][1]:
                 fits = (n(j, "f") > 0) & (n(j, "f") <= cap)
                 pick = _window_struct(w, True, True)
                 out = F.when(fits, pick) if out is None else out.when(fits, pick)
         for j in range(i):
             useful = (n(j) > 0) & (n(j) * 10 >= cap)
-            pick = _window_struct(WINDOWS[j], True, True)
+            pick = _window_struct(wide[j], True, True)
             out = F.when(useful, pick) if out is None else out.when(useful, pick)
-        plain = _window_struct(WINDOWS[i], True, False)
+        plain = _window_struct(wide[i], True, False)
         return plain if out is None else out.otherwise(plain)
 
     def widest(upto):
         out = None
         for j in reversed(range(upto)):
-            pick = _window_struct(WINDOWS[j], False, False)
+            pick = _window_struct(wide[j], False, False)
             out = F.when(n(j) > 0, pick) if out is None else out.when(n(j) > 0, pick)
         return out
 
     choice = None
     for i in range(3):
-        for cond, pick in ((n(i) > cap, fallback(i)), (enough(i), _window_struct(WINDOWS[i], False, False))):
+        for cond, pick in ((n(i) > cap, fallback(i)), (enough(i), _window_struct(wide[i], False, False))):
             choice = F.when(cond, pick) if choice is None else choice.when(cond, pick)
     last_n = F.coalesce(*[F.when(n(j) > 0, n(j)) for j in (2, 1, 0)], F.lit(0))
     choice = choice.when(last_n * 2 > cap, widest(3)).when(n(3) > cap, fallback(3)).otherwise(widest(4))
@@ -344,37 +354,35 @@ def pin_spans(shown: DataFrame, df: DataFrame, pins: DataFrame) -> DataFrame:
 
 # --- lists and samples ------------------------------------------------------------------
 
-def _top_values(df: DataFrame, value: Column, limit: int) -> DataFrame:
-    return (df.groupBy(value.alias("value")).agg(F.count("*").alias("count"))
-              .orderBy(F.desc("count"), "value").limit(limit))
+def _top_values(df: DataFrame, value: Column, limit: int | None) -> DataFrame:
+    return at_most(df.groupBy(value.alias("value")).agg(F.count("*").alias("count")).orderBy(F.desc("count"), "value"), limit)
 
 
-def list_services(df: DataFrame, rng: TimeRange, limit: int = 200) -> DataFrame:
+def list_services(df: DataFrame, rng: TimeRange, limit: int | None = None) -> DataFrame:
     return _top_values(df.where(rng.holds()), F.col("service_name"), limit)
 
 
-def list_span_names(df: DataFrame, rng: TimeRange, service: str, kinds=(), limit: int = 200) -> DataFrame:
+def list_span_names(df: DataFrame, rng: TimeRange, service: str, kinds=(), limit: int | None = None) -> DataFrame:
     rows = df.where(rng.holds()).where(F.col("service_name") == service)
     return _top_values(rows.where(F.col("span_kind").isin(list(kinds))) if kinds else rows, F.col("span_name"), limit)
 
 
-def _sample(df: DataFrame, rng: TimeRange, service: str, rows: int) -> DataFrame:
+def _of_service(df: DataFrame, rng: TimeRange, service: str) -> DataFrame:
     if not (service or "").strip():
         raise ValueError("attribute lists need a service")
-    return df.where(rng.holds()).where(F.col("service_name") == service).limit(rows)
+    return df.where(rng.holds()).where(F.col("service_name") == service)
 
 
 def attr_keys(df: DataFrame, rng: TimeRange, service: str, column: str = "span_attributes",
-              limit: int = 200, sample: int = ATTR_SAMPLE) -> DataFrame:
-    """Attribute names seen on a sample of one service's spans, with counts."""
-    rows = _sample(df, rng, service, sample)
-    return (rows.select(F.explode(attr_names(df, column)).alias("key")).groupBy("key").agg(F.count("*").alias("count"))
-                .orderBy(F.desc("count"), "key").limit(limit))
+              limit: int | None = None) -> DataFrame:
+    """Attribute names on one service's spans, with the number of spans that have them."""
+    names = _of_service(df, rng, service).select(F.explode(attr_names(df, column)).alias("key"))
+    return at_most(names.groupBy("key").agg(F.count("*").alias("count")).orderBy(F.desc("count"), "key"), limit)
 
 
 def attr_values(df: DataFrame, rng: TimeRange, service: str, key: str, column: str = "span_attributes",
-                limit: int = 200, sample: int = ATTR_SAMPLE) -> DataFrame:
-    rows = _sample(df, rng, service, sample).select(attr(df, column, key).alias("value"))
+                limit: int | None = None) -> DataFrame:
+    rows = _of_service(df, rng, service).select(attr(df, column, key).alias("value"))
     return _top_values(rows.where("value <> ''"), F.col("value"), limit)
 
 
@@ -397,8 +405,9 @@ def heatmap_totals(cells: DataFrame) -> DataFrame:
 
 
 def error_groups(df: DataFrame, rng: TimeRange, kind: str = "entry", service: str | None = None,
-                 span_name: str | None = None, message_chars: int = ERROR_MESSAGE_CHARS) -> DataFrame:
-    """Failed spans gathered by what went wrong, all groups."""
+                 span_name: str | None = None, message_chars: int | None = None) -> DataFrame:
+    """Failed spans gathered by what went wrong, all groups.  Messages are grouped whole
+    unless ``message_chars`` shortens them (screens use ERROR_MESSAGE_CHARS)."""
     if kind not in KIND_GROUPS:
         raise ValueError(f"kind must be one of {sorted(KIND_GROUPS)}, not {kind!r}")
     rows = df.where(rng.holds()).where(is_error())
@@ -410,7 +419,7 @@ def error_groups(df: DataFrame, rng: TimeRange, kind: str = "entry", service: st
         rows = rows.where(F.col("span_name") == span_name)
     keyed = rows.select(
         "service_name", "span_kind", "span_name", event_attr(df, "exception.type").alias("exc_type"),
-        F.substring(event_attr(df, "exception.message"), 1, message_chars).alias("exc_msg"),
+        head(event_attr(df, "exception.message"), message_chars).alias("exc_msg"),
         attr(df, "span_attributes", "http.response.status_code").alias("http_status"),
         attr(df, "span_attributes", "server.address").alias("peer"), "trace_id", "span_id", millis().alias("ts_ms"))
     # per (group, trace) first: the distinct count needs no second copy of the rows and
@@ -424,9 +433,9 @@ def error_groups(df: DataFrame, rng: TimeRange, kind: str = "entry", service: st
              F.col("s.ts").alias("last_ms"), F.col("s.trace_id").alias("sample_trace"), F.col("s.span_id").alias("sample_span"))
 
 
-def top_error_groups(groups: DataFrame, limit: int = ERROR_GROUP_LIMIT) -> DataFrame:
+def top_error_groups(groups: DataFrame, limit: int | None = None) -> DataFrame:
     """Largest groups first, each with the error total of *all* groups."""
-    top = groups.orderBy(F.desc("count"), "service_name", "group_id").limit(limit)
+    top = at_most(groups.orderBy(F.desc("count"), "service_name", "group_id"), limit)
     return top.withColumn("total", groups.agg(F.sum("count").alias("t")).scalar())
 
 

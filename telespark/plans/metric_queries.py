@@ -186,7 +186,7 @@ select 'service_name=' || k.service_name as name, array_to_string(list(coalesce(
 from axis cross join (select distinct service_name from c) k left join c on c.bucket = axis.bucket and c.service_name = k.service_name group by 1""")
 def metric_align_series(spark, sf_dir):
     pts = M.series(_points(spark, sf_dir), _f("requests"), "increase", by=("service_name",), bucket=SIX)
-    out = M.align_series(pts, MONTH, SIX, ("service_name",), "requests")
+    out = M.align_series(pts, MONTH, SIX, ("service_name",), "requests", limit=20)
     line = F.array_join(F.transform("values", lambda v: F.coalesce(v.cast("bigint").cast("string"), F.lit("-"))), ",")
     return out.select("name", line.alias("line"), "min", "max", F.round("avg", 6).alias("avg"), "last")
 

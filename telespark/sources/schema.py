@@ -40,9 +40,11 @@ ALICLOUD_COLUMNS = (
 )
 # Columns that identify a billed line when a table declares no key.
 DEDUPE_KEYS = {
-    "volcengine": ("BillPeriod", "ExpenseDate", "InstanceNo", "ExpenseBeginTime", "Product", "ElementCode"),
-    "alicloud_monthly": ("billing_cycle", "product_code", "instance_id", "bill_account_id", "subscription_type"),
-    "alicloud_daily": ("billing_date", "product_code", "instance_id", "bill_account_id", "subscription_type"),
+    "volcengine": ("BillPeriod", "ExpenseDate", "InstanceNo", "ExpenseBeginTime", "Product", "ElementCode", "BillDetailId"),
+    "alicloud_monthly": ("billing_cycle", "product_code", "instance_id", "bill_account_id", "subscription_type",
+                         "billing_type", "item", "biz_type", "product_detail_code", "region", "zone", "split_item_id", "line_seq"),
+    "alicloud_daily": ("billing_date", "product_code", "instance_id", "bill_account_id", "subscription_type",
+                       "billing_type", "item", "biz_type", "product_detail_code", "region", "zone", "split_item_id", "line_seq"),
 }
 BILL_TABLES = {
     "volcengine": "volcengine_bill",
@@ -102,9 +104,9 @@ def _read(spark: SparkSession, source: str) -> DataFrame:
 
 
 def _utc(df: DataFrame, *cols: str) -> DataFrame:
-    """Zone-less timestamps are UTC instants."""
+    """Zone-less timestamps are UTC instants, whatever zone the session is in."""
     ntz = [c for c in cols if c in df.columns and isinstance(df.schema[c].dataType, T.TimestampNTZType)]
-    return df.withColumns({c: F.col(c).cast("timestamp") for c in ntz}) if ntz else df
+    return df.withColumns({c: F.convert_timezone(F.lit("UTC"), F.current_timezone(), F.col(c)).cast("timestamp") for c in ntz}) if ntz else df
 
 
 def as_logs(df: DataFrame) -> DataFrame:
@@ -163,11 +165,17 @@ def declared_key(text: str) -> list[str] | None:
 
 
 def dedupe_keys(df: DataFrame, kind: str, declared: str | None = None) -> list[str]:
-    """De-dup key of a bill table: its declared key when usable, else the fixed one."""
+    """De-dup key of a bill table: its declared key when usable, else the fixed one.
+
+    A table without some of the fixed columns has no key: a part of it would take
+    different lines for repeated ones."""
     cols = declared_key(declared) if declared else None
     if cols and not missing_columns(df, cols):
         return cols
-    return [c for c in DEDUPE_KEYS[kind] if c in df.columns]
+    gaps = missing_columns(df, DEDUPE_KEYS[kind])
+    if gaps:
+        raise SchemaError(f"lines cannot be told apart without {', '.join(gaps)}; declare the table's key or read it with mode 'off'")
+    return list(DEDUPE_KEYS[kind])
 
 
 def bill_table_names(kind: str, configured: str | None = None) -> list[str]:
@@ -208,5 +216,10 @@ def load_bills(spark: SparkSession, configured: dict[str, str] | None = None,
         if gaps:
             notes.append(f"{found} lacks columns: {', '.join(gaps)}")
             continue
-        tables[kind] = BillTable(df, dedupe_keys(df, kind, (declared or {}).get(kind)))
+        try:
+            keys = dedupe_keys(df, kind, (declared or {}).get(kind))
+        except SchemaError as why:
+            keys = []
+            notes.append(f"{found}: {why}")
+        tables[kind] = BillTable(df, keys)
     return BillTables(tables, notes)

@@ -16,7 +16,7 @@ from pyspark.sql.streaming import StreamingQuery
 from pyspark.sql.types import StructType
 
 from telespark.functions.timeaxis import instant
-from telespark.operators.logs import MESSAGE_CAP, LogFilter, log_columns, search_logs
+from telespark.operators.logs import LogFilter, log_columns, search_logs
 
 # Fixed values of log following.
 POLL = "1 second"
@@ -66,7 +66,7 @@ def tail_logs(stream: DataFrame, f: LogFilter, cursor_ms: int | None = None, lat
 
 
 def start_tail(stream: DataFrame, f: LogFilter, sink, checkpoint: str, cursor_ms: int | None = None, poll: str = POLL,
-               once: bool = False, cap: int = MESSAGE_CAP) -> StreamingQuery:
+               once: bool = False, cap: int | None = None) -> StreamingQuery:
     """Run the follow query.  ``sink(rows, batch_id)`` gets each increment, oldest first;
     ``once`` drains what is there and stops."""
     rows = log_columns(tail_logs(stream, f, cursor_ms), cap)

@@ -46,6 +46,51 @@ def test_variant_attributes(spark):
     m = df.select(flatten_attributes(df, "v")).head()[0]
     assert m["a.b.c"] == "1" and m["a.d"] == "x" and m["e"] == '[1,{"f":2}]'
     assert tuple(df.select(attr(df, "v", "a.b.c"), attr(df, "v", "no.such"), attr(df, "v", "a.d")).head()) == ("1", "", "x")
+    odd = spark.sql("""select parse_json('{"http.route": "/x", "braces": "{no json", "json": "{\\\\"a\\\\": 1}", "none": {}, "a.b": 1, "a": {"b": 2, "c": {"d": true}}}') as v""")
+    assert odd.select(flatten_attributes(odd, "v")).head()[0] == {"http.route": "/x", "braces": "{no json", "json": '{"a": 1}', "none": "{}", "a.b": "1", "a.c.d": "true"}
+    assert tuple(odd.select(attr(odd, "v", "http.route"), attr(odd, "v", "a.b"), attr(odd, "v", "a.c.d")).head()) == ("/x", "1", "true")
+    deep = spark.sql("select parse_json('" + '{"k":' * 20 + "1" + "}" * 20 + "') as v")
+    assert deep.select(flatten_attributes(deep, "v")).head()[0] == {".".join("k" * 20): "1"}
+
+
+def test_parameters_of_both_storages(spark):
+    from telespark.functions.attrs import flatten_attributes as flat
+    from telespark.operators.dbcalls import _params, params_in_order
+    for value in ("map('db.query.parameter.1', 'b', 'db.query.parameter.0', 'a', 'x', '1')",
+                  """parse_json('{"db": {"query": {"parameter": {"1": "b", "0": "a"}}}}')""", """parse_json('{"db.query.parameter.0": "a", "db.query.parameter.1": "b"}')"""):
+        df = spark.sql(f"select {value} as span_attributes")
+        assert df.select(params_in_order(_params(df))).head()[0] == ["a", "b"], value
+    assert "x" in spark.sql("select map('x', '1') as span_attributes").select(flat(spark.sql("select map('x', '1') as span_attributes"), "span_attributes")).head()[0]
+
+
+def test_drill_down_on_variants_and_without_a_service(spark):
+    from telespark.functions.timeaxis import Bucket, TimeRange
+    from telespark.operators import dashboards as D
+    rng = TimeRange(0, 3_600_000)
+    bucket = Bucket.choose(rng, "UTC", 60)
+    rows = spark.sql("""select timestamp_millis(1000) as timestamp, 't' as trace_id, 's' as span_id, 'svc' as service_name, 'op' as span_name, 'Error' as status_code, 5000000 as duration_ns,
+        parse_json('{"http.route": "/x", "http.response.status_code": 500}') as span_attributes""")
+    points = spark.createDataFrame([(0, ["/x"], 2.0), (0, ["/y"], 1.0)], "bucket long, keys array<string>, v double").withColumn("bucket", bucket.first(rng) + F.col("bucket"))
+    for service, found in ((None, 1), ("svc", 1), ("other", 0)):
+        spikes = D.spikes_from_series(points, bucket, ("http.route",), service=service)
+        assert D.drill_to_traces(rows, spikes, bucket).count() == found
+        assert D.drill_to_errors(rows, spikes, bucket).count() == 2 * found
+    logs = spark.sql("select timestamp_millis(1000) as timestamp, 'svc' as service_name, p as pod, 'm' as message from values ('a'), ('b') as t(p)")
+    pods = D.spikes_from_series(points.withColumn("keys", F.array(F.lit("a"))), bucket, ("res:k8s.pod.name",), service="svc").limit(1)
+    assert [r.pod for r in D.drill_to_logs(logs, pods, bucket).collect()] == ["a"]
+
+
+def test_trace_without_a_moment(spark):
+    now = 1_704_067_200_000
+    df = spans(spark, [("near", f"n{i}", "", i * 60_000) for i in range(3)])
+    at = df.agg(F.min(F.unix_millis("timestamp"))).head()[0]
+    anchors = spark.createDataFrame([("near", None)], "trace_id string, at_ms long")
+    w = T.trace_windows(df, anchors, 5_000, now_ms=at + 60_000).head()
+    assert (w.before_ms, w.after_ms, w.truncated) == (900_000, 900_000, False)
+    w = T.trace_windows(df, anchors, 5_000, now_ms=at + 3 * 3_600_000 * 24 + now * 0).head()
+    assert w.before_ms > 10 ** 12
+    known = T.trace_windows(df, spark.createDataFrame([("near", at)], "trace_id string, at_ms long"), 5_000)
+    assert known.collect() == T.trace_windows(df, spark.createDataFrame([("near", at)], "trace_id string, at_ms long"), 5_000, now_ms=at).collect()
 
 
 def test_summary_falls_back_to_the_first_span(spark):
