@@ -3,20 +3,35 @@
 from __future__ import annotations
 
 import tempfile
+import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 
 
+def shared_folder(spark: SparkSession) -> str:
+    """The folder that the cluster names in ``spark.checkpoint.dir``; one of its own is made
+    on a single local machine only, as executors elsewhere could not read it."""
+    named = spark.conf.get("spark.checkpoint.dir", None)
+    if not named:
+        if not spark.sparkContext.master.startswith("local["):
+            raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
+        named = tempfile.mkdtemp(prefix="telespark-checkpoint-")
+        spark.conf.set("spark.checkpoint.dir", named)
+    return named
+
+
 def use_checkpoints(spark: SparkSession) -> None:
-    """Make ``DataFrame.checkpoint()`` usable.  The cluster names its shared folder in
-    ``spark.checkpoint.dir``; a folder of its own is used on a single local machine only,
-    as executors elsewhere could not read it."""
+    """Make ``DataFrame.checkpoint()`` usable."""
     sc = spark.sparkContext
     if sc.getCheckpointDir() is None:
-        named = spark.conf.get("spark.checkpoint.dir", None)
-        if not named and not sc.master.startswith("local["):
-            raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
-        sc.setCheckpointDir(named or tempfile.mkdtemp(prefix="telespark-checkpoint-"))
+        sc.setCheckpointDir(shared_folder(spark))
+
+
+def written(df: DataFrame, name: str) -> str:
+    """Path of ``df`` as a new Parquet table in the shared folder."""
+    path = f"{shared_folder(df.sparkSession).rstrip('/')}/{name}-{uuid.uuid4().hex}"
+    df.write.parquet(path)
+    return path
 
 
 def materialize(df: DataFrame) -> DataFrame:

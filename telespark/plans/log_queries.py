@@ -194,7 +194,7 @@ select ts_ms, strftime(make_timestamp(ts_us), '%Y-%m-%d %H:%M:%S') as second, le
 from app_log where {RANGE} and service_name = 'svc-7'""")
 def log_shape_rows(spark, sf_dir):
     f = L.LogFilter(MONTH, dims={"service_name": ("svc-7",)})
-    rows = L.shape_log_row(L.log_columns(f.apply(_logs(spark, sf_dir))), max_chars=80)
+    rows = L.shape_log_row(L.log_columns(f.apply(_logs(spark, sf_dir)), L.MESSAGE_CAP), max_chars=80)
     return rows.select("ts_ms", F.substring("time", 1, 19).alias("second"), "message_len", "message",
                        F.col("fields")["trace_id"].alias("trace_id"), F.size("fields").alias("n_fields"))
 

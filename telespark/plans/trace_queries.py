@@ -277,7 +277,7 @@ def error_groups(spark, sf_dir):
 select group_id, count, (select sum(count) from errgroups where span_kind in ('Server', 'Consumer')) as total
 from errgroups where span_kind in ('Server', 'Consumer') order by count desc, service_name, group_id limit 200""")
 def error_groups_top(spark, sf_dir):
-    return T.top_error_groups(_groups(spark, sf_dir, "entry")).select("group_id", "count", "total")
+    return T.top_error_groups(_groups(spark, sf_dir, "entry"), limit=200).select("group_id", "count", "total")
 
 
 @query("error_top_per_service", """
@@ -363,7 +363,7 @@ from spans where {IN_DAY} and span_kind = 'Client' and db_system <> '' """
 @query("db_calls_top_total", DB_TOP + """ group by 1, 2, 3, 4, 5, 6, 7, 8
 order by total_ns desc, service_name, db_system, db_name, db_operation, db_collection, db_server, db_port, statement limit 50""")
 def db_calls_top_total(spark, sf_dir):
-    return D.db_calls_top(_spans(spark, sf_dir), T.SpanFilter(kinds=("Client",), **OPEN))
+    return D.db_calls_top(_spans(spark, sf_dir), T.SpanFilter(kinds=("Client",), **OPEN), limit=50)
 
 
 @query("db_calls_top_p95", DB_TOP + """ and db_system = 'redis' group by 1, 2, 3, 4, 5, 6, 7, 8
