@@ -29,7 +29,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-SAMPLE = 200            # pages drawn for training; three times as many are written
+SAMPLE = 200            # pages drawn for training; five times as many are written
 SAMPLE_CHARS = 200_000  # longer pages are not drawn
 
 BLOCKS = frozenset("address article aside blockquote body caption center dd details dialog div dl dt fieldset figcaption figure footer form h1 h2 h3 h4 h5 h6 head header "
@@ -45,6 +45,7 @@ _KIND = {"p": "p", "ul": "list", "ol": "list", "dl": "list", "menu": "nav", "li"
          "blockquote": "quote", "pre": "quote", "figure": "quote", "figcaption": "quote", "article": "article", "main": "main", "nav": "nav", "header": "header", "footer": "footer", "aside": "aside", "dialog": "aside",
          "form": "form", "fieldset": "form", "button": "form", "select": "form", "option": "form", "label": "form", "legend": "form", "textarea": "form", "head": "head", "title": "head", "html": "root", "body": "root",
          **{f"h{i}": "heading" for i in range(1, 7)}, **{t: "table" for t in "table tbody thead tfoot tr td th caption".split()}}
+ASIDE = frozenset(("nav", "footer", "aside", "form", "header"))
 GOOD = frozenset("article content story entry post main text prose body richtext".split())
 BAD = {w: i for i, words in enumerate((
     "nav navbar menu breadcrumb breadcrumbs pagination pager toolbar topbar sidebar side rail widget",
@@ -54,9 +55,10 @@ BAD = {w: i for i, words in enumerate((
     "footer foot copyright legal header masthead head logo login signup signin search form subscribe newsletter share sharing social related recommended more tags meta byline")) for w in words.split()}
 N_BAD = 5
 LENGTHS = (1, 20, 80, 300)
-SIZE = len(KINDS) + 1 + N_BAD + len(LENGTHS) + 4 + 2
+NEAR = 4                # levels up to which an ancestor that looks like a side part counts
+SIZE = len(KINDS) + 1 + N_BAD + len(LENGTHS) + 4 + 3
 
-_TAG = re.compile(r"<!--.*?(?:-->|\Z)|<(/?)([a-zA-Z][^\s/>]*)((?:[^>\"']|\"[^\"]*\"|'[^']*')*)(>|\Z)|<[!?/][^>]*(?:>|\Z)", re.S)
+_TAG = re.compile(r"<!--.*?(?:-->|\Z)|<(/?)([a-zA-Z][^\s/>]*)((?:[^>\"']|\"[^\"]*\"|'[^']*')*)(>|\Z)|<[!?/][^>]*(?:>|\Z)|</?[a-zA-Z][^>]*\Z", re.S)
 _NAMES = re.compile(r"(?:class|id|role|data-label)\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s\"'>]+))", re.I)
 _LABEL = re.compile(r"data-label=\"([01])\"")
 _WORD = re.compile(r"[a-z]+")
@@ -127,7 +129,7 @@ class Page:
     def features(self) -> np.ndarray:
         n = len(self.tag)
         out = np.zeros((n, SIZE), dtype=np.float32)
-        chars = [0] * n
+        chars, far = [0] * n, [NEAR + 1] * n             # far: levels up to the next element that looks like a side part
         for node, text in self.pieces:
             chars[node] += len(text.strip())
         for i in range(n):
@@ -145,6 +147,9 @@ class Page:
                 row[k + level - 1] = 1
                 share = self.linked[i] / chars[i]
                 row[k + len(LENGTHS) + (0 if not self.linked[i] else 1 if share < 0.3 else 2 if share < 0.7 else 3)] = 1
+            up = far[self.parent[i]] if i else NEAR + 1
+            far[i] = 0 if any(w in BAD for w in words) or _KIND.get(self.tag[i]) in ASIDE else min(up + 1, NEAR + 1)
+            row[-3] = up < NEAR
             row[-2] = self.tag[self.parent[i]] == "body"
             row[-1] = 1
         return out
@@ -166,7 +171,7 @@ class Page:
         out = []
         for i, tag in enumerate(self.tag):
             kind = _KIND.get(tag, "other")
-            bad = kind in ("nav", "footer", "aside", "form", "header") or any(w in BAD for w in self.words[i])
+            bad = kind in ASIDE or any(w in BAD for w in self.words[i])
             out.append(0 if bad else 1 if kind in ("article", "main") else out[self.parent[i]] if i else 0)
         return out
 
@@ -266,7 +271,7 @@ def labelled_page(seed: int) -> str:
         if kind == 1:
             return box(("ad", "ads", "advert", "banner", "promo", "sponsored"), r.choice([sentences(1, 3), paragraphs(1, 2), link()]))
         if kind == 2:
-            return box(("comments", "comment-list", "discussion", "replies", "reader-comments"), "<h3>" + words(1, 3) + "</h3>" + "".join(r.choice(['<div class="comment">', "<div>", "<div>", "<li>", "<article>"]) + paragraphs(1, 3) + r.choice(["</div>", "</article>"]) for _ in range(r.randint(1, 5))))
+            return box(("comments", "comment-list", "discussion", "replies", "reader-comments"), "<h3>" + words(1, 3) + "</h3>" + "".join(r.choice(['<div class="comment">', "<div>", "<div>", "<li>", '<div class="reply">', '<article class="comment">', "<article>"]) + paragraphs(1, 3) + r.choice(["</div>", "</article>"]) for _ in range(r.randint(1, 5))))
         if kind == 3:
             return box(("cookie-notice", "notice", "alert", "consent", "popup"), r.choice([sentences(1, 3), paragraphs(1, 2)]) + r.choice(["", f"<button>{word()}</button>"]), "dialog", "aside")
         if kind == 4:
@@ -286,7 +291,7 @@ def labelled_page(seed: int) -> str:
         return "".join(out)
 
     tag = r.choice(["article", "article", "article", "main", "div", "section"])
-    name = attr("content", "post", "entry", "story", "main-text") if tag in ("article", "main") else r.choice([attr, named, named])("content", "post", "entry", "story", "article-body", "main")
+    name = attr("content", "post", "entry", "story", "main-text") if tag in ("article", "main") else r.choice([attr, lambda *names: "", named, named])("content", "post", "entry", "story", "article-body", "main")
     inside = r.choice([f"<h1>{words(2, 9)}</h1>", "", f"<h1>{words(2, 9)}</h1>"]) + body() + "".join(part() for _ in range(r.choice([0, 0, 1, 2])))
     before, after = "".join(part() for _ in range(r.randint(0, 4))), "".join(part() for _ in range(r.randint(0, 4)))
     if r.random() < 0.2:                                    # an article straight in the body, or bare
@@ -299,7 +304,7 @@ def fit(pages: DataFrame) -> Model:
     drawn = pages.where(F.col("html").isNotNull() & (F.length("html") <= SAMPLE_CHARS)).select("page_id", F.xxhash64("page_id").alias("lot")).orderBy("lot", "page_id").limit(SAMPLE)
     ids = [r.page_id for r in drawn.collect()]
     found = pages.where(F.col("page_id").isin(ids) & F.col("html").isNotNull()).select("html").distinct().orderBy("html").limit(SAMPLE).collect() if ids else []
-    train = [(p, p.inherited()) for p in map(Page, map(labelled_page, range(3 * SAMPLE)))]
+    train = [(p, p.inherited()) for p in map(Page, map(labelled_page, range(5 * SAMPLE)))]
     for row in found:
         page = Page(row.html)
         labels = page.own()
