@@ -35,30 +35,34 @@ def resolve_roots(edges: DataFrame) -> DataFrame:
     state = edges.select("trace_id", "span_id", "parent", F.coalesce("parent", "span_id").alias("top"),
                          F.when(F.col("parent").isNull(), 0).otherwise(1).alias("depth"),
                          F.col("parent").isNotNull().alias("pending")).checkpoint()
-    left = state.where("pending").count()
+    done, pending = state.where("not pending"), state.where("pending")
+    left = pending.count()
     while left:
-        there = state.select("trace_id", F.col("span_id").alias("top"), F.col("top").alias("up"),
-                             F.col("depth").alias("more"), F.col("pending").alias("far"))
-        moved = (state.where("pending").join(there, ["trace_id", "top"])
+        # resolved rows stay where they were written; a round writes the others only
+        there = done.unionByName(pending).select("trace_id", F.col("span_id").alias("top"), F.col("top").alias("up"),
+                                                 F.col("depth").alias("more"), F.col("pending").alias("far"))
+        moved = (pending.join(there, ["trace_id", "top"])
                  .select("trace_id", "span_id", "parent", F.col("up").alias("top"),
-                         (F.col("depth") + F.col("more")).alias("depth"), F.col("far").alias("pending")))
-        state = state.where("not pending").unionByName(moved).checkpoint()
-        now = state.where("pending").count()
+                         (F.col("depth") + F.col("more")).alias("depth"), F.col("far").alias("pending"))).checkpoint()
+        done, pending = done.unionByName(moved.where("not pending")), moved.where("pending")
+        now = pending.count()
         if now == left:          # no progress: only cycles are left
             break
         left = now
-    return state.select("trace_id", "span_id", "parent", F.when(~F.col("pending"), F.col("top")).alias("top"),
-                        F.when(F.col("pending"), 0).otherwise(F.col("depth")).alias("depth"), F.col("pending").alias("cyclic"))
+    return done.unionByName(pending).select(
+        "trace_id", "span_id", "parent", F.when(~F.col("pending"), F.col("top")).alias("top"),
+        F.when(F.col("pending"), 0).otherwise(F.col("depth")).alias("depth"), F.col("pending").alias("cyclic"))
 
 
 def span_tree(spans: DataFrame) -> DataFrame:
     """Add ``depth, is_root, orphan, root_missing, pos_in_set, set_size`` to unique spans.
 
-    The shape is worked out on ids and start times alone, written once, and joined back
-    to the spans at the end.  Siblings are ordered by start; positions are computed over
+    The spans are written once (whatever made them unique runs once); their shape is worked
+    out on ids and start times alone and joined back at the end.  Siblings are ordered by start; positions are computed over
     one-second chunks, so a parent with most of the spans below it is not one task."""
     use_checkpoints(spans.sparkSession)
-    slim = spans.select("trace_id", "span_id", "parent_span_id", "timestamp").checkpoint()
+    spans = spans.checkpoint()
+    slim = spans.select("trace_id", "span_id", "parent_span_id", "timestamp")
     placed = resolve_roots(_parents(slim)).drop("top")
     flat = (slim.join(placed, ["trace_id", "span_id"])
             .withColumn("is_root", F.col("parent").isNull())
