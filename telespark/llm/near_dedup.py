@@ -8,10 +8,11 @@ registers. Two documents agree in a register with probability J_P. ``BANDS`` ban
 registers give candidates (at J_P 0.8 one pair in 20 million is missed), which are verified by J_P of the whole texts.
 
 Exact copies are one node from the start. In each band bucket the members are compared with one of
-them, not with each other; then, for some rounds, members outside the component of another, freshly
-drawn one are compared with that; what still lies outside the largest component of its bucket is
-compared with all members of other components. So no link between components is lost, and
-no pairs inside a component are made.
+them, not with each other. Buckets that then hold several components are joined to families, and
+these are settled in blocks of bounded size: longer signatures rank the pairs of different
+components, and those that may reach the threshold are verified from the most likely down, unless a
+link found before has joined them. Only links leave a block; so no link between components is lost,
+and no pairs inside a component are made.
 
 Defined cases: a null text is an empty one; texts without words are alike only to equal texts; texts
 of fewer than ``WORDS`` words are one shingle; repeated rows and rows that share a doc_id are told
@@ -36,7 +37,9 @@ WORDS = 5
 LEAST = 0.8
 BANDS = 32
 ROWS = 4
-ROUNDS = 3              # rounds with freshly drawn members before the exact rest
+MEMBERS = 1000          # of a family in a block; blocks meet in pairs
+LONG = 512              # registers that rank the pairs of a block
+DOUBT = 5.0             # standard errors under the threshold from which pairs are verified
 SLICE = 1 << 22         # characters signed together
 
 
@@ -45,14 +48,12 @@ SLICE = 1 << 22         # characters signed together
 def shingles(texts: list[str], words: int = WORDS) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """(text number, hash, count) of the distinct shingles of each text."""
     data, counts = joined_words(texts)
-    starts, ends = data.words()
-    if not len(starts):
+    if not len(data.starts):
         return np.empty(0, np.int64), np.empty(0, np.uint64), np.empty(0, np.int64)
     per = np.where(counts > 0, np.maximum(counts - words + 1, 1), 0)
     text = np.repeat(np.arange(len(texts)), per)
     first = (np.cumsum(counts) - counts)[text] + np.arange(len(text)) - np.repeat(np.cumsum(per) - per, per)
-    last = np.minimum(first + words, np.cumsum(counts)[text]) - 1
-    hashes = data.hashes(starts[first], ends[last])
+    hashes = data.hashes(first, np.minimum(first + words, np.cumsum(counts)[text]))
     order = np.lexsort((hashes, text))
     text, hashes = text[order], hashes[order]
     new = np.flatnonzero(np.concatenate([[True], (text[1:] != text[:-1]) | (hashes[1:] != hashes[:-1])]))
@@ -149,9 +150,81 @@ def verified(pairs: DataFrame, texts: DataFrame, least: float = LEAST) -> DataFr
     return full.mapInArrow(run, "a binary, b binary")
 
 
+def _unsettled(member: DataFrame, found: DataFrame) -> DataFrame:
+    """(key, node, component) of the buckets with several components and more than the two members compared at first."""
+    placed = member.join(found, "node", "left").select("key", "node", F.coalesce("component", "node").alias("component"))
+    keys = placed.groupBy("key").agg(F.min("component").alias("c"), F.max("component").alias("d"), F.count("*").alias("n")).where("c < d and n > 2").select("key")
+    return placed.join(keys, "key", "left_semi")
+
+
+class _Groups:
+    """Which members are connected by now."""
+
+    def __init__(self, of: list[bytes]):
+        self.root = {x: x for x in of}
+
+    def find(self, x: bytes) -> bytes:
+        while self.root[x] != x:
+            self.root[x] = x = self.root[self.root[x]]
+        return x
+
+
+def settle(nodes: list[bytes], of: list[bytes], side: np.ndarray, texts: list[str], least: float) -> list[tuple[bytes, bytes]]:
+    """Links that join components among the pairs of a block (``side`` all 0) or between two blocks (0 and 1)."""
+    groups, links, bags = _Groups(of), [], {}
+    crossing = bool(side.any())
+    names, number = np.unique(np.array(of, dtype=object), return_inverse=True)
+    largest = np.bincount(number).argmax()
+    # every pair of different components has a member outside the largest one
+    rest = np.flatnonzero(number != largest)
+    if len(nodes) > 24:
+        _, registers = signatures(texts, LONG)
+        registers = (registers & np.uint64(0xFFFFFFFF)).astype(np.uint32)
+        near = np.zeros((len(rest), len(nodes)), dtype=np.int16)
+        for k in range(LONG):
+            near += registers[rest, k][:, None] == registers[None, :, k]
+    else:
+        near = np.full((len(rest), len(nodes)), LONG, dtype=np.int16)
+    ok = near >= LONG * (least - DOUBT * np.sqrt(least * (1 - least) / LONG))
+    ok &= number[rest][:, None] != number[None, :]
+    ok &= (side[rest][:, None] != side[None, :]) if crossing else True
+    i, j = np.nonzero(ok)
+    once = (number[j] == largest) | (rest[i] < j)
+    i, j = i[once], j[once]
+    for at in np.argsort(-near[i, j], kind="stable").tolist():
+        x, y = int(rest[i[at]]), int(j[at])
+        a, b = groups.find(of[x]), groups.find(of[y])
+        if a == b:
+            continue
+        for n in (x, y):
+            if n not in bags:
+                bags[n] = shingles([texts[n]])[1:]
+        if probability_jaccard(bags[x], bags[y]) >= least:
+            groups.root[a] = b
+            links.append((nodes[x], nodes[y]))
+    return links
+
+
+def _settled(open_members: DataFrame, texts: DataFrame, least: float) -> DataFrame:
+    """(a, b) links between components of the same family."""
+    open_members = shared.written(open_members, "open")
+    roots = open_members.groupBy("key").agg(F.min("node").alias("b"))
+    family = components(open_members.join(roots, "key").where("node <> b").select(F.col("node").alias("a"), "b")).withColumnRenamed("component", "family")
+    sizes = family.groupBy("family").agg(F.ceil(F.count("*") / MEMBERS).cast("int").alias("blocks"))
+    placed = open_members.select("node", "component").distinct().join(family, "node").join(sizes, "family").withColumn("block", F.pmod(F.xxhash64("node"), F.col("blocks")).cast("int"))
+    met = placed.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
+    met = met.select("node", "component", "family", "block", F.least("block", "other").alias("low"), F.greatest("block", "other").alias("high")).join(texts, "node")
+
+    def run(group: pa.Table) -> pa.Table:
+        columns = {c: group.column(c).to_pylist() for c in ("node", "component", "block", "low", "high", "text")}
+        links = settle(columns["node"], columns["component"], np.array(columns["block"]) != columns["low"][0], columns["text"], least)
+        return pa.table([pa.array([x for x, _ in links], pa.binary()), pa.array([y for _, y in links], pa.binary())], names=["a", "b"])
+
+    return met.groupBy("family", "low", "high").applyInArrow(run, "a binary, b binary")
+
+
 def classes(docs: DataFrame, least: float = LEAST) -> DataFrame:
     """(row, node, class_node, class_id): every row of ``docs`` with the node of its text and its class."""
-    spark = docs.sparkSession
     rows = docs.select(F.struct(*[docs[c] for c in docs.columns]).alias("row"), F.col("doc_id").cast("long").alias("doc_id"), F.coalesce(F.col("text").cast("string"), F.lit("")).alias("text"))
     rows = rows.withColumn("node", _node(F.col("text")))
 
@@ -164,33 +237,13 @@ def classes(docs: DataFrame, least: float = LEAST) -> DataFrame:
     texts = rows.select("node", "text").join(member.select("node").distinct(), "node", "left_semi").groupBy("node").agg(F.first("text").alias("text"))
     texts = shared.written(texts, "candidate-texts")
 
-    tested = shared.written(member.where("node > low").select(F.col("low").alias("a"), F.col("node").alias("b")).distinct(), "pairs")
-    links = shared.written(verified(tested, texts, least), "links")
+    pairs = member.where("node > low").select(F.col("low").alias("a"), F.col("node").alias("b")).distinct()
+    links = shared.written(verified(pairs, texts, least), "links")
     found = components(links)
 
-    for turn in range(ROUNDS + 1):
-        # members with their components; a bucket matters as long as it has more than one of them
-        placed = member.join(found, "node", "left").select("key", "node", F.coalesce("component", "node").alias("component"))
-        mixed_keys = placed.groupBy("key").agg(F.min("component").alias("c"), F.max("component").alias("d")).where("c < d").select("key")
-        open_members = shared.written(placed.join(mixed_keys, "key", "left_semi"), "open")
-        if turn < ROUNDS:
-            drawn = open_members.groupBy("key").agg(F.min_by(F.struct("node", "component"), F.xxhash64("node", F.lit(turn))).alias("r"))
-            new = open_members.join(drawn, "key").where("component <> r.component").select(F.col("r.node").alias("x"), F.col("node").alias("y"))
-        else:
-            sizes = open_members.groupBy("key", "component").count().groupBy("key").agg(F.max_by("component", F.struct("count", "component")).alias("largest"))
-            rest = open_members.join(sizes, "key").where("component <> largest").select("key", F.col("node").alias("x"), F.col("component").alias("of_x"))
-            new = rest.join(open_members, "key").where("of_x <> component").select("x", F.col("node").alias("y"))
-        new = new.select(F.least("x", "y").alias("a"), F.greatest("x", "y").alias("b")).distinct().join(tested, ["a", "b"], "left_anti")
-        new = shared.written(new, "pairs")
-        if new.isEmpty():
-            if turn < ROUNDS:
-                continue
-            break
-        tested = tested.union(new)
-        more = shared.written(verified(new, texts, least), "links")
-        if not more.isEmpty():
-            links = links.union(more)
-            found = components(links)
+    more = shared.written(_settled(_unsettled(member, found), texts, least), "links")
+    if not more.isEmpty():
+        found = components(links.union(more))
 
     by_node = rows.groupBy("node").agg(F.min("doc_id").alias("doc_id")).join(found, "node", "left").withColumn("class_node", F.coalesce("component", "node"))
     heads = by_node.groupBy("class_node").agg(F.min(F.struct(F.col("doc_id").isNull().alias("late"), "doc_id", "node")).alias("head"))
