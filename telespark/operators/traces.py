@@ -200,11 +200,11 @@ def trace_summaries(df: DataFrame) -> DataFrame:
 
 def search_traces(df: DataFrame, f: SpanFilter, sort: str = "time", n: int = 50) -> DataFrame:
     """Candidates, then their summaries over the range plus ten minutes, as one plan.
-    The candidate list has at most ``n`` rows, so it is broadcast."""
+    The candidate list has at most ``n`` rows; adaptive execution broadcasts it while that is small."""
     found = candidate_traces(df, f, sort, n)
     near = df.where(f.range.widen(SUMMARY_PAD_MS).holds())
-    summaries = trace_summaries(near.join(F.broadcast(found.select("trace_id")), "trace_id", "left_semi"))
-    out = F.broadcast(found).join(summaries, "trace_id")
+    summaries = trace_summaries(near.join(found.select("trace_id"), "trace_id", "left_semi"))
+    out = found.join(summaries, "trace_id")
     if sort == "time":
         return out.orderBy(F.desc("ts_ms"), "trace_id")
     return out.orderBy(F.desc("rank_ns"), F.desc("ts_ms"), "trace_id")
