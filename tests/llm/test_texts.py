@@ -143,6 +143,36 @@ def test_near_dedup(spark):
     assert near_dedup.classes(docs(spark, [])).count() == 0
 
 
+@pytest.mark.parametrize("n", [12, 80])
+def test_blocks_of_a_family_lose_no_component(n):
+    """Blocks of two sizes, met in pairs, give the components of all pairs."""
+    rng = random.Random(n)
+    base, texts = words(rng, 90), []
+    for _ in range(n):
+        copy = list(base)
+        for _ in range(rng.randint(1, 6)):
+            copy[rng.randrange(90)] = "new" + str(rng.randrange(1000))
+        texts.append(" ".join(copy))
+    nodes = [b"%03d" % i for i in range(n)]
+    block = [rng.randrange(3) for _ in range(n)]
+    links = []
+    for low in range(3):
+        for high in range(low, 3):
+            at = [i for i in range(n) if block[i] in (low, high)]
+            links += near_dedup.settle([nodes[i] for i in at], [nodes[i] for i in at], np.array([block[i] != low for i in at]), [texts[i] for i in at], 0.8)
+    bags = [near_dedup.shingles([t])[1:] for t in texts]
+    close = [(nodes[i], nodes[j]) for i in range(n) for j in range(i) if near_dedup.probability_jaccard(bags[i], bags[j]) >= 0.8]
+    assert set(links) <= {p for x, y in close for p in ((x, y), (y, x))} and len(close) > len(links) - 3
+
+    def parts(edges):
+        group = {x: x for x in nodes}
+        for _ in range(n):
+            for a, b in edges:
+                group[a] = group[b] = min(group[a], group[b])
+        return group
+    assert parts(links) == parts(close)
+
+
 def test_probability_jaccard_matches_registers():
     rng = random.Random(5)
     a = " ".join(words(rng, 200))
