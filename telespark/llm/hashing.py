@@ -21,32 +21,49 @@ _POWERS: dict[int, tuple[np.ndarray, np.ndarray]] = {}
 
 
 def _powers(n: int) -> tuple[np.ndarray, np.ndarray]:
-    size = 1 << max(16, int(n).bit_length())
+    size = 1 << max(21, int(n - 1).bit_length())        # one size unless a buffer is very long
     if size not in _POWERS:
         _POWERS.clear()
         _POWERS[size] = tuple(np.cumprod(np.concatenate([np.ones(1, np.uint64), np.full(size - 1, b, np.uint64)]), dtype=np.uint64) for b in (_BASE, _UNDO))
     return _POWERS[size]
 
 
-class Bytes:
-    """Hashes of any substring of a buffer, from sums over its prefixes; equal substrings have equal hashes wherever they stand."""
+class Words:
+    """Words of a buffer, parted by single blanks or line ends, and hashes of any stretch of them.
+
+    Hashes come from sums over prefixes, of a word's bytes and of a stretch's words: equal ones are
+    equal wherever they stand. Bytes are gone through a piece at a time, so memory follows the words.
+    """
+
+    PIECE = 1 << 20
 
     def __init__(self, data: bytes):
         self.data = data
         self.letters = np.frombuffer(data, dtype=np.uint8)
-        up, self.down = _powers(len(data) + 1)
-        self.sums = np.zeros(len(data) + 1, dtype=np.uint64)
-        np.cumsum((self.letters.astype(np.uint64) + np.uint64(1)) * up[: len(data)], out=self.sums[1:])
-
-    def hashes(self, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
-        return mixed((self.sums[ends] - self.sums[starts]) * self.down[starts])
-
-    def words(self) -> tuple[np.ndarray, np.ndarray]:
-        """Starts and ends of the words, which are parted by single blanks."""
-        gaps = np.flatnonzero((self.letters == 32) | (self.letters == 10))
-        if not len(self.data):
-            return gaps, gaps
-        return np.concatenate([[0], gaps + 1]), np.concatenate([gaps, [len(self.data)]])
+        gaps = np.flatnonzero((self.letters == 32) | (self.letters == 10)) if data else np.empty(0, np.int64)
+        self.starts = np.concatenate([[0], gaps + 1]) if data else gaps
+        self.ends = np.concatenate([gaps, [len(data)]]) if data else gaps
+        n = len(self.starts)
+        self.word = np.empty(n, dtype=np.uint64)
+        cuts = np.unique(np.append(np.searchsorted(self.starts, np.arange(0, len(data), self.PIECE)), n))
+        for a, b in zip(cuts[:-1].tolist(), cuts[1:].tolist()):
+            low, high = int(self.starts[a]), int(self.ends[b - 1])
+            self.word[a:b] = _stretches(self.letters[low:high].astype(np.uint64) + np.uint64(1), self.starts[a:b] - low, self.ends[a:b] - low)
+        self._up, self._down = _powers(n + 1)
+        self._up, self._down = self._up[:n + 1], self._down[:n + 1]
+        self._sums = np.zeros(n + 1, dtype=np.uint64)
+        np.cumsum(self.word * self._up[:n], out=self._sums[1:])
+
+    def hashes(self, first: np.ndarray, until: np.ndarray) -> np.ndarray:
+        """Of the words ``first`` to before ``until``."""
+        return mixed((self._sums[until] - self._sums[first]) * self._down[first])
+
+
+def _stretches(values: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
+    up, down = _powers(len(values) + 1)
+    sums = np.zeros(len(values) + 1, dtype=np.uint64)
+    np.cumsum(values * up[: len(values)], out=sums[1:])
+    return mixed((sums[ends] - sums[starts]) * down[starts])
 
 
 def sliding_min(x: np.ndarray, width: int) -> np.ndarray:
@@ -59,7 +76,7 @@ def sliding_min(x: np.ndarray, width: int) -> np.ndarray:
     return x
 
 
-def joined_words(texts: list[str]) -> tuple[Bytes, np.ndarray]:
+def joined_words(texts: list[str]) -> tuple[Words, np.ndarray]:
     """The words of all texts (bytes between ASCII white space) parted by single blanks, and their number in each text."""
     counts, lines = np.zeros(len(texts), dtype=np.int64), []
     for i, text in enumerate(texts):
@@ -67,4 +84,4 @@ def joined_words(texts: list[str]) -> tuple[Bytes, np.ndarray]:
         counts[i] = len(words)
         if words:
             lines.append(b" ".join(words))
-    return Bytes(b" ".join(lines)), counts
+    return Words(b" ".join(lines)), counts

@@ -30,17 +30,17 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from telespark.llm import shared
-from telespark.llm.hashing import Bytes, joined_words, mixed, sliding_min
+from telespark.llm.hashing import Words, joined_words, mixed, sliding_min
 
 WINDOW = 13             # words
 MER = 3                 # words of the sequences that minimisers are taken from
 SLICE = 1 << 22         # characters that a task looks at together
-HELD = 1 << 24          # bytes of packed strings read before a bucket is gone through
+HELD = 1 << 23          # bytes of packed strings read before a bucket is gone through
 
-def beaten(text: Bytes, starts: np.ndarray, ends: np.ndarray, docs: np.ndarray) -> np.ndarray:
-    """Which of the windows (byte ranges) also stand in a document with a smaller id."""
-    out = np.zeros(len(starts), dtype=bool)
-    hashes = text.hashes(starts, ends)
+def beaten(text: Words, first: np.ndarray, window: int, docs: np.ndarray) -> np.ndarray:
+    """Which of the windows (by their first words) also stand in a document with a smaller id."""
+    out = np.zeros(len(first), dtype=bool)
+    hashes = text.hashes(first, first + window)
     order = np.argsort(hashes)
     ordered = hashes[order]
     same = ordered[1:] == ordered[:-1]
@@ -49,7 +49,7 @@ def beaten(text: Bytes, starts: np.ndarray, ends: np.ndarray, docs: np.ndarray)
     twice[:-1] |= same
     at = order[twice]
     data, least, found = text.data, {}, []
-    for a, b, d in zip(starts[at].tolist(), ends[at].tolist(), docs[at].tolist()):
+    for a, b, d in zip(text.starts[first[at]].tolist(), text.ends[first[at] + window - 1].tolist(), docs[at].tolist()):
         window = data[a:b]
         if d < least.setdefault(window, d):
             least[window] = d
@@ -84,7 +84,7 @@ def _cut(ids: list[int], keys: list[int], texts: list[str], window: int, buckets
     if window < MER:
         raise ValueError(f"a window has at least {MER} words")
     text, counts = joined_words(texts)
-    starts, ends = text.words()
+    starts, ends = text.starts, text.ends
     n = len(starts) - window + 1
     if n < 1:
         return
@@ -95,14 +95,14 @@ def _cut(ids: list[int], keys: list[int], texts: list[str], window: int, buckets
 
     at = np.flatnonzero(valid)
     lost = np.zeros(n, dtype=bool)
-    lost[at] = beaten(text, starts[at], ends[at + window - 1], ids[doc[at]])
+    lost[at] = beaten(text, at, window, ids[doc[at]])
     first, last = runs(lost, doc)
-    pack = zstandard.ZstdCompressor(level=3).compress
+    pack = zstandard.ZstdCompressor(level=6).compress
     if len(first):
         of = doc[first]
         yield int(ids[0] % buckets), pack(ids[of].tobytes() + keys[of].tobytes()), pack(nth[first].astype("<i4").tobytes() + (nth[last - 1] + window).astype("<i4").tobytes()), b""
 
-    word = text.hashes(starts, ends)
+    word = text.word
     mers = word[: len(word) - MER + 1].copy()
     for k in range(1, MER):
         mers = mixed(mers * np.uint64(3)) ^ word[k: len(word) - MER + 1 + k]
@@ -138,14 +138,13 @@ class Bucket:
         ids, keys, begin = (np.concatenate([self.left[k], *(p[k] for p in self.pieces)]) for k in range(3))
         data = b"\n".join([x for x in (self.left[3], *(p[3] for p in self.pieces)) if x])
         self.pieces, self.size = [], 0
-        text = Bytes(data)
-        starts, ends = text.words()
-        line = np.concatenate([[0], np.cumsum(text.letters[ends[:-1]] == 10)])      # of each word: its super-k-mer
+        text = Words(data)
+        line = np.concatenate([[0], np.cumsum(text.letters[text.ends[:-1]] == 10)])      # of each word: its super-k-mer
         per_line = np.bincount(line, minlength=len(ids))
         at = np.flatnonzero(line[: len(line) - self.window + 1] == line[self.window - 1:])
         of = line[at]
         nth = at - (np.cumsum(per_line) - per_line)[of] + begin[of]
-        lost = beaten(text, starts[at], ends[at + self.window - 1], ids[of])
+        lost = beaten(text, at, self.window, ids[of])
         said = np.concatenate([self.left[4], np.zeros(len(at) - len(self.left[4]), bool)])      # marks made before
         first, last = runs(lost & ~said, of)
         if len(first):
@@ -216,10 +215,11 @@ def _kept(text: pd.Series, begins: pd.Series, untils: pd.Series) -> pd.DataFrame
 
 def remove_repeats(docs: DataFrame, window: int = WINDOW) -> DataFrame:
     """(row, n_words, n_removed, kept): each row of ``docs`` as a struct, and its text without the repeated words."""
-    keyed = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"), F.struct(*[docs[c] for c in docs.columns]).alias("row"))
-    keyed = keyed.withColumn("key", F.hash("text"))
-    found = marks(keyed, window).groupBy("doc_id", "key").agg(F.collect_list(F.struct("begin", "until")).alias("spans"))
+    text = F.col("row.text").cast("string")
+    keyed = docs.select(F.struct(*[docs[c] for c in docs.columns]).alias("row"))
+    keyed = keyed.select(F.col("row.doc_id").cast("long").alias("doc_id"), F.hash(text).alias("key"), "row")
+    found = marks(keyed.select("doc_id", "key", text.alias("text")), window).groupBy("doc_id", "key").agg(F.collect_list(F.struct("begin", "until")).alias("spans"))
     # one row a document on the right: the left side may be split where it is large
     both = keyed.join(found, ["doc_id", "key"], "left")
-    done = both.select("row", _kept(F.coalesce("text", F.lit("")), F.coalesce(F.col("spans.begin"), F.array().cast("array<int>")), F.coalesce(F.col("spans.until"), F.array().cast("array<int>"))).alias("k"))
+    done = both.select("row", _kept(F.coalesce(text, F.lit("")), F.coalesce(F.col("spans.begin"), F.array().cast("array<int>")), F.coalesce(F.col("spans.until"), F.array().cast("array<int>"))).alias("k"))
     return done.select("row", "k.n_words", "k.n_removed", "k.kept")

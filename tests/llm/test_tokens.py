@@ -31,13 +31,15 @@ def test_token_files(spark, libraries):
     rows = [(i, t, "clash", 7) for i, t in enumerate(ODD)] + [(5, ODD[5], "clash", 7), (None, "no id", None, None)]
     path = shared.fresh_path(spark, "files")
     token_files.write_files(docs(spark, rows), path, BYTES, end_id=0)
-    got = sorted(map(tuple, token_files.digests(token_files.read_files(spark, path)).collect()), key=lambda r: r[1])
+    got = sorted(map(tuple, token_files.digests(spark, path).collect()), key=lambda r: r[1])
     at, want = 0, []
     for doc_id, text in sorted(((r[0], r[1]) for r in rows), key=lambda r: (r[0] is not None, r[0] or 0)):
         ids = [*libraries[0].encode(text or "", add_special_tokens=False).ids, 0]
         want.append((doc_id, at, len(ids), zlib.crc32(np.array(ids, "<u4").tobytes())))
         at += len(ids)
     assert got == want
+    full = {(r.start, r.doc_id): r.ids for r in token_files.read_files(spark, path).collect()}
+    assert {k: (len(v) // 4, zlib.crc32(v)) for k, v in full.items()} == {(r[1], r[0]): r[2:] for r in want}
 
 
 def test_token_files_of_nothing(spark):
