@@ -254,6 +254,6 @@ def classes(docs: DataFrame, least: float = LEAST) -> DataFrame:
 def keep_first(docs: DataFrame, least: float = LEAST) -> DataFrame:
     """The rows of ``docs`` without those that are near copies of another: the smallest doc_id of each class stays, one row of it."""
     found = classes(docs, least).where("node = class_node and row.doc_id <=> class_id")
-    # equal rows of one doc_id: any one of them
-    first = found.groupBy("class_node").agg(F.min_by("row", F.xxhash64("row")).alias("row"))
+    # equal rows of one doc_id: any one of them; rows are already dealt out by node
+    first = found.groupBy("node").agg(F.min_by("row", F.xxhash64("row")).alias("row"))
     return first.select("row.*")
