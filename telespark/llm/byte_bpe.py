@@ -10,13 +10,16 @@ from __future__ import annotations
 
 import json
 import re
+from array import array
+from string import punctuation as PUNCTUATION
 
 import regex
 from tokenizers import Tokenizer
 
 #: The splitter of byte-level BPE (fixed value).
 PIECES = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
-MOST = 1_000_000        # words kept in one Python worker
+SPACES = frozenset("\t\v\f\r\x1c\x1d\x1e\x1f")
+MOST = 600_000          # words kept in one Python worker
 
 _OPEN: dict[str, ByteEncoder] = {}
 
@@ -44,8 +47,11 @@ class ByteEncoder:
         self.special = [t["content"] for t in json.loads(spec)["added_tokens"]]
         self.pieces = regex.compile(PIECES).findall
         self.cut = re.compile(r"(?<=\S) (?=\S)").split
-        self.odd = re.compile(r"\s | \s").search
+        self.after = re.compile(r" \s").search
+        self.before = re.compile(r"[^\S ] ").search
         self.letters = byte_letters()
+        self.kind = "H" if self.width == 2 else "I"
+        self.tails: dict[str, bytes] = {}
         self.known: dict[str, bytes] = {}       # by word: the encoding of a space and the word
 
     @classmethod
@@ -61,29 +67,53 @@ class ByteEncoder:
         encoder = cls.of(path)
         return max(encoder.tokenizer.get_vocab_size(), end_id + 1), encoder.width
 
+    def _word(self, word: str) -> bytes:
+        """A blank and a word, mostly letters and a run of punctuation: two pieces."""
+        body = word.rstrip(PUNCTUATION)
+        if not body.isalpha() or not body.isascii() and max(body) >= "ɐ":
+            return self._part(" " + word)
+        ids = self.known.get(body) if len(body) < len(word) else None
+        if ids is None:
+            letters = body if body.isascii() else "".join([self.letters[b] for b in body.encode()])
+            ids = array(self.kind, [t.id for t in self.model.tokenize(self.letters[32] + letters)]).tobytes()
+        if len(body) == len(word):
+            return ids
+        tail = word[len(body):]
+        after = self.tails.get(tail)
+        if after is None:
+            after = self._piece(tail)
+            if len(self.tails) < MOST:
+                self.tails[tail] = after
+        return ids + after
+
     def _part(self, part: str) -> bytes:
         if max(part, default="") < "ɐ" and not any(s in part for s in self.special):
-            letters = self.letters
-            ids = [t.id for piece in self.pieces(part) for t in self.model.tokenize("".join([letters[b] for b in piece.encode()]))]
+            return b"".join(map(self._piece, self.pieces(part)))
+        return array(self.kind, self.tokenizer.encode(part, add_special_tokens=False).ids).tobytes()
+
+    def _piece(self, piece: str) -> bytes:
+        if piece.isascii() and piece.isprintable():
+            piece = piece.replace(" ", self.letters[32])
         else:
-            ids = self.tokenizer.encode(part, add_special_tokens=False).ids
-        return b"".join([i.to_bytes(self.width, "little") for i in ids])
+            piece = "".join([self.letters[b] for b in piece.encode()])
+        return array(self.kind, [t.id for t in self.model.tokenize(piece)]).tobytes()
 
     def encode(self, texts: list[str]) -> list[bytes]:
         """Ids of whole texts as little-endian bytes."""
         known, out = self.known, []
         for text in texts:
-            words = self.cut(text) if self.odd(text) else text.split(" ")
-            try:
-                out.append(self._part(words[0]) + b"".join([known[w] for w in words[1:]]))
-            except KeyError:
-                ids = [self._part(words[0])]
-                for w in words[1:]:
-                    x = known.get(w)
+            if text.isascii() and not SPACES.intersection(text):
+                odd = "\n " in text or self.after(text)
+            else:
+                odd = self.before(text) or self.after(text)
+            words = self.cut(text) if odd else text.split(" ")
+            ids = list(map(known.get, words))
+            ids[0] = self._part(words[0])
+            if None in ids:
+                for i, x in enumerate(ids):
                     if x is None:
-                        x = self._part(" " + w)
+                        ids[i] = x = self._word(words[i])
                         if len(known) < MOST:
-                            known[w] = x
-                    ids.append(x)
-                out.append(b"".join(ids))
+                            known[words[i]] = x
+            out.append(b"".join(ids))
         return out

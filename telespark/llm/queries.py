@@ -31,7 +31,7 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 def op1(spark: SparkSession, sf_dir: str) -> DataFrame:
     path = shared.fresh_path(spark, "token-files")
     token_files.write_files(table(spark, sf_dir, "documents"), path, public_tokenizers.path("byte_bpe_50k.json"), end_id=0)
-    return token_files.digests(token_files.read_files(spark, path))
+    return token_files.digests(spark, path)
 
 
 @query("op2_bpe_round_trip")
@@ -48,7 +48,7 @@ y as (select r, list(p) as gone from x group by r),
 z as (select doc_id, w, list_transform(list_filter(range(1, len(w) + 1), lambda i: not list_contains(coalesce(gone, []), i)), lambda i: w[i]) as kept from d left join y using (r))
 select doc_id, len(w) as n_words, len(w) - len(kept) as n_removed, sha256(array_to_string(kept, ' ')) as kept_sha256 from z""")
 def op3(spark: SparkSession, sf_dir: str) -> DataFrame:
-    done = substring_dedup.remove_repeats(table(spark, sf_dir, "documents"))
+    done = substring_dedup.remove_repeats(table(spark, sf_dir, "documents").select("doc_id", "text"))
     return done.select("row.doc_id", "n_words", "n_removed", F.sha2(F.encode("kept", "utf-8"), 256).alias("kept_sha256"))
 
 

@@ -14,7 +14,7 @@ columns other than ``doc_id`` and ``text`` are not read.
 from __future__ import annotations
 
 import zlib
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -224,27 +224,40 @@ def write_files(docs: DataFrame, path: str, tokenizer: str, end_id: int = 0, lim
     code.coalesce(1).write.parquet(f"{path}/code")
 
 
-def read_files(spark: SparkSession, path: str) -> DataFrame:
-    """(doc_id, start, ids): the documents of ``write_files`` with all their ids, unsigned 32-bit little-endian."""
-    def rows(code: Code, batch: pa.RecordBatch) -> Iterator[pa.RecordBatch]:
-        for first, n, doc_ids, doc_tokens, offsets, bits in zip(*(c.to_pylist() for c in batch.columns)):
-            stream = code.decode(bits, np.array(offsets, dtype=np.int64), n).astype("<u4").tobytes()
-            ends = np.cumsum(np.array(doc_tokens, dtype=np.int64))
-            starts = ends - np.array(doc_tokens, dtype=np.int64)
-            yield pa.RecordBatch.from_arrays(
-                [pa.array(doc_ids, pa.int64()), pa.array(starts + first, pa.int64()),
-                 pa.array([stream[4 * a:4 * b] for a, b in zip(starts.tolist(), ends.tolist())], pa.binary())],
-                names=["doc_id", "start", "ids"])
-
+def _documents(spark: SparkSession, path: str, schema: str, names: list[str], make: Callable) -> DataFrame:
+    """Decodes the files; ``make(doc_ids, starts, stream, first, until)`` gives the columns of a segment's documents,
+    whose ids are at ``first`` to ``until`` of the stream (unsigned 32-bit little-endian)."""
     lengths = _lengths(spark, path)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         code = Code(lengths)
         for batch in batches:
-            yield from rows(code, batch)
+            for start, n, doc_ids, doc_tokens, offsets, bits in zip(*(c.to_pylist() for c in batch.columns)):
+                stream = code.decode(bits, np.array(offsets, dtype=np.int64), n).astype("<u4").tobytes()
+                tokens = np.array(doc_tokens, dtype=np.int64)
+                until = np.cumsum(tokens)
+                first = until - tokens
+                yield pa.RecordBatch.from_arrays(make(pa.array(doc_ids, pa.int64()), pa.array(first + start, pa.int64()), stream, first.tolist(), until.tolist()), names=names)
 
     segments = spark.read.schema(SEGMENTS).parquet(f"{path}/segments")
-    return segments.select(*segments.columns).mapInArrow(run, "doc_id long, start long, ids binary")
+    return segments.mapInArrow(run, schema)
+
+
+def read_files(spark: SparkSession, path: str) -> DataFrame:
+    """(doc_id, start, ids): the documents of ``write_files`` with all their ids, unsigned 32-bit little-endian."""
+    def make(doc_ids, starts, stream, first, until):
+        return [doc_ids, starts, pa.array([stream[4 * a:4 * b] for a, b in zip(first, until)], pa.binary())]
+
+    return _documents(spark, path, "doc_id long, start long, ids binary", ["doc_id", "start", "ids"], make)
+
+
+def digests(spark: SparkSession, path: str) -> DataFrame:
+    """(doc_id, start, n_tokens, ids_crc32) of the documents read back from the files."""
+    def make(doc_ids, starts, stream, first, until):
+        view = memoryview(stream)
+        return [doc_ids, starts, pa.array([b - a for a, b in zip(first, until)], pa.int64()), pa.array([zlib.crc32(view[4 * a:4 * b]) for a, b in zip(first, until)], pa.int64())]
+
+    return _documents(spark, path, "doc_id long, start long, n_tokens long, ids_crc32 long", ["doc_id", "start", "n_tokens", "ids_crc32"], make)
 
 
 def _lengths(spark: SparkSession, path: str) -> np.ndarray:
@@ -255,14 +268,3 @@ def _lengths(spark: SparkSession, path: str) -> np.ndarray:
         lengths[r.id] = r.length
     return lengths[:-1]
 
-
-def digests(files: DataFrame) -> DataFrame:
-    """(doc_id, start, n_tokens, ids_crc32) of documents read back from the files."""
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            ids = batch.column(2).to_pylist()
-            yield pa.RecordBatch.from_arrays(
-                [batch.column(0), batch.column(1), pa.array([len(x) // 4 for x in ids], pa.int64()), pa.array([zlib.crc32(x) for x in ids], pa.int64())],
-                names=["doc_id", "start", "n_tokens", "ids_crc32"])
-
-    return files.mapInArrow(run, "doc_id long, start long, n_tokens long, ids_crc32 long")
