@@ -16,7 +16,9 @@ from __future__ import annotations
 
 import hashlib
 import json
+from array import array
 from collections.abc import Iterable, Iterator
+from string import punctuation as PUNCTUATION
 
 import numpy as np
 import pyarrow as pa
@@ -30,7 +32,7 @@ from telespark.llm.byte_bpe import byte_letters
 
 #: The splitter of the word-end tokenizer (fixed value).
 PIECES = r"'s|'t|'re|'ve|'m|'ll|'d|[\p{L}]+|[\p{N}]|[^\s\p{L}\p{N}]+"
-MOST = 500_000          # chunks kept in one Python worker
+MOST = 300_000          # chunks, and words, kept in one Python worker
 
 _OPEN: dict[str, TrieEncoder] = {}
 
@@ -142,6 +144,7 @@ class TrieEncoder:
         self.special = [t["content"] for t in spec["added_tokens"]]
         self.pieces = regex.compile(PIECES).findall
         self.letters = byte_letters()
+        self.known: dict[str, bytes] = {}
         self.chunks: dict[str, bytes] = {"": b""}
         names = self.tokenizer.get_vocab(with_added_tokens=True)
         self.names = [""] * (max(names.values()) + 1)
@@ -156,31 +159,42 @@ class TrieEncoder:
 
     def words(self, chunk: str) -> list[str]:
         """The words of a chunk, in the letters that stand for bytes. Plain Latin is split here, the rest by the library's own steps."""
-        if max(chunk) < "ɐ" and "İ" not in chunk:
-            return ["".join([self.letters[b] for b in x.encode()]) for x in self.pieces(chunk.lower())]
-        return [x for x, _ in self.tokenizer.pre_tokenizer.pre_tokenize_str(self.tokenizer.normalizer.normalize_str(chunk))]
+        if not (chunk.isascii() or max(chunk) < "ɐ" and "İ" not in chunk):
+            return [x for x, _ in self.tokenizer.pre_tokenizer.pre_tokenize_str(self.tokenizer.normalizer.normalize_str(chunk))]
+        chunk = chunk.lower()
+        body = chunk.rstrip(PUNCTUATION)
+        if body.isalpha():                      # letters and a run of punctuation
+            found = [body, chunk[len(body):]] if len(body) < len(chunk) else [body]
+        else:
+            found = self.pieces(chunk)
+        return found if chunk.isascii() and chunk.isprintable() else ["".join([self.letters[b] for b in x.encode()]) for x in found]
 
     def _learn(self, chunks: Iterable[str]) -> dict[str, bytes]:
-        """Encodings of chunks: their distinct words go through one trie."""
+        """Encodings of chunks: their distinct new words go through one trie."""
         split, out = {}, {}
         for chunk in chunks:
             if any(s in chunk for s in self.special):
                 out[chunk] = np.array(self.tokenizer.encode(chunk, add_special_tokens=False).ids, dtype="<u4").tobytes()
             else:
                 split[chunk] = self.words(chunk)
-        ids = dict(walk(trie_of({w for x in split.values() for w in x}), self.merges))
+        known = self.known
+        fresh = {w: array("I", ids).tobytes() for w, ids in walk(trie_of({w for x in split.values() for w in x} - known.keys()), self.merges)}
         for chunk, words in split.items():
-            out[chunk] = np.array([i for w in words for i in ids[w]], dtype="<u4").tobytes()
+            out[chunk] = b"".join([known[w] if w in known else fresh[w] for w in words])
+        if len(known) < MOST:
+            known.update(fresh)
         return out
 
     def encode(self, texts: list[str]) -> list[bytes]:
         """Ids of whole texts, unsigned 32-bit little-endian. White space bounds words, so chunks between blanks encode alone."""
         parts = [text.split(" ") for text in texts]
         chunks = {c for x in parts for c in x}
-        if len(self.chunks) + len(chunks) > MOST:
-            self.chunks = {"": b""}
-        self.chunks.update(self._learn(chunks - self.chunks.keys()))
-        return [b"".join([self.chunks[c] for c in x]) for x in parts]
+        here = {c: self.chunks[c] for c in chunks & self.chunks.keys()}
+        fresh = self._learn(chunks - here.keys())
+        if len(self.chunks) < MOST:
+            self.chunks.update(fresh)
+        here |= fresh
+        return [b"".join([here[c] for c in x]) for x in parts]
 
     def decode(self, ids: np.ndarray) -> str:
         """As the library's ``decode(ids, skip_special_tokens=False)`` without a decoder: token texts joined by a blank."""
