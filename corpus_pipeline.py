@@ -14,6 +14,7 @@ ENTROPY = 0.88          # of the source weights, as a part of the largest possib
 
 def language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents in one of the learned languages; texts without letters and undecided ones go."""
+    shared.ship(spark)
     model = language_id.fit(docs.where(~language_id.held_out(F.col("doc_id"))).select("doc_id", "text", "lang"))
     rows = docs.select(F.struct(*[docs[c] for c in docs.columns]).alias("row"), "text")
     found = language_id.predict(rows, model)

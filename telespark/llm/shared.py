@@ -2,13 +2,18 @@
 
 from __future__ import annotations
 
+import os
 import re
 import tempfile
 import uuid
+import zipfile
+from pathlib import Path
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+_SHIPPED: set[str] = set()
+
 
 def shared_folder(spark: SparkSession) -> str:
     """The folder named in ``spark.checkpoint.dir``; a folder of its own only on a single local machine (tests)."""
@@ -22,6 +27,23 @@ def shared_folder(spark: SparkSession) -> str:
     return folder
 
 
+def ship(spark: SparkSession) -> None:
+    """Make this package importable in Python workers: where they would not find it by PYTHONPATH or the
+    working folder, it is sent to them as a zip, once for each Spark application."""
+    root = Path(__file__).resolve().parents[2]
+    if str(root) in map(os.path.realpath, [os.getcwd(), *filter(None, os.environ.get("PYTHONPATH", "").split(os.pathsep))]):
+        return
+    sc = spark.sparkContext
+    if sc.applicationId in _SHIPPED:
+        return
+    path = Path(tempfile.mkdtemp(prefix="telespark-code-"), "telespark.zip")        # Spark's file server reads it from here
+    with zipfile.ZipFile(path, "w") as out:
+        for f in sorted(Path(root, "telespark").rglob("*.py")):
+            out.write(f, f.relative_to(root))
+    sc.addPyFile(str(path))
+    _SHIPPED.add(sc.applicationId)
+
+
 def fresh_path(spark: SparkSession, name: str) -> str:
     return f"{shared_folder(spark).rstrip('/')}/{name}-{uuid.uuid4().hex}"
 
