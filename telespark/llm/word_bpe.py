@@ -32,7 +32,7 @@ from telespark.llm.byte_bpe import byte_letters
 
 #: The splitter of the word-end tokenizer (fixed value).
 PIECES = r"'s|'t|'re|'ve|'m|'ll|'d|[\p{L}]+|[\p{N}]|[^\s\p{L}\p{N}]+"
-MOST = 300_000          # chunks, and words, kept in one Python worker
+MOST = 150_000          # chunks, and words, kept in one Python worker
 
 _OPEN: dict[str, TrieEncoder] = {}
 
