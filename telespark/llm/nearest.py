@@ -130,11 +130,11 @@ def nearest(vectors: DataFrame, wanted, k: int = 20) -> DataFrame:
         return int(ids[0] % parts), ids.astype("<i8").tobytes(), vectors.astype("<f4").tobytes(), codes.tobytes(), length.tobytes(), cosine.tobytes()
 
     parts = max(1, min(n, shared.partitions(spark)))
-    index = shared.written(_blocks(heads.repartition(n, "class_id"), BLOCK, pack_index, INDEX), "one-bit-index")
+    index = shared.written(_blocks(heads.repartition(n), BLOCK, pack_index, INDEX), "one-bit-index")
     asked = rows.where(wanted(F.col("vec_id"))).join(heads, "embedding").select("vec_id", "class_id")
     asked = shared.written(asked, "asked")
     asked_heads = heads.join(asked.select("class_id").distinct(), "class_id", "left_semi").select("class_id", "embedding")
-    questions = _blocks(asked_heads.repartition(max(1, n // 2), "class_id"), QUERIES, lambda ids, v: (ids.astype("<i8").tobytes(), v.astype("<f4").tobytes()), "asked binary, queries binary")
+    questions = _blocks(asked_heads.repartition(max(1, n // 2)), QUERIES, lambda ids, v: (ids.astype("<i8").tobytes(), v.astype("<f4").tobytes()), "asked binary, queries binary")
     questions = questions.withColumn("part", F.explode(F.sequence(F.lit(0), F.lit(parts - 1))))
 
     def meet(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
