@@ -8,17 +8,17 @@ from pyspark.sql import functions as F
 
 from telespark.llm import language_id, mixing, near_dedup, shared, substring_dedup, word_bpe
 
-LEAST_SCORE = 0.3       # answers below it are no language
+LEAST_KNOWN = 0.5       # of the share of n-grams usual in labelled rows of the language; texts below it are in no learned language
 ENTROPY = 0.88          # of the source weights, as a part of the largest possible
 
 
 def language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents in one of the learned languages; texts without letters and undecided ones go."""
+    """Documents in one of the learned languages; texts without letters, without sense or in a language not learned go."""
     shared.ship(spark)
     model = language_id.fit(docs.where(~language_id.held_out(F.col("doc_id"))).select("doc_id", "text", "lang"))
     rows = docs.select(F.struct(*[docs[c] for c in docs.columns]).alias("row"), "text")
     found = language_id.predict(rows, model)
-    return found.where((F.col("language.lang_pred") != language_id.UNKNOWN) & (F.col("language.score") >= LEAST_SCORE)).select("row.*")
+    return found.where((F.col("language.lang_pred") != language_id.UNKNOWN) & (F.col("language.known") >= LEAST_KNOWN)).select("row.*")
 
 
 def near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

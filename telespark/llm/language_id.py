@@ -7,7 +7,12 @@ matrix the sample is mapped to ``W^(-1/2)`` features, and one ridge regression f
 against the rest is solved in closed form. A text is scored by one product of its presence row over
 the landmarks' n-grams with the landmark matrix and the weights, a block of texts at a time.
 
-Defined cases: a null text, or one without a letter, is ``und`` with score 0; rows are independent, so
+``score`` shares one out over the learned languages, so its size depends on their number. ``known`` does not: it is
+the share of the text's n-grams of ``LONG`` and more code points, digits and signs left out, that the landmarks of the answer's language hold,
+as a part of the median share of that language's other labelled rows (of a landmark: in the other landmarks).
+
+Defined cases: a null text, or one without a letter, is ``und`` with score and known 0; a language whose
+labelled rows have nothing in common (one row, say) has no usual share, and known is 1; rows are independent, so
 repeated rows get equal answers; ties go to the language first by name; no labelled rows at all, or
 an empty table: every row is ``und``. Only ``text`` is read to predict; extra columns are carried along.
 """
@@ -18,11 +23,13 @@ from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
+import regex
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 LONGEST = 4             # code points of the longest n-gram
+LONG = 3                # code points of the shortest n-gram that tells languages from noise
 SAMPLE = 400            # labelled texts for each language (the bound of the sample)
 LANDMARKS = 40          # of them landmarks
 LANGUAGES = 64          # languages to learn at most, the most frequent first
@@ -32,6 +39,7 @@ RIDGE = 1e-3
 SHARP = 8.0             # steepness of the score over regression values
 BLOCK = 64              # texts scored by one product
 UNKNOWN = "und"
+SIGNS = regex.compile(r"[\p{N}\p{P}\p{S}\p{C}]+")
 
 
 def grams(text: str) -> np.ndarray:
@@ -49,6 +57,19 @@ def grams(text: str) -> np.ndarray:
     return codes[np.concatenate([[True], codes[1:] != codes[:-1]])]
 
 
+def long(text: str) -> np.ndarray:
+    """The n-grams of LONG and more code points of a text without digits and signs; the last bits of a code are its length less one."""
+    codes = grams(SIGNS.sub(" ", text))
+    return codes[(codes & np.uint64(7)) >= LONG - 1]
+
+
+def share(codes: np.ndarray, own: np.ndarray) -> float:
+    """The part of ``codes`` that is in ``own``, both ascending."""
+    if not len(codes) or not len(own):
+        return 0.0
+    return float((own[np.minimum(np.searchsorted(own, codes), len(own) - 1)] == codes).mean())
+
+
 class Model:
     """Landmark n-grams and, for each language, a weight for each of them."""
 
@@ -58,6 +79,13 @@ class Model:
         label = np.array([self.languages.index(x) for x in languages])
         marks = [i for k in range(len(self.languages)) for i in np.flatnonzero(label == k)[:LANDMARKS]]
         self.grams = np.unique(np.concatenate([sets[i] for i in marks]))
+        self.own, self.usual = [], []
+        for k in range(len(self.languages)):
+            mine = {texts[i]: long(texts[i]) for i in np.flatnonzero(label == k)[:LANDMARKS]}
+            others = {texts[i]: long(texts[i]) for i in np.flatnonzero(label == k)[LANDMARKS:] if texts[i] not in mine}
+            own, times = np.unique(np.concatenate(list(mine.values())), return_counts=True)
+            self.own.append(own)
+            self.usual.append(float(np.median([share(x, own[times > 1]) for x in mine.values()] + [share(x, own) for x in others.values()])))
         presence = np.zeros((len(self.grams), len(marks)), dtype=np.float32)       # n-grams by landmarks
         for j, i in enumerate(marks):
             presence[np.searchsorted(self.grams, sets[i]), j] = 1 / np.sqrt(len(sets[i]))
@@ -84,8 +112,8 @@ class Model:
             row[at[self.grams[at] == codes]] = 1 / np.sqrt(len(codes))
         return out
 
-    def predict(self, texts: list[str | None]) -> tuple[list[str], np.ndarray]:
-        names, scores = [UNKNOWN] * len(texts), np.zeros(len(texts))
+    def predict(self, texts: list[str | None]) -> tuple[list[str], np.ndarray, np.ndarray]:
+        names, scores, known_part = [UNKNOWN] * len(texts), np.zeros(len(texts)), np.zeros(len(texts))
         known = [i for i, t in enumerate(texts) if t and any(map(str.isalpha, t))]
         for low in range(0, len(known), BLOCK):
             at = known[low:low + BLOCK]
@@ -93,9 +121,10 @@ class Model:
             best = values.argmax(axis=1)
             for i, k in zip(at, best.tolist()):
                 names[i] = self.languages[k]
+                known_part[i] = share(long(texts[i]), self.own[k]) / self.usual[k] if self.usual[k] else 1
             odds = np.exp(SHARP / 2 * (values - values.max(axis=1, keepdims=True)))
             scores[at] = 1 / odds.sum(axis=1)
-        return names, scores
+        return names, scores, known_part
 
 
 def fit(labelled: DataFrame) -> Model | None:
@@ -119,16 +148,15 @@ def fit(labelled: DataFrame) -> Model | None:
 
 
 def predict(docs: DataFrame, model: Model | None) -> DataFrame:
-    """``docs`` with a struct ``language`` (lang_pred, score); the model has at most LANGUAGES * LANDMARKS landmarks."""
+    """``docs`` with a struct ``language`` (lang_pred, score, known); the model has at most LANGUAGES * LANDMARKS landmarks."""
     if model is None:
-        return docs.withColumn("language", F.struct(F.lit(UNKNOWN).alias("lang_pred"), F.lit(0.0).alias("score")))
+        return docs.withColumn("language", F.struct(F.lit(UNKNOWN).alias("lang_pred"), F.lit(0.0).alias("score"), F.lit(0.0).alias("known")))
     shared = docs.sparkSession.sparkContext.broadcast(model)
 
-    @F.pandas_udf(T.StructType([T.StructField("lang_pred", T.StringType()), T.StructField("score", T.DoubleType())]))
+    @F.pandas_udf(T.StructType([T.StructField("lang_pred", T.StringType()), T.StructField("score", T.DoubleType()), T.StructField("known", T.DoubleType())]))
     def score(batches: Iterator[pd.Series]) -> Iterator[pd.DataFrame]:
         for texts in batches:
-            names, scores = shared.value.predict(texts.tolist())
-            yield pd.DataFrame({"lang_pred": names, "score": scores})
+            yield pd.DataFrame(dict(zip(("lang_pred", "score", "known"), shared.value.predict(texts.tolist()))))
 
     return docs.withColumn("language", score(F.col("text").cast("string")))
 

@@ -9,6 +9,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
+import corpus_pipeline
 from oracle_check import check, duck
 from telespark.llm import language_id, near_dedup, order_minhash, substring_dedup
 from telespark.llm import queries as llm_queries
@@ -198,3 +199,31 @@ def test_language_id_without_labels(spark):
     assert language_id.fit(docs(spark, [(1, "text")])) is None
     assert [r.lang_pred for r in language_id.predict(docs(spark, [(1, "text")]), None).select("language.*").collect()] == ["und"]
     assert language_id.predict(docs(spark, []), None).count() == 0
+
+
+def invented(seed, n, least=8):
+    """Texts of an invented language: a seed is a language."""
+    rng = random.Random(seed)
+    letters = rng.sample("abcdefghijklmnopqrstuvwxyz", 16)
+    syllables = [rng.choice(letters) + rng.choice("aeiou") + rng.choice(letters + [""] * 8) for _ in range(45)]
+    known = ["".join(rng.choice(syllables) for _ in range(rng.randint(1, 3))) for _ in range(600)]
+    return [" ".join(known[min(int(rng.paretovariate(0.6)) - 1, 599)] for _ in range(rng.randint(least, 120))) for _ in range(n)]
+
+
+@pytest.mark.parametrize("languages", [2, 4, 20])
+def test_language_stage(spark, languages):
+    rng = random.Random(9)
+    noise = [" ".join("".join(rng.choice("abcdefghijklmnopqrstuvwxyz") for _ in range(rng.randint(2, 9))) for _ in range(rng.randint(5, 90))) for _ in range(30)]
+    texts = {seed: invented(seed, 70) for seed in range(1, languages + 1)}
+    rows = [(seed * 1000 + i, t, f"m{seed}") for seed, all_of in texts.items() for i, t in enumerate(all_of)]
+    # two thirds in one language, one third in another: a clear lead, but not the largest
+    rows += [(100_000 + i, " ".join(a.split()[:40] + b.split()[:20]), None) for i, (a, b) in enumerate(zip(invented(1, 30, 60), invented(2, 30, 60)))]
+    rows += [(200_000 + i, t, None) for i, t in enumerate(noise)] + [(300_000 + i, t, None) for i, t in enumerate(invented(77, 30) + invented(78, 30))]
+    rows += [(400_000, "\u044d\u0442\u043e \u0440\u0443\u0441\u0441\u043a\u0438\u0439 \u0442\u0435\u043a\u0441\u0442 \u043e \u0432\u0435\u0449\u0430\u0445", None), (400_001, "12 !?", None), (400_002, None, None)]
+    kept = corpus_pipeline.language(spark, spark.createDataFrame(rows, "doc_id long, text string, lang string"), SF).collect()
+    assert {r.doc_id for r in kept} == {i for i, _, _ in rows if i < 200_000}
+
+
+def test_known_share_of_one_row(spark):
+    model = language_id.fit(docs(spark, [(1, "text")]).withColumn("lang", F.lit("a")))
+    assert model.usual == [0] and model.predict(["text", "other", "1"])[2].tolist() == [1, 1, 0]
