@@ -4,8 +4,8 @@ The kernel counts the character n-grams of 1 to ``LONGEST`` code points that two
 common (presence, blended over the lengths), normalised by both texts' own numbers of n-grams. A
 bounded sample of labelled texts is drawn; some of it are the landmarks. With the landmark kernel
 matrix the sample is mapped to ``W^(-1/2)`` features, and one ridge regression for each language
-against the rest is solved in closed form. A text is scored by one product of its presence row over
-the landmarks' n-grams with the landmark matrix and the weights, a block of texts at a time.
+against the rest is solved in closed form. A text is scored by its n-grams' weights, the landmark matrix
+times the regression weights; with many languages by its kernel values with the landmarks.
 
 ``score`` shares one out over the learned languages, so its size depends on their number. ``known`` does not: it is
 the share of the text's n-grams of ``LONG`` and more code points, digits and signs left out, that the landmarks of the answer's language hold,
@@ -32,12 +32,13 @@ LONGEST = 4             # code points of the longest n-gram
 LONG = 3                # code points of the shortest n-gram that tells languages from noise
 SAMPLE = 400            # labelled texts for each language (the bound of the sample)
 LANDMARKS = 40          # of them landmarks
-LANGUAGES = 64          # languages to learn at most, the most frequent first
-SAMPLE_CHARS = 4000     # texts of SAMPLE_LEAST to so many characters are drawn first; none over 25 times that is drawn
+LANGUAGES = 64          # so many languages have full samples; of more, each has fewer rows and landmarks, at least one
+SAMPLE_CHARS = 4000     # texts of SAMPLE_LEAST to so many characters are drawn first, those over 25 times that last
 SAMPLE_LEAST = 40
 RIDGE = 1e-3
 SHARP = 8.0             # steepness of the score over regression values
-BLOCK = 64              # texts scored by one product
+BLOCK = 256             # sampled texts mapped to features at once
+PRODUCT = 1 << 25       # numbers of the product of presence and weights, if it is held
 UNKNOWN = "und"
 SIGNS = regex.compile(r"[\p{N}\p{P}\p{S}\p{C}]+")
 
@@ -71,84 +72,114 @@ def share(codes: np.ndarray, own: np.ndarray) -> float:
 
 
 class Model:
-    """Landmark n-grams and, for each language, a weight for each of them."""
+    """Landmark n-grams, the landmarks that hold each of them, and the regression weights of the landmarks."""
 
     def __init__(self, texts: list[str], languages: list[str]):
         self.languages = sorted(set(languages))
-        sets = [grams(t) for t in texts]
-        label = np.array([self.languages.index(x) for x in languages])
-        marks = [i for k in range(len(self.languages)) for i in np.flatnonzero(label == k)[:LANDMARKS]]
-        self.grams = np.unique(np.concatenate([sets[i] for i in marks]))
+        place = {x: k for k, x in enumerate(self.languages)}
+        label = np.array([place[x] for x in languages])
+        held = max(1, min(LANDMARKS, LANGUAGES * LANDMARKS // len(self.languages)))
+        order = np.argsort(label, kind="stable")
+        rows = np.split(order, np.cumsum(np.bincount(label))[:-1])                  # of each language
+        marks = np.concatenate([x[:held] for x in rows])
+        sets = [grams(texts[i]) for i in marks]
+        self.grams = np.unique(np.concatenate(sets))
+        self.scale = np.array([1 / np.sqrt(len(x)) for x in sets])
+        # presence is held sparse: the landmarks of n-gram g are self.marks[self.start[g]:self.start[g + 1]]
+        at = np.concatenate([np.searchsorted(self.grams, x) for x in sets])
+        by_gram = np.argsort(at, kind="stable")
+        self.marks = np.repeat(np.arange(len(sets), dtype=np.int32), [len(x) for x in sets])[by_gram]
+        self.start = np.concatenate([[0], np.cumsum(np.bincount(at, minlength=len(self.grams)))])
+        del at, by_gram
+
         self.own, self.usual = [], []
-        for k in range(len(self.languages)):
-            mine = {texts[i]: long(texts[i]) for i in np.flatnonzero(label == k)[:LANDMARKS]}
-            others = {texts[i]: long(texts[i]) for i in np.flatnonzero(label == k)[LANDMARKS:] if texts[i] not in mine}
+        for x in rows:
+            mine = {texts[i]: long(texts[i]) for i in x[:held]}
+            others = {texts[i]: long(texts[i]) for i in x[held:] if texts[i] not in mine}
             own, times = np.unique(np.concatenate(list(mine.values())), return_counts=True)
             self.own.append(own)
-            self.usual.append(float(np.median([share(x, own[times > 1]) for x in mine.values()] + [share(x, own) for x in others.values()])))
-        presence = np.zeros((len(self.grams), len(marks)), dtype=np.float32)       # n-grams by landmarks
-        for j, i in enumerate(marks):
-            presence[np.searchsorted(self.grams, sets[i]), j] = 1 / np.sqrt(len(sets[i]))
-        kernel = np.concatenate([self.rows(sets[a:a + BLOCK]) @ presence for a in range(0, len(sets), BLOCK)]).astype(np.float64)
-        values, vectors = np.linalg.eigh(kernel[marks])
+            self.usual.append(float(np.median([share(y, own[times > 1]) for y in mine.values()] + [share(y, own) for y in others.values()])))
+
+        values, vectors = np.linalg.eigh(np.stack([self.kernel(x) for x in sets]))
         good = values > 1e-6 * values.max()
         half = vectors[:, good] / np.sqrt(values[good])                              # W^(-1/2) on its range
-        z = np.concatenate([kernel @ half, np.ones((len(sets), 1))], axis=1)
-        target = np.where(label[:, None] == np.arange(len(self.languages)), 1.0, -1.0)
-        balance = (1 / np.bincount(label, minlength=len(self.languages)))[label][:, None]
-        penalty = RIDGE * np.eye(z.shape[1])
+        balance = 1 / np.bincount(label)
+        size = half.shape[1] + 1
+        inner, outer = np.zeros((size, size)), np.zeros((size, len(self.languages)))
+        for low in range(0, len(texts), BLOCK):                                      # the sample's features are never held at once
+            block = range(low, min(low + BLOCK, len(texts)))
+            z = np.concatenate([np.stack([self.kernel(grams(texts[i])) for i in block]) @ half, np.ones((len(block), 1))], axis=1)
+            weighted = (z * balance[label[block], None]).T
+            inner += weighted @ z
+            outer += weighted @ np.where(label[block, None] == np.arange(len(self.languages)), 1.0, -1.0)
+        penalty = RIDGE * np.eye(size)
         penalty[-1, -1] = 0
-        weights = np.linalg.solve(z.T @ (z * balance) + penalty, z.T @ (target * balance))
+        weights = np.linalg.solve(inner + penalty, outer)
         self.bias = weights[-1]
-        #: landmark matrix and regression weights multiplied once: n-grams by languages
-        self.weights = (presence.astype(np.float64) @ (half @ weights[:-1])).astype(np.float32)
-
-    def rows(self, sets: list[np.ndarray]) -> np.ndarray:
-        """Presence of the landmarks' n-grams, each row divided by the root of the text's own number of n-grams."""
-        out = np.zeros((len(sets), len(self.grams)), dtype=np.float32)
-        for row, codes in zip(out, sets):
-            at = np.searchsorted(self.grams, codes)
-            at[at == len(self.grams)] = 0
-            row[at[self.grams[at] == codes]] = 1 / np.sqrt(len(codes))
-        return out
+        self.alpha = half @ weights[:-1]                                             # landmarks by languages
+        #: while that is small: landmark presence and regression weights multiplied once, n-grams by languages
+        self.weights = None
+        if len(self.grams) * len(self.languages) <= PRODUCT:
+            self.weights = np.zeros((len(self.grams), len(self.languages)), dtype=np.float32)
+            for codes, scale, alpha in zip(sets, self.scale, self.alpha):
+                self.weights[np.searchsorted(self.grams, codes)] += (scale * alpha).astype(np.float32)
+
+    def found(self, codes: np.ndarray) -> np.ndarray:
+        """Places of those ``codes`` that are landmark n-grams."""
+        at = np.minimum(np.searchsorted(self.grams, codes), len(self.grams) - 1)
+        return at[self.grams[at] == codes]
+
+    def kernel(self, codes: np.ndarray) -> np.ndarray:
+        """Kernel values with all landmarks."""
+        at = self.found(codes)
+        low, n = self.start[at], self.start[at + 1] - self.start[at]
+        places = np.repeat(low - np.cumsum(n) + n, n) + np.arange(n.sum())
+        return np.bincount(self.marks[places], minlength=len(self.scale)) * self.scale / np.sqrt(len(codes))
+
+    def values(self, codes: np.ndarray) -> np.ndarray:
+        """Regression values of all languages."""
+        if self.weights is None:
+            return self.kernel(codes) @ self.alpha + self.bias
+        return self.weights[self.found(codes)].sum(axis=0, dtype=np.float64) / np.sqrt(len(codes)) + self.bias
 
     def predict(self, texts: list[str | None]) -> tuple[list[str], np.ndarray, np.ndarray]:
-        names, scores, known_part = [UNKNOWN] * len(texts), np.zeros(len(texts)), np.zeros(len(texts))
-        known = [i for i, t in enumerate(texts) if t and any(map(str.isalpha, t))]
-        for low in range(0, len(known), BLOCK):
-            at = known[low:low + BLOCK]
-            values = self.rows([grams(texts[i]) for i in at]) @ self.weights + self.bias
-            best = values.argmax(axis=1)
-            for i, k in zip(at, best.tolist()):
-                names[i] = self.languages[k]
-                known_part[i] = share(long(texts[i]), self.own[k]) / self.usual[k] if self.usual[k] else 1
-            odds = np.exp(SHARP / 2 * (values - values.max(axis=1, keepdims=True)))
-            scores[at] = 1 / odds.sum(axis=1)
-        return names, scores, known_part
+        names, scores, known = [UNKNOWN] * len(texts), np.zeros(len(texts)), np.zeros(len(texts))
+        for i, text in enumerate(texts):
+            if text and any(map(str.isalpha, text)):
+                values = self.values(grams(text))
+                k = int(values.argmax())
+                names[i], scores[i] = self.languages[k], 1 / np.exp(SHARP / 2 * (values - values[k])).sum()
+                known[i] = share(long(text), self.own[k]) / self.usual[k] if self.usual[k] else 1
+        return names, scores, known
 
 
 def fit(labelled: DataFrame) -> Model | None:
-    """A model of a bounded sample of (doc_id, text, lang) rows: at most ``SAMPLE`` for each of ``LANGUAGES`` languages.
+    """A model of a bounded sample of (doc_id, text, lang) rows: every language with at most ``SAMPLE`` rows, fewer where there are over ``LANGUAGES``.
 
-    Rows are drawn by a hash of the doc_id, without their texts; then the texts of the drawn ids are fetched.
+    Rows are drawn by a hash of the doc_id, those without one by a hash of the row, without their texts; then the
+    texts of the drawn rows are fetched.
     """
-    rows = labelled.where("lang is not null and text is not null")
-    languages = [r.lang for r in rows.groupBy("lang").count().orderBy(F.desc("count"), "lang").limit(LANGUAGES).collect()]
-    if not languages:
-        return None
+    rows = labelled.where("lang is not null and text is not null").withColumn("key", F.xxhash64("doc_id", "lang", "text"))
     size = F.length("text")
-    slim = rows.where(F.col("lang").isin(languages) & (size <= 25 * SAMPLE_CHARS)) \
-        .select("doc_id", "lang", F.when((size >= SAMPLE_LEAST) & (size <= SAMPLE_CHARS), 0).otherwise(1).alias("late"), F.xxhash64("doc_id").alias("lot"))
+    late = F.when((size >= SAMPLE_LEAST) & (size <= SAMPLE_CHARS), 0).when(size <= 25 * SAMPLE_CHARS, 1).otherwise(2)
+    lot = F.when(F.col("doc_id").isNull(), F.col("key")).otherwise(F.xxhash64("doc_id"))
+    slim = rows.select("doc_id", "lang", "key", late.alias("late"), lot.alias("lot"))
     # the rank limit is applied within tasks before rows of a language meet
-    rank = F.row_number().over(Window.partitionBy("lang").orderBy("late", "lot", "doc_id"))
-    drawn = [r.doc_id for r in slim.withColumn("rank", rank).where(F.col("rank") <= SAMPLE).select("doc_id").distinct().collect()]
-    found = rows.where(F.col("doc_id").isin(drawn)).select("doc_id", "lang", "text").distinct() \
-        .orderBy(F.xxhash64("doc_id"), "doc_id", "lang", "text").limit(SAMPLE * len(languages)).collect()
-    return Model([r.text for r in found], [r.lang for r in found]) if found else None
+    rank = F.row_number().over(Window.partitionBy("lang").orderBy("late", "lot", "doc_id", "key"))
+    drawn = slim.withColumn("rank", rank).where(F.col("rank") <= SAMPLE).select("lang", "rank", "key").collect()
+    if not drawn:
+        return None
+    most = max(1, SAMPLE * LANGUAGES // len({r.lang for r in drawn}))
+    keys = [r.key for r in drawn if r["rank"] <= most]
+    # of a longer text the middle is enough to learn from
+    text = F.when(size > SAMPLE_CHARS, F.substring("text", F.floor((size - SAMPLE_CHARS) / 2).cast("int") + 1, F.lit(SAMPLE_CHARS))).otherwise(F.col("text"))
+    found = rows.where(F.col("key").isin(keys)).select("doc_id", "lang", text.alias("text"), lot.alias("lot")).distinct() \
+        .orderBy("lot", "doc_id", "lang", "text").drop("lot").limit(len(keys)).collect()
+    return Model([r.text for r in found], [r.lang for r in found])
 
 
 def predict(docs: DataFrame, model: Model | None) -> DataFrame:
-    """``docs`` with a struct ``language`` (lang_pred, score, known); the model has at most LANGUAGES * LANDMARKS landmarks."""
+    """``docs`` with a struct ``language`` (lang_pred, score, known); the model has at most LANGUAGES * LANDMARKS landmarks, or one a language."""
     if model is None:
         return docs.withColumn("language", F.struct(F.lit(UNKNOWN).alias("lang_pred"), F.lit(0.0).alias("score"), F.lit(0.0).alias("known")))
     shared = docs.sparkSession.sparkContext.broadcast(model)

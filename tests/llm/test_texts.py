@@ -227,3 +227,23 @@ def test_language_stage(spark, languages):
 def test_known_share_of_one_row(spark):
     model = language_id.fit(docs(spark, [(1, "text")]).withColumn("lang", F.lit("a")))
     assert model.usual == [0] and model.predict(["text", "other", "1"])[2].tolist() == [1, 1, 0]
+
+
+def test_all_languages_are_learned(spark):
+    rows = [(seed * 100 + i, t, f"m{seed:02}") for seed in range(1, 71) for i, t in enumerate(invented(seed, 4 if seed > 66 else 6, 60))]
+    rows = [(None if lang == "m67" else i, (t + " ") * (1 + 110_000 // len(t)) if lang == "m68" else t, lang) for i, t, lang in rows]
+    model = language_id.fit(spark.createDataFrame(rows, "doc_id long, text string, lang string"))
+    assert model.languages == [f"m{seed:02}" for seed in range(1, 71)]
+    texts = [(f"m{seed:02}", t) for seed in range(1, 71) for t in invented(seed, 7, 60)[-1:]]
+    names = model.predict([t for _, t in texts])[0]
+    assert np.mean([n == lang for n, (lang, _) in zip(names, texts)]) > 0.97 and names[66:68] == ["m67", "m68"]
+
+
+def test_sparse_scores_are_the_product(monkeypatch):
+    texts = [(f"m{seed}", t) for seed in range(5) for t in invented(seed, 60)]
+    whole = language_id.Model([t for _, t in texts], [x for x, _ in texts])
+    monkeypatch.setattr(language_id, "PRODUCT", 0)
+    sparse = language_id.Model([t for _, t in texts], [x for x, _ in texts])
+    new = [*invented(3, 9), *invented(99, 9), "x"]
+    assert whole.weights is not None and sparse.weights is None
+    assert np.allclose(whole.predict(new)[1], sparse.predict(new)[1], atol=1e-4) and whole.predict(new)[0] == sparse.predict(new)[0]
