@@ -13,7 +13,8 @@ several exponents at once. Running sums over a source's blocks go through ``2**S
 the order, so a source that holds most blocks is spread over many tasks.
 
 Defined cases: rows without a source are a source of their own; a null or empty text has no words and
-goes with its block; if no row has words nothing is mixed and the result is empty; if even a = 1
+goes with its block; a source without words has no weight and is left out of a budget, but with budget None each of its
+rows is there once at position 0; if even a = 1
 repeats too often, the budget is cut to the limit; repeated rows are dealt to the same block; an empty
 table gives an empty one; extra columns are carried along.
 """
@@ -88,9 +89,11 @@ def plan(docs: DataFrame, entropy: float | None = 0.95, repetition: float | None
     """
     rows = docs.select(F.struct(*[docs[c] for c in docs.columns]).alias("row"), F.col("source").cast("string").alias("source"), F.col("doc_id").cast("string").alias("id"), n_words(F.col("text")).alias("words"))
     slim = rows.select("source", "id", "words")
-    counted = shared.written(slim.groupBy("source").agg(F.sum("words").alias("words")), "sources")
+    counted = shared.written(slim.groupBy("source").agg(F.sum("words").alias("words"), F.count("*").alias("rows")), "sources")
     total = counted.agg(F.sum("words")).first()[0] or 0
-    sized = counted.withColumn("blocks", F.ceil(F.col("words") / block_words).cast("long"))
+    # a source without words is dealt by its rows
+    sized = counted.withColumn("blocks", F.ceil(F.when(F.col("words") > 0, F.col("words")).otherwise(F.col("rows")) / block_words).cast("long"))
+    wordless = sized.where("words = 0").select("source", F.explode(F.sequence(F.lit(0).cast("long"), F.greatest("blocks", F.lit(1)) - 1)).alias("block"), F.lit(0).alias("epoch"), F.lit(0.0).alias("position"))
 
     def dealt(df: DataFrame) -> DataFrame:
         # sources are joined null-safe: rows without one are a source too
@@ -98,7 +101,7 @@ def plan(docs: DataFrame, entropy: float | None = 0.95, repetition: float | None
         return df.join(side, F.col("source").eqNullSafe(F.col("s"))).withColumn("block", F.pmod(_hash(F.coalesce("source", F.lit("")), F.coalesce("id", F.lit(""))), F.col("blocks"))).drop("s", "blocks")
 
     if not total:
-        return docs.sparkSession.createDataFrame([], BLOCKS), dealt(rows)
+        return (wordless if budget is None else docs.sparkSession.createDataFrame([], BLOCKS)), dealt(rows)
     a = exponent(counted, entropy, repetition, budget)
     weight = F.pow(F.col("words") / F.lit(float(total)), F.lit(a))
     positive = counted.where("words > 0").withColumn("weight", weight)
@@ -121,7 +124,8 @@ def plan(docs: DataFrame, entropy: float | None = 0.95, repetition: float | None
     placed = turns.withColumn("inside", inside).join(before, F.col("source").eqNullSafe(F.col("s")) & (F.col("epoch") == F.col("e")) & (F.col("slot") == F.col("t")))
     start = F.col("epoch") * F.col("of") + F.col("before") + F.col("inside")
     taken = placed.withColumn("start", start).where((F.col("start") + F.col("words") / 2 <= F.round("target", 3)) | (F.col("epoch") + 1 <= F.col("target") / F.col("of") + 1e-9))
-    return taken.select("source", "block", "epoch", (F.col("start") / F.col("target")).alias("position")), dealt(rows)
+    taken = taken.select("source", "block", "epoch", (F.col("start") / F.col("target")).alias("position"))
+    return (taken.unionByName(wordless) if budget is None else taken), dealt(rows)
 
 
 def mix(docs: DataFrame, entropy: float | None = 0.95, repetition: float | None = 4.0, budget: float | None = 1.0, block_words: int = BLOCK_WORDS) -> DataFrame:

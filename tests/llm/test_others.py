@@ -139,6 +139,16 @@ def test_mixture_meets_weights(spark):
             assert {r.doc_id for r in rows} >= {r.doc_id for r in docs.where("source <> 'none'").collect()}
 
 
+def test_sources_without_words_stay(spark):
+    rows = [(i, "w " * (i % 50), "big") for i in range(60)] + [(100 + i, None if i % 2 else " ", None) for i in range(90)] + [(300, "", "none"), (300, "", "none")]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, source string")
+    got = mixing.mix(docs, 0.9, 4.0, None, block_words=20).select("row.*", "epoch", "position").collect()
+    assert {r.doc_id for r in got} == {r[0] for r in rows}
+    assert sorted((r.doc_id, r.epoch, r.position) for r in got if r.source != "big") == sorted((i, 0, 0.0) for i, _, s in rows if s != "big")
+    assert mixing.mix(docs.where("doc_id >= 100"), 0.9, 4.0, None).count() == 92
+    assert mixing.mix(docs.where("doc_id >= 100"), 0.9, 4.0, 1.0).count() == 0
+
+
 def test_exponent(spark):
     frame = spark.createDataFrame([("a", 600), ("b", 300), ("c", 100)], "source string, words long")
     p = np.array([0.6, 0.3, 0.1])
