@@ -318,13 +318,18 @@ def _pods(df: DataFrame, f: MetricFilter) -> DataFrame:
     return f.apply(df).withColumn("pod", attr(df, "resource_attributes", POD))
 
 
-def counter_restarts(df: DataFrame, f: MetricFilter, field: str = "value", limit: int | None = None,
+def counter_restarts(df: DataFrame, f: MetricFilter, field: str | None = "value", limit: int | None = None,
                      chunk_ms: int = HOUR) -> DataFrame:
     """Moments where a counter of a (service, pod) fell: the process came back in place.
-    The previous sample is found across hourly chunks, so a pod of any size is split."""
-    rows = _pods(df, f).select("service_name", "pod", "timestamp", metric_field(field).alias("v"),
+    Without a ``field``, points of bucketed types are watched through their count and all others
+    through their value, each by itself.  The previous sample is found across hourly chunks, so a
+    pod of any size is split."""
+    bucketed = F.coalesce(F.col("metric_type").endswith("Histogram") | (F.col("metric_type") == "Summary"), F.lit(False))
+    v = F.when(bucketed, metric_field("count")).otherwise(metric_field("value")) if field is None else metric_field(field)
+    watched = bucketed if field is None else F.lit(False)
+    rows = _pods(df, f).select("service_name", "pod", "timestamp", v.alias("v"), watched.alias("watched"),
                                F.floor(millis() / chunk_ms).alias("chunk"))
-    hits = (previous(rows, ["service_name", "pod"], ["timestamp", "v"], "chunk", ["v"])
+    hits = (previous(rows, ["service_name", "pod", "watched"], ["timestamp", "v"], "chunk", ["v"])
             .where((F.col("prev_v") > 0) & (F.col("v") < F.col("prev_v")))
             .select(millis().alias("t_ms"), "pod", "service_name"))
     return hits if limit is None else hits.orderBy("t_ms", "service_name", "pod").limit(limit)
@@ -338,10 +343,7 @@ def pod_starts(df: DataFrame, f: MetricFilter, margin_ms: int = START_MARGIN_MS,
 
 
 def metric_events(df: DataFrame, f: MetricFilter, field: str | None = None, limit: int | None = None) -> DataFrame:
-    """Restarts and starts by time.  Histograms are watched through their count."""
-    if field is None:
-        kind = metric_kind(df, f)
-        field = "count" if kind and kind.bucketed else "value"
+    """Restarts and starts by time.  Histograms are watched through their count, point by point."""
     return (counter_restarts(df, f, field, limit).withColumn("kind", F.lit("restart"))
             .unionByName(pod_starts(df, f, limit=limit).withColumn("kind", F.lit("start")))
             .orderBy("t_ms", "kind", "service_name", "pod"))

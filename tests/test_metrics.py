@@ -112,6 +112,15 @@ def test_events_across_chunks(spark):
     assert got == [(7 * h, "restart", "p"), (8 * h, "start", "late")]
 
 
+def test_events_of_mixed_types(spark):
+    rows = [{"ms": i * 1000, "v": v, "service": "a"} for i, v in enumerate((5.0, 9.0, 2.0))]
+    rows += [{"ms": i * 1000, "n": n, "service": "b", "type": "Histogram"} for i, n in enumerate((7, 3, 4))]
+    rows += [{"ms": i * 1000 + 1, "service": "c", **kind} for i, kind in enumerate(({"v": 8.0}, {"n": 1, "type": "Summary"}, {"v": 9.0}, {"n": 2, "type": "Summary"}))]
+    for order in (rows, rows[::-1]):
+        got = [(e.t_ms, e.kind, e.service_name) for e in M.metric_events(points(spark, order), F_M).collect()]
+        assert got == [(1000, "restart", "b"), (2000, "restart", "a")]
+
+
 def test_group_keys(spark):
     df = points(spark, [{"ms": 0}])
     assert [M.group_key(df, k)[0] for k in ("service_name", "res:" + M.POD, "attr:k", "k")] == ["service_name", "res:" + M.POD, "k", "k"]
