@@ -24,7 +24,6 @@ POD = "k8s.pod.name"
 CATALOG_MS = 6 * HOUR
 MAX_QUANTILES = 5
 START_MARGIN_MS = 2 * MINUTE
-EXEMPLAR_LIMIT = 500
 FOLD_SERIES = 8
 
 
@@ -349,14 +348,12 @@ def metric_events(df: DataFrame, f: MetricFilter, field: str | None = None, limi
             .orderBy("t_ms", "kind", "service_name", "pod"))
 
 
-def exemplars(df: DataFrame, f: MetricFilter, limit: int = 100) -> DataFrame:
-    """Traces attached to points, largest value first."""
-    if limit > EXEMPLAR_LIMIT:
-        raise ValueError(f"at most {EXEMPLAR_LIMIT} exemplars")
+def exemplars(df: DataFrame, f: MetricFilter, limit: int | None = None) -> DataFrame:
+    """Traces attached to points, largest value first; all if ``limit`` is None."""
     rows = f.apply(df).where(F.size("exemplars") > 0).select("service_name", F.inline("exemplars"))
-    return (rows.where("trace_id <> ''")
-            .select(millis().alias("t_ms"), "value", "trace_id", "span_id", "service_name")
-            .orderBy(F.desc("value"), F.desc("t_ms"), "trace_id").limit(limit))
+    return at_most(rows.where("trace_id <> ''")
+                   .select(millis().alias("t_ms"), "value", "trace_id", "span_id", "service_name")
+                   .orderBy(F.desc("value"), F.desc("t_ms"), "trace_id"), limit)
 
 
 def chart_cells(points: DataFrame, rng: TimeRange, bucket: Bucket) -> DataFrame:

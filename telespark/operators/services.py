@@ -276,7 +276,7 @@ def _classify(ops: DataFrame) -> DataFrame:
 NAME_ORDER = ("span_name", "span_kind")
 
 
-def operation_movers(ops: DataFrame, top: int | None = 6) -> DataFrame:
+def operation_movers(ops: DataFrame, top: int | None = None) -> DataFrame:
     """Operations worth mentioning, one label each, in the order gone, errors, latency,
     new, traffic; improvements after all bad news; ``top`` per service (all if None).
 

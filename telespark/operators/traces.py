@@ -22,7 +22,6 @@ CLIENT_KINDS = ("Client", "Producer")
 KIND_GROUPS = {"entry": ENTRY_KINDS, "client": CLIENT_KINDS, "all": ()}
 UNSCOPED_MS = 6 * HOUR
 SUMMARY_PAD_MS = 10 * MINUTE
-MAX_TRACE_SPANS = 5_000
 HEATMAP_BINS = 4
 ERROR_MESSAGE_CHARS = 160
 ERROR_GROUP_KEYS = ("service_name", "span_kind", "span_name", "exc_type", "exc_msg", "http_status", "peer")
@@ -233,11 +232,13 @@ def span_full_columns(df: DataFrame) -> DataFrame:
         flatten_attributes(df, "resource_attributes").alias("resource"), "events", "links", *extras)
 
 
-def trace_spans(df: DataFrame, trace_id: str, cap: int = MAX_TRACE_SPANS) -> DataFrame:
-    """Spans of one trace in start order, at most ``cap``; ``truncated`` says there were more."""
+def trace_spans(df: DataFrame, trace_id: str, cap: int | None = None) -> DataFrame:
+    """Spans of one trace in start order, at most ``cap`` (all if None); ``truncated`` says there were more."""
     mine = df.where(F.col("trace_id") == trace_id)
     light = [c for c in df.columns if c not in ("span_attributes", "resource_attributes")]
     one = dedupe_spans(mine, light)
+    if cap is None:
+        return span_light_columns(one.orderBy("timestamp", "span_id")).withColumn("truncated", F.lit(False))
     total = mine.agg(F.count_distinct("span_id").alias("n"))
     return (span_light_columns(one.orderBy("timestamp", "span_id").limit(cap))
             .withColumn("truncated", total.scalar() > cap))
@@ -261,9 +262,11 @@ def _window_struct(before_after, truncated: bool, narrowed: bool) -> Column:
                     F.lit(truncated).alias("truncated"), F.lit(narrowed).alias("narrowed"))
 
 
-def trace_windows(df: DataFrame, anchors: DataFrame, cap: int = MAX_TRACE_SPANS, now_ms: int | None = None) -> DataFrame:
+def trace_windows(df: DataFrame, anchors: DataFrame, cap: int | None = None, now_ms: int | None = None) -> DataFrame:
     """Which part of each trace to show.  ``anchors``: ``trace_id, at_ms``; a trace without
-    a moment is looked for around ``now_ms`` in wider windows, without the forward ones."""
+    a moment is looked for around ``now_ms`` in wider windows, without the forward ones.
+    Without a ``cap`` no window holds too many spans."""
+    cap = EVER if cap is None else cap
     if now_ms is None:
         return _windows(df, anchors, cap, WINDOWS, FORWARD)
     known, unknown = anchors.where("at_ms is not null"), anchors.where("at_ms is null").withColumn("at_ms", F.lit(now_ms).cast("bigint"))
@@ -329,13 +332,15 @@ def _windows(df: DataFrame, anchors: DataFrame, cap: int, wide: tuple, forward:
     return m.select("trace_id", "at_ms", choice.alias("w")).select("trace_id", "at_ms", "w.*")
 
 
-def clip_traces(df: DataFrame, windows: DataFrame, cap: int = MAX_TRACE_SPANS) -> DataFrame:
-    """Unique spans inside the chosen windows, the first ``cap`` where a window overflows."""
+def clip_traces(df: DataFrame, windows: DataFrame, cap: int | None = None) -> DataFrame:
+    """Unique spans inside the chosen windows, the first ``cap`` (all if None) where a window overflows."""
     cols = [c for c in df.columns if c not in ("span_attributes", "resource_attributes")]
     off = millis() - F.col("at_ms")
     inside = (df.select(*cols).join(windows, "trace_id")
                 .where((F.col("before_ms") == EVER) | ((off >= -F.col("before_ms")) & (off < F.col("after_ms")))))
     one = dedupe_spans(inside)
+    if cap is None:
+        return one
     overflow = F.col("truncated") & ~F.col("narrowed")
     # only overflowing traces are counted off, in one-second chunks: they are the big ones
     cut = row_position(one.where(overflow).withColumn("chunk", F.floor(millis() / 1000)), ["trace_id"],

@@ -248,7 +248,7 @@ def metric_events_histogram(spark, sf_dir):
 select ts_ms as t_ms, cast(cents as double) as value, lpad(cast(event_id as varchar), 32, '0') as trace_id, lpad(cast(event_id as varchar), 16, '0') as span_id, service_name
 from metric where metric_name = 'latency' and {RANGE} order by value desc, t_ms desc, trace_id limit 100""")
 def metric_exemplars(spark, sf_dir):
-    return M.exemplars(_points(spark, sf_dir), _f("latency"))
+    return M.exemplars(_points(spark, sf_dir), _f("latency"), limit=100)
 
 
 BOARD = {"traffic": {"rate": [("http.requests", "rate", "", "", "", ""), ("requests", "rate", "", "code", "", "")],

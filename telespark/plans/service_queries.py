@@ -169,7 +169,7 @@ from (select *, case mover when 'errors' then errors < prev_errors when 'latency
 select service_name, span_name, span_kind, mover, better, mover_rank, round(score, 3) as score, place from (select *, row_number() over
   (partition by service_name order by mover_rank, score desc, span_name, span_kind) as place from movers) where place <= 6""")
 def operation_movers(spark, sf_dir):
-    return S.operation_movers(_ops(spark, sf_dir)).select(
+    return S.operation_movers(_ops(spark, sf_dir), top=6).select(
         "service_name", "span_name", "span_kind", "mover", "better", "mover_rank", F.round("score", 3).alias("score"), "place")
 
 

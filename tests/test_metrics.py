@@ -148,3 +148,9 @@ def test_spikes(spark):
     r = P.spikes_from_series(pts, B, ("service_name", "http.route", "db.system", "status.code", "res:k8s.pod.name"), "s", "quantile").head()
     assert (r.service_name, r.t_ms, r.error_only, r.min_ms) == ("api", 300_000, True, 2500.0)
     assert [tuple(x) for x in r.attrs] == [("http.route", "/x")] and [tuple(x) for x in r.log_dims] == [("pod", "pod-1")]
+
+
+def test_all_exemplars_by_default(spark):
+    one = F.struct(F.col("timestamp").alias("timestamp"), F.col("v").alias("value"), F.lit("t").alias("trace_id"), F.lit("s").alias("span_id"))
+    df = points(spark, [{"ms": 0, "v": 1.0}]).withColumn("v", F.lit(1.0)).withColumn("exemplars", F.array_repeat(one, 600))
+    assert M.exemplars(df, F_M).count() == 600 and M.exemplars(df, F_M, 100).count() == 100

@@ -101,3 +101,8 @@ def test_site(spark):
     h = S.service_health(S.service_overview(df, NOW, "prev"))
     s = S.site_overview(h, NOW, "prev").head()
     assert (s.requests, s.unhealthy, s.services, s.error_rate_change, s.rps_change, s.restarts) == (40, 1, 2, float("inf"), 1.0, 0)
+
+
+def test_all_movers_by_default(spark):
+    ops = S.compare_operations(spans(spark, [("a", f"new{i}", 0, 150, 10, 0) for i in range(9)] + [("a", "old", -HOUR, 1, 10, 0)]), NOW, "prev")
+    assert S.operation_movers(ops).count() == 9 and S.operation_movers(ops, 6).count() == 6

@@ -190,3 +190,11 @@ def test_digest(spark):
                                "statement string, duration_ms long, error boolean, rows long, ts_ms long")
     top = D.statement_digest(df).head()
     assert (top.digest, top.calls, top.total_ms, top.max_ms, top.last_seen_ms) == ("select ? from t where a in (?, ...)", 2, 12, 7, 3)
+
+
+def test_all_spans_by_default(spark):
+    df = spans(spark, [("t", f"s{i:04d}", "", i) for i in range(5_200)])
+    anchor = spark.createDataFrame([("t", T0)], "trace_id string, at_ms long")
+    assert [(r.n, r.cut) for r in T.trace_spans(df, "t").groupBy(F.col("truncated").alias("cut")).agg(F.count("*").alias("n")).collect()] == [(5_200, False)]
+    window = T.trace_windows(df, anchor)
+    assert not window.head().truncated and T.clip_traces(df, window).count() == 5_200
