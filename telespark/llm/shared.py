@@ -3,7 +3,6 @@
 from __future__ import annotations
 
 import os
-import re
 import tempfile
 import uuid
 import zipfile
@@ -12,19 +11,9 @@ from pathlib import Path
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-_SHIPPED: set[str] = set()
-
+from telespark.functions.lineage import forget_at_exit, shared_folder
 
-def shared_folder(spark: SparkSession) -> str:
-    """The folder named in ``spark.checkpoint.dir``; a folder of its own only on a single local machine (tests)."""
-    folder = spark.conf.get("spark.checkpoint.dir", None)
-    if folder:
-        return folder
-    if not re.match(r"local($|\[)", spark.sparkContext.master):
-        raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
-    folder = tempfile.mkdtemp(prefix="telespark-")
-    spark.conf.set("spark.checkpoint.dir", folder)
-    return folder
+_SHIPPED: set[str] = set()
 
 
 def ship(spark: SparkSession) -> None:
@@ -49,9 +38,11 @@ def fresh_path(spark: SparkSession, name: str) -> str:
 
 
 def written(df: DataFrame, name: str, codec: str = "zstd") -> DataFrame:
-    """``df`` as a table in the shared folder, read back: cuts the lineage and outlives lost executors."""
+    """``df`` as a table in the shared folder, read back: cuts the lineage and outlives lost executors.
+    The table goes when the application ends."""
     path = fresh_path(df.sparkSession, name)
     df.write.option("compression", codec).parquet(path)
+    forget_at_exit(df.sparkSession, path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
