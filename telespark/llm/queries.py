@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from telespark.llm import html_text, language_id, mixing, near_dedup, nearest, order_minhash, preference, shared, substring_dedup, token_files, word_bpe
+from telespark.llm import html_text, language_id, mixing, near_dedup, nearest, order_minhash, preference, shared, substring_dedup, token_files, whitening, word_bpe
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
@@ -129,3 +129,14 @@ select pair_id, prompt_turns,
 from s""")
 def op10(spark: SparkSession, sf_dir: str) -> DataFrame:
     return preference.format_pairs(preference.swapped_answers(table(spark, sf_dir, "conversations")))
+
+
+@query("op11_whitening")
+def op11(spark: SparkSession, sf_dir: str) -> DataFrame:
+    vectors = table(spark, sf_dir, "embeddings")
+    model = whitening.fit(vectors, components=32)
+    rows = whitening.whiten(vectors, model)
+    n, explained, error = (model.n, model.explained, model.identity_error) if model else (0, [], 0.0)
+    each = rows.select("vec_id", F.expr("try_cast(deviation as bigint)").alias("deviation"), F.posexplode("whitened").alias("i", "whitened"))
+    share = F.get(F.array(*map(F.lit, explained)).cast("array<double>"), F.col("i"))
+    return each.select("vec_id", (F.col("i") + 1).cast("int").alias("component"), F.lit(n).cast("long").alias("n"), "deviation", "whitened", share.alias("explained"), F.lit(error).alias("identity_error"))
