@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from telespark.llm import html_text, language_id, mixing, near_dedup, nearest, order_minhash, preference, shared, substring_dedup, token_files, whitening, word_bpe
+from telespark.llm import divergence, html_text, language_id, mixing, near_dedup, nearest, order_minhash, preference, shared, substring_dedup, token_files, whitening, word_bpe
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
@@ -140,3 +140,23 @@ def op11(spark: SparkSession, sf_dir: str) -> DataFrame:
     each = rows.select("vec_id", F.expr("try_cast(deviation as bigint)").alias("deviation"), F.posexplode("whitened").alias("i", "whitened"))
     share = F.get(F.array(*map(F.lit, explained)).cast("array<double>"), F.col("i"))
     return each.select("vec_id", (F.col("i") + 1).cast("int").alias("component"), F.lit(n).cast("long").alias("n"), "deviation", "whitened", share.alias("explained"), F.lit(error).alias("identity_error"))
+
+
+@query("op12_source_divergence", r"""
+with d as (select row_number() over () as r, coalesce(lang, '') as lang, coalesce(source, '') as source,
+  regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x40\x5B-\x60\x7B-\x7F]+') as w from documents),
+t as (select r, lang, source, unnest(w) as term from d),
+l as (select lang, term, count(*) as total from t group by all having count(distinct r) >= 10),
+v as (select lang, count(*) as v, sum(total) as n from l group by lang),
+c as (select lang, source, term, count(*) as n from t semi join l using (lang, term) group by all),
+s as (select lang, source, sum(n) as n from c group by all),
+g as (select x.lang, x.source, coalesce(v.v, 0) as v, coalesce(s.n, 0) as n from (select distinct lang, source from d) x left join v using (lang) left join s using (lang, source)),
+a as (select g.lang, g.source, l.term, coalesce(c.n, 0) as count, (1 + 1000000000::hugeint * (coalesce(c.n, 0) + 2) // (g.n + 2 * g.v))::bigint as p,
+  (1 + 1000000000::hugeint * (l.total + 2) // (v.n + 2 * v.v))::bigint as q from g join l using (lang) join v using (lang) left join c using (lang, source, term)),
+f as (select a.lang, a.source, b.source as item, sum((a.p - b.p) * (a.p - b.p) // (a.p + b.p)) as value from a join a b using (lang, term) where a.source <> b.source group by all),
+p as (select g.lang, g.source, 'pair' as part, h.source as item, coalesce(f.value, 0)::bigint as value from g join g h on g.lang = h.lang and g.source <> h.source left join f on f.lang = g.lang and f.source = g.source and f.item = h.source),
+e as (select lang, source, 'term' as part, term as item, ((p - q) * (p - q) // (p + q))::bigint as value from a where count > 0 and p > q),
+u as (select *, row_number() over (partition by lang, source, part order by value desc, item) as rank from (from p union all from e))
+select lang, source, part, item, value, rank::int as rank from u where part = 'pair' or rank <= 10""")
+def op12(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return divergence.audit(table(spark, sf_dir, "documents"))
