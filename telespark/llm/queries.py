@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from telespark.llm import divergence, html_text, language_id, mixing, near_dedup, nearest, order_minhash, preference, shared, substring_dedup, token_files, whitening, word_bpe
+from telespark.llm import collisions, divergence, html_text, language_id, mixing, near_dedup, nearest, order_minhash, preference, shared, substring_dedup, token_files, whitening, word_bpe
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
@@ -160,3 +160,8 @@ u as (select *, row_number() over (partition by lang, source, part order by valu
 select lang, source, part, item, value, rank::int as rank from u where part = 'pair' or rank <= 10""")
 def op12(spark: SparkSession, sf_dir: str) -> DataFrame:
     return divergence.audit(table(spark, sf_dir, "documents"))
+
+
+@query("op13_vector_links")
+def op13(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return collisions.link(table(spark, sf_dir, "embeddings"))
