@@ -317,17 +317,19 @@ def _pods(df: DataFrame, f: MetricFilter) -> DataFrame:
     return f.apply(df).withColumn("pod", attr(df, "resource_attributes", POD))
 
 
+def watched(df: DataFrame, f: MetricFilter, field: str | None = "value") -> DataFrame:
+    """``service_name, pod, timestamp, v, watched``: the column whose falls are restarts. Without a ``field``, points of
+    bucketed types are watched through their count and all others through their value, each by itself."""
+    bucketed = F.coalesce(F.col("metric_type").endswith("Histogram") | (F.col("metric_type") == "Summary"), F.lit(False))
+    v = F.when(bucketed, metric_field("count")).otherwise(metric_field("value")) if field is None else metric_field(field)
+    return _pods(df, f).select("service_name", "pod", "timestamp", v.alias("v"), (bucketed if field is None else F.lit(False)).alias("watched"))
+
+
 def counter_restarts(df: DataFrame, f: MetricFilter, field: str | None = "value", limit: int | None = None,
                      chunk_ms: int = HOUR) -> DataFrame:
-    """Moments where a counter of a (service, pod) fell: the process came back in place.
-    Without a ``field``, points of bucketed types are watched through their count and all others
-    through their value, each by itself.  The previous sample is found across hourly chunks, so a
+    """Moments where a counter of a (service, pod) fell: the process came back in place.  The previous sample is found across hourly chunks, so a
     pod of any size is split."""
-    bucketed = F.coalesce(F.col("metric_type").endswith("Histogram") | (F.col("metric_type") == "Summary"), F.lit(False))
-    v = F.when(bucketed, metric_field("count")).otherwise(metric_field("value")) if field is None else metric_field(field)
-    watched = bucketed if field is None else F.lit(False)
-    rows = _pods(df, f).select("service_name", "pod", "timestamp", v.alias("v"), watched.alias("watched"),
-                               F.floor(millis() / chunk_ms).alias("chunk"))
+    rows = watched(df, f, field).withColumn("chunk", F.floor(millis() / chunk_ms))
     hits = (previous(rows, ["service_name", "pod", "watched"], ["timestamp", "v"], "chunk", ["v"])
             .where((F.col("prev_v") > 0) & (F.col("v") < F.col("prev_v")))
             .select(millis().alias("t_ms"), "pod", "service_name"))
