@@ -1,6 +1,6 @@
 """Operator 12: how far the sources of a language lie apart in their words.
 
-The terms of a document are its words (``TERM``, ASCII letters lower-cased). Each language keeps the terms of at least
+The terms of a document are its runs of letters and of characters beyond ASCII, ASCII letters lower-cased. Each language keeps the terms of at least
 ``MIN_DOCS`` of its documents, with no limit to their number: a ``CountVectorizer`` with that minDF and the largest
 vocabSize counts them and turns documents into exact sparse vectors. A term is counted under its language, so one fit
 serves all languages. Vectors are added up by (lang, source) as sparse sums, never as dense rows.
@@ -30,8 +30,8 @@ from pyspark.sql import functions as F
 
 from telespark.llm import shared
 
-TERM = r"[^\x00-\x40\x5B-\x60\x7B-\x7F]+"
-UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
+#: What each byte of a text becomes: ASCII letters small ones, other ASCII characters blanks; the rest stays, whole words of it.
+SIGNS = bytes(b if b > 127 else ord(chr(b).lower()) if chr(b).isalpha() else 32 for b in range(256))
 MIN_DOCS = 10
 LARGEST = (1 << 31) - 1
 SHARD = 1 << 19         # terms of a vocabulary at most
@@ -42,9 +42,25 @@ PAIRS = 1 << 20         # pairs of groups of a term compared at once
 
 def words(docs: DataFrame) -> DataFrame:
     """(lang, source, terms): one row for each document; a term is followed by a blank and its language."""
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        shared.forget()
+        for batch in batches:
+            langs, texts = batch.column(0).to_pylist(), batch.column(2).to_pylist()
+            for low, high in shared.slices(texts):
+                data, sizes, rows = [], [], [0]
+                for lang, text in zip(langs[low:high], texts[low:high]):
+                    found = text.encode("utf-8", "surrogatepass").translate(SIGNS).split()
+                    end = b" " + lang.encode("utf-8", "surrogatepass")
+                    data.append(end.join([*found, b""]))
+                    sizes.append(np.fromiter(map(len, found), np.int32, len(found)) + np.int32(len(end)))
+                    rows.append(rows[-1] + len(found))
+                starts = np.concatenate([[0], np.cumsum(np.concatenate(sizes))]).astype(np.int32)
+                terms = pa.StringArray.from_buffers(rows[-1], pa.py_buffer(starts), pa.py_buffer(b"".join(data)))
+                lists = pa.ListArray.from_arrays(pa.array(rows, pa.int32()), terms)
+                yield pa.RecordBatch.from_arrays([batch.column(0)[low:high], batch.column(1)[low:high], lists], names=["lang", "source", "terms"])
+
     text, lang, source = (F.coalesce(F.col(c).cast("string"), F.lit("")) for c in ("text", "lang", "source"))
-    rows = docs.select(F.regexp_extract_all(F.translate(text, UPPER, LOWER), F.lit(TERM), F.lit(0)).alias("terms"), lang.alias("lang"), source.alias("source"))
-    return rows.select("lang", "source", F.transform("terms", lambda t: F.concat(t, F.lit(" "), F.col("lang"))).alias("terms"))
+    return docs.select(lang.alias("lang"), source.alias("source"), text.alias("text")).mapInArrow(run, "lang string, source string, terms array<string>")
 
 
 def _dealt(rows: DataFrame, most: int) -> list[DataFrame]:
@@ -99,7 +115,7 @@ def _summed(vectors: DataFrame, names: list[str]) -> DataFrame:
 def counts(docs: DataFrame, most: int = SHARD) -> DataFrame:
     """(lang, source, term, count): occurrences of the kept terms in each group that has them; a written table."""
     out, spark = None, docs.sparkSession
-    for rows in _dealt(words(docs), most):
+    for rows in _dealt(shared.written(words(docs), "terms"), most):
         model = CountVectorizer(inputCol="terms", outputCol="vector", minDF=float(MIN_DOCS), vocabSize=LARGEST).fit(rows)
         if not model.vocabulary:
             continue

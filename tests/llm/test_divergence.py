@@ -11,7 +11,7 @@ SF = "/root/testdata/sf0.001"
 
 
 def brute(rows, top=10):
-    docs = [(lang or "", source or "", [w.translate(str.maketrans(divergence.UPPER, divergence.LOWER)) for w in re.findall(divergence.TERM, text or "")]) for text, lang, source in rows]
+    docs = [(lang or "", source or "", [re.sub("[A-Z]", lambda m: m[0].lower(), w) for w in re.findall(r"[^\x00-\x40\x5B-\x60\x7B-\x7F]+", text or "")]) for text, lang, source in rows]
     out = []
     for lang in {d[0] for d in docs}:
         mine = [d for d in docs if d[0] == lang]
