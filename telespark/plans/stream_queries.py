@@ -13,7 +13,8 @@ from telespark.functions.lineage import forget_at_exit, written
 from telespark.functions.timeaxis import Bucket, TimeRange
 from telespark.operators import logs as L
 from telespark.operators import metrics as M
-from telespark.operators import rollups
+from telespark.operators import rollups, toplists
+from telespark.operators.traces import SpanFilter
 from telespark.plans import views
 from telespark.plans.registry import query
 from telespark.streaming import rolling, tail
@@ -122,3 +123,36 @@ select service_name, span_name, span_kind, case when p.requests is null then 'ne
 from c full join p using (service_name, span_name, span_kind)""")
 def rollup_compare_operations(spark, sf_dir):
     return rollups.compare(_states(spark, sf_dir), LATER_HALF, HOURS, "prev")
+
+
+# --- top lists from states, newest rows by probing ---------------------------------------------------
+
+DAYS = Bucket(DAY_MS, views.BASE)
+FACETS = ("service_name", "level", "logger", "host")
+WEEK = TimeRange(views.BASE + 2 * DAY_MS, views.BASE + 9 * DAY_MS)
+
+
+@query("rollup_log_facets", f"""
+select field, value, count from (
+  select *, row_number() over (partition by field order by count desc, value) as rk from (
+    select field, value, count(*) as count from ({' union all '.join(f"select '{c}' as field, {c} as value from app_log where ts_ms >= {WEEK.from_ms} and ts_ms < {WEEK.to_ms}" for c in FACETS)})
+    group by all)) where rk <= 15""")
+def rollup_log_facets(spark, sf_dir):
+    states = spark.read.parquet(written(toplists.facet_states(views.app_log(spark, sf_dir), L.LogFilter(MONTH), FACETS, DAYS), "facet-states"))
+    return toplists.facets(states, 15, WEEK, DAYS).drop("error")
+
+
+@query("probe_newest_logs", """
+select ts_ms, trace_id, level, host from app_log where ts_ms >= $BASE and ts_ms < $MONTH_END and level in ('ERROR', 'WARN')
+order by ts_us desc, level desc, trace_id desc limit 300 offset 20""")
+def probe_newest_logs(spark, sf_dir):
+    f = L.LogFilter(MONTH, levels=("ERROR", "WARN"))
+    return toplists.newest_logs(views.app_log(spark, sf_dir), f, 300, 20).select("ts_ms", "trace_id", "level", "host")
+
+
+@query("probe_newest_traces", f"""
+select trace_id, max(ts_ms) as ts_ms from spans where {ENTRY} and service_name = 'svc-3' and ts_ms >= $BASE and ts_ms < $DAY_END group by 1
+order by ts_ms desc, trace_id limit 120""")
+def probe_newest_traces(spark, sf_dir):
+    f = SpanFilter(TimeRange(views.BASE, views.BASE + DAY_MS + 60_000), service="svc-3").entry_by_default()
+    return toplists.newest_traces(views.spans(spark, sf_dir), f, 120)
