@@ -325,12 +325,10 @@ def watched(df: DataFrame, f: MetricFilter, field: str | None = "value") -> Data
     return _pods(df, f).select("service_name", "pod", "timestamp", v.alias("v"), (bucketed if field is None else F.lit(False)).alias("watched"))
 
 
-def counter_restarts(df: DataFrame, f: MetricFilter, field: str | None = "value", limit: int | None = None,
-                     chunk_ms: int = HOUR) -> DataFrame:
-    """Moments where a counter of a (service, pod) fell: the process came back in place.  The previous sample is found across hourly chunks, so a
+def counter_restarts(df: DataFrame, f: MetricFilter, field: str | None = "value", limit: int | None = None) -> DataFrame:
+    """Moments where a counter of a (service, pod) fell: the process came back in place.  The previous sample is found across ranges of (pod, time), so a
     pod of any size is split."""
-    rows = watched(df, f, field).withColumn("chunk", F.floor(millis() / chunk_ms))
-    hits = (previous(rows, ["service_name", "pod", "watched"], ["timestamp", "v"], "chunk", ["v"])
+    hits = (previous(watched(df, f, field), ["service_name", "pod", "watched"], ["timestamp", "v"], ["v"])
             .where((F.col("prev_v") > 0) & (F.col("v") < F.col("prev_v")))
             .select(millis().alias("t_ms"), "pod", "service_name"))
     return hits if limit is None else hits.orderBy("t_ms", "service_name", "pod").limit(limit)

@@ -342,9 +342,8 @@ def clip_traces(df: DataFrame, windows: DataFrame, cap: int | None = None) -> Da
     if cap is None:
         return one
     overflow = F.col("truncated") & ~F.col("narrowed")
-    # only overflowing traces are counted off, in one-second chunks: they are the big ones
-    cut = row_position(one.where(overflow).withColumn("chunk", F.floor(millis() / 1000)), ["trace_id"],
-                       ["timestamp", "span_id"], "chunk", "place").where(F.col("place") <= cap).drop("chunk", "place")
+    # only overflowing traces are counted off: they are the big ones
+    cut = row_position(one.where(overflow), ["trace_id"], ["timestamp", "span_id"], "place").where(F.col("place") <= cap).drop("place")
     return one.where(~overflow).unionByName(cut)
 
 

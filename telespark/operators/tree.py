@@ -14,8 +14,6 @@ from telespark.functions.lineage import use_checkpoints
 from telespark.functions.ordered import row_position
 from telespark.operators.traces import is_error
 
-SIBLING_CHUNK_MS = 1_000
-
 
 def _parents(spans: DataFrame) -> DataFrame:
     """``trace_id, span_id, parent``: parent is NULL where no other span has that id."""
@@ -58,8 +56,8 @@ def span_tree(spans: DataFrame) -> DataFrame:
     """Add ``depth, is_root, orphan, root_missing, pos_in_set, set_size`` to unique spans.
 
     The spans are written once (whatever made them unique runs once); their shape is worked
-    out on ids and start times alone and joined back at the end.  Siblings are ordered by start; positions are computed over
-    one-second chunks, so a parent with most of the spans below it is not one task."""
+    out on ids and start times alone and joined back at the end.  Siblings are ordered by start; positions are counted off in
+    ranges, so a parent with most of the spans below it is not one task."""
     use_checkpoints(spans.sparkSession)
     spans = spans.checkpoint()
     slim = spans.select("trace_id", "span_id", "parent_span_id", "timestamp")
@@ -67,12 +65,11 @@ def span_tree(spans: DataFrame) -> DataFrame:
     flat = (slim.join(placed, ["trace_id", "span_id"])
             .withColumn("is_root", F.col("parent").isNull())
             .withColumn("orphan", F.col("parent").isNull() & (F.col("parent_span_id") != ""))
-            .withColumn("sib", F.coalesce("parent", F.lit("")))
-            .withColumn("chunk", F.floor(F.unix_millis("timestamp") / SIBLING_CHUNK_MS)))
-    pos = row_position(flat, ["trace_id", "sib"], ["timestamp", "span_id"], "chunk", "pos_in_set")
+            .withColumn("sib", F.coalesce("parent", F.lit(""))))
+    pos = row_position(flat, ["trace_id", "sib"], ["timestamp", "span_id"], "pos_in_set")
     sizes = placed.groupBy("trace_id", F.coalesce("parent", F.lit("")).alias("sib")).agg(F.count("*").alias("set_size"))
     no_root = slim.groupBy("trace_id").agg((F.count_if(F.col("parent_span_id") == "") == 0).alias("root_missing"))
-    shape = pos.join(sizes, ["trace_id", "sib"]).join(no_root, "trace_id").drop("chunk", "sib", "parent_span_id", "timestamp")
+    shape = pos.join(sizes, ["trace_id", "sib"]).join(no_root, "trace_id").drop("sib", "parent_span_id", "timestamp")
     return spans.join(shape, ["trace_id", "span_id"])
 
 
