@@ -7,13 +7,19 @@ is done after log2(d) rounds, whatever the number of traces.
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+import uuid
+from contextlib import contextmanager
+from functools import reduce
+
+from pyspark.sql import DataFrame, Observation, SparkSession, Window
 from pyspark.sql import functions as F
 
-from telespark.functions.lineage import use_checkpoints
+from telespark.functions.lineage import forget_at_exit, shared_folder, use_checkpoints, written
 from telespark.functions.ordered import row_position
 from telespark.operators.traces import is_error
 
+LARGE = 1_000_000       # spans of a trace that one task holds
+
 
 def _parents(spans: DataFrame) -> DataFrame:
     """``trace_id, span_id, parent``: parent is NULL where no other span has that id."""
@@ -52,15 +58,70 @@ def resolve_roots(edges: DataFrame) -> DataFrame:
         F.when(F.col("pending"), 0).otherwise(F.col("depth")).alias("depth"), F.col("pending").alias("cyclic"))
 
 
-def span_tree(spans: DataFrame) -> DataFrame:
-    """Add ``depth, is_root, orphan, root_missing, pos_in_set, set_size`` to unique spans.
-
-    The spans are written once (whatever made them unique runs once); their shape is worked
-    out on ids and start times alone and joined back at the end.  Siblings are ordered by start; positions are counted off in
-    ranges, so a parent with most of the spans below it is not one task."""
-    use_checkpoints(spans.sparkSession)
-    spans = spans.checkpoint()
-    slim = spans.select("trace_id", "span_id", "parent_span_id", "timestamp")
+@contextmanager
+def _by_trace(spark: SparkSession):
+    """Joins by trace and span may stay within a trace's partition while plans are made here."""
+    key = "spark.sql.requireAllClusterKeysForCoPartition"
+    before = spark.conf.get(key)
+    spark.conf.set(key, "false")
+    try:
+        yield
+    finally:
+        spark.conf.set(key, before)
+
+
+def _bucketed(df: DataFrame) -> DataFrame:
+    """``df`` as a table in buckets of ``trace_id``, in the shared folder until the application ends."""
+    spark = df.sparkSession
+    name, path = f"telespark_{uuid.uuid4().hex}", f"{shared_folder(spark).rstrip('/')}/traces-{uuid.uuid4().hex}"
+    df.write.bucketBy(int(spark.conf.get("spark.sql.shuffle.partitions")), "trace_id").option("path", path).saveAsTable(name)
+    forget_at_exit(spark, path)
+    table = spark.table(name)
+    table.schema                        # resolved before its name goes; the files stay
+    spark.sql(f"drop table {name}")
+    return table
+
+
+def _shape_within(slim: DataFrame) -> DataFrame:
+    """``trace_id, span_id, parent, depth, cyclic, is_root, orphan, root_missing, pos_in_set, set_size`` of traces that fit a task.
+
+    Ids are written once in buckets of the trace; the search for parents, every round of pointer jumping and the
+    figures of siblings stay within a bucket. Traces that are resolved are left where they are."""
+    spark = slim.sparkSession
+    n = int(spark.conf.get("spark.sql.shuffle.partitions"))
+    with _by_trace(spark):
+        ids = _bucketed(slim.repartition(n, "trace_id"))
+        want = F.when((F.col("parent_span_id") != "") & (F.col("parent_span_id") != F.col("span_id")), F.col("parent_span_id"))
+        there = ids.select("trace_id", F.col("span_id").alias("want"), F.lit(True).alias("found"))
+        linked = ids.withColumn("want", want).join(there, ["trace_id", "want"], "left").withColumn("parent", F.when(F.col("found"), F.col("want")))
+        state = linked.select("trace_id", "span_id", "parent_span_id", "timestamp", "parent", F.coalesce("parent", "span_id").alias("top"),
+                              F.when(F.col("parent").isNull(), 0).otherwise(1).alias("depth"), F.col("parent").isNotNull().alias("pending"))
+        live = F.max("pending").over(Window.partitionBy("trace_id"))
+        parts, left = [], None
+        while True:
+            seen = Observation()
+            state = _bucketed(state.withColumn("live", live).observe(seen, F.count_if("pending").alias("pending")))
+            now = seen.get["pending"]
+            done = now == 0 or now == left              # no progress: only cycles are left
+            parts.append(state if done else state.where("not live"))
+            if done:
+                break
+            left, state = now, state.where("live").drop("live")
+            up = state.select("trace_id", F.col("span_id").alias("top"), F.col("top").alias("up"), F.col("depth").alias("more"), F.col("pending").alias("far"))
+            state = state.join(up, ["trace_id", "top"]).select(
+                "trace_id", "span_id", "parent_span_id", "timestamp", "parent", F.when(F.col("pending"), F.col("up")).otherwise(F.col("top")).alias("top"),
+                F.when(F.col("pending"), F.col("depth") + F.col("more")).otherwise(F.col("depth")).alias("depth"), (F.col("pending") & F.col("far")).alias("pending"))
+        siblings = Window.partitionBy("trace_id", F.coalesce("parent", F.lit("")))
+        shaped = [part.select(
+            "trace_id", "span_id", "parent", F.when(F.col("pending"), 0).otherwise(F.col("depth")).alias("depth"), F.col("pending").alias("cyclic"),
+            F.col("parent").isNull().alias("is_root"), (F.col("parent").isNull() & (F.col("parent_span_id") != "")).alias("orphan"),
+            F.row_number().over(siblings.orderBy("timestamp", "span_id")).cast("long").alias("pos_in_set"), F.count("*").over(siblings).alias("set_size"),
+            (F.count_if(F.col("parent_span_id") == "").over(Window.partitionBy("trace_id")) == 0).alias("root_missing")) for part in parts]
+    return reduce(DataFrame.unionByName, shaped)
+
+
+def _shape_across(slim: DataFrame) -> DataFrame:
+    """The same for traces of any size: rows are joined by (trace, span), siblings are counted off in ranges."""
     placed = resolve_roots(_parents(slim)).drop("top")
     flat = (slim.join(placed, ["trace_id", "span_id"])
             .withColumn("is_root", F.col("parent").isNull())
@@ -69,7 +130,23 @@ def span_tree(spans: DataFrame) -> DataFrame:
     pos = row_position(flat, ["trace_id", "sib"], ["timestamp", "span_id"], "pos_in_set")
     sizes = placed.groupBy("trace_id", F.coalesce("parent", F.lit("")).alias("sib")).agg(F.count("*").alias("set_size"))
     no_root = slim.groupBy("trace_id").agg((F.count_if(F.col("parent_span_id") == "") == 0).alias("root_missing"))
-    shape = pos.join(sizes, ["trace_id", "sib"]).join(no_root, "trace_id").drop("sib", "parent_span_id", "timestamp")
+    return pos.join(sizes, ["trace_id", "sib"]).join(no_root, "trace_id").drop("sib", "parent_span_id", "timestamp")
+
+
+def span_tree(spans: DataFrame, large: int = LARGE) -> DataFrame:
+    """Add ``depth, is_root, orphan, root_missing, pos_in_set, set_size`` to unique spans.
+
+    The shape is worked out on ids and start times alone, which are written once, and joined to the spans at the end.
+    Traces of up to ``large`` spans stay within a partition of their trace; larger ones, which one task should not
+    hold, are worked out across partitions. Siblings are ordered by start."""
+    use_checkpoints(spans.sparkSession)
+    slim = spans.sparkSession.read.parquet(written(spans.select("trace_id", "span_id", "parent_span_id", "timestamp"), "span-ids"))
+    big = slim.groupBy("trace_id").agg(F.count("*").alias("n")).where(F.col("n") > large).select("trace_id")
+    big = spans.sparkSession.read.schema(big.schema).parquet(written(big, "large-traces"))
+    if big.isEmpty():
+        shape = _shape_within(slim)
+    else:
+        shape = _shape_within(slim.join(big, "trace_id", "left_anti")).unionByName(_shape_across(slim.join(big, "trace_id", "left_semi")))
     return spans.join(shape, ["trace_id", "span_id"])
 
 

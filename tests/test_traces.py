@@ -198,3 +198,31 @@ def test_all_spans_by_default(spark):
     assert [(r.n, r.cut) for r in T.trace_spans(df, "t").groupBy(F.col("truncated").alias("cut")).agg(F.count("*").alias("n")).collect()] == [(5_200, False)]
     window = T.trace_windows(df, anchor)
     assert not window.head().truncated and T.clip_traces(df, window).count() == 5_200
+
+
+def test_large_traces_get_the_same_shape(spark):
+    """Traces within a task and traces across tasks: chains, cycles, lost parents, many siblings."""
+    ms = lambda k: F.timestamp_millis(F.lit(1_700_000_000_000) + k)
+    chain = spark.range(70).select(F.lit("chain").alias("trace_id"), F.col("id").cast("string").alias("span_id"),
+                                   F.when(F.col("id") == 0, "").otherwise((F.col("id") - 1).cast("string")).alias("parent_span_id"), ms(F.col("id")).alias("timestamp"))
+    star = spark.range(500).select(F.lit("star"), F.col("id").cast("string"), F.when(F.col("id") == 0, "").when(F.col("id") % 3 == 0, "lost").otherwise("0"), ms(F.col("id") % 5))
+    ring = spark.range(9).select(F.lit("ring"), F.col("id").cast("string"), F.when(F.col("id") < 6, ((F.col("id") + 1) % 6).cast("string")).otherwise("0"), ms(F.col("id")))
+    own = spark.range(3).select(F.lit("own"), F.col("id").cast("string"), F.col("id").cast("string"), ms(F.col("id")))
+    df = chain.union(star).union(ring).union(own)
+    columns = ["trace_id", "span_id", "parent", "depth", "cyclic", "is_root", "orphan", "root_missing", "pos_in_set", "set_size"]
+    rows = [sorted(map(tuple, R.span_tree(df, large).select(columns).collect()), key=str) for large in (1_000_000, 50, 0)]
+    assert rows[0] == rows[1] == rows[2] and len(rows[0]) == 582
+    by = {r[:2]: dict(zip(columns, r)) for r in rows[0]}
+    assert by["chain", "69"]["depth"] == 69 and by["ring", "8"]["cyclic"] and by["ring", "8"]["depth"] == 0 and by["own", "1"]["orphan"]
+    assert by["star", "1"]["set_size"] == 333 - 0 and by["star", "3"]["orphan"] and not by["star", "3"]["root_missing"] and by["own", "1"]["root_missing"]
+
+
+def test_rounds_of_the_span_tree_stay_within_buckets(spark):
+    ids = spark.range(3000).select((F.col("id") % 40).cast("string").alias("trace_id"), F.col("id").cast("string").alias("span_id"),
+                                   F.when(F.col("id") < 40, "").otherwise((F.col("id") - 40).cast("string")).alias("parent_span_id"), F.timestamp_millis("id").alias("timestamp"))
+    with R._by_trace(spark):
+        table = R._bucketed(ids.repartition(int(spark.conf.get("spark.sql.shuffle.partitions")), "trace_id"))
+        up = table.select("trace_id", F.col("span_id").alias("parent_span_id"), F.col("timestamp").alias("up"))
+        joined = table.hint("merge").join(up, ["trace_id", "parent_span_id"])
+        assert "Exchange" not in joined._jdf.queryExecution().executedPlan().toString()
+        assert joined.count() == 2960
