@@ -148,10 +148,11 @@ class SpanFilter:
 # --- search and summaries --------------------------------------------------------
 
 def dedupe_spans(df: DataFrame, columns: list[str] | None = None) -> DataFrame:
-    """One row per (trace, span): the earliest of its retried copies."""
+    """One row per (trace, span): the earliest of its retried copies. Copies are dropped before they are shuffled, and
+    columns that nobody asks for are not read."""
     keep = [c for c in (columns or df.columns) if c not in ("trace_id", "span_id")]
-    first = F.min_by(F.struct(*keep), F.struct("timestamp", "duration_ns", "service_name", "span_name", "status_code"))
-    return df.groupBy("trace_id", "span_id").agg(first.alias("s")).select("trace_id", "span_id", "s.*")
+    first = Window.partitionBy("trace_id", "span_id").orderBy("timestamp", "duration_ns", "service_name", "span_name", "status_code")
+    return df.withColumn("__copy", F.row_number().over(first)).where("__copy = 1").select("trace_id", "span_id", *keep)
 
 
 def candidate_traces(df: DataFrame, f: SpanFilter, sort: str = "time", n: int = 50) -> DataFrame:

@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 
 from telespark.functions.lineage import materialize
 from telespark.operators import allocation as A
+from telespark.operators import apportion
 from telespark.operators import bills as B
 from telespark.plans import sqlviews, views
 from telespark.plans.registry import query
@@ -508,3 +509,49 @@ def service_months(spark, sf_dir):
         "cast(l_quantity as int) as amount")
     text = F.when(F.col("unit") == "seconds", F.concat(F.col("amount").cast("string"), F.lit("000000"))).otherwise(F.col("amount").cast("string"))
     return (li.withColumn("months", B.service_months(text, F.col("unit"))).groupBy("unit", "amount", "months").agg(F.count("*").alias("lines")))
+
+
+# --- exact apportionment: whole units of 10^-8 ------------------------------------------------------
+
+# monthly lines by their whole key: two lines of one number in a month are two lines
+_KEY = "provider, period, product, item, instance_id, region, zone, account, project, subscription, usage, ip, months, n"
+sqlviews.VIEWS["bill_whole"] = f"""
+select * exclude (newest) from (select *, max(v) over (partition by {_KEY}) as newest from (
+  select {_KEY}, payable_e4, paid_e4, original_e4, max(sync_s) as v from bill group by {_KEY}, payable_e4, paid_e4, original_e4)) where v >= newest - 60"""
+sqlviews.VIEWS["wholeshares"] = """select * from (values (0, 'beta', 1, 1, 1), (1, 'alpha', 0, 13, 173), (1, 'beta', 1, 40, 173), (1, 'gamma', 2, 120, 173), (2, 'gamma', 2, 1, 1),
+  (3, 'beta', 1, 1, 1), (4, 'alpha', 0, 1, 3), (4, 'beta', 1, 1, 3), (4, 'gamma', 2, 1, 3), (-1, 'shared', 3, 1, 1)) v(rule, line, i, w, whole)"""
+sqlviews.VIEWS["aunits"] = "select provider, rule, product, bucket, period, cast(round(amount * 10000) as hugeint) * 10000 as a from adetail"
+sqlviews.VIEWS["aparts"] = """
+select provider, rule, product, bucket, period, line, (base + case when place <= spare then 1 else 0 end) * sign(a) as units from (
+  select *, row_number() over (partition by provider, rule, product, bucket, period order by lost desc, i) as place,
+    abs(a) - sum(base) over (partition by provider, rule, product, bucket, period) as spare
+  from (select *, abs(a) * w // whole as base, (abs(a) * w) % whole as lost from aunits join wholeshares using (rule)))"""
+
+
+@query("alloc_exact_lines", "select provider, line, period, sum(units)::bigint as units from aparts group by all")
+def alloc_exact_lines(spark, sf_dir):
+    parts = apportion.spread(_detail(spark, sf_dir), ALLOC)
+    return parts.groupBy("provider", "line", "period").agg(apportion.to_units(F.sum("amount")).cast("long").alias("units"))
+
+
+@query("alloc_exact_balance", "select provider, rule, period, sum(a)::bigint as units, 0::bigint as off from aunits group by all")
+def alloc_exact_balance(spark, sf_dir):
+    """What all parts of a rule's money come to, and by how much that differs from the money."""
+    detail = _detail(spark, sf_dir)
+    both = apportion.spread(detail, ALLOC).select("provider", "rule", "period", "amount", F.lit(0).alias("own")).unionByName(
+        detail.select("provider", "rule", "period", F.col("amount").cast("decimal(38,8)").alias("amount"), F.lit(1).alias("own")))
+    units = lambda own: apportion.to_units(F.sum(F.when(F.col("own") == own, F.col("amount")))).cast("long")
+    return both.groupBy("provider", "rule", "period").agg(units(0).alias("units"), (units(0) - units(1)).alias("off"))
+
+
+@query("alloc_exact_prepaid", f"""
+select provider, rule, product, shown as period, sum((size // months + case when k < size % months then 1 else 0 end) * sign(a))::bigint as units from (
+  select *, abs(a) as size, unnest(range(months)) as k, strftime(cast(period || '-01' as date) + to_months(cast(k as int)), '%Y-%m') as shown from (
+    select provider, {{RULE}} as rule, product, period, months, cast(sum(payable_e4) as hugeint) * 10000 as a
+    from bill_whole where provider = 'alicloud' and subscription = 'Subscription' group by all))
+where shown between '{{FIRST}}' and '2027-06' group by all""".replace("{RULE}", RULE).replace("{FIRST}", FIRST))
+def alloc_exact_prepaid(spark, sf_dir):
+    t = _tables(spark, sf_dir)
+    monthly = B.pick_sources(t, ("alicloud",))[0]
+    rows = apportion.amortise(A.prepaid_sources(B.pick_sources(t, by_day=True), monthly), ALL, ALLOC)
+    return rows.withColumn("units", apportion.to_units(F.col("amount")).cast("long")).drop("amount")
