@@ -513,11 +513,6 @@ def service_months(spark, sf_dir):
 
 # --- exact apportionment: whole units of 10^-8 ------------------------------------------------------
 
-# monthly lines by their whole key: two lines of one number in a month are two lines
-_KEY = "provider, period, product, item, instance_id, region, zone, account, project, subscription, usage, ip, months, n"
-sqlviews.VIEWS["bill_whole"] = f"""
-select * exclude (newest) from (select *, max(v) over (partition by {_KEY}) as newest from (
-  select {_KEY}, payable_e4, paid_e4, original_e4, max(sync_s) as v from bill group by {_KEY}, payable_e4, paid_e4, original_e4)) where v >= newest - 60"""
 sqlviews.VIEWS["wholeshares"] = """select * from (values (0, 'beta', 1, 1, 1), (1, 'alpha', 0, 13, 173), (1, 'beta', 1, 40, 173), (1, 'gamma', 2, 120, 173), (2, 'gamma', 2, 1, 1),
   (3, 'beta', 1, 1, 1), (4, 'alpha', 0, 1, 3), (4, 'beta', 1, 1, 3), (4, 'gamma', 2, 1, 3), (-1, 'shared', 3, 1, 1)) v(rule, line, i, w, whole)"""
 sqlviews.VIEWS["aunits"] = "select provider, rule, product, bucket, period, cast(round(amount * 10000) as hugeint) * 10000 as a from adetail"
@@ -548,10 +543,8 @@ def alloc_exact_balance(spark, sf_dir):
 select provider, rule, product, shown as period, sum((size // months + case when k < size % months then 1 else 0 end) * sign(a))::bigint as units from (
   select *, abs(a) as size, unnest(range(months)) as k, strftime(cast(period || '-01' as date) + to_months(cast(k as int)), '%Y-%m') as shown from (
     select provider, {{RULE}} as rule, product, period, months, cast(sum(payable_e4) as hugeint) * 10000 as a
-    from bill_whole where provider = 'alicloud' and subscription = 'Subscription' group by all))
+    from bill_d where provider = 'alicloud' and subscription = 'Subscription' group by all))
 where shown between '{{FIRST}}' and '2027-06' group by all""".replace("{RULE}", RULE).replace("{FIRST}", FIRST))
 def alloc_exact_prepaid(spark, sf_dir):
-    t = _tables(spark, sf_dir)
-    monthly = B.pick_sources(t, ("alicloud",))[0]
-    rows = apportion.amortise(A.prepaid_sources(B.pick_sources(t, by_day=True), monthly), ALL, ALLOC)
+    rows = apportion.amortise(_daily(spark, sf_dir), ALL, ALLOC)
     return rows.withColumn("units", apportion.to_units(F.col("amount")).cast("long")).drop("amount")
