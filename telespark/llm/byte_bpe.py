@@ -16,12 +16,13 @@ from string import punctuation as PUNCTUATION
 import regex
 from tokenizers import Tokenizer
 
+from telespark.llm import shared
+
 #: The splitter of byte-level BPE (fixed value).
 PIECES = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
 SPACES = frozenset("\t\v\f\r\x1c\x1d\x1e\x1f")
 MOST = 600_000          # words kept in one Python worker
 
-_OPEN: dict[str, ByteEncoder] = {}
 
 
 def byte_letters() -> list[str]:
@@ -57,9 +58,7 @@ class ByteEncoder:
     @classmethod
     def of(cls, path: str) -> ByteEncoder:
         """One for each file and Python worker."""
-        if path not in _OPEN:
-            _OPEN[path] = cls(path)
-        return _OPEN[path]
+        return shared.kept((cls.__name__, path), lambda: cls(path))
 
     @classmethod
     def shape(cls, path: str, end_id: int) -> tuple[int, int]:

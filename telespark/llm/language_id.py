@@ -5,7 +5,7 @@ common (presence, blended over the lengths), normalised by both texts' own numbe
 bounded sample of labelled texts is drawn; some of it are the landmarks. With the landmark kernel
 matrix the sample is mapped to ``W^(-1/2)`` features, and one ridge regression for each language
 against the rest is solved in closed form. A text is scored by its n-grams' weights, the landmark matrix
-times the regression weights; with many languages by its kernel values with the landmarks.
+times the regression weights, one sparse product for a block of texts; with many languages by the kernel values of a block with the landmarks.
 
 ``score`` shares one out over the learned languages, so its size depends on their number. ``known`` does not: it is
 the share of the text's n-grams of ``LONG`` and more code points, digits and signs left out, that the landmarks of the answer's language hold,
@@ -28,6 +28,9 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from telespark.llm import shared
+from telespark.llm.shared import slices
+
 LONGEST = 4             # code points of the longest n-gram
 LONG = 3                # code points of the shortest n-gram that tells languages from noise
 SAMPLE = 400            # labelled texts for each language (the bound of the sample)
@@ -39,6 +42,7 @@ RIDGE = 1e-3
 SHARP = 8.0             # steepness of the score over regression values
 BLOCK = 256             # sampled texts mapped to features at once
 PRODUCT = 1 << 25       # numbers of the product of presence and weights, if it is held
+PRODUCT_CHARS = 1 << 16 # characters of the texts scored by one product (a longer text alone)
 UNKNOWN = "und"
 SIGNS = regex.compile(r"[\p{N}\p{P}\p{S}\p{C}]+")
 
@@ -136,20 +140,29 @@ class Model:
         places = np.repeat(low - np.cumsum(n) + n, n) + np.arange(n.sum())
         return np.bincount(self.marks[places], minlength=len(self.scale)) * self.scale / np.sqrt(len(codes))
 
-    def values(self, codes: np.ndarray) -> np.ndarray:
-        """Regression values of all languages."""
+    def values(self, sets: list[np.ndarray]) -> np.ndarray:
+        """Regression values, texts by languages: one product of the texts' sparse presence with the weights, or of their kernel values with the landmarks'."""
+        scale = 1 / np.sqrt([len(x) for x in sets])[:, None]
         if self.weights is None:
-            return self.kernel(codes) @ self.alpha + self.bias
-        return self.weights[self.found(codes)].sum(axis=0, dtype=np.float64) / np.sqrt(len(codes)) + self.bias
+            return np.stack([self.kernel(x) for x in sets]) @ self.alpha + self.bias
+        found = [self.found(x) for x in sets]
+        sizes = np.array([len(x) for x in found])
+        have, out = np.flatnonzero(sizes), np.zeros((len(sets), len(self.languages)))
+        if len(have):
+            out[have] = np.add.reduceat(self.weights[np.concatenate(found)], np.cumsum(sizes[have]) - sizes[have], axis=0, dtype=np.float64)
+        return out * scale + self.bias
 
     def predict(self, texts: list[str | None]) -> tuple[list[str], np.ndarray, np.ndarray]:
         names, scores, known = [UNKNOWN] * len(texts), np.zeros(len(texts)), np.zeros(len(texts))
-        for i, text in enumerate(texts):
-            if text and any(map(str.isalpha, text)):
-                values = self.values(grams(text))
-                k = int(values.argmax())
-                names[i], scores[i] = self.languages[k], 1 / np.exp(SHARP / 2 * (values - values[k])).sum()
-                known[i] = share(long(text), self.own[k]) / self.usual[k] if self.usual[k] else 1
+        able = [i for i, text in enumerate(texts) if text and any(map(str.isalpha, text))]
+        for low, high in slices([texts[i] for i in able], PRODUCT_CHARS):
+            block = able[low:high]
+            values = self.values([grams(texts[i]) for i in block])
+            best = values.argmax(axis=1)
+            scores[block] = 1 / np.exp(SHARP / 2 * (values - values.max(axis=1, keepdims=True))).sum(axis=1)
+            for i, k in zip(block, best.tolist()):
+                names[i] = self.languages[k]
+                known[i] = share(long(texts[i]), self.own[k]) / self.usual[k] if self.usual[k] else 1
         return names, scores, known
 
 
@@ -178,18 +191,19 @@ def fit(labelled: DataFrame) -> Model | None:
     return Model([r.text for r in found], [r.lang for r in found])
 
 
-def predict(docs: DataFrame, model: Model | None) -> DataFrame:
+def predict(docs: DataFrame, model: Model | None, text: str = "text") -> DataFrame:
     """``docs`` with a struct ``language`` (lang_pred, score, known); the model has at most LANGUAGES * LANDMARKS landmarks, or one a language."""
     if model is None:
         return docs.withColumn("language", F.struct(F.lit(UNKNOWN).alias("lang_pred"), F.lit(0.0).alias("score"), F.lit(0.0).alias("known")))
-    shared = docs.sparkSession.sparkContext.broadcast(model)
+    sent = docs.sparkSession.sparkContext.broadcast(model)
 
     @F.pandas_udf(T.StructType([T.StructField("lang_pred", T.StringType()), T.StructField("score", T.DoubleType()), T.StructField("known", T.DoubleType())]))
     def score(batches: Iterator[pd.Series]) -> Iterator[pd.DataFrame]:
+        shared.forget()
         for texts in batches:
-            yield pd.DataFrame(dict(zip(("lang_pred", "score", "known"), shared.value.predict(texts.tolist()))))
+            yield pd.DataFrame(dict(zip(("lang_pred", "score", "known"), sent.value.predict(texts.tolist()))))
 
-    return docs.withColumn("language", score(F.col("text").cast("string")))
+    return docs.withColumn("language", score(F.col(text).cast("string")))
 
 
 def held_out(doc_id: Column) -> Column:

@@ -40,7 +40,7 @@ ROWS = 4
 MEMBERS = 1000          # of a family in a block; blocks meet in pairs
 LONG = 512              # registers that rank the pairs of a block
 DOUBT = 5.0             # standard errors under the threshold from which pairs are verified
-SLICE = 1 << 22         # characters signed together
+SLICE = 1 << 21         # characters signed together
 
 
 # ------------------------------------------------------------------------------------------- signatures
@@ -117,6 +117,7 @@ def _node(text: Column) -> Column:
 def _keys(docs: DataFrame) -> DataFrame:
     """(node, keys): band keys of (node, text) rows that have words."""
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        shared.forget()
         for batch in batches:
             nodes, texts = batch.column(0), batch.column(1).to_pylist()
             for low, high in shared.slices(texts, SLICE):

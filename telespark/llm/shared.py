@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import gc
 import os
 import tempfile
 import uuid
@@ -9,12 +10,31 @@ import zipfile
 from contextlib import contextmanager
 from pathlib import Path
 
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from telespark.functions.lineage import forget_at_exit, shared_folder
 
 _SHIPPED: set[str] = set()
+_KEPT: dict[tuple, object] = {}
+
+
+def kept(key: tuple, make):
+    """What an operator keeps in a Python worker between tasks. Workers serve one operator after the other:
+    only the last one's is held."""
+    if key not in _KEPT:
+        forget()
+        _KEPT[key] = make()
+    return _KEPT[key]
+
+
+def forget() -> None:
+    """Let go of what earlier tasks of other operators left in this Python worker."""
+    if _KEPT:
+        _KEPT.clear()
+        gc.collect()
+    pa.default_memory_pool().release_unused()
 
 
 def ship(spark: SparkSession) -> None:

@@ -168,6 +168,7 @@ def marks(docs: DataFrame, window: int = WINDOW) -> DataFrame:
     buckets = 4 * n
 
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        shared.forget()
         for batch in batches:
             ids, keys, texts = (c.to_pylist() for c in batch.columns)
             for low, high in shared.slices(texts, SLICE):

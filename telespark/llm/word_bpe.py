@@ -34,7 +34,6 @@ from telespark.llm.byte_bpe import byte_letters
 PIECES = r"'s|'t|'re|'ve|'m|'ll|'d|[\p{L}]+|[\p{N}]|[^\s\p{L}\p{N}]+"
 MOST = 150_000          # chunks, and words, kept in one Python worker
 
-_OPEN: dict[str, TrieEncoder] = {}
 
 
 class Merges:
@@ -153,9 +152,8 @@ class TrieEncoder:
 
     @classmethod
     def of(cls, path: str) -> TrieEncoder:
-        if path not in _OPEN:
-            _OPEN[path] = cls(path)
-        return _OPEN[path]
+        """One for each file and Python worker."""
+        return shared.kept((cls.__name__, path), lambda: cls(path))
 
     def words(self, chunk: str) -> list[str]:
         """The words of a chunk, in the letters that stand for bytes. Plain Latin is split here, the rest by the library's own steps."""
@@ -228,14 +226,17 @@ def decode_documents(ids: DataFrame, tokenizer: str) -> DataFrame:
 
 
 def round_trip(docs: DataFrame, tokenizer: str) -> DataFrame:
-    """(doc_id, n_tokens, ids_sha256, decoded_sha256) of every document: encoded, then decoded from the ids."""
+    """(doc_id, n_tokens, ids_sha256, decoded_sha256) of every document: encoded, then decoded from the ids, in one pass by one worker."""
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         encoder = TrieEncoder.of(tokenizer)
         for batch in batches:
-            ids = batch.column(1).to_pylist()
-            decoded = [hashlib.sha256(encoder.decode(np.frombuffer(x, dtype="<u4")).encode()).hexdigest() for x in ids]
-            yield pa.RecordBatch.from_arrays(
-                [batch.column(0), pa.array([len(x) // 4 for x in ids], pa.int64()), pa.array([hashlib.sha256(x).hexdigest() for x in ids]), pa.array(decoded)],
-                names=["doc_id", "n_tokens", "ids_sha256", "decoded_sha256"])
-
-    return encode_documents(docs, tokenizer).mapInArrow(run, "doc_id long, n_tokens long, ids_sha256 string, decoded_sha256 string")
+            texts = [x or "" for x in batch.column(1).to_pylist()]
+            for low, high in shared.slices(texts):
+                ids = encoder.encode(texts[low:high])
+                decoded = [hashlib.sha256(encoder.decode(np.frombuffer(x, dtype="<u4")).encode()).hexdigest() for x in ids]
+                yield pa.RecordBatch.from_arrays(
+                    [batch.column(0)[low:high], pa.array([len(x) // 4 for x in ids], pa.int64()), pa.array([hashlib.sha256(x).hexdigest() for x in ids]), pa.array(decoded)],
+                    names=["doc_id", "n_tokens", "ids_sha256", "decoded_sha256"])
+
+    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
+    return rows.mapInArrow(run, "doc_id long, n_tokens long, ids_sha256 string, decoded_sha256 string")
