@@ -16,8 +16,8 @@ def language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents in one of the learned languages; texts without letters, without sense or in a language not learned go."""
     shared.ship(spark)
     model = language_id.fit(docs.where(~language_id.held_out(F.col("doc_id"))).select("doc_id", "text", "lang"))
-    rows = docs.select(F.struct(*[docs[c] for c in docs.columns]).alias("row"), "text")
-    found = language_id.predict(rows, model)
+    rows = docs.select(F.struct(*[docs[c] for c in docs.columns]).alias("row"))        # the text travels once, inside
+    found = language_id.predict(rows, model, text="row.text")
     return found.where((F.col("language.lang_pred") != language_id.UNKNOWN) & (F.col("language.known") >= LEAST_KNOWN)).select("row.*")
 
 
