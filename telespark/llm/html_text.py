@@ -58,8 +58,10 @@ LENGTHS = (1, 20, 80, 300)
 NEAR = 4                # levels up to which an ancestor that looks like a side part counts
 SIZE = len(KINDS) + 1 + N_BAD + len(LENGTHS) + 4 + 3
 
-_TAG = re.compile(r"<!--.*?(?:-->|\Z)|<(/?)([a-zA-Z][^\s/>]*)((?:[^>\"']|\"[^\"]*\"|'[^']*')*)(>|\Z)|<[!?/][^>]*(?:>|\Z)|</?[a-zA-Z][^>]*\Z", re.S)
-_NAMES = re.compile(r"(?:class|id|role|data-label)\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s\"'>]+))", re.I)
+#: Attributes: names, each with a value after "=" that is quoted or goes up to white space; a quote elsewhere is part of a name.
+_ATTRIBUTES = r"(?>[\s/]+|[^\s/>][^\s/>=]*(?:\s*=\s*(?:\"[^\"]*\"|'[^']*'|[^\s\"'>][^\s>]*)?)?)*+"
+_TAG = re.compile(rf"<!--.*?(?:-->|\Z)|<(/?)([a-zA-Z][^\s/>]*)({_ATTRIBUTES})(>|\Z)|<[!?/][^>]*(?:>|\Z)", re.S)
+_NAMES = re.compile(r"(?:class|id|role|data-label)\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s\"'>][^\s>]*))", re.I)
 _LABEL = re.compile(r"data-label=\"([01])\"")
 _WORD = re.compile(r"[a-z]+")
 

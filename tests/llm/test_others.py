@@ -35,6 +35,9 @@ def test_pages_give_their_article(spark, model):
     ("", ""), ("plain text with no tags at all. It is fine.", "plain text with no tags at all. It is fine."),
     ("<article><p>a &lt;b&gt; &amp;amp; c&nbsp;d<script>x<p>y</script>e<br>f</p><ul><li>one of it<li>two of it</ul></article>", "a <b> &amp; c de f one of it two of it"),
     ("<article><p>" + "The first part of it, which is long enough. " * 3 + "<p>Unfinished <b>bold <a href=\"x", "The first part of it, which is long enough. " * 3 + "Unfinished bold"),
+    ("<article><p class=it's>Hello there, this is one.</p><p>Don't do it now, wait for the second one.</p></article>", "Hello there, this is one. Don't do it now, wait for the second one."),
+    ("<article><p title='a > b' data-x=\"it's\" hidden\">The first of them is here.</p><p class = \"x\" 'y>And the second, it's short.</p><p a=b/c='d>The third, isn't it.</p></article>",
+     "The first of them is here. And the second, it's short. The third, isn't it."),
     ("<body><nav><a href=1>Home</a></nav><main><p>Text one. It is here to be read.</p><aside>Side note. Buy now.</aside><p>Text two. It is here too.</p></main><section id='comments'><p>I disagree, strongly. It is bad.</p></section><footer>&copy; us</footer>",
      "Text one. It is here to be read. Text two. It is here too."),
 ])
