@@ -184,12 +184,27 @@ def match_source(calls: DataFrame, sources: list[Source]) -> DataFrame:
             .drop("__best"))
 
 
+_NUMBER = r"[0-9][\w.]*+|\.[0-9]\w*+|\$[0-9]++"
+_WORD = r"[\p{L}_][\p{L}\p{N}_$]*+"
+_SPACE = r"(?:\s++|--[^\n]*+|/\*(?s:.*?)(?:\*/|\z))++"
+_SIGNS, _MASKS = "(?", "\ue000\ue001"       # signs of quoted names while lists are looked for
+
+
 def normalize_statement(statement: Column) -> Column:
-    """Statement with literals, value lists and spacing evened out."""
-    s = F.regexp_replace(statement, r"'(?:[^'\\]|\\.|'')*'", "?")
-    s = F.regexp_replace(s, r"\b[0-9]+(?:\.[0-9]+)?\b", "?")
-    s = F.regexp_replace(s, r"\(\s*\?(?:\s*,\s*\?)+\s*\)", "(?, ...)")
-    return F.trim(F.regexp_replace(s, r"\s+", " "))
+    """Statement with literals, value lists, comments and spacing evened out.
+
+    One pass cuts it into tokens: quoted texts and numbers become ``?``, white space and comments one blank, words
+    and quoted names stay, so a digit in a name, a quote in a comment or a comment in a quote is what it is. Then lists of
+    ``?`` become ``(?, ...)``, and rows of equal lists, as in ``in ((1, 2), (3, 4))`` or after ``values``, one of them."""
+    tokens = F.regexp_extract_all(statement, F.lit(rf"(?s)({_SPACE}|{_QUOTED}|{_NUMBER}|{_WORD}|.)"), F.lit(1))
+    first = lambda t: F.substring(t, 1, 1)
+    even = F.transform(tokens, lambda t: F.when(t.rlike(rf"\A(?:{_SPACE})\z"), " ").when((first(t) == "'") | t.rlike(rf"\A(?:{_NUMBER})\z"), "?")
+                       .when(first(t).isin('"', "`"), F.translate(t, _SIGNS, _MASKS)).otherwise(t))
+    s = F.trim(F.regexp_replace(F.array_join(even, ""), " +", " "))
+    s = F.regexp_replace(F.regexp_replace(s, r"\( ", "("), r" \)", ")")
+    s = F.regexp_replace(s, r"\(\?(?: ?, ?\?)+\)", "(?, ...)")
+    s = F.regexp_replace(s, r"(\(\?(?:, \.\.\.)?\))(?: ?, ?\1)+", "$1, ...")
+    return F.translate(s, _MASKS, _SIGNS)
 
 
 def statement_digest(query_log: DataFrame, sort: str = "total", limit: int | None = None, min_ms: float = 0.0) -> DataFrame:

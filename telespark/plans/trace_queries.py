@@ -404,6 +404,21 @@ def statement_digest(spark, sf_dir):
     return D.statement_digest(log)
 
 
+@query("statement_digest_lists", '''
+select replace(db_statement, 'id=?', case duration_ns // 1000 % 3 when 0 then 'id in (?, ...)' when 1 then '(id, n2) in ((?, ...), ...)' else 'id = ? and "n 1" = ?' end) as digest,
+  count(*) as calls, sum(duration_ns // 1000000) as total_ms from dbcall group by 1''')
+def statement_digest_lists(spark, sf_dir):
+    '''Statements with lists, rows of lists, comments and quotes in place of their parameter.'''
+    calls = D.trace_db_calls(_spans(spark, sf_dir))
+    n, part = F.col("duration_ns").cast("string"), F.expr("duration_ns div 1000 % 3")
+    rows = F.array_join(F.array_repeat(F.lit("(1, 2)"), F.expr("cast(2 + duration_ns div 1000 % 2 as int)")), " ,")
+    id_is = F.when(part == 0, F.concat(F.lit("id in (1,"), n, F.lit(", 'x')"))).when(part == 1, F.concat(F.lit("(id, n2) in ("), rows, F.lit(")"))) \
+        .otherwise(F.concat(F.lit("id /* not 5 ? */ = "), n, F.lit(".5 and \"n 1\" = '-- ?'")))
+    text = F.replace(F.replace("statement", F.lit("k=?"), F.concat(F.lit("k='it''s "), n, F.lit("'"))), F.lit("id=?"), id_is)
+    log = calls.select(text.alias("statement"), F.expr("duration_ns div 1000000").alias("duration_ms"), F.lit(False).alias("error"), F.lit(1).alias("rows"), F.lit(0).alias("ts_ms"))
+    return D.statement_digest(log).select("digest", "calls", "total_ms")
+
+
 @query("attributes_flattened", """
 select event_id, '/' || event_type as route, cast(user_id % 5 as varchar) as status, cast(user_id as varchar) as user_id, '[1,2]' as tags, 4 as keys from events""")
 def attributes_flattened(spark, sf_dir):

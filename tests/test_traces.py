@@ -192,6 +192,17 @@ def test_digest(spark):
     assert (top.digest, top.calls, top.total_ms, top.max_ms, top.last_seen_ms) == ("select ? from t where a in (?, ...)", 2, 12, 7, 3)
 
 
+@pytest.mark.parametrize("statement, digest", [
+    ("select * from t where (a, b) in ((1,2), (3, 4) ,(5,6))", "select * from t where (a, b) in ((?, ...), ...)"),
+    ("insert into t2 (a1) values (1), ( 'x' ),(3)", "insert into t2 (a1) values (?), ..."),
+    ("select 'it''s', \"a 'b' (?, ?) 1\", `c 2` from t -- 'quote 1\nwhere x = 1.5e3", "select ?, \"a 'b' (?, ?) 1\", `c 2` from t where x = ?"),
+    ("select /* 'one' */ a/**/ , -- two\n 'b -- no /* comment' from t_1 where n=$1 and h = 0xFF and .5 < d", "select a , ? from t_1 where n=? and h = ? and ? < d"),
+    ("select 'a\\'b', 'c'", "select ?, ?"), ("select 'never closed", "select ?"), ("  ", ""), ("f(1)", "f(?)"), ("f( 1 ,2)", "f(?, ...)"), ("größe1 = 3", "größe1 = ?"),
+])
+def test_statements_are_evened_out(spark, statement, digest):
+    assert spark.createDataFrame([(statement,)], "s string").select(D.normalize_statement(F.col("s"))).head()[0] == digest
+
+
 def test_all_spans_by_default(spark):
     df = spans(spark, [("t", f"s{i:04d}", "", i) for i in range(5_200)])
     anchor = spark.createDataFrame([("t", T0)], "trace_id string, at_ms long")
