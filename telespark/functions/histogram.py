@@ -21,11 +21,19 @@ def quantile(counts: Column, bounds: Column, q: float) -> Column:
         raise ValueError(f"a quantile lies between 0 and 1, not {q}")
     total = F.aggregate(counts, F.lit(0.0), lambda a, c: a + c)
     target = total * F.lit(float(q))
-    upto = F.transform(counts, lambda _, i: F.aggregate(F.slice(counts, 1, i + 1), F.lit(0.0), lambda a, c: a + c))
-    at = F.get(F.filter(F.transform(upto, lambda s, i: F.when(s >= target, i)), lambda i: i.isNotNull()), 0)
+    # one pass: observations so far, and the first bucket that reaches the target with the observations up to it
+    start = F.struct(F.lit(0).alias("i"), F.lit(0.0).alias("sum"), F.lit(None).cast("int").alias("at"), F.lit(0.0).alias("upto"))
+
+    def step(a: Column, c: Column) -> Column:
+        now = a["sum"] + c
+        hit = a["at"].isNull() & (now >= target)
+        return F.struct((a["i"] + 1).alias("i"), now.alias("sum"), F.when(hit, a["i"]).otherwise(a["at"]).alias("at"), F.when(hit, now).otherwise(a["upto"]).alias("upto"))
+
+    found = F.aggregate(counts, start, step)
+    at = found["at"]
     here, upper, last = F.get(counts, at), F.get(bounds, at), F.element_at(bounds, -1)
     lower = F.when(at == 0, F.least(F.lit(0.0), upper)).otherwise(F.get(bounds, at - 1))
-    part = F.least(F.lit(1.0), F.greatest(F.lit(0.0), (target - (F.get(upto, at) - here)) / F.nullif(here, F.lit(0))))
+    part = F.least(F.lit(1.0), F.greatest(F.lit(0.0), (target - (found["upto"] - here)) / F.nullif(here, F.lit(0))))
     inside = F.when(here <= 0, upper).otherwise(lower + (upper - lower) * part)
     return (F.when((total <= 0) | (F.size(bounds) <= 0), None)
              .when(at.isNull() | (at >= F.size(bounds)), last).otherwise(inside))

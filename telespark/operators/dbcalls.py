@@ -7,7 +7,7 @@ from dataclasses import dataclass
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from telespark.functions.attrs import MAX_KEY, attr, first_attr, flatten_attributes
+from telespark.functions.attrs import attr, first_attr, flatten_attributes
 from telespark.functions.limits import at_most, at_most_per
 from telespark.functions.maths import head, quantiles
 from telespark.functions.timeaxis import millis
@@ -51,7 +51,7 @@ def _params(df: DataFrame) -> Column:
     from one attribute that holds them all."""
     head_of = PARAMS_ATTRIBUTE + "."
     family = F.map_filter(flatten_attributes(df, "span_attributes"), lambda k, v: k.startswith(head_of))
-    family = F.transform_keys(family, lambda k, _: F.substring(k, len(head_of) + 1, MAX_KEY))
+    family = F.transform_keys(family, lambda k, _: F.substring(k, len(head_of) + 1, (1 << 31) - 1))
     return F.when(F.size(family) > 0, F.to_json(family)).otherwise(attr(df, "span_attributes", PARAMS_ATTRIBUTE))
 
 

@@ -315,6 +315,39 @@ def drill_to_errors(spark, sf_dir):
     return P.drill_to_errors(spans, spikes, HALF_HOUR)
 
 
+LINE_CELLS = f"select {BUCKET} as bucket, service_name, namespace, count(*) as v from app_log where {RANGE} group by all"
+LOUD = f"select bucket || '|' || service_name || '|' || namespace as spike_id, * from ({LINE_CELLS}) where v >= (select 1.5 * avg(v) from ({LINE_CELLS}))"
+
+
+def _loud(spark, sf_dir):
+    """Six-hour cells of a service and namespace with far more lines than usual."""
+    logs = views.app_log(spark, sf_dir).where(MONTH.holds())
+    cells = logs.groupBy(SIX.index().alias("bucket"), F.array("service_name", "namespace").alias("keys")).agg(F.count("*").alias("v"))
+    return logs, cells.where(F.col("v") >= 1.5 * cells.agg(F.avg("v")).scalar())
+
+
+@query("drill_to_logs", f"""
+select spike_id, l.service_name, l.level, count(*) as lines, min(ts_ms) as first_ms from ({LOUD}) k join app_log l
+  on l.service_name = k.service_name and l.namespace = k.namespace and {BUCKET} = k.bucket where {RANGE} group by all""")
+def drill_to_logs(spark, sf_dir):
+    logs, cells = _loud(spark, sf_dir)
+    hit = P.drill_to_logs(logs, P.spikes_from_series(cells, SIX, ("service_name", "res:k8s.namespace.name")), SIX)
+    return hit.groupBy("spike_id", "service_name", "level").agg(F.count("*").alias("lines"), F.min(F.unix_millis("timestamp")).alias("first_ms"))
+
+
+@query("drill_to_logs_of_page", f"""
+with c as (select {BUCKET} as bucket, namespace, sum(1) as v from app_log where {RANGE} and service_name = 'svc-3' group by all)
+select c.bucket || '|' || c.namespace as spike_id, l.level, count(*) as lines from c join app_log l on l.service_name = 'svc-3' and l.namespace = c.namespace
+  and {BUCKET} = c.bucket where {RANGE} and c.v >= (select 1.5 * avg(v) from c) group by all""")
+def drill_to_logs_of_page(spark, sf_dir):
+    """Series without a service, on the page of one: its lines only."""
+    logs = views.app_log(spark, sf_dir).where(MONTH.holds())
+    cells = logs.where("service_name = 'svc-3'").groupBy(SIX.index().alias("bucket"), F.array("namespace").alias("keys")).agg(F.count("*").alias("v"))
+    loud = cells.where(F.col("v") >= 1.5 * cells.agg(F.avg("v")).scalar())
+    hit = P.drill_to_logs(logs, P.spikes_from_series(loud, SIX, ("res:k8s.namespace.name",), service="svc-3"), SIX)
+    return hit.groupBy("spike_id", "level").agg(F.count("*").alias("lines"))
+
+
 @query("metric_chart_cells", f"""
 with c as (select bucket, service_name as keys, sum({GROWTH}) as v from steps where metric_name = 'bytes' group by all)
 select a.bucket, k.keys, c.v from (select unnest(range({SIX.count(MONTH)})) as bucket) a cross join (select distinct keys from c) k

@@ -8,6 +8,7 @@ from telespark.plans import catalog
 
 SF = "/root/testdata/sf0.001"
 QUERIES, SQL = catalog.QUERIES, catalog.ORACLES
+MAY_BE_EMPTY: set[str] = set()      # queries that find nothing in the smallest data set
 
 
 @pytest.fixture(scope="module")
@@ -23,7 +24,7 @@ def test_every_query_has_a_twin():
 @pytest.mark.parametrize("name", sorted(QUERIES))
 def test_query(spark, con, name):
     message, _ = check(spark, con, SF, name, QUERIES[name], SQL[name])
-    assert message.startswith(("ok", "EMPTY")), message
+    assert message.startswith("ok") or message == "EMPTY" and name in MAY_BE_EMPTY, message
 
 
 def test_entry_runs(spark):
