@@ -8,7 +8,7 @@ from telespark.plans import catalog
 
 SF = "/root/testdata/sf0.001"
 QUERIES, SQL = catalog.QUERIES, catalog.ORACLES
-MAY_BE_EMPTY: set[str] = set()      # queries that find nothing in the smallest data set
+MAY_BE_EMPTY = {"latency_hotspot", "log_context"}       # they find nothing in the smallest data set
 
 
 @pytest.fixture(scope="module")
