@@ -216,39 +216,33 @@ def log_context_batch(df: DataFrame, anchors: DataFrame, n: int = 50) -> DataFra
     Lines get a position in their (host, file) stream; an anchor gets the number
     of lines at or before it and then asks for the ``2 n`` positions around that
     number.  Work is linear in lines plus output: no line is paired with an anchor
-    that does not return it, and streams of any size are cut into ranges.  Lines are read
-    between an hour before the first and an hour after the last anchor, once without their
-    messages to be counted off, and once more for the messages that are shown.
+    that does not return it, and streams of any size are cut into ranges.  Only lines
+    between an hour before the first and an hour after the last anchor are read, and they
+    are shuffled once.
     """
     keys = ["host", "file"]
     anchors = materialize(anchors.select("anchor_id", *keys, "ts_ms"))
     low, high = anchors.agg(F.min("ts_ms"), F.max("ts_ms")).first()
     near = df.where(TimeRange(max(0, low - CONTEXT_MS), high + CONTEXT_MS + 1).holds()) if low is not None else df.where("false")
-    lines = near.select(*keys, "timestamp", millis().alias("ts_ms"), "level", "trace_id",
+    lines = near.select(*keys, "timestamp", millis().alias("ts_ms"), "level", "trace_id", "span_id", "message",
                         F.xxhash64("host", "file", "thread", "logger", "span_id", "message").alias("tie"))
     marks = anchors
     # position of lines, and lines-so-far at each anchor, from one ordered pass
     both = (lines.select(*keys, "ts_ms", "timestamp", "level", "trace_id", "tie", F.lit(0).alias("mark"),
-                         F.lit(None).cast(anchors.schema["anchor_id"].dataType).alias("anchor_id"))
+                         F.lit(None).cast(anchors.schema["anchor_id"].dataType).alias("anchor_id"), "span_id", "message")
             .unionByName(marks.select(*keys, "ts_ms", F.timestamp_millis("ts_ms").alias("timestamp"), F.lit("").alias("level"),
                                       F.lit("").alias("trace_id"), F.lit(0).cast("bigint").alias("tie"),
-                                      F.lit(1).alias("mark"), "anchor_id")))
+                                      F.lit(1).alias("mark"), "anchor_id", F.lit("").alias("span_id"), F.lit("").alias("message"))))
     order = ["ts_ms", "mark", "timestamp", "level", "trace_id", "tie"]
     placed = running_total(both, keys, order, F.lit(1) - F.col("mark"), "pos")
     wanted = (placed.where("mark = 1")
               .select("anchor_id", *keys, F.col("ts_ms").alias("anchor_ms"), F.col("pos").alias("at"),
                       F.explode(F.sequence(F.col("pos") - n + 1, F.col("pos") + n)).alias("pos"))
               .where("pos > 0"))
-    rows = placed.where("mark = 0").select(*keys, "pos", "ts_ms", "timestamp", "level", "trace_id", "tie")
-    hits = materialize(wanted.join(rows, [*keys, "pos"])
-                       .where(F.when(F.col("pos") <= F.col("at"), F.col("ts_ms") >= F.col("anchor_ms") - CONTEXT_MS)
-                               .otherwise(F.col("ts_ms") < F.col("anchor_ms") + CONTEXT_MS)))
-    # lines that are equal in all this have equal messages
-    shown = hits.select(*keys, "timestamp", "level", "trace_id", "tie").distinct()
-    full = near.withColumn("tie", F.xxhash64("host", "file", "thread", "logger", "span_id", "message"))
-    texts = full.join(shown, [*keys, "timestamp", "level", "trace_id", "tie"], "left_semi").groupBy(*keys, "timestamp", "level", "trace_id", "tie") \
-        .agg(F.first("span_id").alias("span_id"), F.first("message").alias("message"))
-    return (hits.join(texts, [*keys, "timestamp", "level", "trace_id", "tie"])
+    rows = placed.where("mark = 0").select(*keys, "pos", "ts_ms", "level", "trace_id", "span_id", "message")
+    return (wanted.join(rows, [*keys, "pos"])
+            .where(F.when(F.col("pos") <= F.col("at"), F.col("ts_ms") >= F.col("anchor_ms") - CONTEXT_MS)
+                    .otherwise(F.col("ts_ms") < F.col("anchor_ms") + CONTEXT_MS))
             .select("anchor_id", *keys, "anchor_ms", "ts_ms", "level", "trace_id", "span_id", "message",
                     F.when(F.col("pos") <= F.col("at"), "before").otherwise("after").alias("side"),
                     F.when(F.col("pos") <= F.col("at"), F.col("at") - F.col("pos") + 1)

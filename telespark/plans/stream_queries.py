@@ -57,7 +57,8 @@ select ts_ms as t_ms, pod_name as pod, service_name from (select *, lag(value) o
 where p > 0 and value < p and ts_us <= (select (max(ts_us) // 1000 - {LATE_RESTARTS}) * 1000 from metric where metric_name = 'requests')""")
 def stream_counter_restarts(spark, sf_dir):
     f = M.MetricFilter(MONTH, "requests")
-    return streamed(views.otel_metric(spark, sf_dir), 8 * DAY_MS, LATE_RESTARTS,
+    points = views.otel_metric(spark, sf_dir).select("timestamp", "metric_name", "metric_type", "service_name", "resource_attributes", "value", "count")
+    return streamed(points, 8 * DAY_MS, LATE_RESTARTS,
                     lambda points: rolling.counter_restarts(points, f, late=f"{LATE_RESTARTS} milliseconds"))
 
 
@@ -73,7 +74,7 @@ cell as (select unnest(range(0, (select max(bucket) + 1 from closed))) as bucket
 select $BASE + bucket * {SIX_HOURS.width_ms} as t_ms, level, case level when 'ERROR' then 1 when 'WARN' then 2 when 'INFO' then 4 when 'DEBUG' then 5 end as level_rank,
   coalesce(count, 0) as count from cell cross join (select unnest(['ERROR', 'WARN', 'INFO', 'DEBUG']) as level) left join closed using (bucket, level)""")
 def stream_log_histogram(spark, sf_dir):
-    return streamed(views.app_log(spark, sf_dir), 8 * DAY_MS, LATE_LINES,
+    return streamed(views.app_log(spark, sf_dir).select("timestamp", "level"), 8 * DAY_MS, LATE_LINES,
                     lambda lines: rolling.log_histogram(lines, L.LogFilter(MONTH), SIX_HOURS, LEVELS, late=f"{LATE_LINES} milliseconds"))
 
 
@@ -88,7 +89,8 @@ y as (select * from x where $BASE + (b + 1) * {HOUR} <= (select max(ts_ms) - {HO
 select service_name, 1 as is_total, null as bucket, {FIGURES} from y group by 1
 union all select service_name, 0, b, {FIGURES} from y group by 1, 3""")
 def stream_service_stats(spark, sf_dir):
-    states = streamed(views.spans(spark, sf_dir), 6 * HOUR, HOUR // 2,
+    spans = views.spans(spark, sf_dir).select("timestamp", "service_name", "span_kind", "duration_ns", "status_code")
+    states = streamed(spans, 6 * HOUR, HOUR // 2,
                       lambda spans: rolling.service_states(spans, HOURS, late=f"{HOUR // 2} milliseconds", k=EXACT))
     return rollups.stats(states, ONE_DAY, HOURS)
 
