@@ -29,7 +29,7 @@ SLICES = 4
 EXACT = 4096            # durations that a sketch of these queries holds exactly
 
 
-def streamed(rows: DataFrame, slice_ms: int, late_ms: int, make) -> DataFrame:
+def streamed(rows: DataFrame, slice_ms: int, late_ms: int, make, rocks: bool = False) -> DataFrame:
     """Results of ``make(stream)`` over ``rows``, which arrive slice by slice; some of a slice's last ones come with the next."""
     spark, path = rows.sparkSession, written(rows.where("false"), "arriving")
     base = written(rows.where("false").select("timestamp"), "stream")
@@ -42,7 +42,7 @@ def streamed(rows: DataFrame, slice_ms: int, late_ms: int, make) -> DataFrame:
         rows.where(slot == k).write.mode("append").parquet(path)
         if k % 2:
             stream = tail.read_stream(spark, path, rows.schema, files_per_trigger=None)
-            tail.drain(rolling.start(make(stream), out, state, once=True), 1200)
+            tail.drain(rolling.start(make(stream), out, state, once=True, rocks=rocks), 1200)
     for used in (out, state):
         forget_at_exit(spark, used)
     return spark.read.parquet(out)
@@ -59,7 +59,7 @@ def stream_counter_restarts(spark, sf_dir):
     f = M.MetricFilter(MONTH, "requests")
     points = views.otel_metric(spark, sf_dir).select("timestamp", "metric_name", "metric_type", "service_name", "resource_attributes", "value", "count")
     return streamed(points, 8 * DAY_MS, LATE_RESTARTS,
-                    lambda points: rolling.counter_restarts(points, f, late=f"{LATE_RESTARTS} milliseconds"))
+                    lambda points: rolling.counter_restarts(points, f, late=f"{LATE_RESTARTS} milliseconds"), rocks=True)
 
 
 LEVELS = ("ERROR", "WARN", "INFO", "DEBUG")
@@ -75,7 +75,7 @@ select $BASE + bucket * {SIX_HOURS.width_ms} as t_ms, level, case level when 'ER
   coalesce(count, 0) as count from cell cross join (select unnest(['ERROR', 'WARN', 'INFO', 'DEBUG']) as level) left join closed using (bucket, level)""")
 def stream_log_histogram(spark, sf_dir):
     return streamed(views.app_log(spark, sf_dir).select("timestamp", "level"), 8 * DAY_MS, LATE_LINES,
-                    lambda lines: rolling.log_histogram(lines, L.LogFilter(MONTH), SIX_HOURS, LEVELS, late=f"{LATE_LINES} milliseconds"))
+                    lambda lines: rolling.log_histogram(lines, L.LogFilter(MONTH), SIX_HOURS, LEVELS, late=f"{LATE_LINES} milliseconds"), rocks=True)
 
 
 FIGURES = """count(*) as requests, count(*) filter (status_code = 'Error') as errors, quantile_disc(duration_ns, 0.5) / 1000000.0::double as p50_ms,

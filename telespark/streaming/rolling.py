@@ -141,8 +141,16 @@ def service_states(spans: DataFrame, bucket: Bucket, late: str = LATE, k: int =
 
 # --- running -------------------------------------------------------------------------------------
 
-def start(rows: DataFrame, out: str, checkpoint: str, once: bool = False, poll: str = "10 seconds") -> StreamingQuery:
-    """Append the results to the Parquet table ``out``, each once; ``once`` drains what is there and stops."""
-    rows.sparkSession.conf.set("spark.sql.streaming.stateStore.providerClass", ROCKS)
+def start(rows: DataFrame, out: str, checkpoint: str, once: bool = False, poll: str = "10 seconds", rocks: bool = False) -> StreamingQuery:
+    """Append the results to the Parquet table ``out``, each once; ``once`` drains what is there and stops.
+
+    ``rocks``: keep state in RocksDB, which counter restarts and log histograms need; it takes some megabytes of disk for each partition of the state."""
+    conf, key = rows.sparkSession.conf, "spark.sql.streaming.stateStore.providerClass"
+    before = conf.get(key)
     writer = rows.writeStream.format("parquet").outputMode("append").option("path", out).option("checkpointLocation", checkpoint)
-    return (writer.trigger(availableNow=True) if once else writer.trigger(processingTime=poll)).start()
+    if rocks:
+        conf.set(key, ROCKS)
+    try:
+        return (writer.trigger(availableNow=True) if once else writer.trigger(processingTime=poll)).start()
+    finally:
+        conf.set(key, before)           # a query keeps the settings it was started with

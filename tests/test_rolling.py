@@ -19,13 +19,13 @@ def points(spark, rows):
                      "service_name", F.create_map(F.lit("k8s.pod.name"), "pod").alias("resource_attributes"), F.col("v").alias("value"), F.lit(0).cast("long").alias("count"))
 
 
-def stream(spark, folder, rows_of, make, batches):
+def stream(spark, folder, rows_of, make, batches, rocks=False):
     """Deliver the batches one after the other, each to a query started anew from the checkpoint; all results."""
     src, out, state = (str(folder / x) for x in ("in", "out", "state"))
     for rows in batches:
         rows_of(rows).coalesce(1).write.mode("append").parquet(src)
         lines = tail.read_stream(spark, src, rows_of(rows).schema)
-        tail.drain(rolling.start(make(lines), out, state, once=True), 300)
+        tail.drain(rolling.start(make(lines), out, state, once=True, rocks=rocks), 300)
     return spark.read.parquet(out)
 
 
@@ -38,7 +38,7 @@ def test_restarts_with_late_points_and_a_resume(spark, tmp_path):
                [(2 * MIN, 100, "a", "s"), (300 * MIN, 1, "z", "z")]]                        # far too late: not looked at
     rows = [r for b in batches for r in b if r[:2] != (2 * MIN, 100)]
     want = sorted(map(tuple, metrics.counter_restarts(points(spark, rows), f).collect()))
-    got = stream(spark, tmp_path, lambda r: points(spark, r), lambda s: rolling.counter_restarts(s, f, late="10 minutes"), batches)
+    got = stream(spark, tmp_path, lambda r: points(spark, r), lambda s: rolling.counter_restarts(s, f, late="10 minutes"), batches, rocks=True)
     assert sorted(map(tuple, got.select("t_ms", "pod", "service_name").collect())) == want
     assert [(t - T0) // MIN for t, _, _ in want] == [1, 20, 30, 50]
 
@@ -46,7 +46,7 @@ def test_restarts_with_late_points_and_a_resume(spark, tmp_path):
 def test_a_silent_counter_is_forgotten(spark, tmp_path):
     f = metrics.MetricFilter(DAY, "requests")
     batches = [[(0, 5, "a", "s"), (0, 5, "b", "s")], [(40 * MIN, 1, "b", "s")], [(200 * MIN, 1, "a", "s")], [(400 * MIN, 1, "z", "z")]]
-    got = stream(spark, tmp_path, lambda r: points(spark, r), lambda s: rolling.counter_restarts(s, f, late="1 minute", idle_ms=60 * MIN), batches)
+    got = stream(spark, tmp_path, lambda r: points(spark, r), lambda s: rolling.counter_restarts(s, f, late="1 minute", idle_ms=60 * MIN), batches, rocks=True)
     assert [(r.t_ms - T0, r.pod) for r in got.collect()] == [(40 * MIN, "b")]
 
 
@@ -63,7 +63,7 @@ def test_histogram_closes_buckets_and_fills_gaps(spark, tmp_path):
                [(9 * MIN, "ERROR"), (15 * MIN, "ODD"), (16 * MIN, "INFO"), (70 * MIN, "ERROR")],       # 9: late, inside the watermark
                [(3 * MIN, "ERROR"), (100 * MIN, "INFO")],                                              # 3: too late
                [(200 * MIN, "INFO")]]
-    got = stream(spark, tmp_path, lambda r: lines(spark, r), lambda s: rolling.log_histogram(s, f, bucket, ("ERROR", "INFO"), late="5 minutes"), batches)
+    got = stream(spark, tmp_path, lambda r: lines(spark, r), lambda s: rolling.log_histogram(s, f, bucket, ("ERROR", "INFO"), late="5 minutes"), batches, rocks=True)
     cells = {((r.t_ms - T0) // MIN, r.level): r["count"] for r in got.collect()}
     assert cells.pop((10, "ODD")) == 1
     some = {(0, "ERROR"): 2, (0, "INFO"): 1, (10, "INFO"): 2, (70, "ERROR"): 1, (100, "INFO"): 1}
