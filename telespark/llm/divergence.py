@@ -2,12 +2,16 @@
 
 The terms of a document are its runs of letters and of characters beyond ASCII, ASCII letters lower-cased. Each language keeps the terms of at least
 ``MIN_DOCS`` of its documents, with no limit to their number: a ``CountVectorizer`` with that minDF and the largest
-vocabSize counts them and turns documents into exact sparse vectors. A term is counted under its language, so one fit
-serves all languages. Vectors are added up by (lang, source) as sparse sums, never as dense rows.
+vocabSize counts them and turns rows of terms into exact sparse vectors. A term is counted under its language, so one
+fit serves all languages. Vectors are added up by (lang, source) as sparse sums, never as dense rows.
 
-That class keeps its vocabulary in the driver and broadcasts it. So terms are dealt by hash into as many shards as hold
-at most ``SHARD`` of them each: kept terms occur ``MIN_DOCS`` times at least, and the number of such terms is counted
-before. Each shard is fitted on its own terms, written down once by shard if there are several.
+That class takes a String for each term of a row. So what it does to the documents is done to fewer rows that give the
+same: it is fitted on rows that hold a term as often as a window of documents has documents with it, ``MIN_DOCS`` at
+most, and vectors are linear, so those of the terms that occur n times in a window's group are taken n times.
+
+It also keeps its vocabulary in the driver and broadcasts it. So terms are dealt by hash into as many shards as hold
+at most ``SHARD`` of them each, after a count of those in ``MIN_DOCS`` documents. Each shard is fitted on its own terms,
+written down once by shard if there are several.
 
 With p = 1 + floor(10^9 (count + 2) / (N + 2 V)) two groups differ by the sum of floor((p - q)^2 / (p + q)) over all
 kept terms. Terms that neither group has, or only one, need no pair of rows: they differ by their counts alone, so they
@@ -24,7 +28,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.ml.feature import CountVectorizer
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -33,6 +37,8 @@ from telespark.llm import shared
 #: What each byte of a text becomes: ASCII letters small ones, other ASCII characters blanks; the rest stays, whole words of it.
 SIGNS = bytes(b if b > 127 else ord(chr(b).lower()) if chr(b).isalpha() else 32 for b in range(256))
 MIN_DOCS = 10
+WINDOW = 1 << 23        # bytes of consecutive documents whose terms are counted together, a longer one alone
+LONGEST = 512           # terms of a row at most
 LARGEST = (1 << 31) - 1
 SHARD = 1 << 19         # terms of a vocabulary at most
 UNIT = 1_000_000_000
@@ -40,46 +46,93 @@ TOP = 10                # terms listed for a group
 PAIRS = 1 << 20         # pairs of groups of a term compared at once
 
 
+def _window(lang: pa.Array, source: pa.Array, text: pa.Array, longest: int) -> Iterator[tuple]:
+    """(groups' first rows, times, terms) of the documents of a window, as ``words`` returns them; ``text`` is large binary."""
+    ends = np.frombuffer(text.buffers()[1], np.int64, len(text) + 1, 8 * text.offset)
+    if ends[0] == ends[-1]:
+        return
+    signs = np.frombuffer(text.buffers()[2][ends[0]:ends[-1]].to_pybytes().translate(SIGNS), np.uint8)
+    ends = ends - ends[0]
+    word = signs != 32
+    first, begin = word.copy(), ends[:-1][ends[:-1] < ends[1:]]
+    first[1:] &= ~word[:-1]
+    first[begin] = word[begin]                  # a word ends with its document
+    last = word.copy()
+    last[:-1] &= ~word[1:] | first[1:]
+    start = np.flatnonzero(first)
+    if not len(start):
+        return
+    sizes = np.append(0, np.cumsum(np.flatnonzero(last) + 1 - start)).astype(np.int32)
+    coded = pa.StringArray.from_buffers(len(start), pa.py_buffer(sizes), pa.py_buffer(signs[word])).dictionary_encode()
+    names, code = coded.dictionary, coded.indices.to_numpy(zero_copy_only=False).astype(np.int64)
+    row = np.repeat(np.arange(len(text)), np.diff(np.searchsorted(start, ends)))
+
+    langs, sources = lang.dictionary_encode(), source.dictionary_encode()
+    of_lang, of_source = (x.indices.to_numpy(zero_copy_only=False).astype(np.int64) for x in (langs, sources))
+    group = of_lang * len(sources.dictionary) + of_source
+    low = (1 << 32) - 1
+
+    def lists(term: np.ndarray, of: np.ndarray, *keys: np.ndarray) -> tuple[pa.Array, np.ndarray]:
+        """Terms (and their languages) with equal keys as lists of at most ``longest``; the terms the lists begin with."""
+        order = np.lexsort(keys)
+        new = np.flatnonzero(np.append(True, np.any([np.diff(k[order]) != 0 for k in keys], axis=0)))
+        begin = np.flatnonzero((np.arange(len(order)) - np.repeat(new, np.diff(np.append(new, len(order))))) % longest == 0)
+        named = pc.binary_join_element_wise(names.take(pa.array(term[order])), langs.dictionary.take(pa.array(of[order])), " ")
+        return pa.ListArray.from_arrays(pa.array(np.append(begin, len(order)).astype(np.int32)), named), order[begin]
+
+    cell, times = np.unique(group[row] << 32 | code, return_counts=True)
+    of, some = np.unique(group, return_index=True)
+    some = some[np.searchsorted(of, cell >> 32)]          # a document of the group
+    terms, at = lists(cell & low, of_lang[some], times, cell >> 32)
+    yield some[at], times[at], terms
+
+    seen = np.sort(row << 32 | code)
+    seen = seen[np.append(True, seen[1:] != seen[:-1])]
+    cell, docs = np.unique(of_lang[seen >> 32] << 32 | seen & low, return_counts=True)
+    docs = np.minimum(docs, MIN_DOCS)
+    cell, nth = np.repeat(cell, docs), np.arange(docs.sum()) - np.repeat(np.cumsum(docs) - docs, docs)
+    terms, at = lists(cell & low, cell >> 32, nth)
+    yield None, np.zeros(len(at), np.int64), terms
+
+
 def words(docs: DataFrame) -> DataFrame:
-    """(lang, source, terms): one row for each document; a term is followed by a blank and its language."""
+    """(lang, source, times, terms): what windows of the documents hold; a term is followed by a blank and its language.
+
+    A group has each of its terms of a window once, in a row of terms that occur there that many times. Rows of 0 times
+    have each term as often as it has documents in the window, ``MIN_DOCS`` at most, never twice in a row.
+    """
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         shared.forget()
         for batch in batches:
-            langs, texts = batch.column(0).to_pylist(), batch.column(2).to_pylist()
-            for low, high in shared.slices(texts):
-                data, sizes, rows = [], [], [0]
-                for lang, text in zip(langs[low:high], texts[low:high]):
-                    found = text.encode("utf-8", "surrogatepass").translate(SIGNS).split()
-                    end = b" " + lang.encode("utf-8", "surrogatepass")
-                    data.append(end.join([*found, b""]))
-                    sizes.append(np.fromiter(map(len, found), np.int32, len(found)) + np.int32(len(end)))
-                    rows.append(rows[-1] + len(found))
-                starts = np.concatenate([[0], np.cumsum(np.concatenate(sizes))]).astype(np.int32)
-                terms = pa.StringArray.from_buffers(rows[-1], pa.py_buffer(starts), pa.py_buffer(b"".join(data)))
-                lists = pa.ListArray.from_arrays(pa.array(rows, pa.int32()), terms)
-                yield pa.RecordBatch.from_arrays([batch.column(0)[low:high], batch.column(1)[low:high], lists], names=["lang", "source", "terms"])
+            lang, source, text = batch.column(0), batch.column(1), batch.column(2).cast(pa.large_binary())
+            sizes = pc.binary_length(text).to_pylist()
+            for low, high in shared.slices(list(map(range, sizes)), WINDOW):
+                n = high - low
+                for at, times, terms in _window(lang.slice(low, n), source.slice(low, n), text.slice(low, n), LONGEST):
+                    names = (pa.array([""] * len(times), pa.string()),) * 2 if at is None else (lang.take(pa.array(at + low)), source.take(pa.array(at + low)))
+                    yield pa.RecordBatch.from_arrays([*names, pa.array(times), terms], names=["lang", "source", "times", "terms"])
 
     text, lang, source = (F.coalesce(F.col(c).cast("string"), F.lit("")) for c in ("text", "lang", "source"))
-    return docs.select(lang.alias("lang"), source.alias("source"), text.alias("text")).mapInArrow(run, "lang string, source string, terms array<string>")
+    return docs.select(lang.alias("lang"), source.alias("source"), text.alias("text")).mapInArrow(run, "lang string, source string, times long, terms array<string>")
 
 
 def _dealt(rows: DataFrame, most: int) -> list[DataFrame]:
-    """The documents with the terms of one shard each, of whose terms about ``most`` can occur often enough to be kept."""
-    often = rows.select(F.explode("terms").alias("term")).groupBy("term").count().where(F.col("count") >= MIN_DOCS)
+    """The rows with the terms of one shard each, of whose terms about ``most`` are kept."""
+    often = rows.where("times = 0").select(F.explode("terms").alias("term")).groupBy("term").count().where(F.col("count") >= MIN_DOCS)
     shards = -(-often.count() // most)
     if shards < 2:
         return [rows]
-    spark, schema = rows.sparkSession, "lang string, source string, terms array<string>, shard int"
+    spark, schema = rows.sparkSession, "lang string, source string, times long, terms array<string>, shard int"
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            terms, of = batch.column(2), batch.column(3).flatten().to_numpy(zero_copy_only=False).astype(np.int64)
+            terms, of = batch.column(3), batch.column(4).flatten().to_numpy(zero_copy_only=False).astype(np.int64)
             row = np.repeat(np.arange(len(terms)), terms.value_lengths().to_numpy(zero_copy_only=False))
             order = np.argsort(row * shards + of, kind="stable")
             cell, start = np.unique((row * shards + of)[order], return_index=True)
             pick, shard = cell // shards, pa.array((cell % shards).astype(np.int32))
             lists = pa.ListArray.from_arrays(pa.array(np.append(start, len(order)).astype(np.int32)), terms.flatten().take(pa.array(order)))
-            yield pa.RecordBatch.from_arrays([batch.column(0).take(pa.array(pick)), batch.column(1).take(pa.array(pick)), lists, shard], names=["lang", "source", "terms", "shard"])
+            yield pa.RecordBatch.from_arrays([*(batch.column(i).take(pa.array(pick)) for i in range(3)), lists, shard], names=["lang", "source", "times", "terms", "shard"])
 
     marked = rows.withColumn("of", F.transform("terms", lambda t: F.pmod(F.xxhash64(t), F.lit(shards)).cast("int")))
     each = marked.mapInArrow(run, schema)
@@ -92,34 +145,35 @@ def _dealt(rows: DataFrame, most: int) -> list[DataFrame]:
 
 
 def _summed(vectors: DataFrame, names: list[str]) -> DataFrame:
-    """(lang, source, term, count): sparse sums of the (lang, source, vector) rows."""
+    """(lang, source, term, count): sparse sums of the (source, times, vector) rows, each taken that many times."""
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            lang, source, vector = batch.columns
-            a, b = (x.dictionary_encode().indices.to_numpy(zero_copy_only=False).astype(np.int64) for x in (lang, source))
-            code, first, row = np.unique(a << 32 | b, return_index=True, return_inverse=True)
+            source, times, vector = batch.columns
+            source = source.dictionary_encode()
             at, values = vector.field("indices"), vector.field("values")
-            of = np.repeat(row, at.value_lengths().to_numpy(zero_copy_only=False))
+            sizes = at.value_lengths().to_numpy(zero_copy_only=False)
+            of = np.repeat(source.indices.to_numpy(zero_copy_only=False).astype(np.int64), sizes)
             cell, inverse = np.unique(of << 32 | at.flatten().to_numpy(zero_copy_only=False), return_inverse=True)
             count = np.zeros(len(cell), dtype=np.int64)
-            np.add.at(count, inverse, values.flatten().to_numpy(zero_copy_only=False).astype(np.int64))
-            pick = pa.array(first[cell >> 32])
-            yield pa.RecordBatch.from_arrays([lang.take(pick), source.take(pick), pa.array(cell & ((1 << 32) - 1)), pa.array(count)], names=["lang", "source", "at", "count"])
+            np.add.at(count, inverse, values.flatten().to_numpy(zero_copy_only=False).astype(np.int64) * np.repeat(times.to_numpy(zero_copy_only=False), sizes))
+            yield pa.RecordBatch.from_arrays([source.dictionary.take(pa.array(cell >> 32)), pa.array(cell & ((1 << 32) - 1)), pa.array(count)], names=["source", "at", "count"])
 
-    added = vectors.mapInArrow(run, "lang string, source string, at long, count long").groupBy("lang", "source", "at").agg(F.sum("count").alias("count"))
+    added = vectors.mapInArrow(run, "source string, at long, count long").groupBy("source", "at").agg(F.sum("count").alias("count"))
     vocabulary = vectors.sparkSession.createDataFrame(pa.table({"at": pa.array(range(len(names)), pa.int64()), "name": names}))
     named = added.join(vocabulary, "at")
-    return named.select("lang", "source", F.expr("substring(name, 1, instr(name, ' ') - 1)").alias("term"), "count")
+    return named.select(F.expr("substring(name, instr(name, ' ') + 1)").alias("lang"), "source", F.expr("substring(name, 1, instr(name, ' ') - 1)").alias("term"), "count")
 
 
 def counts(docs: DataFrame, most: int = SHARD) -> DataFrame:
     """(lang, source, term, count): occurrences of the kept terms in each group that has them; a written table."""
+    from pyspark.ml.feature import CountVectorizer      # not above: Python workers import this module, and need no more of it
+
     out, spark = None, docs.sparkSession
     for rows in _dealt(shared.written(words(docs), "terms"), most):
-        model = CountVectorizer(inputCol="terms", outputCol="vector", minDF=float(MIN_DOCS), vocabSize=LARGEST).fit(rows)
+        model = CountVectorizer(inputCol="terms", outputCol="vector", minDF=float(MIN_DOCS), vocabSize=LARGEST).fit(rows.where("times = 0"))
         if not model.vocabulary:
             continue
-        part = shared.written(_summed(model.transform(rows).select("lang", "source", "vector"), model.vocabulary), "term-counts")
+        part = shared.written(_summed(model.transform(rows.where("times > 0")).select("source", "times", "vector"), model.vocabulary), "term-counts")
         out = part if out is None else out.unionByName(part)
     return out if out is not None else spark.createDataFrame([], "lang string, source string, term string, count long")
 

@@ -56,6 +56,26 @@ def test_audit_of_nothing(spark):
     assert rows_of(divergence.audit(few)) == [("en", "s", "pair", "t", 0, 1), ("en", "t", "pair", "s", 0, 1)]
 
 
+def test_terms_reach_the_vectorizer_once_for_a_window(spark):
+    text = "Ärger über " + "foo bar, foo baz! " * 200
+    docs = spark.createDataFrame([(text, "en", "a")] * 30 + [(text, "en", "b")] * 4 + [("", "en", "a"), ("Bar", "en", "b"), ("foo", "de", None), (None, "de", None)], "text string, lang string, source string").coalesce(1)
+    rows = divergence.words(docs).collect()
+    of = sorted((r.lang, r.source, r.times, t) for r in rows if r.times for t in r.terms)
+    want = [("en", s, n * k + (w == "bar" and s == "b"), f"{w} en") for s, n in (("a", 30), ("b", 4)) for w, k in (("foo", 400), ("bar", 200), ("baz", 200), ("Ärger", 1), ("über", 1))]
+    assert of == sorted([*want, ("de", "", 1, "foo de")])
+    fit = Counter(t for r in rows if not r.times for t in r.terms)
+    assert fit == {**dict.fromkeys(["foo en", "bar en", "baz en", "Ärger en", "über en"], 10), "foo de": 1}
+    assert all(len(set(r.terms)) == len(r.terms) for r in rows)
+
+
+def test_windows_and_long_rows_are_brute_force(spark, monkeypatch):
+    rows = mixed_rows()
+    frame = spark.createDataFrame(rows, "text string, lang string, source string")
+    monkeypatch.setattr(divergence, "WINDOW", 300)
+    monkeypatch.setattr(divergence, "LONGEST", 3)
+    assert rows_of(divergence.audit(frame)) == brute(rows)
+
+
 def test_query_equals_its_twin(spark):
     message, _ = check(spark, duck(SF), SF, "op12_source_divergence", queries.QUERIES["op12_source_divergence"], queries.ORACLES["op12_source_divergence"])
     assert message.startswith("ok"), message
