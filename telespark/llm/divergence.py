@@ -6,12 +6,13 @@ vocabSize counts them and turns rows of terms into exact sparse vectors. A term
 fit serves all languages. Vectors are added up by (lang, source) as sparse sums, never as dense rows.
 
 That class takes a String for each term of a row. So what it does to the documents is done to fewer rows that give the
-same: it is fitted on rows that hold a term as often as a window of documents has documents with it, ``MIN_DOCS`` at
-most, and vectors are linear, so those of the terms that occur n times in a window's group are taken n times.
+same: it is fitted on rows that hold a term as often as there are documents with it, ``MIN_DOCS`` at most, which windows
+of documents count and a Spark aggregate adds up; and vectors are linear, so those of the terms that occur n times in a
+window's group are taken n times.
 
 It also keeps its vocabulary in the driver and broadcasts it. So terms are dealt by hash into as many shards as hold
-at most ``SHARD`` of them each, after a count of those in ``MIN_DOCS`` documents. Each shard is fitted on its own terms,
-written down once by shard if there are several.
+about ``SHARD`` at most of those in ``MIN_DOCS`` documents. Each shard is fitted on its own terms, written down once by
+shard if there are several.
 
 With p = 1 + floor(10^9 (count + 2) / (N + 2 V)) two groups differ by the sum of floor((p - q)^2 / (p + q)) over all
 kept terms. Terms that neither group has, or only one, need no pair of rows: they differ by their counts alone, so they
@@ -36,6 +37,7 @@ from telespark.llm import shared
 
 #: What each byte of a text becomes: ASCII letters small ones, other ASCII characters blanks; the rest stays, whole words of it.
 SIGNS = bytes(b if b > 127 else ord(chr(b).lower()) if chr(b).isalpha() else 32 for b in range(256))
+ROWS = "lang string, source string, times long, terms array<string>"
 MIN_DOCS = 10
 WINDOW = 1 << 23        # bytes of consecutive documents whose terms are counted together, a longer one alone
 LONGEST = 512           # terms of a row at most
@@ -47,7 +49,7 @@ PAIRS = 1 << 20         # pairs of groups of a term compared at once
 
 
 def _window(lang: pa.Array, source: pa.Array, text: pa.Array, longest: int) -> Iterator[tuple]:
-    """(groups' first rows, times, terms) of the documents of a window, as ``words`` returns them; ``text`` is large binary."""
+    """(groups' first rows, times, terms) of the documents of a window, as ``_windows`` returns them; ``text`` is large binary."""
     ends = np.frombuffer(text.buffers()[1], np.int64, len(text) + 1, 8 * text.offset)
     if ends[0] == ends[-1]:
         return
@@ -90,16 +92,15 @@ def _window(lang: pa.Array, source: pa.Array, text: pa.Array, longest: int) -> I
     seen = seen[np.append(True, seen[1:] != seen[:-1])]
     cell, docs = np.unique(of_lang[seen >> 32] << 32 | seen & low, return_counts=True)
     docs = np.minimum(docs, MIN_DOCS)
-    cell, nth = np.repeat(cell, docs), np.arange(docs.sum()) - np.repeat(np.cumsum(docs) - docs, docs)
-    terms, at = lists(cell & low, cell >> 32, nth)
-    yield None, np.zeros(len(at), np.int64), terms
+    terms, at = lists(cell & low, cell >> 32, docs)
+    yield None, -docs[at], terms
 
 
-def words(docs: DataFrame) -> DataFrame:
+def _windows(docs: DataFrame) -> DataFrame:
     """(lang, source, times, terms): what windows of the documents hold; a term is followed by a blank and its language.
 
-    A group has each of its terms of a window once, in a row of terms that occur there that many times. Rows of 0 times
-    have each term as often as it has documents in the window, ``MIN_DOCS`` at most, never twice in a row.
+    A group has each of its terms of a window once, in a row of terms that occur there that many times. Rows of -n times
+    have the terms of n documents of the window, of ``MIN_DOCS`` or more if n is that.
     """
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         shared.forget()
@@ -113,16 +114,49 @@ def words(docs: DataFrame) -> DataFrame:
                     yield pa.RecordBatch.from_arrays([*names, pa.array(times), terms], names=["lang", "source", "times", "terms"])
 
     text, lang, source = (F.coalesce(F.col(c).cast("string"), F.lit("")) for c in ("text", "lang", "source"))
-    return docs.select(lang.alias("lang"), source.alias("source"), text.alias("text")).mapInArrow(run, "lang string, source string, times long, terms array<string>")
+    return docs.select(lang.alias("lang"), source.alias("source"), text.alias("text")).mapInArrow(run, ROWS)
+
+
+def _repeated(seen: DataFrame) -> DataFrame:
+    """Rows of 0 times: each (term, docs) term in ``docs`` of them, ``MIN_DOCS`` at most, never twice in a row."""
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            term, docs = batch.column(0), np.minimum(batch.column(1).to_numpy(zero_copy_only=False), MIN_DOCS)
+            for nth in range(docs.max(initial=0)):
+                some = np.flatnonzero(docs > nth)
+                begin = np.append(np.arange(0, len(some), LONGEST), len(some)).astype(np.int32)
+                lists = pa.ListArray.from_arrays(pa.array(begin), term.take(pa.array(some)))
+                names = pa.array([""] * len(lists), pa.string())
+                yield pa.RecordBatch.from_arrays([names, names, pa.array(np.zeros(len(lists), np.int64)), lists], names=["lang", "source", "times", "terms"])
+
+    return seen.mapInArrow(run, ROWS)
+
+
+def _combined(docs: DataFrame) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """Rows of 0 times and rows of 1 and more, as ``words`` returns them, and the number of documents of each term, ``MIN_DOCS`` or more if it is that."""
+    rows = shared.written(_windows(docs), "terms")
+    seen = rows.where("times < 0").select(F.explode("terms").alias("term"), "times").groupBy("term").agg((-F.sum("times")).alias("docs"))
+    seen = shared.written(seen, "term-docs")
+    return _repeated(seen), rows.where("times > 0"), seen
+
+
+def words(docs: DataFrame) -> DataFrame:
+    """(lang, source, times, terms): what the documents hold; a term is followed by a blank and its language.
+
+    A group has each of its terms of a window of documents once, in a row of terms that occur there that many times. Rows
+    of 0 times have each term as often as it has documents, ``MIN_DOCS`` at most, never twice in a row.
+    """
+    fitted, counted, _ = _combined(docs)
+    return fitted.union(counted)
 
 
-def _dealt(rows: DataFrame, most: int) -> list[DataFrame]:
-    """The rows with the terms of one shard each, of whose terms about ``most`` are kept."""
-    often = rows.where("times = 0").select(F.explode("terms").alias("term")).groupBy(F.xxhash64("term")).count().where(F.col("count") >= MIN_DOCS)       # numbers are cheaper to count, and only their number matters
-    shards = -(-often.count() // most)
+def _dealt(fitted: DataFrame, counted: DataFrame, seen: DataFrame, most: int) -> list[tuple[DataFrame, DataFrame]]:
+    """The rows of 0 times and the others with the terms of one shard each, of whose terms about ``most`` are kept."""
+    shards = -(-seen.where(F.col("docs") >= MIN_DOCS).count() // most)
     if shards < 2:
-        return [rows]
-    spark, schema = rows.sparkSession, "lang string, source string, times long, terms array<string>, shard int"
+        return [(fitted, counted)]
+    rows = fitted.union(counted)
+    spark, schema = rows.sparkSession, f"{ROWS}, shard int"
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -141,7 +175,8 @@ def _dealt(rows: DataFrame, most: int) -> list[DataFrame]:
     each.write.partitionBy("shard").option("compression", "zstd").parquet(path)
     shared.forget_at_exit(spark, path)
     read = spark.read.schema(schema).parquet(path)
-    return [read.where(F.col("shard") == k) for k in range(shards)]
+    parts = [read.where(F.col("shard") == k) for k in range(shards)]
+    return [(part.where("times = 0"), part.where("times > 0")) for part in parts]
 
 
 def _summed(vectors: DataFrame, names: list[str]) -> DataFrame:
@@ -169,11 +204,11 @@ def counts(docs: DataFrame, most: int = SHARD) -> DataFrame:
     from pyspark.ml.feature import CountVectorizer      # not above: Python workers import this module, and need no more of it
 
     out, spark = None, docs.sparkSession
-    for rows in _dealt(shared.written(words(docs), "terms"), most):
-        model = CountVectorizer(inputCol="terms", outputCol="vector", minDF=float(MIN_DOCS), vocabSize=LARGEST).fit(rows.where("times = 0"))
+    for fitted, counted in _dealt(*_combined(docs), most):
+        model = CountVectorizer(inputCol="terms", outputCol="vector", minDF=float(MIN_DOCS), vocabSize=LARGEST).fit(fitted)
         if not model.vocabulary:
             continue
-        part = shared.written(_summed(model.transform(rows.where("times > 0")).select("source", "times", "vector"), model.vocabulary), "term-counts")
+        part = shared.written(_summed(model.transform(counted).select("source", "times", "vector"), model.vocabulary), "term-counts")
         out = part if out is None else out.unionByName(part)
     return out if out is not None else spark.createDataFrame([], "lang string, source string, term string, count long")
 

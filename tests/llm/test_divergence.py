@@ -68,6 +68,17 @@ def test_terms_reach_the_vectorizer_once_for_a_window(spark):
     assert all(len(set(r.terms)) == len(r.terms) for r in rows)
 
 
+def test_vectorizer_is_fitted_on_a_term_ten_times_at_most_over_all_windows(spark, monkeypatch):
+    monkeypatch.setattr(divergence, "WINDOW", 300)
+    monkeypatch.setattr(divergence, "LONGEST", 3)
+    texts = ["foo bar"] * 40 + ["foo Foo baz"] * 20 + [f"w{chr(97 + k % 8)} foo " * 30 for k in range(60)] + [None, ""]
+    docs = spark.createDataFrame([(t, "en" if k % 5 else None, f"s{k % 3}") for k, t in enumerate(texts)], "text string, lang string, source string").repartition(3)
+    rows = divergence.words(docs).where("times = 0").collect()
+    df = Counter(f"{w} {'en' if k % 5 else ''}" for k, t in enumerate(texts) for w in set((t or "").lower().split()))
+    assert Counter(t for r in rows for t in r.terms) == {w: min(n, 10) for w, n in df.items()}
+    assert all(0 < len(set(r.terms)) == len(r.terms) <= 3 for r in rows)
+
+
 def test_windows_and_long_rows_are_brute_force(spark, monkeypatch):
     rows = mixed_rows()
     frame = spark.createDataFrame(rows, "text string, lang string, source string")
