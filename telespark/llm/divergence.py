@@ -39,7 +39,8 @@ from telespark.llm import shared
 SIGNS = bytes(b if b > 127 else ord(chr(b).lower()) if chr(b).isalpha() else 32 for b in range(256))
 ROWS = "lang string, source string, times long, terms array<string>"
 MIN_DOCS = 10
-WINDOW = 1 << 23        # bytes of consecutive documents whose terms are counted together, a longer one alone
+WINDOW = 1 << 23        # bytes of consecutive documents (and 32 for each) whose terms are counted together, a longer one alone
+BATCH = 1000            # documents that a Python worker gets at once
 LONGEST = 512           # terms of a row at most
 LARGEST = (1 << 31) - 1
 SHARD = 1 << 19         # terms of a vocabulary at most
@@ -48,6 +49,21 @@ TOP = 10                # terms listed for a group
 PAIRS = 1 << 20         # pairs of groups of a term compared at once
 
 
+def _filled(batches: Iterator[pa.RecordBatch], most: int) -> Iterator[pa.RecordBatch]:
+    """The rows of (lang, source, text) batches in windows of about ``most`` bytes, across batches."""
+    held, size = [], 0
+    for batch in batches:
+        start = 0
+        for i, n in enumerate(pc.binary_length(batch.column(2)).to_pylist()):
+            if size and size + n + 32 > most:
+                yield pa.Table.from_batches([*held, batch.slice(start, i - start)]).combine_chunks().to_batches()[0]
+                held, start, size = [], i, 0
+            size += n + 32
+        held.append(batch.slice(start))
+    if size:
+        yield pa.Table.from_batches(held).combine_chunks().to_batches()[0]
+
+
 def _window(lang: pa.Array, source: pa.Array, text: pa.Array, longest: int) -> Iterator[tuple]:
     """(groups' first rows, times, terms) of the documents of a window, as ``_windows`` returns them; ``text`` is large binary."""
     ends = np.frombuffer(text.buffers()[1], np.int64, len(text) + 1, 8 * text.offset)
@@ -104,14 +120,11 @@ def _windows(docs: DataFrame) -> DataFrame:
     """
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         shared.forget()
-        for batch in batches:
+        for batch in _filled(batches, WINDOW):
             lang, source, text = batch.column(0), batch.column(1), batch.column(2).cast(pa.large_binary())
-            sizes = pc.binary_length(text).to_pylist()
-            for low, high in shared.slices(list(map(range, sizes)), WINDOW):
-                n = high - low
-                for at, times, terms in _window(lang.slice(low, n), source.slice(low, n), text.slice(low, n), LONGEST):
-                    names = (pa.array([""] * len(times), pa.string()),) * 2 if at is None else (lang.take(pa.array(at + low)), source.take(pa.array(at + low)))
-                    yield pa.RecordBatch.from_arrays([*names, pa.array(times), terms], names=["lang", "source", "times", "terms"])
+            for at, times, terms in _window(lang, source, text, LONGEST):
+                names = (pa.array([""] * len(times), pa.string()),) * 2 if at is None else (lang.take(pa.array(at)), source.take(pa.array(at)))
+                yield pa.RecordBatch.from_arrays([*names, pa.array(times), terms], names=["lang", "source", "times", "terms"])
 
     text, lang, source = (F.coalesce(F.col(c).cast("string"), F.lit("")) for c in ("text", "lang", "source"))
     return docs.select(lang.alias("lang"), source.alias("source"), text.alias("text")).mapInArrow(run, ROWS)
@@ -134,7 +147,8 @@ def _repeated(seen: DataFrame) -> DataFrame:
 
 def _combined(docs: DataFrame) -> tuple[DataFrame, DataFrame, DataFrame]:
     """Rows of 0 times and rows of 1 and more, as ``words`` returns them, and the number of documents of each term, ``MIN_DOCS`` or more if it is that."""
-    rows = shared.written(_windows(docs), "terms")
+    with shared.rows_per_batch(docs.sparkSession, BATCH):       # whole texts: less to hold at once, in the JVM and in Python
+        rows = shared.written(_windows(docs), "terms")
     seen = rows.where("times < 0").select(F.explode("terms").alias("term"), "times").groupBy("term").agg((-F.sum("times")).alias("docs"))
     seen = shared.written(seen, "term-docs")
     return _repeated(seen), rows.where("times > 0"), seen

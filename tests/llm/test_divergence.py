@@ -4,6 +4,7 @@ import random
 import re
 from collections import Counter
 
+import pyarrow as pa
 from oracle_check import check, duck
 from telespark.llm import divergence, queries
 
@@ -79,6 +80,18 @@ def test_vectorizer_is_fitted_on_a_term_ten_times_at_most_over_all_windows(spark
     assert all(0 < len(set(r.terms)) == len(r.terms) <= 3 for r in rows)
 
 
+def test_windows_reach_across_batches(spark, monkeypatch):
+    sizes = [5, 0, 300, 40, 7, 1000, 0, 0, 60]
+    batches = [pa.RecordBatch.from_pylist([{"lang": "en", "source": str(k), "text": "x" * n}]) for k, n in enumerate(sizes)]
+    windows = [w.column(1).to_pylist() for w in divergence._filled(iter(batches), 400)]
+    assert windows == [["0", "1"], ["2"], ["3", "4"], ["5"], ["6", "7", "8"]]
+    assert windows == [w.column(1).to_pylist() for w in divergence._filled(iter(pa.Table.from_batches(batches).combine_chunks().to_batches()), 400)]
+    assert list(divergence._filled(iter([]), 400)) == []
+    monkeypatch.setattr(divergence, "BATCH", 2)
+    docs = spark.createDataFrame([("foo", "en", "a")] * 7, "text string, lang string, source string").coalesce(1)
+    assert [(r.times, r.terms) for r in divergence.words(docs).collect() if r.times] == [(7, ["foo en"])]
+
+
 def test_windows_and_long_rows_are_brute_force(spark, monkeypatch):
     rows = mixed_rows()
     frame = spark.createDataFrame(rows, "text string, lang string, source string")
