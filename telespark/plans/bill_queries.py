@@ -535,8 +535,8 @@ def alloc_exact_balance(spark, sf_dir):
     detail = _detail(spark, sf_dir)
     both = apportion.spread(detail, ALLOC).select("provider", "rule", "period", "amount", F.lit(0).alias("own")).unionByName(
         detail.select("provider", "rule", "period", F.col("amount").cast("decimal(38,8)").alias("amount"), F.lit(1).alias("own")))
-    units = lambda own: apportion.to_units(F.sum(F.when(F.col("own") == own, F.col("amount")))).cast("long")
-    return both.groupBy("provider", "rule", "period").agg(units(0).alias("units"), (units(0) - units(1)).alias("off"))
+    units = lambda own: apportion.to_units(F.sum(F.when(F.col("own") == own, F.col("amount"))))
+    return both.groupBy("provider", "rule", "period").agg(units(0).alias("units"), (units(0) - units(1)).cast("long").alias("off"))
 
 
 @query("alloc_exact_prepaid", f"""
