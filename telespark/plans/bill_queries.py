@@ -525,8 +525,9 @@ select provider, rule, product, bucket, period, line, (base + case when place <=
 
 @query("alloc_exact_lines", "select provider, line, period, sum(units)::bigint as units from aparts group by all")
 def alloc_exact_lines(spark, sf_dir):
+    # whole numbers of 38 digits: a month of some 10^11 is more units than a bigint holds
     parts = apportion.spread(_detail(spark, sf_dir), ALLOC)
-    return parts.groupBy("provider", "line", "period").agg(apportion.to_units(F.sum("amount")).cast("long").alias("units"))
+    return parts.groupBy("provider", "line", "period").agg(apportion.to_units(F.sum("amount")).alias("units"))
 
 
 @query("alloc_exact_balance", "select provider, rule, period, sum(a)::bigint as units, 0::bigint as off from aunits group by all")

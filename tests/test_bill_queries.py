@@ -29,6 +29,13 @@ def dear(spark, tmp_path):
     return tables(spark, tmp_path, [(o, 2, 10, 100_000_000_000.01, 0.0, "O") for o in (1, 2, 4)] + [(o, 1, 10, 7.01, 0.0, "O") for o in (6,)])
 
 
+def test_exact_lines_of_more_units_than_a_bigint_holds(spark, dear):
+    got = {(r.provider, r.line, r.period): int(r.units) for r in Q.alloc_exact_lines(spark, dear).collect()}
+    seven = 701_000_000
+    assert got[("alicloud", "shared", "2024-01")] == 3 * 10_000_000_000_001 * 10 ** 6 > 2 ** 63
+    assert sum(v for (_, line, _), v in got.items() if line != "shared") == seven
+
+
 def test_exact_balance_of_more_units_than_a_bigint_holds(spark, dear):
     got = {(r.provider, r.rule, r.period): (int(r.units), int(r.off)) for r in Q.alloc_exact_balance(spark, dear).collect()}
     assert got == {("alicloud", -1, "2024-01"): (3 * 10_000_000_000_001 * 10 ** 6, 0), ("alicloud", 1, "2024-01"): (701_000_000, 0)}
