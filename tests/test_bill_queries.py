@@ -40,3 +40,9 @@ def test_exact_balance_of_more_units_than_a_bigint_holds(spark, dear):
     got = {(r.provider, r.rule, r.period): (int(r.units), int(r.off)) for r in Q.alloc_exact_balance(spark, dear).collect()}
     assert got == {("alicloud", -1, "2024-01"): (3 * 10_000_000_000_001 * 10 ** 6, 0), ("alicloud", 1, "2024-01"): (701_000_000, 0)}
     assert Decimal(got[("alicloud", -1, "2024-01")][0]) > 2 ** 63
+
+
+def test_export_has_all_lines_and_no_heap_of_them(spark, dear):
+    plan = Q.bill_export(spark, dear)._jdf.queryExecution().executedPlan().toString()
+    assert "Limit(" not in plan.replace("WindowGroupLimit", "") and "TakeOrderedAndProject" not in plan
+    assert Q.bill_export(spark, dear).count() == 4

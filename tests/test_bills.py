@@ -263,3 +263,18 @@ def test_constant_key_columns_cost_no_further_exchange(spark):
     lines = B.normalize_bill(src, JAN)
     assert lines._jdf.queryExecution().executedPlan().toString().count("Exchange hashpartitioning") == 1
     assert sorted((r.day, float(r.amount), float(r.original)) for r in lines.collect()) == [("2026-01-01", 1.0, 2.0), ("2026-01-02", 2.0, 4.0)]
+
+
+def test_export_of_more_rows_than_a_task_may_hold(spark, monkeypatch):
+    from telespark.functions import limits
+
+    rows = [(f"2026-01-{1 + i % 28:02d}", f"p{i % 7}", f"i{i}", i * 37 % 101) for i in range(200)]
+    src = ali(spark, rows)
+    whole = B.export_bills(src, JAN).collect()
+    assert len(whole) == 200 and "TakeOrderedAndProject" in B.export_bills(src, JAN, limit=60)._jdf.queryExecution().executedPlan().toString()
+    monkeypatch.setattr(limits, "IN_MEMORY", 10)
+    for n in (11, 60, 199, 200, 500):
+        part = B.export_bills(src, JAN, limit=n)
+        assert "TakeOrderedAndProject" not in part._jdf.queryExecution().executedPlan().toString()
+        assert part.collect() == whole[:n]
+    assert B.export_bills(ali(spark, []), JAN, limit=60).count() == 0
