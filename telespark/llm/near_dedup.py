@@ -41,6 +41,8 @@ MEMBERS = 1000          # of a family in a block; blocks meet in pairs
 LONG = 512              # registers that rank the pairs of a block
 DOUBT = 5.0             # standard errors under the threshold from which pairs are verified
 SLICE = 1 << 21         # characters signed together
+FEW = 500               # pairs that are verified one by one
+SWEPT = 1 << 23         # characters of a block whose shingles are counted together
 
 
 # ------------------------------------------------------------------------------------------- signatures
@@ -170,30 +172,70 @@ class _Groups:
         return x
 
 
-def settle(nodes: list[bytes], of: list[bytes], side: np.ndarray, texts: list[str], least: float) -> list[tuple[bytes, bytes]]:
-    """Links that join components among the pairs of a block (``side`` all 0) or between two blocks (0 and 1)."""
+def long_registers(texts: list[str]) -> np.ndarray:
+    """``LONG`` registers of each text; all of them have words."""
+    parts = [signatures(texts[low:high], LONG)[1].astype(np.uint32) for low, high in shared.slices(texts, SLICE)]     # the lower halves
+    return np.concatenate(parts) if parts else np.empty((0, LONG), np.uint32)
+
+
+def may_reach(texts: list[str], i: np.ndarray, j: np.ndarray, least: float) -> np.ndarray:
+    """Which pairs (i, j) of texts may have a J_P of ``least``: for texts that repeat no shingle it is the plain
+    Jaccard similarity, and one sweep over all shingles counts what a text shares with every other."""
+    out = np.ones(len(i), dtype=bool)
+    used, at = np.unique(np.concatenate([i, j]), return_inverse=True)
+    if len(i) < FEW or sum(len(texts[n]) for n in used.tolist()) > SWEPT:
+        return out
+    text, hashes, counts = shingles([texts[n] for n in used.tolist()])
+    size, once = (np.bincount(text, weights=w, minlength=len(used)) for w in (None, counts == 1))
+    if not size.all():
+        return out
+    plain, ids = once == size, np.unique(hashes, return_inverse=True)[1]
+    starts, mark = np.cumsum(size) - size, np.zeros(len(ids), dtype=np.int32)
+    a, b = at[: len(i)], at[len(i):]
+    order = np.argsort(a, kind="stable")
+    for pairs in np.split(order, np.flatnonzero(np.diff(a[order])) + 1):
+        x, y = a[pairs[0]], b[pairs]
+        if plain[x]:
+            own = ids[starts[x]: starts[x] + size[x]]
+            mark[own] = 1
+            both = np.add.reduceat(mark[ids], starts)[y]
+            mark[own] = 0
+            out[pairs] = ~plain[y] | (both / (size[x] + size[y] - both) >= least - 1e-9)
+    return out
+
+
+def settle(nodes: list[bytes], of: list[bytes], side: np.ndarray, texts: list[str], least: float, registers: np.ndarray | None = None) -> list[tuple[bytes, bytes]]:
+    """Links that join components among the pairs of a block (``side`` all 0) or between two blocks (0 and 1).
+    ``registers``: those of ``long_registers``, if they are there already."""
     groups, links, bags = _Groups(of), [], {}
     crossing = bool(side.any())
     names, number = np.unique(np.array(of, dtype=object), return_inverse=True)
     largest = np.bincount(number).argmax()
     # every pair of different components has a member outside the largest one
-    rest = np.flatnonzero(number != largest)
-    if len(nodes) > 24:
-        _, registers = signatures(texts, LONG)
-        registers = (registers & np.uint64(0xFFFFFFFF)).astype(np.uint32)
-        near = np.zeros((len(rest), len(nodes)), dtype=np.int16)
-        for k in range(LONG):
-            near += registers[rest, k][:, None] == registers[None, :, k]
-    else:
-        near = np.full((len(rest), len(nodes)), LONG, dtype=np.int16)
-    ok = near >= LONG * (least - DOUBT * np.sqrt(least * (1 - least) / LONG))
-    ok &= number[rest][:, None] != number[None, :]
-    ok &= (side[rest][:, None] != side[None, :]) if crossing else True
-    i, j = np.nonzero(ok)
-    once = (number[j] == largest) | (rest[i] < j)
-    i, j = i[once], j[once]
-    for at in np.argsort(-near[i, j], kind="stable").tolist():
-        x, y = int(rest[i[at]]), int(j[at])
+    rest, every = np.flatnonzero(number != largest), np.arange(len(nodes))
+    here = side == 0
+    meet = [(rest[here[rest]], every[~here]), (every[here & (number == largest)], rest[~here[rest]])] if crossing else [(rest, every)]
+    if len(nodes) > 24 and registers is None:
+        registers = long_registers(texts)
+    found = []
+    for left, right in meet:
+        if len(nodes) > 24:
+            near = np.zeros((len(left), len(right)), dtype=np.int16)
+            for k in range(LONG):
+                near += registers[left, k][:, None] == registers[right, k][None, :]
+        else:
+            near = np.full((len(left), len(right)), LONG, dtype=np.int16)
+        ok = near >= LONG * (least - DOUBT * np.sqrt(least * (1 - least) / LONG))
+        ok &= number[left][:, None] != number[right][None, :]
+        i, j = np.nonzero(ok)
+        found.append((left[i], right[j], near[i, j]))
+    i, j, near = (np.concatenate(x) for x in zip(*found))
+    once = crossing | (number[j] == largest) | (i < j)
+    i, j, near = i[once], j[once], near[once]
+    likely = may_reach(texts, i, j, least)
+    i, j, near = i[likely], j[likely], near[likely]
+    for at in np.argsort(-near, kind="stable").tolist():
+        x, y = int(i[at]), int(j[at])
         a, b = groups.find(of[x]), groups.find(of[y])
         if a == b:
             continue
@@ -206,6 +248,21 @@ def settle(nodes: list[bytes], of: list[bytes], side: np.ndarray, texts: list[st
     return links
 
 
+def _signed(members: DataFrame) -> DataFrame:
+    """``members`` with the long registers of their texts: worked out once, however many blocks they meet in."""
+    columns = ("node", "component", "family", "blocks", "block", "text")
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        shared.forget()
+        for batch in batches:
+            for low in range(0, batch.num_rows, MEMBERS):
+                part = batch.slice(low, MEMBERS)
+                registers = long_registers(part.column(len(columns) - 1).to_pylist())
+                yield pa.RecordBatch.from_arrays([*part.columns, pa.array([x.tobytes() for x in registers], pa.binary())], names=[*columns, "registers"])
+
+    return members.select(*columns).mapInArrow(run, "node binary, component binary, family binary, blocks int, block int, text string, registers binary")
+
+
 def _settled(open_members: DataFrame, texts: DataFrame, least: float) -> DataFrame:
     """(a, b) links between components of the same family."""
     open_members = shared.written(open_members, "open")
@@ -213,12 +270,13 @@ def _settled(open_members: DataFrame, texts: DataFrame, least: float) -> DataFra
     family = components(open_members.join(roots, "key").where("node <> b").select(F.col("node").alias("a"), "b")).withColumnRenamed("component", "family")
     sizes = family.groupBy("family").agg(F.ceil(F.count("*") / MEMBERS).cast("int").alias("blocks"))
     placed = open_members.select("node", "component").distinct().join(family, "node").join(sizes, "family").withColumn("block", F.pmod(F.xxhash64("node"), F.col("blocks")).cast("int"))
-    met = placed.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
-    met = met.select("node", "component", "family", "block", F.least("block", "other").alias("low"), F.greatest("block", "other").alias("high")).join(texts, "node")
+    met = _signed(placed.join(texts, "node")).withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
+    met = met.select("node", "component", "family", "block", F.least("block", "other").alias("low"), F.greatest("block", "other").alias("high"), "text", "registers")
 
     def run(group: pa.Table) -> pa.Table:
         columns = {c: group.column(c).to_pylist() for c in ("node", "component", "block", "low", "high", "text")}
-        links = settle(columns["node"], columns["component"], np.array(columns["block"]) != columns["low"][0], columns["text"], least)
+        registers = np.frombuffer(b"".join(group.column("registers").to_pylist()), dtype=np.uint32).reshape(-1, LONG)
+        links = settle(columns["node"], columns["component"], np.array(columns["block"]) != columns["low"][0], columns["text"], least, registers)
         return pa.table([pa.array([x for x, _ in links], pa.binary()), pa.array([y for _, y in links], pa.binary())], names=["a", "b"])
 
     return met.groupBy("family", "low", "high").applyInArrow(run, "a binary, b binary")
